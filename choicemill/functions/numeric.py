@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rounded(value: Column | str, digits: int) -> Column:
+def rounded(value: Column | str, digits: int = 8) -> Column:
     """Round half up after settling the value at 12 decimals.
 
     Sums of doubles differ in their last bits with the order of the partial sums. Settling first
@@ -32,3 +32,8 @@ def count_true(condition: Column) -> Column:
 def mean_where(value: Column, condition: Column, digits: int = 8) -> Column:
     """Mean over the rows that meet a condition, NULL when there are none."""
     return rounded(F.avg(F.when(condition, value)), digits)
+
+
+def settled_double(value: Column) -> Column:
+    """Value at 12 decimals, so that comparisons do not hang on the order of a summation."""
+    return value.cast("decimal(38,12)").cast("double")

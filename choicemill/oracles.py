@@ -50,7 +50,7 @@ MODELS = ", ".join(f"('{m}', {i})" for i, m in enumerate(M))
 
 FRAGMENTS: dict[str, str] = {
     "alphas": f"SELECT * FROM (VALUES {ALPHAS}) t(alpha_id, alpha)",
-    "lambdas": f"SELECT * FROM (VALUES {LAMBDAS}) t(lambda)",
+    "lambdas": f"SELECT * FROM (VALUES {LAMBDAS}) t(lam)",
     "models": f"SELECT * FROM (VALUES {MODELS}) t(model, ord)",
     "obs": f"""
       SELECT substr(sha256(dataset || '||' || category || '||' || question), 1, 16) AS query_id, * FROM (
@@ -191,3 +191,288 @@ for _split in ("validation", "test"):
         FROM cchoice WHERE split = '{_split}' AND model = pick GROUP BY alpha""")
 oracle("baseline_summary", f"""SELECT *, NULL::VARCHAR AS validation_selected_model, NULL::DOUBLE AS validation_mean_utility
     FROM ({_FIXED}) UNION ALL BY NAME SELECT * FROM ({_BEST})""")
+
+# ------------------------------------------------------------ sources and sinks
+oracle("csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+oracle("csv_multi_file", f"""SELECT o_orderstatus, count(*) AS n, {r('sum(o_totalprice)', 2)} AS total FROM orders
+    WHERE o_orderstatus IN ('F','O','P') GROUP BY o_orderstatus""")
+oracle("question_bank_numeric", """SELECT 'numeric' AS dataset, source AS category, text AS question,
+    CAST(n_chars AS VARCHAR) AS ground_truth FROM documents""")
+oracle("question_bank_choice", """SELECT 'letter' AS dataset, p_type AS category,
+    p_name || chr(10) || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'C. ' || p_name
+      || chr(10) || 'D. ' || p_size AS question,
+    substr('ABCD', 1 + CAST(p_partkey % 4 AS INTEGER), 1) AS ground_truth FROM part""")
+oracle("sample_per_category", """SELECT p_partkey, p_name, p_type FROM part
+    QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) <= 20""")
+oracle("sample_first", "SELECT p_partkey, p_name, p_type FROM part ORDER BY p_partkey LIMIT 100")
+_SIX = ", ".join(f"round({c}, 6) AS {c}" for c in (
+    "alpha", "accuracy", "avg_cost", "avg_latency", "mean_utility", "oracle_utility", "mean_regret",
+    "validation_mean_utility", "training_mean_utility"))
+oracle("report_union", f"""SELECT policy, n_queries, {_SIX}, {', '.join(f'selected_{m}' for m in M)},
+      validation_selected_model, fallback_model
+    FROM (SELECT * FROM ({_FIXED}) UNION ALL BY NAME SELECT * FROM ({_BEST})
+      UNION ALL BY NAME SELECT alpha, fallback_model, {r('u')} AS training_mean_utility FROM fallback)""")
+oracle("parameter_json", f"""SELECT CAST(alpha AS VARCHAR) AS key, alpha, selected_model,
+    {r('u')} AS validation_mean_utility FROM bestfixed""")
+oracle("resumable_append", "SELECT query_id, model, correct, raw_cost, latency FROM obs")
+
+# ------------------------------------------------------------ grading and token costs
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def strip(expr: str) -> str:
+    return _STRIP.format(expr)
+
+
+FRAGMENTS["answers"] = f"""
+  SELECT l_orderkey, l_linenumber, 'm' || (l_suppkey % {K}) AS model, 'numeric' AS dataset,
+    CASE l_orderkey % 6 WHEN 0 THEN 'Let me see.' || chr(10) || 'Final Answer: ' || q
+      WHEN 1 THEN 'final answer: ' || q || '.00 units' WHEN 2 THEN 'about ' || q || ' or 7'
+      WHEN 3 THEN 'Final Answer: 1,' || lpad(q, 3, '0') WHEN 4 THEN 'Final Answer: unknown' ELSE '' END AS answer,
+    q AS ground_truth
+  FROM (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem)
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, 'm' || (l_suppkey % {K}), 'letter',
+    CASE WHEN l_linenumber % 2 = 0 THEN 'Final Answer: ' || l_returnflag
+      ELSE ' ' || lower(t) || chr(10) END, t
+  FROM (SELECT *, substr('ABCD', 1 + CAST(l_suppkey % 4 AS INTEGER), 1) AS t FROM lineitem)"""
+FRAGMENTS["predicted"] = rf"""
+  SELECT * EXCLUDE (body, number, marked), CASE WHEN dataset = 'numeric'
+      THEN CASE WHEN number <> '' THEN replace(number, ',', '') ELSE body END
+      ELSE CASE WHEN marked <> '' THEN upper(marked)
+        WHEN upper({strip('answer')}) IN ('A','B','C','D') THEN upper({strip('answer')}) ELSE '' END END AS prediction
+  FROM (SELECT *, regexp_extract(body, '[-+]?[0-9][0-9,]*(?:\.[0-9]+)?', 0) AS number,
+      regexp_extract(answer, '(?i)Final Answer:\s*([ABCD])\b', 1) AS marked
+    FROM (SELECT *, {strip(r"CASE WHEN regexp_matches(answer, '(?i)Final Answer:') THEN regexp_extract(answer, '(?i)Final Answer:\s*([^\n]*)', 1) ELSE answer END")} AS body
+      FROM answers))"""
+FRAGMENTS["graded"] = f"""
+  SELECT *, CAST(CASE WHEN dataset = 'numeric' THEN coalesce(
+        TRY_CAST(prediction AS DECIMAL(38,18)) = TRY_CAST(replace(ground_truth, ',', '') AS DECIMAL(38,18)),
+        lower({strip('prediction')}) = lower({strip('ground_truth')}))
+      ELSE upper({strip('prediction')}) = upper({strip('ground_truth')}) END AS INTEGER) AS correct
+  FROM predicted"""
+oracle("graded_answers", "SELECT * FROM graded")
+oracle("grading_accuracy", f"""SELECT dataset, model, count(*) AS n, {r('avg(correct)')} AS accuracy
+    FROM graded GROUP BY dataset, model""")
+WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?"
+TOKEN = WORD + r"|[^\p{L}\p{N}_\s]"
+
+
+def regexp_count(text: str, pattern: str) -> str:
+    return f"CAST(len(regexp_extract_all({text}, '{pattern}')) AS INTEGER)"
+
+
+_PRICE = {"m0": (0.15, 0.60), "m1": (3.0, 15.0), "m2": (0.10, 0.40), "m3": (0.05, 0.25)}
+_PRICES = ", ".join(f"('{m}', {d(a)}, {d(b)})" for m, (a, b) in _PRICE.items())
+oracle("token_costs", f"""SELECT doc_id, t.model, prompt_tokens, completion_tokens,
+    round(prompt_tokens / 1000000.0::DOUBLE * pin + completion_tokens / 1000000.0::DOUBLE * pout, 8) AS cost
+  FROM (SELECT doc_id, 'm' || (doc_id % {K}) AS model, CAST({regexp_count('text', TOKEN)} AS BIGINT) AS prompt_tokens,
+      n_chars % 500 AS completion_tokens FROM documents) t
+  JOIN (VALUES {_PRICES}) p(model, pin, pout) ON p.model = t.model""")
+
+# ------------------------------------------------------------ completeness, integrity, quality
+FRAGMENTS["expected"] = """SELECT CASE WHEN p_type IN ('ECONOMY','PROMO') THEN 'd0' ELSE 'd1' END AS dataset,
+    p_partkey FROM part"""
+FRAGMENTS["docs"] = "SELECT doc_id, lang AS dataset, source AS category, text AS question FROM documents"
+oracle("duplicate_documents", """SELECT dataset, question, count(*) AS occurrences FROM docs
+    GROUP BY dataset, question HAVING count(*) > 1""")
+oracle("duplicate_line_keys", """SELECT l_orderkey, l_linenumber, count(*) AS occurrences FROM lineitem
+    GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+oracle("unique_documents", """SELECT substr(sha256(dataset || '||' || category || '||' || question), 1, 16) AS query_id,
+    dataset, category, question, min(doc_id) AS doc_id, count(*) AS copies FROM docs
+    GROUP BY dataset, category, question""")
+FRAGMENTS["found"] = """SELECT p_partkey, count(*) AS rows, string_agg(DISTINCT model, ',' ORDER BY model) AS found
+    FROM obs GROUP BY p_partkey"""
+_MISSING = " || ".join(f"CASE WHEN contains(found, '{m}') THEN '' ELSE ',{m}' END" for m in M)
+oracle("candidates_found", f"SELECT p_partkey, rows, found, ltrim({_MISSING}, ',') AS missing FROM found")
+oracle("missing_candidates", """SELECT p_partkey, model FROM expected, models EXCEPT
+    SELECT p_partkey, model FROM obs""")
+oracle("absent_queries", """SELECT p_partkey FROM expected
+    EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount = 0.1::DOUBLE""")
+oracle("completeness_summary", f"""SELECT e.dataset, count(*) AS expected,
+    count(CASE WHEN f.rows IS NULL OR f.rows < {K} THEN 1 END) AS incomplete,
+    count(CASE WHEN f.rows IS NULL THEN 1 END) AS absent, CAST(sum(coalesce(f.rows, 0)) AS BIGINT) AS observed_rows
+    FROM expected e LEFT JOIN found f USING (p_partkey) GROUP BY e.dataset""")
+oracle("split_violations", f"""SELECT query_id, CAST(1 AS BIGINT) AS n_splits, count(DISTINCT model) AS n_models
+    FROM obs GROUP BY query_id HAVING count(DISTINCT model) <> {K}""")
+oracle("id_report", """SELECT count(*) AS n_rows, count(DISTINCT query_id) AS n_ids,
+    count(*) - count(DISTINCT query_id) AS duplicate_ids, CAST(0 AS BIGINT) AS illegal_splits FROM splits""")
+oracle("side_mismatches", """SELECT query_id, 'train' AS left_split, split AS right_split,
+    CASE WHEN split IS NULL THEN 'only_left' ELSE 'split_differs' END AS reason
+    FROM (SELECT DISTINCT query_id FROM obs) o LEFT JOIN splits s USING (query_id)
+    WHERE split IS NULL OR split <> 'train'""")
+oracle("non_finite_features", "SELECT l_orderkey FROM lineitem WHERE l_discount = 0 OR l_tax <= 0")
+_QS = {"median": 0.5, "p90": 0.90, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+
+
+def _costs(column: str, source: str) -> str:
+    return f"""SELECT count(*) AS n_rows, {r(f'min({column})')} AS min_cost, {r(f'max({column})')} AS max_cost,
+    {', '.join(f"{r(f'quantile_cont({column}, {q})')} AS {name}_cost" for name, q in _QS.items())} FROM {source}"""
+
+
+oracle("cost_distribution", _costs("raw_cost", "obs"))
+oracle("cost_distribution_scaled", _costs("l_extendedprice", "lineitem"))
+oracle("zero_costs", "SELECT dataset, model, count(*) AS n_rows FROM obs WHERE raw_cost = 0 GROUP BY dataset, model")
+oracle("most_expensive", """SELECT query_id, dataset, model, raw_cost, latency FROM obs
+    ORDER BY raw_cost DESC, query_id, model LIMIT 10""")
+oracle("one_to_one", """SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, coalesce(a, 0) AS n_left,
+    coalesce(b, 0) AS n_right FROM (SELECT o_orderkey, count(*) AS a FROM orders GROUP BY 1) o
+    FULL JOIN (SELECT l_orderkey, count(*) AS b FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey
+    WHERE coalesce(a, 0) <> 1 OR coalesce(b, 0) <> 1""")
+oracle("label_conflicts", """SELECT question FROM docs GROUP BY question
+    HAVING min(category) <> max(category)""")
+oracle("null_counts", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) - count({c}) AS nulls FROM documents LEFT JOIN labels USING (doc_id)"
+    for c in ("text", "lang", "quality", "toxic")))
+oracle("membership", "SELECT query_id, model, correct FROM sobs WHERE split = 'validation'")
+
+# ------------------------------------------------------------ features
+_NUMBER = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
+
+
+def text_features(text: str) -> str:
+    words = f"regexp_extract_all({text}, '{WORD}')"
+    options = regexp_count(text, r"(?m)^[ABCD]\.\s")
+    return rf"""CAST(length({text}) AS INTEGER) AS char_count, {regexp_count(text, WORD)} AS word_count,
+    {regexp_count(text, TOKEN)} AS approx_token_count,
+    CAST(len(regexp_extract_all(regexp_replace({text}, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n')) + 1 AS INTEGER) AS line_count,
+    greatest(1, {regexp_count(text, '[.!?]+')}) AS sentence_count, {regexp_count(text, _NUMBER)} AS number_count,
+    CAST(length(regexp_replace({text}, '[^-+*/=<>^%$]', '', 'g')) AS INTEGER) AS math_symbol_count,
+    CAST(length({text}) - length(replace({text}, '?', '')) AS INTEGER) AS question_mark_count,
+    {options} AS option_count, CAST({options} >= 4 AS INTEGER) AS is_multiple_choice,
+    CASE WHEN len({words}) > 0 THEN round(length(array_to_string({words}, '')) / len({words})::DOUBLE, 6)
+      ELSE 0.0::DOUBLE END AS avg_word_length"""
+
+
+oracle("text_features", f"SELECT doc_id, dataset, category, {text_features('question')} FROM docs")
+
+
+def _one_hot(prefix: str, column: str, values: list[str]) -> str:
+    return ", ".join(f"CAST({column} = '{v}' AS INTEGER) AS {prefix}_{v.lower()}" for v in values)
+
+
+LANGS = ["de", "en", "es", "fr"]
+SOURCES = [f"src{i}" for i in range(20)]
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+oracle("one_hot_features", f"""SELECT doc_id, dataset, category, {_one_hot('dataset', 'dataset', LANGS)},
+    {_one_hot('category', 'category', SOURCES)} FROM docs""")
+oracle("embedding_features", """SELECT query_id, vec_id, CAST(dim - 1 AS INTEGER) AS dim,
+    CASE WHEN norm > 0 THEN round(x / norm, 8) ELSE x END AS value
+  FROM (SELECT query_id, vec_id, dim, CAST(embedding[dim] AS DOUBLE) AS x,
+      sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS norm
+    FROM (SELECT q.query_id, vec_id, embedding, unnest(generate_series(1, len(embedding))) AS dim
+      FROM queries q JOIN embeddings e ON e.vec_id = q.p_partkey % (SELECT count(*) FROM embeddings)))""")
+oracle("feature_table", f"""SELECT query_id, dataset, category, split, p_size, p_retailprice, name_length,
+    {text_features('question')}, {_one_hot('dataset', 'dataset', ['d0', 'd1'])} FROM splits""")
+
+# ------------------------------------------------------------ ensemble and routing
+FRAGMENTS["weights"] = f"""SELECT * FROM (SELECT query_id, CAST(member AS INTEGER) AS member,
+      {poisson(uniform(f"sha256('{P.seed}|' || (member // 4) || '|' || query_id)", 'CAST(member % 4 AS INTEGER)'))} AS w
+    FROM (SELECT query_id FROM splits WHERE split = 'train'), range({P.members}) t(member)) WHERE w > 0"""
+FRAGMENTS["unit_weights"] = "SELECT query_id, CAST(0 AS INTEGER) AS member, 1 AS w FROM splits WHERE split = 'train'"
+
+
+def ensemble_fragments(tag: str, group: str, weights: str = "weights", members: int = P.members) -> None:
+    """Fit, prediction, statistics, state, sweep and decisions of one learner variant."""
+    f = FRAGMENTS
+    f[f"fit{tag}"] = f"""SELECT member, {group} AS grp, model, ord, CAST(sum(w) AS BIGINT) AS w,
+        CAST(sum(w * correct) AS DOUBLE) AS c, sum(w * normalized_cost) AS n
+      FROM core JOIN {weights} USING (query_id) GROUP BY member, {group}, model, ord"""
+    f[f"overall{tag}"] = f"SELECT member, model, sum(c) / sum(w) AS c, sum(n) / sum(w) AS n FROM fit{tag} GROUP BY member, model"
+    f[f"pred{tag}"] = f"""SELECT g.grp, alpha_id, alpha, a.member, m.model, m.ord,
+        {settle('coalesce(t.c / t.w, a.c) - alpha * coalesce(t.n / t.w, a.n)')} AS yhat
+      FROM (SELECT DISTINCT {group} AS grp FROM queries) g, alphas, models m
+      JOIN overall{tag} a ON a.model = m.model
+      LEFT JOIN fit{tag} t ON t.grp = g.grp AND t.member = a.member AND t.model = m.model"""
+    f[f"pick{tag}"] = f"""SELECT grp, alpha, member, arg_max(model, (yhat, -ord)) AS pick FROM pred{tag}
+      GROUP BY grp, alpha, member"""
+    f[f"votes{tag}"] = f"""SELECT grp, alpha, m.model, {cnt('pick = m.model')} / {float(members)}::DOUBLE AS vote
+      FROM pick{tag}, models m GROUP BY grp, alpha, m.model"""
+    f[f"dis{tag}"] = f"""SELECT grp, alpha, {r('1.0::DOUBLE - max(vote)')} AS disagreement,
+        {r(f'sum(CASE WHEN vote > 0 THEN -vote * ln(vote) ELSE 0 END) / ln({float(K)}::DOUBLE)')} AS entropy
+      FROM votes{tag} GROUP BY grp, alpha"""
+    f[f"stats{tag}"] = f"""SELECT grp, alpha, model, {r('avg(yhat)')} AS mean, {r('stddev_pop(yhat)')} AS risk
+      FROM pred{tag} GROUP BY grp, alpha, model"""
+    f[f"state{tag}"] = f"""SELECT u.query_id, u.dataset, u.category, u.split, u.alpha, u.model, u.ord, mean, risk,
+        vote, disagreement, entropy, utility AS actual, correct, cost_clean AS cost, raw_cost, latency,
+        oracle_model, oracle_utility
+      FROM uo u JOIN stats{tag} s ON s.grp = u.{group} AND s.alpha = u.alpha AND s.model = u.model
+      JOIN votes{tag} v ON v.grp = u.{group} AND v.alpha = u.alpha AND v.model = u.model
+      JOIN dis{tag} x ON x.grp = u.{group} AND x.alpha = u.alpha"""
+    f[f"sweep_rows{tag}"] = f"""SELECT * FROM state{tag}, lambdas WHERE split = 'validation'
+      QUALIFY row_number() OVER (PARTITION BY query_id, alpha, lam ORDER BY mean - lam * risk DESC, ord) = 1"""
+    f[f"sweep{tag}"] = f"SELECT alpha, lam, {summary()} FROM sweep_rows{tag} GROUP BY alpha, lam"
+    f[f"best{tag}"] = f"""SELECT * FROM sweep{tag}
+      QUALIFY row_number() OVER (PARTITION BY alpha ORDER BY mean_regret, lam) = 1"""
+    f[f"routers{tag}"] = f"""SELECT alpha, 0.0::DOUBLE AS lam, 'utility_only' AS router FROM alphas
+      UNION ALL SELECT alpha, lam, 'risk_aware' FROM best{tag}"""
+    f[f"tdec{tag}"] = f"""SELECT s.*, lam, router FROM state{tag} s JOIN routers{tag} t ON s.alpha = t.alpha
+      WHERE split = 'test'
+      QUALIFY row_number() OVER (PARTITION BY query_id, s.alpha, router ORDER BY mean - lam * risk DESC, ord) = 1"""
+
+
+def summary(diagnostics: bool = True) -> str:
+    text = f"""count(*) AS num_queries, {r('avg(correct)')} AS accuracy, {r('avg(cost)')} AS average_cost,
+      {r('avg(latency)')} AS average_latency, {r('avg(actual)')} AS mean_realized_utility,
+      {r('avg(oracle_utility)')} AS mean_oracle_utility,
+      {r('avg(round(oracle_utility - actual, 6))')} AS mean_regret"""
+    if diagnostics:
+        text += f""", {r('avg(risk)')} AS mean_selected_risk, {r('avg(disagreement)')} AS mean_decision_disagreement"""
+    return text + "".join(f", {cnt(f'''model = '{m}' ''')} AS {m}_selected" for m in M)
+
+
+ensemble_fragments("", "category")
+ensemble_fragments("_ab", "dataset")
+ensemble_fragments("_one", "category", "unit_weights", 1)
+oracle("bootstrap_weights", "SELECT query_id, member, w FROM weights")
+oracle("training_targets", """SELECT query_id, alpha, p_size, p_retailprice, name_length, model, utility AS target
+    FROM ua WHERE split = 'train'""")
+for _name, _tag in (("group_model", ""), ("group_model_ablation", "_ab")):
+    _cols = ", ".join(f"{r(f'max(CASE WHEN ord = {i} THEN {c} END)', 6)} AS {c}{i}" for i in range(K) for c in "cn")
+    oracle(_name, f"SELECT member, grp, max(w) AS w, {_cols} FROM fit{_tag} GROUP BY member, grp")
+_YH = ", ".join(f"{r(f'''max(CASE WHEN model = '{m}' THEN yhat END)''')} AS predicted_utility_{m}" for m in M)
+oracle("member_predictions", f"""SELECT query_id, alpha, member, max(pick) AS selected_model, {_YH}
+    FROM splits q JOIN pred p ON p.grp = q.category JOIN pick USING (grp, alpha, member)
+    WHERE split = 'validation' GROUP BY query_id, alpha, member""")
+_STATE = ", ".join(f"max(CASE WHEN model = '{m}' THEN {c} END) AS {a}_{m}" for m in M for c, a in (
+    ("mean", "mean_utility"), ("risk", "risk"), ("actual", "actual_utility"), ("vote", "vote_fraction")))
+for _name, _tag in (("validation_state", ""), ("validation_state_ablation", "_ab")):
+    oracle(_name, f"""SELECT query_id, category, alpha, {_STATE}, disagreement AS decision_disagreement,
+        entropy AS decision_entropy FROM state{_tag} WHERE split = 'validation' GROUP BY ALL""")
+oracle("predictor_errors", f"""SELECT alpha, model, count(*) AS n_queries, {r('avg(abs(mean - actual))')} AS mae,
+    {r('sqrt(avg((mean - actual) * (mean - actual)))')} AS rmse FROM state_one WHERE split = 'validation'
+    GROUP BY alpha, model""")
+oracle("single_fit_router", f"""SELECT alpha, {summary(False)} FROM sweep_rows_one WHERE lam = 0 GROUP BY alpha""")
+_DECISION = """query_id, dataset, category, alpha, lam AS "lambda", model AS selected_model, mean AS selected_mean_utility,
+    risk AS selected_risk, disagreement AS decision_disagreement, entropy AS decision_entropy,
+    actual AS realized_utility, oracle_model, oracle_utility, round(oracle_utility - actual, 6) AS regret,
+    correct, cost, latency"""
+oracle("validation_decisions", f"SELECT {_DECISION} FROM sweep_rows")
+oracle("lambda_sweep", 'SELECT * RENAME (lam AS "lambda") FROM sweep')
+oracle("lambda_sweep_ablation", 'SELECT * RENAME (lam AS "lambda") FROM sweep_ab')
+oracle("best_lambdas", 'SELECT * RENAME (lam AS "lambda") FROM best')
+oracle("best_lambdas_ablation", 'SELECT * RENAME (lam AS "lambda") FROM best_ab')
+oracle("frozen_lambdas_json", 'SELECT CAST(alpha AS VARCHAR) AS key, alpha, lam AS "lambda", mean_regret FROM best')
+oracle("test_decisions", f"SELECT {_DECISION}, router FROM tdec")
+oracle("test_results", f"""SELECT alpha, lam AS "lambda", router, {summary(False)} FROM tdec GROUP BY alpha, lam, router""")
+oracle("test_results_ablation",
+       f"""SELECT alpha, lam AS "lambda", router, {summary(False)} FROM tdec_ab GROUP BY alpha, lam, router""")
+FRAGMENTS["pairs"] = """SELECT u.query_id, u.alpha, u.dataset, u.category, t.lam, u.model AS um, t.model AS rm,
+    u.mean AS u_mean, u.risk AS u_risk, t.mean AS r_mean, t.risk AS r_risk, u.actual AS u_actual,
+    t.actual AS r_actual, u.correct AS u_correct, t.correct AS r_correct, u.cost AS u_cost, t.cost AS r_cost,
+    u.latency AS u_latency, t.latency AS r_latency, u.oracle_utility
+  FROM (SELECT * FROM tdec WHERE router = 'utility_only') u
+  JOIN (SELECT * FROM tdec WHERE router = 'risk_aware') t USING (query_id, alpha)"""
+_WIDE = ", ".join(
+    f"max(CASE WHEN s.model = '{m}' THEN s.mean END) AS mean_utility_{m}, "
+    f"max(CASE WHEN s.model = '{m}' THEN s.risk END) AS risk_{m}, "
+    f"max(CASE WHEN s.model = '{m}' THEN {r('s.mean - lam * s.risk')} END) AS risk_adjusted_score_{m}" for m in M)
+oracle("test_state", f"""SELECT query_id, p.dataset, p.category, alpha, lam AS "lambda", {_WIDE}, um AS utility_only_model,
+    rm AS risk_aware_model, CAST(um <> rm AS INTEGER) AS decision_changed, u_mean AS utility_only_selected_mean,
+    u_risk AS utility_only_selected_risk, r_mean AS risk_aware_selected_mean, r_risk AS risk_aware_selected_risk,
+    {r('r_mean - u_mean')} AS selected_mean_difference_risk_minus_utility,
+    {r('r_risk - u_risk')} AS selected_risk_difference_risk_minus_utility,
+    {r('u_mean - lam * u_risk')} AS utility_only_model_risk_adjusted_score,
+    {r('r_mean - lam * r_risk')} AS risk_aware_model_risk_adjusted_score,
+    {r('(r_mean - lam * r_risk) - (u_mean - lam * u_risk)')} AS risk_adjusted_score_margin
+  FROM pairs p JOIN state s USING (query_id, alpha) GROUP BY ALL""")

@@ -11,9 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicemill.functions.numeric import count_true, rounded
-from choicemill.operators import conditioning, policies, splits
+from choicemill.functions.text import normalised
+from choicemill.operators import (
+    conditioning,
+    ensemble,
+    features,
+    grading,
+    policies,
+    quality,
+    routing,
+    splits,
+)
 from choicemill.params import DEFAULT as P
-from choicemill.plans import sourcing
+from choicemill.plans import answers, routers, sourcing
+from choicemill.sources import files, questions
+from choicemill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +161,436 @@ def baseline_summary(spark, sf):
     """K9: union of the baseline families."""
     core = sourcing.stage_core(spark, sf)
     return policies.fixed_policies(core).unionByName(policies.best_fixed_policy(core), allowMissingColumns=True)
+
+
+# ------------------------------------------------------------ sources and sinks
+
+@query
+def csv_round_trip(spark, sf):
+    """Multi-line quoted text through CSV and back, explicit schema, landed as Parquet."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = files.scratch(spark, "csv")
+    files.write_csv(docs, path)
+    return files.land(files.read_csv(spark, path, docs.schema), files.scratch(spark, "landed"))
+
+
+@query
+def csv_multi_file(spark, sf):
+    """A3: several CSV files as one scan."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    paths = []
+    for status in ("F", "O", "P"):
+        paths.append(files.scratch(spark, "csv"))
+        files.write_csv(orders.filter(F.col("o_orderstatus") == status), paths[-1], digits=2)
+    rows = files.read_csv(spark, paths, orders.schema)
+    return rows.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query
+def question_bank_numeric(spark, sf):
+    """A4."""
+    items = table(spark, sf, "documents").select(
+        F.col("text").alias("question"), "source",
+        F.concat("text", F.lit("\n#### step\n####  "), F.col("n_chars").cast("string"), F.lit(" \n")).alias("answer"))
+    return questions.numeric_bank(items, "numeric", F.col("source"))
+
+
+@query
+def question_bank_choice(spark, sf):
+    """A5."""
+    items = table(spark, sf, "part").select(
+        F.col("p_name").alias("question"), F.col("p_type").alias("category"),
+        F.array("p_brand", "p_type", "p_name", F.col("p_size").cast("string")).alias("choices"),
+        (F.col("p_partkey") % 4).cast("int").alias("answer"))
+    return questions.choice_bank(items, "letter")
+
+
+@query
+def sample_per_category(spark, sf):
+    """The first n rows per group (the sampling feature itself)."""
+    items = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return questions.first_rows_per(items, ["p_type"], 20, ["p_partkey"])
+
+
+@query
+def sample_first(spark, sf):
+    """The first n rows of a bank (the sampling feature itself)."""
+    items = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return questions.first_rows(items, 100, ["p_partkey"])
+
+
+@query
+def report_union(spark, sf):
+    """Reports with different columns over the union of columns, 6 decimals."""
+    core = sourcing.stage_core(spark, sf)
+    frames = [policies.fixed_policies(core), policies.best_fixed_policy(core), policies.fallback_choice(core)]
+    return files.for_report(files.union_of_columns(frames).drop("fallback_ord"), digits=6)
+
+
+@query
+def parameter_json(spark, sf):
+    """Parameters through JSON and back."""
+    path = files.scratch(spark, "json")
+    selection = policies.best_fixed_selection(sourcing.stage_core(spark, sf))
+    chosen = selection.select("alpha", "selected_model", "validation_mean_utility")
+    files.write_json(files.keyed_map(chosen, "alpha"), path)
+    return files.read_keyed_map(spark, path, chosen.schema)
+
+
+@query
+def resumable_append(spark, sf):
+    """Observations appended in overlapping batches; each key is stored once."""
+    rows = sourcing.stage_observations(spark, sf).select("query_id", "model", "correct", "raw_cost", "latency")
+    path = files.scratch(spark, "append")
+    for batch in (rows.filter(F.col("model") != "m3"), rows, rows):
+        files.append_new(spark, batch, path, ["query_id", "model"])
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+# ------------------------------------------------------------ grading and token costs
+
+@query
+def graded_answers(spark, sf):
+    """C1-C5."""
+    return grading.graded(answers.answers(spark, sf), answers.GRADERS)
+
+
+@query
+def grading_accuracy(spark, sf):
+    """C6, B3."""
+    rows = grading.graded(answers.answers(spark, sf), answers.GRADERS)
+    rows = rows.withColumn("model", normalised(F.concat(F.lit(" "), F.upper("model"), F.lit("\t"))))
+    return grading.accuracy(rows, "dataset", "model").withColumn("accuracy", rounded("accuracy", 8))
+
+
+@query
+def token_costs(spark, sf):
+    """B1."""
+    return grading.token_cost(answers.token_usage(spark, sf), answers.PRICES)
+
+
+# ------------------------------------------------------------ completeness, integrity, quality
+
+def _expected(spark, sf):
+    """Every part is an expected query."""
+    economy = F.col("p_type").isin("ECONOMY", "PROMO")
+    return table(spark, sf, "part").select(
+        F.when(economy, "d0").otherwise("d1").alias("dataset"), "p_partkey")
+
+
+@query
+def duplicate_documents(spark, sf):
+    """Questions that occur more than once."""
+    return quality.duplicate_keys(answers.document_questions(spark, sf), ["dataset", "question"])
+
+
+@query
+def duplicate_line_keys(spark, sf):
+    """D1 on a key that is not unique."""
+    return quality.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query
+def unique_documents(spark, sf):
+    """First occurrence of each question."""
+    rows = answers.document_questions(spark, sf)
+    return splits.unique_queries(rows, ["doc_id"], ["doc_id"])
+
+
+@query
+def candidates_found(spark, sf):
+    """D2."""
+    return quality.candidates_found(sourcing.stage_observations(spark, sf), ["p_partkey"])
+
+
+@query
+def missing_candidates(spark, sf):
+    """D3."""
+    return quality.missing_pairs(_expected(spark, sf), sourcing.stage_observations(spark, sf), ["p_partkey"])
+
+
+@query
+def absent_queries(spark, sf):
+    """Parts never sold at the highest discount."""
+    rows = table(spark, sf, "lineitem").filter("l_discount = 0.1D").select(F.col("l_partkey").alias("p_partkey"))
+    return quality.absent_keys(_expected(spark, sf), rows, ["p_partkey"])
+
+
+@query
+def completeness_summary(spark, sf):
+    """D5."""
+    return quality.completeness(_expected(spark, sf), sourcing.stage_observations(spark, sf), ["p_partkey"],
+                                "dataset")
+
+
+@query
+def split_violations(spark, sf):
+    """D6 on all observations: incomplete queries show up."""
+    rows = sourcing.stage_observations(spark, sf).join(
+        sourcing.stage_queries(spark, sf).select("query_id", "split"), "query_id", "left")
+    return quality.split_violations(rows.withColumn("split", F.coalesce("split", F.lit("none"))))
+
+
+@query
+def id_report(spark, sf):
+    """D7."""
+    return quality.id_report(sourcing.stage_queries(spark, sf))
+
+
+@query
+def side_mismatches(spark, sf):
+    """Features of all parts against the queries that have a split."""
+    left = sourcing.stage_observations(spark, sf).select("query_id").distinct().withColumn("split", F.lit("train"))
+    return quality.side_mismatches(left, sourcing.stage_queries(spark, sf))
+
+
+@query
+def non_finite_features(spark, sf):
+    """Logarithms and quotients of line items that are not finite."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.try_divide(F.col("l_tax"), F.col("l_discount")).alias("a"),
+        F.array(F.col("l_quantity"), F.when(F.col("l_tax") > 0, F.col("l_tax"))).alias("v"))
+    return quality.non_finite(rows, "l_orderkey", ["a"], ["v"])
+
+
+@query
+def cost_distribution(spark, sf):
+    """D10."""
+    return quality.cost_distribution(sourcing.stage_observations(spark, sf))
+
+
+@query
+def cost_distribution_scaled(spark, sf):
+    """D10 through bucketed order statistics, over all line items."""
+    return quality.cost_distribution(table(spark, sf, "lineitem"), "l_extendedprice", spread=True)
+
+
+@query
+def zero_costs(spark, sf):
+    """D11."""
+    return quality.zero_costs(sourcing.stage_observations(spark, sf))
+
+
+@query
+def most_expensive(spark, sf):
+    """Top-k report."""
+    rows = sourcing.stage_observations(spark, sf).select("query_id", "dataset", "model", "raw_cost", "latency")
+    return quality.most_expensive(rows, ["query_id", "model"])
+
+
+@query
+def one_to_one(spark, sf):
+    """Orders against line items."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return quality.one_to_one(table(spark, sf, "orders"), lines, ["o_orderkey"])
+
+
+@query
+def label_conflicts(spark, sf):
+    """Questions filed under several categories."""
+    return quality.label_conflicts(answers.document_questions(spark, sf), "question", "category")
+
+
+@query
+def null_counts(spark, sf):
+    """D15."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return quality.null_counts(docs, ["text", "lang", "quality", "toxic"])
+
+
+@query
+def membership(spark, sf):
+    """Rows of the validation queries by semi-join."""
+    wanted = splits.split_filter(sourcing.stage_queries(spark, sf), "val").select("query_id")
+    return sourcing.stage_observations(spark, sf).join(wanted, "query_id", "left_semi").select(
+        "query_id", "model", "correct")
+
+
+# ------------------------------------------------------------ features
+
+@query
+def text_features(spark, sf):
+    """G1-G10."""
+    return features.text_features(answers.document_questions(spark, sf)).drop("question")
+
+
+@query
+def one_hot_features(spark, sf):
+    """G11."""
+    rows = answers.document_questions(spark, sf).drop("question")
+    for label in ("dataset", "category"):
+        rows = features.one_hot(rows, label, features.label_values(rows, label))
+    return rows
+
+
+@query
+def embedding_features(spark, sf):
+    """G12."""
+    vectors = table(spark, sf, "embeddings")
+    n = vectors.count()
+    rows = sourcing.stage_queries(spark, sf).select("query_id", (F.col("p_partkey") % n).alias("vec_id"))
+    joined = features.with_embedding(rows, vectors, "vec_id")
+    return joined.select("query_id", "vec_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query
+def feature_table(spark, sf):
+    """Feature table of the queries without the category family, checked for leaks."""
+    rows = sourcing.stage_queries(spark, sf).select(
+        "query_id", "dataset", "category", "split", "question", *sourcing.NUMERIC_FEATURES)
+    rows = features.text_features(rows)
+    for label in ("dataset", "category"):
+        rows = features.one_hot(rows, label, features.label_values(rows, label))
+    rows = features.without_prefix(rows, "category_")
+    features.manifest(rows)
+    return rows.drop("question")
+
+
+# ------------------------------------------------------------ ensemble and routing
+
+@query
+def bootstrap_weights(spark, sf):
+    """H3: weights drawn per (member, training query)."""
+    rows = ensemble.weighted_training(sourcing.stage_core(spark, sf).select("query_id", "split"))
+    return rows.select("query_id", "member", "w")
+
+
+@query
+def training_targets(spark, sf):
+    """H1: features joined with targets per (query, model, alpha)."""
+    return ensemble.training_pairs(sourcing.stage_core(spark, sf), list(sourcing.NUMERIC_FEATURES))
+
+
+def _model(spark, sf, group):
+    sums = [rounded(c, 6).alias(c) for i in range(P.k) for c in (f"c{i}", f"n{i}")]
+    return routers.stage_model(spark, sf, group).select("member", "grp", "w", *sums)
+
+
+@query
+def group_model(spark, sf):
+    """Fitted ensemble by category."""
+    return _model(spark, sf, routers.FULL)
+
+
+@query
+def group_model_ablation(spark, sf):
+    """Fitted ensemble without the category."""
+    return _model(spark, sf, routers.ABLATION)
+
+
+@query
+def member_predictions(spark, sf):
+    """Every member's prediction and choice for each validation query."""
+    predictions = routers.member_predictions(spark, sf)
+    predictions = predictions.withColumn("pick", ensemble.member_choice())
+    rows = sourcing.stage_core(spark, sf).filter("split = 'validation'").select(
+        "query_id", F.col("category").alias("grp"))
+    names = F.array(*[F.lit(m) for m in P.candidates])
+    return rows.join(predictions, "grp").select(
+        "query_id", "alpha", "member", names[F.col("pick")].alias("selected_model"),
+        *[rounded(F.col("yhat")[i], 8).alias(f"predicted_utility_{m}") for i, m in enumerate(P.candidates)])
+
+
+def _state_rows(state):
+    wide = []
+    for i, m in enumerate(P.candidates):
+        one = F.col("state")[i]
+        wide += [one["mean"].alias(f"mean_utility_{m}"), one["risk"].alias(f"risk_{m}"),
+                 one["actual"].alias(f"actual_utility_{m}"), F.col("votes")[i].alias(f"vote_fraction_{m}")]
+    return state.select("query_id", "category", "alpha", *wide, F.col("disagreement").alias("decision_disagreement"),
+                        F.col("entropy").alias("decision_entropy"))
+
+
+@query
+def validation_state(spark, sf):
+    """Ensemble statistics of the validation queries."""
+    return _state_rows(routers.state(spark, sf, "validation"))
+
+
+@query
+def validation_state_ablation(spark, sf):
+    """J12, I1-I6."""
+    return _state_rows(routers.state(spark, sf, "validation", routers.ABLATION))
+
+
+@query
+def predictor_errors(spark, sf):
+    """H7 for the single fit."""
+    return ensemble.predictor_errors(routers.state(spark, sf, "validation", bootstrap=False))
+
+
+def _no_diagnostics(rows):
+    return rows.drop("mean_selected_risk", "mean_decision_disagreement")
+
+
+@query
+def single_fit_router(spark, sf):
+    """One full-data fit, no penalty, on validation."""
+    rows = routing.with_lambdas(routers.state(spark, sf, "validation", bootstrap=False), [0.0])
+    return _no_diagnostics(routing.summarise(routing.decisions(rows), ["alpha"]))
+
+
+@query
+def validation_decisions(spark, sf):
+    """Decisions for every (query, alpha, lambda)."""
+    rows = routing.with_lambdas(routers.state(spark, sf, "validation"), P.lambdas)
+    return routing.decisions(rows).drop("selected_ord", "alpha_id")
+
+
+@query
+def lambda_sweep(spark, sf):
+    """J5-J7."""
+    return routing.lambda_sweep(routers.state(spark, sf, "validation"))
+
+
+@query
+def lambda_sweep_ablation(spark, sf):
+    """J12, J7."""
+    return routing.lambda_sweep(routers.state(spark, sf, "validation", routers.ABLATION))
+
+
+@query
+def best_lambdas(spark, sf):
+    """J8."""
+    return routers.stage_lambdas(spark, sf)
+
+
+@query
+def best_lambdas_ablation(spark, sf):
+    """J8, J12."""
+    return routers.stage_lambdas(spark, sf, routers.ABLATION)
+
+
+@query
+def frozen_lambdas_json(spark, sf):
+    """The chosen penalties through JSON and back."""
+    path = files.scratch(spark, "json")
+    chosen = routers.stage_lambdas(spark, sf).select("alpha", "lambda", "mean_regret")
+    files.write_json(files.keyed_map(chosen, "alpha"), path)
+    return files.read_keyed_map(spark, path, chosen.schema)
+
+
+@query
+def test_decisions(spark, sf):
+    """J9, J5."""
+    return routers.stage_decisions(spark, sf).drop("selected_ord", "alpha_id")
+
+
+@query
+def test_results(spark, sf):
+    """J9, J6."""
+    return _no_diagnostics(routing.summarise(routers.stage_decisions(spark, sf), ["alpha", "lambda", "router"]))
+
+
+@query
+def test_results_ablation(spark, sf):
+    """J12."""
+    rows = routers.stage_decisions(spark, sf, routers.ABLATION)
+    return _no_diagnostics(routing.summarise(rows, ["alpha", "lambda", "router"]))
+
+
+@query
+def test_state(spark, sf):
+    """J10, B7, B16."""
+    return routing.wide_state(routers.both_selections(spark, sf))
