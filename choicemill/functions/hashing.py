@@ -6,7 +6,9 @@ results survive repartitioning and lost executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The width of a uniform in hex digits, and the cumulative probabilities of the
@@ -30,20 +32,23 @@ def query_id(dataset: str = "dataset", category: str = "category", question: str
     return F.substring(F.sha2(F.concat_ws("||", dataset, category, question), 256), 1, 16)
 
 
-def uniform(digest: Column, lane: Column | int = 0) -> Column:
-    """A uniform in [0, 1) from 52 bits of a hex SHA-256 digest; one digest holds four of them."""
-    lane = F.lit(lane) if isinstance(lane, int) else lane
-    digits = F.substring(digest, lane * UNIFORM_DIGITS + F.lit(1), F.lit(UNIFORM_DIGITS))
-    return F.conv(digits, 16, 10).cast("double") / F.lit(float(2 ** (4 * UNIFORM_DIGITS)))
+def lane_digits(digest: Column, lane: Column) -> Column:
+    """The hex digits of one of the four uniforms in a digest."""
+    return F.substring(digest, lane * UNIFORM_DIGITS + F.lit(1), F.lit(UNIFORM_DIGITS))
+
 
+def poisson_weight(digits: Column) -> Column:
+    """Poisson(1) draw by inversion of the uniform with these hex digits, at most 8.
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inversion, at most 8."""
-    steps = [(u >= F.lit(step)).cast("int") for step in POISSON_STEPS]
-    total = steps[0]
-    for step in steps[1:]:
-        total = total + step
-    return total
+    Hex digits of one length sort like the numbers they stand for, so the digits are compared with
+    the steps as text; nothing is converted per row. Frequent small draws are decided first.
+    """
+    size = 2 ** (4 * UNIFORM_DIGITS)
+    draw = None
+    for count, step in enumerate(POISSON_STEPS):
+        below = digits < F.lit(f"{math.ceil(step * size):0{UNIFORM_DIGITS}x}")
+        draw = F.when(below, count) if draw is None else draw.when(below, count)
+    return draw.otherwise(len(POISSON_STEPS))
 
 
 def draw_digest(prefix: str, group: Column, key: str = "query_id") -> Column:
@@ -51,19 +56,17 @@ def draw_digest(prefix: str, group: Column, key: str = "query_id") -> Column:
     return F.sha2(F.concat(F.lit(prefix + "|"), group.cast("string"), F.lit("|"), F.col(key)), 256)
 
 
-def with_draw_weights(df, prefix: str, draws: int, name: str, key: str = "query_id"):
+def with_draw_weights(df: DataFrame, prefix: str, draws: int, name: str, key: str = "query_id") -> DataFrame:
     """One row per (row, draw number 0..draws-1) with its Poisson weight ``w``; zero weights dropped.
 
     The digest is taken once per four draws.
     """
     groups = -(-draws // UNIFORM_LANES)
-    per_group = df.withColumn("__group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    per_group = per_group.withColumn("__digest", draw_digest(prefix, F.col("__group"), key))
-    per_draw = per_group.withColumn(
-        "__lane", F.explode(F.array(*[F.lit(lane) for lane in range(UNIFORM_LANES)])))
-    per_draw = per_draw.withColumn(name, F.col("__group") * UNIFORM_LANES + F.col("__lane"))
-    if draws % UNIFORM_LANES:
-        per_draw = per_draw.filter(F.col(name) < draws)
-    per_draw = per_draw.withColumn("__u", uniform(F.col("__digest"), F.col("__lane")))
-    per_draw = per_draw.withColumn("w", poisson_weight(F.col("__u")))
-    return per_draw.filter("w > 0").drop("__group", "__digest", "__lane", "__u")
+    rows = df.withColumn("__group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # The lanes are a literal array after the digest: a computed array here would be repeated, with
+    # its digests, in the filter that the optimizer derives for an explode.
+    rows = rows.withColumn("__digest", draw_digest(prefix, F.col("__group"), key))
+    rows = rows.withColumn("__lane", F.explode(F.array(*[F.lit(lane) for lane in range(UNIFORM_LANES)])))
+    rows = rows.withColumn(name, F.col("__group") * UNIFORM_LANES + F.col("__lane"))
+    rows = rows.withColumn("w", poisson_weight(lane_digits(F.col("__digest"), F.col("__lane"))))
+    return rows.filter((F.col("w") > 0) & (F.col(name) < draws)).drop("__group", "__digest", "__lane")

@@ -40,13 +40,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 # ---------------------------------------------------------------- ordered buckets
 
-def with_value_bucket(df: DataFrame, value: str, buckets: int, name: str = "__bucket") -> DataFrame:
-    """Number of split points below the value, for ``buckets`` (a power of two) ordered buckets.
+def bucket_count(df: DataFrame, params: Params) -> int:
+    """Ordered buckets to use: a power of two, growing with the parallelism of the session."""
+    if params.order_buckets:
+        return params.order_buckets
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << (min(max(wanted, 64), 4096) - 1).bit_length()
+
+
+def with_value_bucket(df: DataFrame, value: str, params: Params = DEFAULT, name: str = "__bucket") -> DataFrame:
+    """Number of split points below the value: an ordered bucket.
 
     The split points are approximate quantiles of the column itself, so buckets stay balanced
     whatever the distribution; equal values share a bucket. They reach every row as one scalar
     array, searched by halving.
     """
+    buckets = bucket_count(df, params)
     percents = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     splits = df.agg(F.percentile_approx(value, percents, F.lit(buckets * 10))).scalar()
     out = df.withColumn("__splits", splits).withColumn("__p0", F.lit(0))
@@ -73,13 +82,13 @@ def _cumulate(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
                  params: Params = DEFAULT) -> DataFrame:
-    """Values at given 0-based ranks per key: (keys, tag, rank, value, below).
+    """Values at given 0-based ranks per key: (keys, tag, rank, __value, below).
 
     ``ranks`` maps a tag to a rank, written over the column ``n`` (rows of the key); ``below`` is
     the number of rows with a smaller value. One counting pass, then one pass over the buckets hit.
     """
     source = df.select(*keys, value).filter(F.col(value).isNotNull())
-    bucketed = with_value_bucket(source, value, params.order_buckets)
+    bucketed = with_value_bucket(source, value, params)
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     total = F.sum("__n").over(Window.partitionBy(*keys))
     counts = _cumulate(counts, keys, "__bucket").withColumn("n", total)
@@ -99,7 +108,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str
     values = values.withColumn("__in", F.sum("__c").over(running) - F.col("__c"))
     found = null_safe_join(values, hits, [*keys, "__bucket"])
     return (found.filter("rank >= __before + __in AND rank < __before + __in + __c")
-            .select(*keys, "tag", "rank", F.col(value).alias("value"),
+            .select(*keys, "tag", "rank", F.col(value).alias("__value"),
                     (F.col("__before") + F.col("__in")).alias("below")))
 
 
@@ -148,7 +157,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     found = select_ranks(df, keys, value, ranks, params)
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     picked = found.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("tag") == tag, F.col("value"))).alias(f"__{tag}") for tag in ranks])
+        F.max(F.when(F.col("tag") == tag, F.col("__value"))).alias(f"__{tag}") for tag in ranks])
     joined = null_safe_join(picked, sizes, keys)
     quantiles = []
     for i, p in enumerate(probs):
@@ -180,19 +189,19 @@ def tail_flags(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
     # Rows tied with a cut value are told apart by the tie key, again by buckets.
     tied = null_safe_join(df.select(*keys, value, tie),
                           broadcast_if_small(cuts, params.broadcast_rows), keys)
-    tied = tied.filter(F.col(value) == F.col("value")).select(*keys, "tag", tie)
+    tied = tied.filter(F.col(value) == F.col("__value")).select(*keys, "tag", tie)
     wanted = cuts.select(*keys, "tag", (F.col("rank") - F.col("below")).alias("rank"))
     ids = _nth_tied(tied, keys, tie, wanted, params)
     edges = null_safe_join(cuts, ids, [*keys, "tag"]).groupBy(*keys).agg(*[
         F.max(F.when(F.col("tag") == tag, F.col(c))).alias(f"__{tag}_{c}")
-        for tag in ("low", "high") for c in ("value", tie)])
+        for tag in ("low", "high") for c in ("__value", tie)])
     edges = broadcast_if_small(settled(edges), params.broadcast_rows)
     out = null_safe_join(df, edges, keys, "left")
     v, t = F.col(value), F.col(tie)
-    low = (v < F.col("__low_value")) | ((v == F.col("__low_value")) & (t <= F.col(f"__low_{tie}")))
-    high = (v > F.col("__high_value")) | ((v == F.col("__high_value")) & (t >= F.col(f"__high_{tie}")))
+    low = (v < F.col("__low___value")) | ((v == F.col("__low___value")) & (t <= F.col(f"__low_{tie}")))
+    high = (v > F.col("__high___value")) | ((v == F.col("__high___value")) & (t >= F.col(f"__high_{tie}")))
     return (out.withColumn("in_low", low).withColumn("in_high", high)
-            .drop("__low_value", "__high_value", f"__low_{tie}", f"__high_{tie}"))
+            .drop("__low___value", "__high___value", f"__low_{tie}", f"__high_{tie}"))
 
 
 def _nth_tied(tied: DataFrame, keys: Sequence[str], tie: str, wanted: DataFrame, params: Params) -> DataFrame:
@@ -212,7 +221,7 @@ def value_ranks(counts: DataFrame, keys: Sequence[str], value: str, n: str,
     Input has one row per (keys, value) with its multiplicity ``n``; a value shared by many rows
     is one row, so buckets of distinct values are the only thing that gets sorted.
     """
-    bucketed = settled(with_value_bucket(counts, value, params.order_buckets))
+    bucketed = settled(with_value_bucket(counts, value, params))
     sizes = bucketed.groupBy(*keys, "__bucket").agg(F.sum(n).alias("__n"))
     offsets = _cumulate(sizes, keys, "__bucket").drop("__n")
     running = (Window.partitionBy(*keys, "__bucket").orderBy(value)
@@ -243,7 +252,7 @@ def attach_by_hot_key(rows: DataFrame, table: DataFrame, keys: Sequence[str], we
     flagged = table.withColumn("__hot", F.col(weight) * hot_share > total)
     hot = F.broadcast(flagged.filter("__hot").select(*keys, F.lit(True).alias("__is_hot")))
     left = null_safe_join(rows, hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__is_hot"), F.pmod(F.xxhash64(salt), F.lit(salts))).otherwise(F.lit(0)))
+        "__salt", F.when(F.col("__is_hot"), F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = flagged.withColumn("__salt", F.explode(copies).cast("long")).drop("__hot", weight)
+    right = flagged.withColumn("__salt", F.explode(copies)).drop("__hot", weight)
     return null_safe_join(left, right, [*keys, "__salt"]).drop("__salt", "__is_hot")

@@ -476,3 +476,332 @@ oracle("test_state", f"""SELECT query_id, p.dataset, p.category, alpha, lam AS "
     {r('r_mean - lam * r_risk')} AS risk_aware_model_risk_adjusted_score,
     {r('(r_mean - lam * r_risk) - (u_mean - lam * u_risk)')} AS risk_adjusted_score_margin
   FROM pairs p JOIN state s USING (query_id, alpha) GROUP BY ALL""")
+
+# ------------------------------------------------------------ risk signals
+
+
+def avg_rank(value: str, keys: str) -> str:
+    return (f"(rank() OVER (PARTITION BY {keys} ORDER BY {value})"
+            f" + (count(*) OVER (PARTITION BY {keys}, {value}) - 1) / 2.0::DOUBLE)")
+
+
+def rho(x: str = "rx", y: str = "ry") -> str:
+    return r(f"CASE WHEN max({x}) > min({x}) AND max({y}) > min({y}) THEN corr({x}, {y}) END")
+
+
+FRAGMENTS["records"] = """SELECT query_id, dataset, category, alpha, model AS selected_model, oracle_model,
+    round(oracle_utility - actual, 6) AS regret, risk AS selected_risk, disagreement, entropy FROM state
+  WHERE split = 'validation' QUALIFY row_number() OVER (PARTITION BY query_id, alpha ORDER BY mean DESC, ord) = 1"""
+oracle("routing_records", "SELECT * FROM records")
+FRAGMENTS["merr"] = "SELECT query_id, alpha, model, risk, abs(mean - actual) AS error FROM state WHERE split = 'validation'"
+FRAGMENTS["pooled"] = f"""SELECT alpha, 'model_level_std_all_models' AS signal, count(*) AS n, {rho()} AS spearman_rho
+  FROM (SELECT alpha, {avg_rank('risk', 'alpha')} AS rx, {avg_rank('error', 'alpha')} AS ry FROM merr) GROUP BY alpha"""
+_TAKE = f"greatest(1, CAST(floor(n * {d(P.tail_fraction)}) AS INTEGER))"
+FRAGMENTS["permodel"] = f"""SELECT alpha, 'model_level_std_' || model AS signal, count(*) AS n, {rho()} AS spearman_rho,
+    {r(f'avg(CASE WHEN rn <= {_TAKE} THEN error END)')} AS low_20_mean_error,
+    {r(f'avg(CASE WHEN rn > n - {_TAKE} THEN error END)')} AS high_20_mean_error
+  FROM (SELECT *, {avg_rank('risk', 'alpha, model')} AS rx, {avg_rank('error', 'alpha, model')} AS ry,
+      row_number() OVER (PARTITION BY alpha, model ORDER BY risk, query_id) AS rn,
+      count(*) OVER (PARTITION BY alpha, model) AS n FROM merr) GROUP BY alpha, model"""
+_MS = """SELECT *, 'model_level_prediction_error' AS analysis FROM (
+    SELECT *, NULL::DOUBLE AS low_20_mean_error, NULL::DOUBLE AS high_20_mean_error FROM pooled
+    UNION ALL SELECT * FROM permodel)"""
+for _name in ("model_signals", "model_signals_scaled"):
+    oracle(_name, _MS)
+FRAGMENTS["sigrows"] = """SELECT query_id, alpha, regret, 'selected_model_std' AS signal, selected_risk AS value FROM records
+  UNION ALL SELECT query_id, alpha, regret, 'decision_disagreement', disagreement FROM records
+  UNION ALL SELECT query_id, alpha, regret, 'decision_entropy', entropy FROM records"""
+_T = ", ".join(f"({d(t)})" for t in P.failure_thresholds)
+FRAGMENTS["sigranked"] = f"""SELECT *, {avg_rank('value', 'alpha, signal')} AS rx,
+    {avg_rank('regret', 'alpha, signal')} AS ry,
+    row_number() OVER (PARTITION BY alpha, signal ORDER BY value, query_id) AS rn,
+    count(*) OVER (PARTITION BY alpha, signal) AS n FROM sigrows"""
+_FAIL = "CAST(regret > failure_threshold AS INTEGER)"
+_POS = f"CAST(sum({_FAIL}) AS DOUBLE)"
+_SIG = f"""SELECT 'routing_uncertainty' AS analysis, alpha, signal, failure_threshold, count(*) AS n,
+    {rho()} AS spearman_rho,
+    {r(f'CASE WHEN {_POS} > 0 AND {_POS} < count(*) THEN (sum({_FAIL} * rx) - {_POS} * ({_POS} + 1) / 2) / ({_POS} * (count(*) - {_POS})) END')} AS auroc,
+    {r(f'avg({_FAIL})')} AS failure_rate,
+    {r(f'avg(CASE WHEN rn <= {_TAKE} THEN {_FAIL} END)')} AS low_20_failure_rate,
+    {r(f'avg(CASE WHEN rn > n - {_TAKE} THEN {_FAIL} END)')} AS high_20_failure_rate,
+    {r(f'avg(CASE WHEN rn <= {_TAKE} THEN regret END)')} AS low_20_mean_regret,
+    {r(f'avg(CASE WHEN rn > n - {_TAKE} THEN regret END)')} AS high_20_mean_regret
+  FROM sigranked, (VALUES {_T}) t(failure_threshold) GROUP BY alpha, signal, failure_threshold"""
+for _name in ("routing_signals", "routing_signals_scaled"):
+    oracle(_name, _SIG)
+oracle("price_tax_correlation", f"""SELECT l_returnflag, count(*) AS n, {rho()} AS rho FROM (
+    SELECT l_returnflag, {avg_rank('l_quantity', 'l_returnflag')} AS rx,
+      {avg_rank('l_extendedprice', 'l_returnflag')} AS ry FROM lineitem) GROUP BY l_returnflag""")
+
+# ------------------------------------------------------------ paired inference
+FRAGMENTS["rpairs"] = """SELECT query_id, dataset, category, alpha, um AS u_selected_model, rm AS r_selected_model,
+    u_correct, r_correct, u_cost, r_cost, u_latency, r_latency, u_actual AS u_realized_utility,
+    r_actual AS r_realized_utility, round(oracle_utility - u_actual, 6) AS u_regret,
+    round(oracle_utility - r_actual, 6) AS r_regret FROM pairs"""
+oracle("router_pairs", "SELECT * FROM rpairs")
+
+
+def mcnemar_sql(source: str, keys: str, a: str, b: str) -> str:
+    """Binomial tail through log-gamma, term by term."""
+    term = f"exp(lgamma({a} + {b} + 1) - lgamma(i + 1) - lgamma({a} + {b} - i + 1) - ({a} + {b}) * ln(2.0::DOUBLE))"
+    return f"""SELECT {keys}, {a}, {b}, CASE WHEN {a} = {b} THEN 1.0::DOUBLE
+        ELSE least(1.0::DOUBLE, 2 * sum({term})) END AS p
+      FROM {source}, LATERAL (SELECT unnest(range(0, least({a}, {b}) + 1)) AS i) GROUP BY {keys}, {a}, {b}"""
+
+
+FRAGMENTS["wins"] = f"""SELECT alpha, count(*) AS n_queries,
+    {cnt('u_correct = 1 AND r_correct = 0')} AS utility_only_accuracy_wins,
+    {cnt('u_correct = 0 AND r_correct = 1')} AS risk_aware_accuracy_wins FROM rpairs GROUP BY alpha"""
+FRAGMENTS["mcn"] = mcnemar_sql("wins", "alpha, n_queries", "utility_only_accuracy_wins", "risk_aware_accuracy_wins")
+_MCN = f"alpha, n_queries, utility_only_accuracy_wins, risk_aware_accuracy_wins, {r('p')} AS mcnemar_p_value"
+oracle("mcnemar", f"SELECT {_MCN} FROM mcn")
+_DIFFS = (("accuracy", "correct"), ("utility", "realized_utility"), ("regret", "regret"))
+FRAGMENTS["diffs"] = "SELECT alpha, " + ", ".join(
+    f"{r(f'avg(r_{c} - u_{c})')} AS {n}_difference_risk_minus_utility" for n, c in _DIFFS) + " FROM rpairs GROUP BY alpha"
+oracle("mean_differences", "SELECT * FROM diffs")
+
+
+def intervals(unit: str, source: str) -> dict[str, str]:
+    digest = f"sha256('ci{P.seed}|' || g || '|' || unit)"
+    return {
+        f"units{unit}": source,
+        f"draws{unit}": f"""SELECT unit, g * 4 + lane AS b, {poisson(uniform('digest', 'lane'))} AS w FROM (
+            SELECT unit, g, {digest} AS digest FROM (SELECT DISTINCT unit FROM units{unit}),
+              range({P.resamples // 4}) t(g)), (VALUES (0), (1), (2), (3)) l(lane)""",
+        f"means{unit}": f"""SELECT alpha, b, {', '.join(f'sum(w * {n}) / sum(w * n) AS {n}' for n, _ in _DIFFS)}
+            FROM units{unit} JOIN draws{unit} USING (unit) WHERE w > 0 GROUP BY alpha, b""",
+        f"ci{unit}": "SELECT alpha, " + ", ".join(
+            f"{r(f'quantile_cont({n}, {q})')} AS {n}_ci_{e}" for n, _ in _DIFFS
+            for e, q in (("lower", 0.025), ("upper", 0.975))) + f" FROM means{unit} GROUP BY alpha",
+    }
+
+
+_UNIT_DIFFS = ", ".join(f"CAST(r_{c} - u_{c} AS DOUBLE) AS {n}" for n, c in _DIFFS)
+FRAGMENTS.update(intervals("_q", f"SELECT query_id AS unit, alpha, 1 AS n, {_UNIT_DIFFS} FROM rpairs"))
+FRAGMENTS.update(intervals("_h", f"""SELECT CAST(CAST('0x' || substr(query_id, 1, 3) AS INTEGER) AS VARCHAR) AS unit,
+    alpha, count(*) AS n, {', '.join(f'sum(CAST(r_{c} - u_{c} AS DOUBLE)) AS {n}' for n, c in _DIFFS)}
+    FROM rpairs GROUP BY 1, alpha"""))
+for _name, _u in (("paired_tests", "_q"), ("paired_tests_bucketed", "_h")):
+    oracle(_name, f"SELECT * FROM (SELECT {_MCN} FROM mcn) JOIN diffs USING (alpha) JOIN ci{_u} USING (alpha)")
+FRAGMENTS["segments"] = f"""SELECT l_returnflag, l_linenumber, {cnt("l_linestatus = 'F' AND l_quantity <= 2")} AS a,
+    {cnt("l_linestatus = 'O' AND l_quantity <= 2")} AS b FROM lineitem GROUP BY 1, 2"""
+FRAGMENTS["segp"] = mcnemar_sql("segments", "l_returnflag, l_linenumber", "a", "b")
+oracle("mcnemar_segments", f"SELECT l_returnflag, l_linenumber, a, b, {r('p')} AS p FROM segp")
+
+# ------------------------------------------------------------ mechanism, groups, transitions
+_TRANSITION = """CASE WHEN u_correct = 0 AND r_correct = 1 THEN 'wrong_to_correct'
+    WHEN u_correct = 1 AND r_correct = 0 THEN 'correct_to_wrong'
+    WHEN u_correct = 1 THEN 'both_correct' ELSE 'both_wrong' END"""
+
+
+def _side(s: str, name: str) -> str:
+    return f"""{s}_mean AS {name}_predicted_mean, {s}_risk AS {name}_risk, {r(f'lam * {s}_risk')} AS {name}_penalty,
+    {r(f'{s}_mean - lam * {s}_risk')} AS {name}_risk_adjusted_score, {s}_correct AS {name}_correct,
+    {s}_actual AS {name}_realized_utility"""
+
+
+_CAND = ", ".join(
+    f"max(CASE WHEN s.model = '{m}' THEN {e} END) AS {m}_{n}" for m in M for n, e in (
+        ("predicted_mean", "s.mean"), ("risk", "s.risk"), ("risk_adjusted_score", r("s.mean - lam * s.risk")),
+        ("correct", "s.correct"), ("realized_utility", "s.actual")))
+FRAGMENTS["changed"] = f"""SELECT query_id, p.dataset, p.category, alpha, lam AS "lambda", um AS utility_only_model,
+    rm AS risk_aware_model, {_TRANSITION} AS correctness_transition, {_side('u', 'utility_only')},
+    {_side('r', 'risk_aware')}, {r('r_mean - u_mean')} AS predicted_mean_difference_risk_minus_utility,
+    {r('r_risk - u_risk')} AS risk_difference_risk_minus_utility,
+    {r('lam * r_risk - lam * u_risk')} AS penalty_difference_risk_minus_utility,
+    {r('(r_mean - lam * r_risk) - (u_mean - lam * u_risk)')} AS score_difference_risk_minus_utility,
+    {r('r_actual - u_actual')} AS realized_utility_difference_risk_minus_utility,
+    CAST(r_risk < u_risk AS INTEGER) AS lower_risk_selected, CAST(r_mean < u_mean AS INTEGER) AS lower_mean_selected,
+    string_agg(s.model, ' > ' ORDER BY s.mean DESC, s.ord) AS mean_ranking,
+    string_agg(s.model, ' > ' ORDER BY s.mean - lam * s.risk DESC, s.ord) AS risk_adjusted_ranking, {_CAND}
+  FROM pairs p JOIN state s USING (query_id, alpha)
+  WHERE abs(alpha - {d(P.mechanism_alpha)}) <= 1e-9 AND um <> rm GROUP BY ALL"""
+oracle("changed_decisions", "SELECT * FROM changed")
+_MEANS = ", ".join(f"{r(f'avg({c}_difference_risk_minus_utility)')} AS mean_{n}" for n, c in (
+    ("predicted_mean_difference", "predicted_mean"), ("risk_difference", "risk"), ("penalty_difference", "penalty"),
+    ("score_margin", "score"), ("realized_utility_difference", "realized_utility")))
+oracle("mechanism_summary", f"""SELECT max(alpha) AS alpha, max("lambda") AS "lambda", count(*) AS changed_decisions,
+    {n('coalesce(sum(lower_risk_selected), 0)')} AS lower_risk_selected_count,
+    {r('avg(lower_risk_selected)')} AS lower_risk_selected_rate,
+    {n('coalesce(sum(lower_mean_selected), 0)')} AS lower_mean_selected_count,
+    {r('avg(lower_mean_selected)')} AS lower_mean_selected_rate, {_MEANS},
+    {', '.join(f'''{cnt(f"correctness_transition = '{t}'")} AS {t}''' for t in (
+        'wrong_to_correct', 'correct_to_wrong', 'both_correct', 'both_wrong'))} FROM changed""")
+
+
+def _two(column: str, name: str, difference: str = "") -> str:
+    text = f"{r(f'avg(u_{column})')} AS utility_only_{name}, {r(f'avg(r_{column})')} AS risk_aware_{name}"
+    if difference:
+        text += f", {r(f'avg(r_{column}) - avg(u_{column})')} AS {difference}_difference_risk_minus_utility"
+    return text
+
+
+oracle("group_comparison", f"""SELECT alpha, group_type, group_name, count(*) AS n_queries,
+    {_two('correct', 'accuracy', 'accuracy')}, {_two('cost', 'average_cost', 'cost')},
+    {_two('latency', 'average_latency')}, {_two('realized_utility', 'mean_utility', 'utility')},
+    {_two('regret', 'mean_regret', 'regret')},
+    {cnt('u_selected_model = r_selected_model')} AS same_decision_count,
+    {cnt('u_selected_model <> r_selected_model')} AS changed_decision_count,
+    {r('avg(CAST(u_selected_model <> r_selected_model AS INTEGER))')} AS changed_decision_rate,
+    {cnt('r_realized_utility > u_realized_utility')} AS risk_aware_better_count,
+    {cnt('u_realized_utility > r_realized_utility')} AS utility_only_better_count,
+    {cnt('u_realized_utility = r_realized_utility')} AS equal_utility_count
+  FROM (SELECT *, 'overall' AS group_type, 'overall' AS group_name FROM rpairs
+    UNION ALL SELECT *, 'dataset', dataset FROM rpairs
+    UNION ALL SELECT *, 'subject', category FROM rpairs WHERE dataset = 'd1') GROUP BY alpha, group_type, group_name""")
+_GAIN = "round(r_realized_utility - u_realized_utility, 6)"
+oracle("selection_transitions", f"""SELECT alpha, u_selected_model AS utility_only_model,
+    r_selected_model AS risk_aware_model, count(*) AS count, {cnt(f'{_GAIN} > 0')} AS risk_better_count,
+    {cnt(f'{_GAIN} < 0')} AS utility_better_count, {cnt(f'{_GAIN} = 0')} AS equal_count,
+    {r(f'avg({_GAIN})')} AS mean_utility_difference, {r('avg(round(r_regret - u_regret, 6))')} AS mean_regret_difference
+  FROM rpairs WHERE u_selected_model <> r_selected_model GROUP BY 1, 2, 3""")
+
+# ------------------------------------------------------------ prediction and ranking errors
+FRAGMENTS["perr"] = f"""SELECT query_id, dataset, category, alpha, model, mean AS predicted_utility,
+    risk AS predictive_risk, actual AS realised_utility, correct, raw_cost, cost AS cost_clean,
+    {r('mean - actual')} AS prediction_error, {r('abs(mean - actual)')} AS abs_prediction_error,
+    {r('(mean - actual) * (mean - actual)')} AS squared_prediction_error FROM state WHERE split = 'test'"""
+oracle("prediction_errors", "SELECT * FROM perr")
+_ERR = f"""count(*) AS n, {r('avg(abs_prediction_error)')} AS mae,
+    {r('quantile_cont(abs_prediction_error, 0.5)')} AS median_abs_error,
+    {r('quantile_cont(abs_prediction_error, 0.9)')} AS p90_abs_error,
+    {r('sqrt(avg(prediction_error * prediction_error))')} AS rmse, {r('avg(prediction_error)')} AS mean_signed_error,
+    {r('avg(predictive_risk)')} AS mean_risk"""
+for _name, _keys in (("error_by_model", "alpha, model"), ("error_by_model_scaled", "alpha, model"),
+                     ("error_by_category", "alpha, category"), ("error_by_model_category", "alpha, category, model")):
+    oracle(_name, f"SELECT {_keys}, {_ERR} FROM perr GROUP BY {_keys}")
+FRAGMENTS["cmp"] = """SELECT a.query_id, a.alpha, a.model AS model_a, b.model AS model_b, a.ord AS oa, b.ord AS ob,
+    round(a.mean - b.mean, 8) AS pd, round(a.actual - b.actual, 6) AS rd
+  FROM state a JOIN state b ON a.query_id = b.query_id AND a.alpha = b.alpha AND a.ord < b.ord WHERE a.split = 'test'"""
+FRAGMENTS["inv"] = f"""SELECT query_id, alpha, {cnt('pd <> 0 AND rd <> 0')} AS valid,
+    {cnt('pd <> 0 AND rd <> 0 AND sign(pd) <> sign(rd)')} AS inversions,
+    coalesce(string_agg(CASE WHEN pd <> 0 AND rd <> 0 AND sign(pd) <> sign(rd) THEN model_a || '>' || model_b END, ';'
+      ORDER BY oa, ob), '') AS reversed_pairs FROM cmp GROUP BY query_id, alpha"""
+FRAGMENTS["tops"] = """SELECT *, row_number() OVER (PARTITION BY query_id, alpha ORDER BY mean DESC, ord) AS pr,
+    row_number() OVER (PARTITION BY query_id, alpha ORDER BY actual DESC, ord) AS ar FROM state WHERE split = 'test'"""
+FRAGMENTS["rank_rows"] = f"""SELECT query_id, alpha, dataset, category, predicted_top_model, realised_top_model,
+    CAST(predicted_top_model = realised_top_model AS INTEGER) AS top1_match, predicted_top_utility,
+    predicted_second_utility, round(predicted_top_utility - predicted_second_utility, 8) AS predicted_margin,
+    {r('predicted_top_utility - top_actual')} AS selected_prediction_error,
+    {r('abs(predicted_top_utility - top_actual)')} AS selected_abs_error, selected_risk, mean_abs_error_all_models,
+    max_abs_error_all_models, round(best_actual - top_actual, 6) AS realised_regret,
+    CAST(round(best_actual - top_actual, 6) > {d(P.material_regret)} AS INTEGER) AS material_failure,
+    CAST(inversions AS INTEGER) AS pairwise_inversions, CAST(valid AS INTEGER) AS valid_pairwise_comparisons,
+    CASE WHEN valid > 0 THEN {r('inversions / valid::DOUBLE')} END AS pairwise_inversion_rate, reversed_pairs
+  FROM (SELECT query_id, alpha, dataset, category, max(CASE WHEN pr = 1 THEN model END) AS predicted_top_model,
+      max(CASE WHEN ar = 1 THEN model END) AS realised_top_model,
+      max(CASE WHEN pr = 1 THEN mean END) AS predicted_top_utility,
+      max(CASE WHEN pr = 2 THEN mean END) AS predicted_second_utility,
+      max(CASE WHEN pr = 1 THEN actual END) AS top_actual, max(CASE WHEN ar = 1 THEN actual END) AS best_actual,
+      max(CASE WHEN pr = 1 THEN risk END) AS selected_risk, {r('avg(abs(mean - actual))')} AS mean_abs_error_all_models,
+      {r('max(abs(mean - actual))')} AS max_abs_error_all_models
+    FROM tops GROUP BY query_id, alpha, dataset, category) JOIN inv USING (query_id, alpha)"""
+oracle("ranking_errors", "SELECT * FROM rank_rows")
+oracle("pairwise_reversals", f"""SELECT alpha, model_a, model_b, {cnt('v')} AS n_queries, {cnt('x')} AS n_reversals,
+    CASE WHEN {cnt('v')} > 0 THEN {r(f"{cnt('x')} / {cnt('v')}::DOUBLE")} END AS reversal_rate,
+    {r('avg(CASE WHEN v THEN abs(pd) END)')} AS mean_predicted_gap,
+    {r('avg(CASE WHEN v THEN abs(rd) END)')} AS mean_realised_gap
+  FROM (SELECT *, pd <> 0 AND rd <> 0 AS v, pd <> 0 AND rd <> 0 AND sign(pd) <> sign(rd) AS x FROM cmp)
+  GROUP BY alpha, model_a, model_b""")
+_BY_MATCH = ", ".join(
+    f"{r(f'avg(CASE WHEN top1_match = {v} THEN {c} END)')} AS ranking_{w}_mean_{m}" for m, c in (
+        ("margin", "predicted_margin"), ("abs_error", "selected_abs_error"), ("risk", "selected_risk"),
+        ("regret", "realised_regret")) for w, v in (("correct", 1), ("wrong", 0)))
+oracle("ranking_summary", f"""SELECT alpha, count(*) AS n_queries, {r('avg(top1_match)')} AS top1_match_rate,
+    {r('1 - avg(top1_match)')} AS top1_ranking_error_rate,
+    {r('avg(pairwise_inversion_rate)')} AS mean_pairwise_inversion_rate,
+    {r('avg(predicted_margin)')} AS mean_predicted_margin, {_BY_MATCH},
+    {r('avg(material_failure)')} AS material_failure_rate FROM rank_rows GROUP BY alpha""")
+
+
+def ranking_metrics(margin: str, error: str, risk: str) -> str:
+    return f"""count(*) AS n_queries, {r('avg(top1_match)')} AS top1_match_rate,
+    {r('avg(predicted_margin)')} AS {margin}, {r('avg(selected_abs_error)')} AS {error},
+    {r('avg(selected_risk)')} AS {risk}, {r('avg(realised_regret)')} AS mean_regret,
+    {r('avg(material_failure)')} AS material_failure_rate,
+    {r('avg(pairwise_inversion_rate)')} AS mean_pairwise_inversion_rate"""
+
+
+oracle("ranking_by_category", f"""SELECT alpha, category,
+    {ranking_metrics('mean_predicted_margin', 'mean_selected_abs_error', 'mean_selected_risk')}
+    FROM rank_rows GROUP BY alpha, category""")
+FRAGMENTS["medges"] = """SELECT alpha, quantile_cont(predicted_margin, [0.0, 0.2, 0.4, 0.6, 0.8]) AS q
+    FROM rank_rows GROUP BY alpha"""
+FRAGMENTS["mbins"] = "SELECT x.*, 1 + " + " + ".join(
+    f"CAST(q[{i}] < predicted_margin AND q[{i}] > q[{i - 1}] AS INTEGER)" for i in range(2, 6)) + """ AS bin
+    FROM rank_rows x JOIN medges USING (alpha)"""
+for _name in ("ranking_by_margin", "ranking_by_margin_scaled"):
+    oracle(_name, f"""SELECT alpha, CASE bin WHEN 1 THEN 'Q1 smallest' WHEN 5 THEN 'Q5 largest' ELSE 'Q' || bin END
+        AS margin_quintile, {ranking_metrics('mean_margin', 'mean_abs_error', 'mean_risk')}
+        FROM mbins GROUP BY alpha, bin""")
+
+# ------------------------------------------------------------ policy comparison
+_STD = """alpha, accuracy, avg_cost AS average_cost, mean_utility AS mean_realized_utility, mean_regret,
+    oracle_utility AS mean_oracle_utility, avg_latency AS average_latency, n_queries AS num_queries,
+    NULL::DOUBLE AS lam"""
+_ROUTER = """alpha, accuracy, average_cost, mean_realized_utility, mean_regret, mean_oracle_utility,
+    average_latency, num_queries, lam"""
+_LABEL = "CASE router WHEN 'utility_only' THEN 'Utility-only' ELSE 'Risk-aware' END"
+FRAGMENTS["fixedrows"] = _FIXED
+FRAGMENTS["bestrows"] = _BEST
+FRAGMENTS["catrows"] = f"SELECT alpha, {metrics()} FROM cchoice WHERE split = 'test' AND model = pick GROUP BY alpha"
+FRAGMENTS["policies"] = f"""
+  SELECT {_STD}, upper(policy) AS policy, 'fixed_model' AS policy_family, policy[7:] AS selected_model FROM fixedrows
+  UNION ALL SELECT {_STD}, policy, 'best_fixed', validation_selected_model FROM bestrows
+  UNION ALL SELECT {_STD}, 'Category-only', 'category_router', NULL FROM catrows
+  UNION ALL SELECT {_ROUTER}, 'Full ' || {_LABEL}, 'full_ensemble', NULL FROM (
+    SELECT alpha, lam, router, {summary(False)} FROM tdec GROUP BY alpha, lam, router)
+  UNION ALL SELECT {_ROUTER}, 'No-category ' || {_LABEL}, 'no_category_ensemble', NULL FROM (
+    SELECT alpha, lam, router, {summary(False)} FROM tdec_ab GROUP BY alpha, lam, router)"""
+
+
+def pareto_flag(source: str) -> str:
+    ta, tc = d(P.accuracy_tolerance), d(P.cost_tolerance)
+    return f"""SELECT *, NOT EXISTS (SELECT 1 FROM {source} j WHERE j.accuracy >= i.accuracy - {ta}
+        AND j.average_cost <= i.average_cost + {tc}
+        AND (j.accuracy > i.accuracy + {ta} OR j.average_cost < i.average_cost - {tc})) AS accuracy_cost_pareto
+      FROM {source} i"""
+
+
+FRAGMENTS["flagged"] = pareto_flag("policies")
+oracle("policy_comparison", 'SELECT * RENAME (lam AS "lambda") FROM flagged')
+oracle("pareto_rows", 'SELECT * RENAME (lam AS "lambda") FROM flagged WHERE accuracy_cost_pareto')
+oracle("operating_points", """SELECT policy, string_agg(CAST(alpha AS VARCHAR), ',' ORDER BY alpha) AS alpha_values,
+    arg_min(accuracy, alpha) AS accuracy, arg_min(average_cost, alpha) AS average_cost,
+    min(mean_realized_utility) AS mean_utility_min, max(mean_realized_utility) AS mean_utility_max,
+    min(mean_regret) AS mean_regret_min, max(mean_regret) AS mean_regret_max, count(*) AS num_alpha_settings
+  FROM flagged WHERE accuracy_cost_pareto GROUP BY policy, round(accuracy, 6), round(average_cost, 9)""")
+FRAGMENTS["suppliers"] = f"""SELECT l_suppkey, {r("avg(CAST(l_returnflag <> 'R' AS DOUBLE))", 4)} AS accuracy,
+    {r('avg(l_extendedprice)', 2)} AS average_cost FROM lineitem GROUP BY l_suppkey"""
+oracle("supplier_front", pareto_flag("suppliers"))
+
+# ------------------------------------------------------------ streaming
+FRAGMENTS["ev"] = f"""SELECT event_id, ts, user_id AS query, 'm' || (event_id % {K}) AS model,
+    CAST(event_type <> 'error' AS INTEGER) AS correct, value AS cost,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events"""
+for _name in ("stream_ingestion", "stream_ingestion_restarts"):
+    oracle(_name, "SELECT * FROM ev")
+# Only windows that end before the watermark have been emitted.
+FRAGMENTS["mark"] = "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS watermark FROM events"
+_EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
+_CARD = f"""window_start, window_end, model, count(*) AS n, {r('avg(correct)')} AS accuracy,
+    {r('avg(cost)')} AS mean_cost, {r('sum(cost)', 6)} AS total_cost"""
+oracle("stream_scorecard", f"""SELECT {_CARD} FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts, {_EPOCH}) AS window_start,
+      time_bucket(INTERVAL 1 DAY, ts, {_EPOCH}) + INTERVAL 1 DAY AS window_end FROM ev)
+    WHERE window_end <= (SELECT watermark FROM mark) GROUP BY window_start, window_end, model""")
+oracle("stream_scorecard_sliding", f"""SELECT {_CARD} FROM (
+      SELECT *, time_bucket(INTERVAL 12 HOUR, ts, {_EPOCH}) - to_hours(12 * i) AS window_start,
+        time_bucket(INTERVAL 12 HOUR, ts, {_EPOCH}) - to_hours(12 * i) + INTERVAL 2 DAY AS window_end
+      FROM ev, range(4) t(i))
+    WHERE window_end <= (SELECT watermark FROM mark) GROUP BY window_start, window_end, model""")
+_LACKS = " || ".join(f"CASE WHEN {cnt(f'''model = '{m}' ''')} = 0 THEN ',{m}' ELSE '' END" for m in M)
+oracle("stream_completeness", f"""SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, query,
+    count(*) AS n, ltrim({_LACKS}, ',') AS missing
+  FROM (SELECT *, time_bucket(INTERVAL 7 DAY, ts, {_EPOCH}) AS window_start FROM ev)
+  WHERE window_start + INTERVAL 7 DAY <= (SELECT watermark FROM mark)
+  GROUP BY window_start, query HAVING count(DISTINCT model) < {K}""")
+oracle("stream_grading", f"""SELECT g.*, CAST(length(answer) AS BIGINT) AS prompt_tokens,
+    l_orderkey % 500 AS completion_tokens,
+    round(length(answer) / 1000000.0::DOUBLE * pin + (l_orderkey % 500) / 1000000.0::DOUBLE * pout, 8) AS cost
+  FROM graded g JOIN (VALUES {_PRICES}) p(price_model, pin, pout) ON price_model = g.model""")
+oracle("stream_decisions", f"SELECT {_DECISION}, router FROM tdec")

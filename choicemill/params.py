@@ -35,7 +35,7 @@ class Params:
     # Sizes that decide between a plain plan and its scale-out form. Both give equal results.
     small_rows: int = 2_000_000
     broadcast_rows: int = 200_000
-    order_buckets: int = 1024
+    order_buckets: int = 0  # ordered buckets (a power of two); 0: four per shuffle partition
 
     @property
     def k(self) -> int:

@@ -15,9 +15,12 @@ PRICES = {"m0": (0.15, 0.60), "m1": (3.0, 15.0), "m2": (0.10, 0.40), "m3": (0.05
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers_of(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag"))
+
+
+def answers_of(items: DataFrame) -> DataFrame:
     """Two graded questions per line item: its quantity, and the letter of its supplier pool."""
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
     quantity = F.col("l_quantity").cast("int").cast("string")
     form = F.col("l_orderkey") % 6
     number = (F.when(form == 0, F.concat(F.lit("Let me see.\nFinal Answer: "), quantity))

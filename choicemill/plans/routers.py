@@ -29,13 +29,20 @@ def member_predictions(spark: SparkSession, sf_dir: str, group: str = FULL, boot
     return ensemble.predict_groups(model, groups, params.members if bootstrap else 1, params)
 
 
+def stage_stats(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap: bool = True,
+                params: Params = DEFAULT) -> DataFrame:
+    """Ensemble statistics per (group, alpha)."""
+    return written(spark, f"stats|{group}|{bootstrap}|{sf_dir}|{params}", lambda: ensemble.ensemble_stats(
+        member_predictions(spark, sf_dir, group, bootstrap, params), ["grp"],
+        params.members if bootstrap else 1, params))
+
+
 def stage_state(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap: bool = True,
                 params: Params = DEFAULT) -> DataFrame:
     """Routing state of validation and test queries."""
 
     def build() -> DataFrame:
-        predictions = member_predictions(spark, sf_dir, group, bootstrap, params)
-        stats = ensemble.ensemble_stats(predictions, ["grp"], params.members if bootstrap else 1, params)
+        stats = stage_stats(spark, sf_dir, group, bootstrap, params)
         queries = stage_core(spark, sf_dir, params).filter(F.col("split") != "train")
         return ensemble.routing_state(queries, stats, {"grp": group}, params)
 

@@ -61,7 +61,11 @@ def stage_queries(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) ->
         complete = written(spark, f"complete|{sf_dir}|{params}", lambda: nested.filter(whole))
         return splits.stratified_split(complete, params)
 
-    return written(spark, f"queries|{sf_dir}|{params}", build, ["split"])
+    return written(spark, queries_key(sf_dir, params), build, ["split"])
+
+
+def queries_key(sf_dir: str, params: Params = DEFAULT) -> str:
+    return f"queries|{sf_dir}|{params}"
 
 
 def stage_medians(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:

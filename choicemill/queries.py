@@ -13,19 +13,27 @@ from pyspark.sql import functions as F
 from choicemill.functions.numeric import count_true, rounded
 from choicemill.functions.text import normalised
 from choicemill.operators import (
+    changes,
+    comparison,
     conditioning,
+    diagnostics,
     ensemble,
     features,
     grading,
+    inference,
     policies,
     quality,
+    rankings,
     routing,
     splits,
 )
 from choicemill.params import DEFAULT as P
 from choicemill.plans import answers, routers, sourcing
 from choicemill.sources import files, questions
+from choicemill.sources.stages import stage_path
 from choicemill.sources.tables import table
+from choicemill.streaming import observations as observations_stream
+from choicemill.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,3 +602,293 @@ def test_results_ablation(spark, sf):
 def test_state(spark, sf):
     """J10, B7, B16."""
     return routing.wide_state(routers.both_selections(spark, sf))
+
+
+# ------------------------------------------------------------ risk signals
+
+@query
+def routing_records(spark, sf):
+    """L5."""
+    return diagnostics.routing_records(routers.state(spark, sf, "validation"))
+
+
+@query
+def model_signals(spark, sf):
+    """L1-L4."""
+    return diagnostics.model_level_signals(routers.state(spark, sf, "validation"))
+
+
+@query
+def model_signals_scaled(spark, sf):
+    """L1-L4 through bucketed ranks and cuts."""
+    return diagnostics.model_level_signals(routers.state(spark, sf, "validation"), P, spread=True)
+
+
+@query
+def routing_signals(spark, sf):
+    """L5-L9."""
+    return diagnostics.routing_signals(diagnostics.routing_records(routers.state(spark, sf, "validation")))
+
+
+@query
+def routing_signals_scaled(spark, sf):
+    """L5-L9 through bucketed ranks and cuts."""
+    records = diagnostics.routing_records(routers.state(spark, sf, "validation"))
+    return diagnostics.routing_signals(records, P, spread=True)
+
+
+@query
+def price_tax_correlation(spark, sf):
+    """L1, L2 over all line items: average ranks of tied and untied columns."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    return diagnostics.spearman(rows, ["l_returnflag"], "l_quantity", "l_extendedprice", P, spread=True)
+
+
+# ------------------------------------------------------------ paired inference
+
+def _pairs(spark, sf, group=routers.FULL):
+    return inference.pair_decisions(routers.stage_decisions(spark, sf, group))
+
+
+@query
+def router_pairs(spark, sf):
+    """M1, B8."""
+    return _pairs(spark, sf).drop("alpha_id", "u_selected_ord", "r_selected_ord")
+
+
+@query
+def mcnemar(spark, sf):
+    """M4, M5."""
+    return inference.discordant(_pairs(spark, sf))
+
+
+@query
+def mean_differences(spark, sf):
+    """M2."""
+    return inference.mean_differences(_pairs(spark, sf))
+
+
+@query
+def paired_tests(spark, sf):
+    """M1-M6 with 10,000 resamples of queries."""
+    return inference.paired_tests(_pairs(spark, sf))
+
+
+@query
+def paired_tests_bucketed(spark, sf):
+    """M3, M6 with 10,000 resamples of hash buckets: the scale-out form."""
+    return inference.paired_tests(_pairs(spark, sf), P, buckets=True)
+
+
+@query
+def mcnemar_segments(spark, sf):
+    """M5 on larger counts: late against early line items by status, per return flag."""
+    rows = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(
+        count_true((F.col("l_linestatus") == "F") & (F.col("l_quantity") <= 2)).alias("a"),
+        count_true((F.col("l_linestatus") == "O") & (F.col("l_quantity") <= 2)).alias("b"))
+    return rows.withColumn("p", rounded(inference.mcnemar_p(F.col("a"), F.col("b"))))
+
+
+# ------------------------------------------------------------ mechanism, groups, transitions
+
+@query
+def changed_decisions(spark, sf):
+    """N1, N2, B6, B7, B17."""
+    return changes.ordered_details(changes.changed_details(routers.both_selections(spark, sf), P.mechanism_alpha))
+
+
+@query
+def mechanism_summary(spark, sf):
+    """N3."""
+    return changes.mechanism_summary(changes.changed_details(routers.both_selections(spark, sf), P.mechanism_alpha))
+
+
+@query
+def group_comparison(spark, sf):
+    """N4, N5."""
+    return changes.group_comparison(_pairs(spark, sf), "d1")
+
+
+@query
+def selection_transitions(spark, sf):
+    """N6."""
+    return changes.selection_transitions(_pairs(spark, sf))
+
+
+# ------------------------------------------------------------ prediction and ranking errors
+
+@query
+def prediction_errors(spark, sf):
+    """O1, B12, B13."""
+    return rankings.error_table(routers.state(spark, sf, "test"))
+
+
+def _error_summary(keys, spread=None):
+    def run(spark, sf):
+        return rankings.error_summary(rankings.error_table(routers.state(spark, sf, "test")), keys, P, spread)
+    return run
+
+
+QUERIES["error_by_model"] = _error_summary(["alpha", "model"])
+QUERIES["error_by_category"] = _error_summary(["alpha", "category"])
+QUERIES["error_by_model_category"] = _error_summary(["alpha", "category", "model"])
+QUERIES["error_by_model_scaled"] = _error_summary(["alpha", "model"], True)
+
+
+def _ranking(spark, sf):
+    return rankings.ranking_rows(routers.state(spark, sf, "test"))
+
+
+@query
+def ranking_errors(spark, sf):
+    """O4, O5."""
+    return _ranking(spark, sf)
+
+
+@query
+def pairwise_reversals(spark, sf):
+    """O6."""
+    return rankings.pairwise_reversals(routers.state(spark, sf, "test"))
+
+
+@query
+def ranking_summary(spark, sf):
+    """O7."""
+    return rankings.ranking_summary(_ranking(spark, sf))
+
+
+@query
+def ranking_by_category(spark, sf):
+    """O8."""
+    return rankings.ranking_by_category(_ranking(spark, sf))
+
+
+@query
+def ranking_by_margin(spark, sf):
+    """O9, O10."""
+    return rankings.ranking_by_margin(_ranking(spark, sf))
+
+
+@query
+def ranking_by_margin_scaled(spark, sf):
+    """O9, O10 with bucketed quintile edges."""
+    return rankings.ranking_by_margin(_ranking(spark, sf), P, spread=True)
+
+
+# ------------------------------------------------------------ policy comparison
+
+def _policies(spark, sf):
+    core = sourcing.stage_core(spark, sf)
+    fixed, best = policies.fixed_policies(core), policies.best_fixed_policy(core)
+    category = policies.category_policy(core, policies.category_map(core), policies.fallback_choice(core), "test")
+
+    def results(group):
+        return routing.summarise(routers.stage_decisions(spark, sf, group), ["alpha", "lambda", "router"])
+
+    return comparison.combined([
+        comparison.standardised(fixed, F.upper("policy"), "fixed_model", F.element_at(F.split("policy", " "), -1)),
+        comparison.standardised(best, F.lit("Best Fixed Utility"), "best_fixed", F.col("validation_selected_model")),
+        comparison.standardised(category, F.lit("Category-only"), "category_router"),
+        comparison.standardised(results(routers.FULL), comparison.router_policy(F.col("router"), "Full"),
+                                "full_ensemble"),
+        comparison.standardised(results(routers.ABLATION), comparison.router_policy(F.col("router"), "No-category"),
+                                "no_category_ensemble")])
+
+
+@query
+def policy_comparison(spark, sf):
+    """P1-P3, B9, B10."""
+    return comparison.ordered(comparison.with_pareto_flag(_policies(spark, sf)))
+
+
+@query
+def pareto_rows(spark, sf):
+    """P4."""
+    return comparison.pareto_rows(comparison.with_pareto_flag(_policies(spark, sf)))
+
+
+@query
+def operating_points(spark, sf):
+    """P5."""
+    return comparison.operating_points(comparison.pareto_rows(comparison.with_pareto_flag(_policies(spark, sf))))
+
+
+@query
+def supplier_front(spark, sf):
+    """P3 over every supplier: kept share against average price of its line items."""
+    rows = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
+        rounded(F.avg((F.col("l_returnflag") != "R").cast("double")), 4).alias("accuracy"),
+        rounded(F.avg("l_extendedprice"), 2).alias("average_cost"))
+    return comparison.with_pareto_flag(rows)
+
+
+# ------------------------------------------------------------ streaming
+
+def _event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return observations_stream.event_observations(
+        observations_stream.read_stream(spark, sf, schema, "events.parquet"))
+
+
+def _naive(rows):
+    """Timestamps without a zone, as in the source tables."""
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c)
+                         for c, kind in rows.dtypes])
+
+
+@query
+def stream_ingestion(spark, sf):
+    """Q1: the stream arrives twice and is stored once."""
+    twice = _event_stream(spark, sf).unionByName(_event_stream(spark, sf))
+    return _naive(observations_stream.run_available(observations_stream.ingested(twice, ["event_id"], "1 day")))
+
+
+@query
+def stream_ingestion_restarts(spark, sf):
+    """Two runs with separate progress into one sink."""
+    path = files.scratch(spark, "sink")
+    stream = _event_stream(spark, sf)
+    for _ in range(2):
+        observations_stream.ingest_across_runs(stream, path, ["event_id"], files.scratch(spark, "progress"))
+    return _naive(spark.read.schema(stream.schema).parquet(path))
+
+
+@query
+def stream_scorecard(spark, sf):
+    """Q2, tumbling windows."""
+    return _naive(observations_stream.run_available(observations_stream.scorecard(_event_stream(spark, sf), "1 day")))
+
+
+@query
+def stream_scorecard_sliding(spark, sf):
+    """Q2, sliding windows."""
+    return _naive(observations_stream.run_available(
+        observations_stream.scorecard(_event_stream(spark, sf), "2 days", "12 hours")))
+
+
+@query
+def stream_completeness(spark, sf):
+    """Q4."""
+    return _naive(observations_stream.run_available(observations_stream.incomplete_queries(_event_stream(spark, sf))))
+
+
+@query
+def stream_grading(spark, sf):
+    """Q3: answers graded and priced as they arrive."""
+    schema = table(spark, sf, "lineitem").schema
+    items = observations_stream.read_stream(spark, sf, schema, "lineitem.parquet")
+    usage = answers.answers_of(items).withColumns({
+        "prompt_tokens": F.length("answer").cast("long"), "completion_tokens": F.col("l_orderkey") % 500})
+    return observations_stream.run_available(scoring.graded_usage(usage, answers.GRADERS, answers.PRICES))
+
+
+@query
+def stream_decisions(spark, sf):
+    """Q3: test queries conditioned and routed with frozen parameters as they arrive."""
+    schema = sourcing.stage_queries(spark, sf).schema
+    arriving = observations_stream.read_stream(spark, stage_path(spark, sourcing.queries_key(sf)), schema)
+    decided = scoring.scored(
+        arriving.filter("split = 'test'"), sourcing.stage_medians(spark, sf),
+        conditioning.read_cost_range(sourcing.stage_cost_range(spark, sf)), routers.stage_stats(spark, sf),
+        {"grp": routers.FULL}, routers.stage_lambdas(spark, sf))
+    return observations_stream.run_available(decided).drop("selected_ord", "alpha_id")

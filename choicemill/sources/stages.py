@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from choicemill.session import checkpoint_root
 
 _paths: dict[tuple[str, str], str] = {}
+_schemas: dict[str, StructType] = {}
 
 
 def written(spark: SparkSession, key: str, build: Callable[[], DataFrame],
@@ -35,7 +37,9 @@ def written(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-_schemas: dict = {}
+def stage_path(spark: SparkSession, key: str) -> str:
+    """Folder of a stage that has been written."""
+    return _paths[(spark.sparkContext.applicationId, key)]
 
 
 def fits(df: DataFrame, rows: int) -> bool:
