@@ -18,7 +18,6 @@ MATH_SYMBOLS = "+-*/=<>^%$"
 ANSWER_SEPARATOR = "####"
 
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
-TOKEN = WORD + r"|[^\p{L}\p{N}_\s]"
 
 
 def strip(value: Column | str) -> Column:
@@ -31,30 +30,36 @@ def normalised(value: Column | str) -> Column:
     return F.lower(strip(value))
 
 
-def numeric_prediction(answer: str) -> Column:
-    """First number after the marker (on its line) or, without a marker, in the whole answer.
-
-    Thousands separators go; an answer without a number is returned as text.
-    """
-    has_marker = F.col(answer).rlike(f"(?i){MARKER}")
+def answer_body(answer: str) -> Column:
+    """Text after the marker, on its line; the whole answer without a marker."""
     after = F.regexp_extract(F.col(answer), rf"(?i){MARKER}\s*([^\n]*)", 1)
-    text = strip(F.when(has_marker, after).otherwise(F.col(answer)))
-    number = F.regexp_extract(text, NUMBER, 0)
-    return F.when(number != "", F.replace(number, F.lit(","), F.lit(""))).otherwise(text)
+    return F.when(F.lower(answer).contains(MARKER.lower()), after).otherwise(F.col(answer))
+
+
+def first_number(body: str) -> Column:
+    return F.regexp_extract(F.col(body), NUMBER, 0)
+
+
+def numeric_prediction(body: str, number: str) -> Column:
+    """The first number of the body without thousands separators, else the body as text."""
+    return F.when(F.col(number) != "", F.replace(F.col(number), F.lit(","), F.lit(""))).otherwise(strip(body))
 
 
 def numeric_correct(prediction: str, truth: str) -> Column:
     """Exact decimal equality; text equality without case when a side is not a number."""
-    left = strip(prediction).try_cast("decimal(38,18)")
-    right = strip(F.replace(F.col(truth), F.lit(","), F.lit(""))).try_cast("decimal(38,18)")
+    left = F.col(prediction).try_cast("decimal(38,18)")
+    right = F.replace(F.col(truth), F.lit(","), F.lit("")).try_cast("decimal(38,18)")
     return F.coalesce(left == right, normalised(prediction) == normalised(truth)).cast("int")
 
 
-def letter_prediction(answer: str) -> Column:
+def marked_letter(answer: str) -> Column:
+    return F.regexp_extract(F.col(answer), rf"(?i){MARKER}\s*([ABCD])(?![A-Za-z0-9_])", 1)
+
+
+def letter_prediction(answer: str, marked: str) -> Column:
     """Option letter after the marker, else the answer itself when it is a single letter, else ''."""
-    marked = F.regexp_extract(F.col(answer), rf"(?i){MARKER}\s*([ABCD])(?![A-Za-z0-9_])", 1)
     alone = F.upper(strip(answer))
-    return F.when(marked != "", F.upper(marked)).when(alone.isin(*LETTERS), alone).otherwise("")
+    return F.when(F.col(marked) != "", F.upper(marked)).when(alone.isin(*LETTERS), alone).otherwise("")
 
 
 def letter_correct(prediction: str, truth: str) -> Column:
@@ -75,20 +80,30 @@ def letter_of(index: str) -> Column:
     return F.get(F.array(*[F.lit(letter) for letter in LETTERS]), F.col(index))
 
 
-def structural_features(text: str) -> dict[str, Column]:
-    """Features known before any candidate answers, by name."""
-    col = F.col(text)
-    words = F.regexp_count(col, F.lit(WORD))
-    # Length of all words together: what is left when everything between words is removed.
-    letters = F.aggregate(F.regexp_extract_all(col, F.lit(WORD), F.lit(0)), F.lit(0),
-                          lambda total, word: total + F.length(word))
+def outside_words(text: str) -> Column:
+    """What is left of a text without its words."""
+    return F.regexp_replace(F.col(text), WORD, "")
+
+
+def word_count(text: str) -> Column:
+    return F.regexp_count(F.col(text), F.lit(WORD))
+
+
+def structural_features(text: str, words: str, rest: str) -> dict[str, Column]:
+    """Features known before any candidate answers, by name.
+
+    ``words`` and ``rest`` name columns with the word count and the text outside words, which
+    several features share: each pattern then runs once over a text.
+    """
+    col, n, outside = F.col(text), F.col(words), F.col(rest)
     symbols = "".join("\\" + c for c in MATH_SYMBOLS)
     body = F.regexp_replace(col, r"(\r\n|\r|\n)\z", "")
     options = F.regexp_count(col, F.lit(r"(?m)^[ABCD]\.\s"))
     return {
         "char_count": F.length(col),
-        "word_count": words,
-        "approx_token_count": F.regexp_count(col, F.lit(TOKEN)),
+        "word_count": n,
+        # Words, and every other character that is not white space.
+        "approx_token_count": n + F.length(F.regexp_replace(outside, r"\s", "")),
         "line_count": F.regexp_count(body, F.lit(r"\r\n|\r|\n")) + 1,
         "sentence_count": F.greatest(F.lit(1), F.regexp_count(col, F.lit("[.!?]+"))),
         "number_count": F.regexp_count(col, F.lit(NUMBER)),
@@ -96,7 +111,7 @@ def structural_features(text: str) -> dict[str, Column]:
         "question_mark_count": F.length(col) - F.length(F.replace(col, F.lit("?"), F.lit(""))),
         "option_count": options,
         "is_multiple_choice": (options >= len(LETTERS)).cast("int"),
-        "avg_word_length": F.when(words > 0, F.round(letters / words, 6)).otherwise(F.lit(0.0)),
+        "avg_word_length": F.when(n > 0, F.round((F.length(col) - F.length(outside)) / n, 6)).otherwise(F.lit(0.0)),
     }
 
 

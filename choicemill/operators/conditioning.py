@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from choicemill.functions.candidates import item
 from choicemill.operators.order import exact_quantiles, null_safe_join, settled
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small
+from choicemill.sources.stages import broadcast_if_small, fits, row_bound, with_row_bound
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ def long_costs(nested: DataFrame) -> DataFrame:
 def train_medians(nested: DataFrame, params: Params = DEFAULT, spread: bool | None = None) -> DataFrame:
     """Median of positive training costs per (dataset, model)."""
     positive = long_costs(nested).filter("raw_cost > 0")
+    if spread is None:
+        spread = not fits(nested, params.small_rows // params.k)
     medians = exact_quantiles(positive, ["dataset", "model"], "raw_cost", [0.5], params, spread)
     return medians.select("dataset", "model", F.col("q")[0].alias("median_cost"))
 
@@ -47,6 +49,8 @@ def with_clean_costs(nested: DataFrame, medians: DataFrame, params: Params = DEF
     per_dataset = medians.groupBy("dataset").agg(*[
         F.max(F.when(F.col("model") == m, F.col("median_cost"))).alias(f"__median_{i}")
         for i, m in enumerate(params.candidates)])
+    # At most one row per row of the written medians, so their count bounds it.
+    per_dataset = with_row_bound(per_dataset, row_bound(medians))
     joined = null_safe_join(nested, broadcast_if_small(per_dataset, params.broadcast_rows), ["dataset"], "left")
 
     def clean(i: int) -> Column:
@@ -58,7 +62,8 @@ def with_clean_costs(nested: DataFrame, medians: DataFrame, params: Params = DEF
     cands = F.array(*[
         F.struct(F.col("cands")[i].alias("base"), (item(i, "raw_cost") <= 0).cast("int").alias("cost_imputed"),
                  clean(i).alias("cost_clean")) for i in range(params.k)])
-    return joined.withColumn("cands", cands).drop(*[f"__median_{i}" for i in range(params.k)])
+    cleaned = joined.withColumn("cands", cands).drop(*[f"__median_{i}" for i in range(params.k)])
+    return with_row_bound(cleaned, row_bound(nested))
 
 
 def fit_cost_range(cleaned: DataFrame, params: Params = DEFAULT, spread: bool | None = None) -> DataFrame:
@@ -69,7 +74,10 @@ def fit_cost_range(cleaned: DataFrame, params: Params = DEFAULT, spread: bool |
     """
     costs = (cleaned.filter(F.col("split") == "train")
              .select(F.explode(F.transform("cands", lambda c: c["cost_clean"])).alias("cost_clean")))
-    costs = settled(costs)
+    if spread is None:
+        spread = not fits(cleaned, params.small_rows // params.k)
+    if spread:
+        costs = settled(costs)
     threshold = exact_quantiles(costs, [], "cost_clean", [params.clip_percentile], params, spread)
     bounds = costs.agg(F.min("cost_clean").alias("lo"), F.max("cost_clean").alias("hi"))
     one = threshold.select(F.col("q")[0].alias("clip_threshold"), F.lit(1).alias("one"))

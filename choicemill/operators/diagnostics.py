@@ -19,7 +19,7 @@ from choicemill.operators.order import (
 )
 from choicemill.operators.routing import field, selected
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import fits
+from choicemill.sources.stages import fits, row_bound, with_row_bound
 
 
 def _undefined_when_constant(value: Column, n: Column, *spans: Column) -> Column:
@@ -72,7 +72,7 @@ def model_level_signals(state: DataFrame, params: Params = DEFAULT, spread: bool
     """Rank correlation of risk with error, pooled and per candidate, and the error at both ends."""
     errors = model_errors(state)
     if spread is None:
-        spread = not fits(errors.select("risk"), params.small_rows)
+        spread = not fits(state, params.small_rows // params.k)
     pooled = spearman(errors, ["alpha"], "risk", "error", params, spread).select(
         "alpha", F.lit("model_level_std_all_models").alias("signal"), "n", F.col("rho").alias("spearman_rho"))
     rho = spearman(errors, ["alpha", "model"], "risk", "error", params, spread)
@@ -96,11 +96,12 @@ def routing_records(state: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The choice without penalty, its regret and the three signals, per (query, alpha)."""
     chosen = selected(0.0, params)
     best = argmax(params.k, lambda i: field(i, "actual"), lambda i: {"model": field(i, "model")})
-    return state.withColumn("__s", chosen).withColumn("__b", best).select(
+    rows = state.withColumn("__s", chosen).withColumn("__b", best).select(
         "query_id", "dataset", "category", "alpha", F.col("__s.model").alias("selected_model"),
         F.col("__b.model").alias("oracle_model"),
         F.round(F.col("__b.score") - F.col("__s.actual"), 6).alias("regret"),
         F.col("__s.risk").alias("selected_risk"), "disagreement", "entropy")
+    return with_row_bound(rows, row_bound(state))
 
 
 def signal_rows(records: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def routing_signals(records: DataFrame, params: Params = DEFAULT, spread: bool |
     rows = signal_rows(records)
     keys = ["alpha", "signal"]
     if spread is None:
-        spread = not fits(rows.select("value"), params.small_rows)
+        spread = not fits(records, params.small_rows // len(SIGNALS))
     rho = spearman(rows, keys, "value", "regret", params, spread)
     flagged = tail_flags(rows, keys, "value", params.tail_fraction, "query_id", params, spread)
     low, high, regret = F.col("in_low"), F.col("in_high"), F.col("regret")

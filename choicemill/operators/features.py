@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.functions.text import column_name, structural_features
+from choicemill.functions.text import column_name, outside_words, structural_features, word_count
 
 # Columns that identify a query, and columns that would leak the outcome.
 ID_COLUMNS = ("query_id", "dataset", "category", "split", "question")
@@ -16,7 +16,9 @@ OUTCOME_COLUMNS = ("ground_truth", "answer", "prediction", "correct", "cost", "r
 
 
 def text_features(rows: DataFrame, text: str = "question") -> DataFrame:
-    return rows.select("*", *[value.alias(name) for name, value in structural_features(text).items()])
+    staged = rows.withColumns({"__words": word_count(text), "__rest": outside_words(text)})
+    columns = structural_features(text, "__words", "__rest")
+    return staged.select(*rows.columns, *[value.alias(name) for name, value in columns.items()])
 
 
 def label_values(rows: DataFrame, label: str, limit: int = 1000) -> list[str]:

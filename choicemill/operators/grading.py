@@ -14,6 +14,10 @@ def graded(answers: DataFrame, graders: dict[str, str], kind: str = "dataset", a
 
     A dataset without a grader fails the job.
     """
+    def of(grader: str, value: Column) -> Column:
+        names = [dataset for dataset, g in graders.items() if g == grader]
+        return F.when(F.col(kind).isin(*names), value) if names else F.lit(None).cast("string")
+
     def pick(numeric: Column, letter: Column) -> Column:
         unknown = F.raise_error(F.concat(F.lit("no grader for "), F.coalesce(F.col(kind), F.lit("NULL"))))
         branches = None
@@ -23,10 +27,15 @@ def graded(answers: DataFrame, graders: dict[str, str], kind: str = "dataset", a
             branches = F.when(hit, value) if branches is None else branches.when(hit, value)
         return branches.otherwise(unknown)
 
-    predicted = answers.withColumn(
-        "prediction", pick(text.numeric_prediction(answer), text.letter_prediction(answer)))
-    return predicted.withColumn("correct", pick(
-        text.numeric_correct("prediction", truth), text.letter_correct("prediction", truth)).cast("int"))
+    # Each pattern runs once per answer: what several expressions need is a column of its own.
+    rows = answers.withColumn("__body", of("numeric", text.answer_body(answer)))
+    rows = rows.withColumns({"__number": text.first_number("__body"),
+                             "__marked": of("letter", text.marked_letter(answer))})
+    rows = rows.withColumn("prediction", pick(text.numeric_prediction("__body", "__number"),
+                                              text.letter_prediction(answer, "__marked")))
+    rows = rows.withColumn("correct", pick(text.numeric_correct("prediction", truth),
+                                           text.letter_correct("prediction", truth)).cast("int"))
+    return rows.drop("__body", "__number", "__marked")
 
 
 def accuracy(rows: DataFrame, *keys: str) -> DataFrame:

@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 
 from choicemill.functions.candidates import argmax
 from choicemill.functions.numeric import count_true, mean_of, mean_where, ratio, rounded
-from choicemill.operators.order import exact_quantiles, null_safe_join, settled
+from choicemill.operators.order import exact_quantiles, null_safe_join
 from choicemill.operators.routing import field
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small, fits
+from choicemill.sources.stages import fits, row_bound, with_row_bound
 
 
-def error_table(state: DataFrame) -> DataFrame:
+def error_table(state: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Long (query, alpha, model): prediction, risk, realised outcome and errors."""
     long = state.select("query_id", "dataset", "category", "alpha", F.inline("state"))
     error = F.col("mean") - F.col("actual")
-    return long.select(
+    bound = row_bound(state)
+    return with_row_bound(long.select(
         "query_id", "dataset", "category", "alpha", "model", F.col("mean").alias("predicted_utility"),
         F.col("risk").alias("predictive_risk"), F.col("actual").alias("realised_utility"), "correct",
         "raw_cost", F.col("cost").alias("cost_clean"), rounded(error).alias("prediction_error"),
-        rounded(F.abs(error)).alias("abs_prediction_error"), rounded(error * error).alias("squared_prediction_error"))
+        rounded(F.abs(error)).alias("abs_prediction_error"), rounded(error * error).alias("squared_prediction_error")),
+        None if bound is None else bound * params.k)
 
 
 def error_summary(errors: DataFrame, keys: Sequence[str], params: Params = DEFAULT,
                   spread: bool | None = None) -> DataFrame:
     """n, MAE, median and P90 absolute error, RMSE, bias and mean risk per key; NULL keys kept."""
     e, a = F.col("prediction_error"), F.col("abs_prediction_error")
+    if spread is None:
+        spread = not fits(errors, params.small_rows)
     basic = errors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), mean_of(a).alias("mae"), rounded(F.sqrt(F.avg(e * e))).alias("rmse"),
         mean_of(e).alias("mean_signed_error"), mean_of("predictive_risk").alias("mean_risk"))
@@ -79,7 +83,7 @@ def ranking_rows(state: DataFrame, params: Params = DEFAULT) -> DataFrame:
         total = total + e
     regret = F.round(F.col("__b.score") - F.col("__top.actual"), 6)
     error = F.col("__top.mean") - F.col("__top.actual")
-    return rows.select(
+    return with_row_bound(rows.select(
         "query_id", "alpha", "dataset", "category", F.col("__top.model").alias("predicted_top_model"),
         F.col("__b.model").alias("realised_top_model"),
         (F.col("__top.model") == F.col("__b.model")).cast("int").alias("top1_match"),
@@ -90,7 +94,8 @@ def ranking_rows(state: DataFrame, params: Params = DEFAULT) -> DataFrame:
         rounded(F.greatest(*errors)).alias("max_abs_error_all_models"), regret.alias("realised_regret"),
         (regret > params.material_regret).cast("int").alias("material_failure"),
         inversions.alias("pairwise_inversions"), valid.alias("valid_pairwise_comparisons"),
-        ratio(inversions, valid).alias("pairwise_inversion_rate"), F.concat_ws(";", *names).alias("reversed_pairs"))
+        ratio(inversions, valid).alias("pairwise_inversion_rate"), F.concat_ws(";", *names).alias("reversed_pairs")),
+        row_bound(state))
 
 
 def pairwise_reversals(state: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -149,9 +154,9 @@ def with_margin_bin(rows: DataFrame, params: Params = DEFAULT, spread: bool | No
     Equal edges merge, so ties never split and there may be fewer bins. Edges are one row per alpha.
     """
     if spread is None:
-        spread = not fits(rows.select("alpha"), params.small_rows)
+        spread = not fits(rows, params.small_rows)
     edges = exact_quantiles(rows, ["alpha"], "predicted_margin", [0.0, 0.2, 0.4, 0.6, 0.8], params, spread)
-    edges = broadcast_if_small(settled(edges), params.broadcast_rows)
+    edges = F.broadcast(edges)  # one row per alpha of the grid
     joined = null_safe_join(rows, edges, ["alpha"])
     passed, q = F.lit(1), F.col("q")
     for i in range(1, 5):

@@ -50,7 +50,7 @@ def stratified_split(queries: DataFrame, params: Params = DEFAULT, spread: bool
     """
     keyed = queries.withColumn("__key", split_key(params.seed))
     if spread is None:
-        spread = not fits(queries.select("query_id"), params.small_rows)
+        spread = not fits(queries, params.small_rows)
     if not spread:
         number = F.row_number().over(Window.partitionBy(*STRATUM).orderBy("__key"))
         n = F.count(F.lit(1)).over(Window.partitionBy(*STRATUM))

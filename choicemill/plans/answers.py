@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicemill.functions.text import LETTERS, structural_features
+from choicemill.functions.text import LETTERS
+from choicemill.operators.features import text_features
 from choicemill.params import DEFAULT as P
 from choicemill.sources.tables import table
 
@@ -39,10 +40,10 @@ def answers_of(items: DataFrame) -> DataFrame:
 
 
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = text_features(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "text")
     return docs.select(
         "doc_id", F.concat(F.lit("m"), (F.col("doc_id") % P.k).cast("string")).alias("model"),
-        structural_features("text")["approx_token_count"].cast("long").alias("prompt_tokens"),
+        F.col("approx_token_count").cast("long").alias("prompt_tokens"),
         (F.col("n_chars") % 500).alias("completion_tokens"))
 
 

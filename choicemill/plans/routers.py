@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from choicemill.operators import ensemble, quality, routing
 from choicemill.params import DEFAULT, Params
 from choicemill.plans.sourcing import stage_core
-from choicemill.sources.stages import written
+from choicemill.sources.stages import row_bound, with_row_bound, written
 
 FULL, ABLATION = "category", "dataset"
 
@@ -51,7 +51,8 @@ def stage_state(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap:
 
 def state(spark: SparkSession, sf_dir: str, split: str, group: str = FULL, bootstrap: bool = True,
           params: Params = DEFAULT) -> DataFrame:
-    return stage_state(spark, sf_dir, group, bootstrap, params).filter(F.col("split") == split)
+    whole = stage_state(spark, sf_dir, group, bootstrap, params)
+    return with_row_bound(whole.filter(F.col("split") == split), row_bound(whole))
 
 
 def stage_lambdas(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = DEFAULT) -> DataFrame:
