@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemill.functions.numeric import rounded
-from choicemill.operators.order import null_safe_join, settled, with_value_bucket
+from choicemill.operators.order import null_safe_join, settled, value_buckets, with_value_bucket
 from choicemill.params import DEFAULT, Params
 from choicemill.sources.stages import broadcast_if_small
 
@@ -92,7 +92,7 @@ def with_pareto_flag(points: DataFrame, accuracy: str = "accuracy", cost: str =
         F.struct((F.col("__c") - tc).alias("pos"), F.lit(0).alias("kind"), none.alias("acc")),
         F.struct(F.col("__c").alias("pos"), F.lit(1).alias("kind"), F.col("__a").alias("acc")),
         F.struct((F.col("__c") + tc).alias("pos"), F.lit(2).alias("kind"), none.alias("acc"))))))
-    bucketed = with_value_bucket(events, "pos", params)
+    bucketed = with_value_bucket(events, "pos", value_buckets(events, "pos", params))
     # One row per bucket, so this window is as small as the number of buckets.
     tops = bucketed.groupBy("__bucket").agg(F.max("acc").alias("__top"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -139,7 +139,7 @@ def routing_signals(records: DataFrame, params: Params = DEFAULT, spread: bool |
     counts = rows.groupBy(*keys, "value").agg(
         F.count(F.lit(1)).alias("m"), *[F.sum(p).alias(f"p{j}") for j, p in enumerate(positives)])
     if spread:
-        ranks = value_ranks(counts, keys, "value", "m", params)
+        ranks = value_ranks(settled(counts), keys, "value", "m", params)
     else:
         running = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         ranks = counts.withColumn("rank", F.sum("m").over(running) - (F.col("m") - 1) / F.lit(2.0))

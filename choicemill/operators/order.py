@@ -48,26 +48,32 @@ def bucket_count(df: DataFrame, params: Params) -> int:
     return 1 << (min(max(wanted, 64), 4096) - 1).bit_length()
 
 
-def with_value_bucket(df: DataFrame, value: str, params: Params = DEFAULT, name: str = "__bucket") -> DataFrame:
-    """Number of split points below the value: an ordered bucket.
+def value_buckets(df: DataFrame, value: str, params: Params = DEFAULT) -> list[float]:
+    """Split points of the value, as many as ordered buckets less one.
 
-    The split points are approximate quantiles of the column itself, so buckets stay balanced
-    whatever the distribution; equal values share a bucket. They reach every row as one scalar
-    array, searched by halving.
+    They are approximate quantiles of the column itself, so buckets stay balanced whatever the
+    distribution. As plain numbers (at most 4,095) they make bucketing a pure function of the
+    value: every reader of the table gets the same buckets, without writing it first.
     """
     buckets = bucket_count(df, params)
-    percents = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    splits = df.agg(F.percentile_approx(value, percents, F.lit(buckets * 10))).scalar()
-    out = df.withColumn("__splits", splits).withColumn("__p0", F.lit(0))
-    half, level = buckets // 2, 0
+    percents = F.expr("array(" + ",".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
+    return df.agg(F.percentile_approx(value, percents, F.lit(buckets * 10)).alias("s")).first()["s"] or []
+
+
+def with_value_bucket(df: DataFrame, value: str, splits: list[float], name: str = "__bucket") -> DataFrame:
+    """Number of split points below the value, found by halving; equal values share a bucket."""
+    if not splits:
+        return df.withColumn(name, F.lit(0))
+    points = F.expr("array(" + ",".join(f"{float(x)!r}D" for x in splits) + ")")
+    out = df.withColumn("__p0", F.lit(0))
+    half, level = (len(splits) + 1) // 2, 0
     while half >= 1:
         here = F.col(f"__p{level}")
-        middle = F.get(F.col("__splits"), here + F.lit(half - 1))
+        middle = F.get(points, here + F.lit(half - 1))
         step = F.when(middle < F.col(value), F.lit(half)).otherwise(F.lit(0))
         out = out.withColumn(f"__p{level + 1}", here + step)
         half, level = half // 2, level + 1
-    return (out.withColumn(name, F.col(f"__p{level}"))
-            .drop("__splits", *[f"__p{i}" for i in range(level + 1)]))
+    return out.withColumn(name, F.col(f"__p{level}")).drop(*[f"__p{i}" for i in range(level + 1)])
 
 
 def hex_bucket(key: str) -> Column:
@@ -88,7 +94,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str
     the number of rows with a smaller value. One counting pass, then one pass over the buckets hit.
     """
     source = df.select(*keys, value).filter(F.col(value).isNotNull())
-    bucketed = with_value_bucket(source, value, params)
+    bucketed = with_value_bucket(source, value, value_buckets(source, value, params))
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     total = F.sum("__n").over(Window.partitionBy(*keys))
     counts = _cumulate(counts, keys, "__bucket").withColumn("n", total)
@@ -219,16 +225,17 @@ def value_ranks(counts: DataFrame, keys: Sequence[str], value: str, n: str,
     """Add the average rank ``rank`` (1-based) of each distinct value.
 
     Input has one row per (keys, value) with its multiplicity ``n``; a value shared by many rows
-    is one row, so buckets of distinct values are the only thing that gets sorted.
+    is one row, so buckets of distinct values are the only thing that gets sorted. Pass a written
+    table: it is read for the split points, the bucket sizes and the ranks.
     """
-    bucketed = settled(with_value_bucket(counts, value, params))
+    bucketed = with_value_bucket(counts, value, value_buckets(counts, value, params))
     sizes = bucketed.groupBy(*keys, "__bucket").agg(F.sum(n).alias("__n"))
     offsets = _cumulate(sizes, keys, "__bucket").drop("__n")
     running = (Window.partitionBy(*keys, "__bucket").orderBy(value)
                .rowsBetween(Window.unboundedPreceding, 0))
     inside = bucketed.withColumn("__in", F.sum(n).over(running) - F.col(n))
-    ranked = null_safe_join(inside, broadcast_if_small(settled(offsets), params.broadcast_rows),
-                            [*keys, "__bucket"])
+    # Same keys as the window, so the wide side is not shuffled again; keys are never NULL here.
+    ranked = inside.join(offsets, [*keys, "__bucket"])
     return (ranked.withColumn("rank", F.col("__before") + F.col("__in") + (F.col(n) + 1) / F.lit(2.0))
             .drop("__bucket", "__before", "__in"))
 

@@ -21,6 +21,7 @@ from choicemill.operators import (
     features,
     grading,
     inference,
+    learners,
     policies,
     quality,
     rankings,
@@ -30,7 +31,7 @@ from choicemill.operators import (
 from choicemill.params import DEFAULT as P
 from choicemill.plans import answers, routers, sourcing
 from choicemill.sources import files, questions
-from choicemill.sources.stages import stage_path
+from choicemill.sources.stages import stage_path, written
 from choicemill.sources.tables import table
 from choicemill.streaming import observations as observations_stream
 from choicemill.streaming import scoring
@@ -778,6 +779,10 @@ def ranking_by_margin_scaled(spark, sf):
 # ------------------------------------------------------------ policy comparison
 
 def _policies(spark, sf):
+    return written(spark, f"policies|{sf}", lambda: _policy_rows(spark, sf))
+
+
+def _policy_rows(spark, sf):
     core = sourcing.stage_core(spark, sf)
     fixed, best = policies.fixed_policies(core), policies.best_fixed_policy(core)
     category = policies.category_policy(core, policies.category_map(core), policies.fallback_choice(core), "test")
@@ -892,3 +897,60 @@ def stream_decisions(spark, sf):
         conditioning.read_cost_range(sourcing.stage_cost_range(spark, sf)), routers.stage_stats(spark, sf),
         {"grp": routers.FULL}, routers.stage_lambdas(spark, sf))
     return observations_stream.run_available(decided).drop("selected_ord", "alpha_id")
+
+
+# ------------------------------------------------------------ learners on features
+
+def _ridge_design(spark, sf):
+    core = sourcing.stage_core(spark, sf)
+    labels = {"category": features.label_values(core, "category")}
+    scales = learners.feature_scales(core, sourcing.NUMERIC_FEATURES)
+    width = 1 + len(sourcing.NUMERIC_FEATURES) + len(labels["category"]) - 1
+    return learners.design_rows(core, sourcing.NUMERIC_FEATURES, labels, scales), width
+
+
+def _ridge_coefficients(spark, sf):
+    def build():
+        design, width = _ridge_design(spark, sf)
+        return learners.fit_ridge(design, width)
+    return written(spark, f"ridge|{sf}", build)
+
+
+@query
+def ridge_coefficients(spark, sf):
+    """H2-H4, learner L1: coefficients per (member, target)."""
+    rows = _ridge_coefficients(spark, sf)
+    return rows.select("member", "target", F.posexplode("coefficients").alias("feature", "value"))
+
+
+def _ridge_state(spark, sf):
+    def build():
+        design, _ = _ridge_design(spark, sf)
+        rows = design.filter("split <> 'train'")
+        predictions = learners.predict_ridge(rows, _ridge_coefficients(spark, sf))
+        stats = written(spark, f"ridge_stats|{sf}",
+                        lambda: ensemble.ensemble_stats(predictions, ["query_id"], P.members))
+        return ensemble.routing_state(rows, stats, {"query_id": "query_id"})
+    return written(spark, f"ridge_state|{sf}", build, ["split"])
+
+
+@query
+def ridge_errors(spark, sf):
+    """H6, H7, I1-I5, learner L1: validation report of the ridge ensemble."""
+    return learners.ridge_report(_ridge_state(spark, sf).filter("split = 'validation'"))
+
+
+@query
+def ridge_test_results(spark, sf):
+    """J6-J9, learner L1: penalty chosen on validation, scored on test."""
+    state = _ridge_state(spark, sf)
+    chosen = written(spark, f"ridge_lambdas|{sf}", lambda: routing.best_lambdas(
+        routing.lambda_sweep(state.filter("split = 'validation'"))))
+    rows = routing.decisions(routing.two_routers(state.filter("split = 'test'"), chosen))
+    return _no_diagnostics(routing.summarise(rows, ["alpha", "lambda", "router"]))
+
+
+@query
+def boosted_fits(spark, sf):
+    """H2, H5, learner L2: boosted trees with early stopping, one member."""
+    return learners.boosted_errors(sourcing.stage_core(spark, sf), list(sourcing.NUMERIC_FEATURES), 0.5)
