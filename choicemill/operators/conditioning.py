@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from choicemill.functions.candidates import item
-from choicemill.operators.order import exact_quantiles, null_safe_join, settled
+from choicemill.operators.order import attach, exact_quantiles, settled
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small, fits, row_bound, with_row_bound
+from choicemill.sources.stages import fits, row_bound, with_row_bound
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def with_clean_costs(nested: DataFrame, medians: DataFrame, params: Params = DEF
         for i, m in enumerate(params.candidates)])
     # At most one row per row of the written medians, so their count bounds it.
     per_dataset = with_row_bound(per_dataset, row_bound(medians))
-    joined = null_safe_join(nested, broadcast_if_small(per_dataset, params.broadcast_rows), ["dataset"], "left")
+    joined = attach(nested, per_dataset, ["dataset"], "query_id", "left", params)
 
     def clean(i: int) -> Column:
         raw, median = item(i, "raw_cost"), F.col(f"__median_{i}")

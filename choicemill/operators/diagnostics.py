@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from choicemill.functions.candidates import argmax
 from choicemill.functions.numeric import mean_of, mean_where, rounded
 from choicemill.operators.order import (
-    attach_by_hot_key,
     null_safe_join,
     settled,
+    skew_join,
     tail_flags,
     value_ranks,
     with_average_rank,
@@ -47,9 +47,9 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, params: Param
     joint = settled(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__m")))
     for side, name in ((x, "__rx"), (y, "__ry")):
         counts = joint.groupBy(*keys, side).agg(F.sum("__m").alias("n"), F.count(F.lit(1)).alias("__pairs"))
-        ranks = settled(value_ranks(counts, keys, side, "n", params).drop("n"))
-        joint = attach_by_hot_key(joint, ranks.withColumnRenamed("rank", name), [*keys, side], "__pairs",
-                                  F.col(y if side == x else x))
+        counts = settled(counts)
+        ranks = value_ranks(counts, keys, side, "n", params).select(*keys, side, F.col("rank").alias(name))
+        joint = skew_join(joint, ranks, [*keys, side], counts, "__pairs", F.col(y if side == x else x))
     m, rx, ry = F.col("__m"), F.col("__rx"), F.col("__ry")
     sums = joint.groupBy(*keys).agg(
         F.sum(m).alias("n"), F.sum(m * rx).alias("sx"), F.sum(m * ry).alias("sy"),

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from choicemill.functions.candidates import argmax, item
 from choicemill.functions.hashing import with_draw_weights
 from choicemill.functions.numeric import count_true, mean_of, rounded, settled_double
-from choicemill.operators.order import null_safe_join
+from choicemill.operators.order import attach, null_safe_join
 from choicemill.operators.policies import by_alpha, oracle, realised
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small
+from choicemill.sources.stages import row_bound, with_row_bound
 
 
 # ---------------------------------------------------------------- group means
@@ -124,16 +124,16 @@ def routing_state(core: DataFrame, stats: DataFrame, keys: dict[str, str], param
     """One row per (query, alpha): candidates with prediction, risk and realised outcome.
 
     ``keys`` maps the key columns of ``stats`` to columns of the queries. The statistics of groups
-    are broadcast when their checked size allows; else the join shuffles with skew handling. Pass
+    are broadcast when their checked size allows; else the join is salted. Pass
     a written table, so that checking its size is cheap.
     """
     named = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], "alpha_id", "means", "risks", "votes",
                          "disagreement", "entropy")
-    named = broadcast_if_small(named, params.broadcast_rows)
+    named = with_row_bound(named, row_bound(stats))
     rows = by_alpha(core, params)
     for key, column in keys.items():
         rows = rows.withColumn(f"__{key}", F.col(column))
-    joined = null_safe_join(rows, named, [*[f"__{k}" for k in keys], "alpha_id"])
+    joined = attach(rows, named, [*[f"__{k}" for k in keys], "alpha_id"], "query_id", "inner", params)
     states = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(i).alias("ord"), F.col("means")[i].alias("mean"),
                  F.col("risks")[i].alias("risk"), realised(i).alias("actual"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small, fits, written
+from choicemill.sources.stages import broadcast_if_small, fits, row_bound, with_row_bound, written
 
 HEX_DIGITS = 3  # 4,096 buckets over uniform hex keys
 
@@ -104,7 +104,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str
             .filter("rank >= __before AND rank < __before + __n")
             .select(*keys, "__bucket", "tag", "rank", "__before"))
     hits = settled(hits)
-    places = hits.select(*keys, "__bucket").distinct()
+    places = with_row_bound(hits.select(*keys, "__bucket").distinct(), row_bound(hits))
     inside = null_safe_join(bucketed, broadcast_if_small(places, params.broadcast_rows),
                             [*keys, "__bucket"], "left_semi")
     # Equal values collapse before the sort, so a value shared by many rows is a single row here.
@@ -130,7 +130,7 @@ def nth_hex(df: DataFrame, keys: Sequence[str], key: str, wanted: DataFrame,
     hits = null_safe_join(_cumulate(counts, keys, "__bucket"), wanted, keys)
     hits = settled(hits.filter("rank >= __before AND rank < __before + __n")
                    .select(*keys, "__bucket", "tag", (F.col("rank") - F.col("__before")).alias("__r")))
-    places = hits.select(*keys, "__bucket").distinct()
+    places = with_row_bound(hits.select(*keys, "__bucket").distinct(), row_bound(hits))
     inside = null_safe_join(rows, broadcast_if_small(places, params.broadcast_rows),
                             [*keys, "__bucket"], "left_semi")
     numbered = inside.withColumn(
@@ -201,8 +201,7 @@ def tail_flags(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
     edges = null_safe_join(cuts, ids, [*keys, "tag"]).groupBy(*keys).agg(*[
         F.max(F.when(F.col("tag") == tag, F.col(c))).alias(f"__{tag}_{c}")
         for tag in ("low", "high") for c in ("__value", tie)])
-    edges = broadcast_if_small(settled(edges), params.broadcast_rows)
-    out = null_safe_join(df, edges, keys, "left")
+    out = attach(df, settled(edges), keys, tie, "left", params)
     v, t = F.col(value), F.col(tie)
     low = (v < F.col("__low___value")) | ((v == F.col("__low___value")) & (t <= F.col(f"__low_{tie}")))
     high = (v > F.col("__high___value")) | ((v == F.col("__high___value")) & (t >= F.col(f"__high_{tie}")))
@@ -247,19 +246,31 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str)
     return df.withColumn(name, F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0))
 
 
-def attach_by_hot_key(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, salt: Column,
-                      salts: int = 64, hot_share: int = 1000) -> DataFrame:
+HOT_SHARE = 1000  # a key with more than 1/1000 of all rows is hot; there are fewer than 1000 of those
+
+
+def skew_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weights: DataFrame, weight: str,
+              salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
     """Join rows to a table unique by ``keys``, spreading keys that hold many rows.
 
-    ``table`` carries the number of rows per key in ``weight``. A key with more than 1/1000 of all
-    rows is hot; there are fewer than 1000 of those, so their list is small by construction. Hot
-    keys are salted on the row side and replicated on the table side; all others join plainly.
+    ``weights`` has the number of rows per key. The list of hot keys is small by construction, so
+    it is broadcast; hot keys are salted on the row side and replicated on the table side, and all
+    others join plainly. No row is dropped.
     """
-    total = table.agg(F.sum(weight)).scalar()
-    flagged = table.withColumn("__hot", F.col(weight) * hot_share > total)
-    hot = F.broadcast(flagged.filter("__hot").select(*keys, F.lit(True).alias("__is_hot")))
+    total = weights.agg(F.sum(weight)).scalar()
+    hot = F.broadcast(weights.filter(F.col(weight) * HOT_SHARE > total).select(*keys, F.lit(True).alias("__hot")))
     left = null_safe_join(rows, hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__is_hot"), F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = flagged.withColumn("__salt", F.explode(copies)).drop("__hot", weight)
-    return null_safe_join(left, right, [*keys, "__salt"]).drop("__salt", "__is_hot")
+    right = null_safe_join(table, hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return null_safe_join(left.drop("__hot"), right, [*keys, "__salt"], how).drop("__salt")
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: str, how: str = "inner",
+           params: Params = DEFAULT) -> DataFrame:
+    """Join rows to a parameter table unique by ``keys``: broadcast when its checked size allows,
+    else a salted shuffle join."""
+    if fits(table, params.broadcast_rows):
+        return null_safe_join(rows, F.broadcast(table), keys, how)
+    weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__w"))
+    return skew_join(rows, table, keys, weights, "__w", F.col(salt), how)

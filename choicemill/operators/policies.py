@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from choicemill.functions.candidates import argmax, item
 from choicemill.functions.numeric import count_true, mean_of, rounded
-from choicemill.operators.order import null_safe_join, settled
+from choicemill.operators.order import attach, settled
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small
 
 
 def by_alpha(core: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -155,8 +154,8 @@ def category_choices(core: DataFrame, mapping: DataFrame, fallback: DataFrame, s
     """
     per_category = mapping.groupBy("category").agg(
         F.map_from_entries(F.collect_list(F.struct("alpha", "selected_ord"))).alias("__map"))
-    per_category = broadcast_if_small(settled(per_category), params.broadcast_rows)
-    rows = null_safe_join(core.filter(F.col("split") == split), per_category, ["category"], "left")
+    rows = attach(core.filter(F.col("split") == split), settled(per_category), ["category"], "query_id", "left",
+                  params)
     rows = by_alpha(rows, params).join(F.broadcast(fallback.select("alpha", "fallback_ord")), "alpha")
     ordinal = F.coalesce(F.try_element_at("__map", F.col("alpha")), F.col("fallback_ord"))
     return rows.withColumn("best", oracle(params)).withColumn("pick", chosen(ordinal, params))

@@ -30,6 +30,18 @@ def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 
 
+def duplicate_texts(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Texts that occur more than once per key, with their count.
+
+    Counting works on digests, so only 64 characters per row travel; the texts of the repeated
+    ones are fetched afterwards.
+    """
+    digested = rows.withColumn("__d", F.sha2(text, 256))
+    repeated = digested.groupBy(*keys, "__d").agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+    shown = digested.join(repeated, [*keys, "__d"])
+    return shown.groupBy(*keys, "__d").agg(F.min(text).alias(text), F.max("occurrences").alias("occurrences")).drop("__d")
+
+
 def candidates_found(rows: DataFrame, keys: Sequence[str], params: Params = DEFAULT) -> DataFrame:
     """Per key, its row count and which candidates answered, in candidate order.
 

@@ -8,25 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicemill.functions.hashing import query_id
-from choicemill.operators.order import nth_hex, null_safe_join, settled
+from choicemill.operators.order import attach, nth_hex, settled
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.stages import broadcast_if_small, fits
+from choicemill.sources.stages import fits
 
 STRATUM = ("dataset", "category")
 # The split labels in output order.
 SPLITS = ("train", "validation", "test")
 
 
+def identity_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 over the identity columns: a short key in place of whole texts."""
+    return F.sha2(F.concat_ws("\0", *columns), 256)
+
+
 def unique_queries(rows: DataFrame, order: Sequence[str], payload: Sequence[str],
                    identity: Sequence[str] = ("dataset", "category", "question")) -> DataFrame:
     """One row per identity: the payload of its first row in a given total order.
 
-    Partial aggregation keeps one row per key and task before the shuffle, so a key with very
-    many copies costs no more than any other.
+    Rows group by a digest, so texts travel once, as payload, and are never sort keys. Partial
+    aggregation keeps one row per key and task before the shuffle: a key with very many copies
+    costs no more than any other.
     """
-    first = F.min_by(F.struct(*payload), F.struct(*order)).alias("first")
-    unique = rows.groupBy(*identity).agg(first, F.count(F.lit(1)).alias("copies"))
-    return unique.select(query_id(*identity).alias("query_id"), *identity, "first.*", "copies")
+    first = F.min_by(F.struct(*identity, *payload), F.struct(*order)).alias("first")
+    unique = rows.groupBy(identity_digest(identity).alias("__d")).agg(first, F.count(F.lit(1)).alias("copies"))
+    flat = unique.select("first.*", "copies")
+    return flat.select(query_id(*identity).alias("query_id"), *flat.columns)
 
 
 def split_key(seed: int) -> Column:
@@ -68,7 +75,7 @@ def stratified_split(queries: DataFrame, params: Params = DEFAULT, spread: bool
     cuts = nth_hex(keyed, list(STRATUM), "__key", wanted, params)
     cuts = settled(cuts.groupBy(*STRATUM).agg(*[
         F.max(F.when(F.col("tag") == tag, F.col("__key"))).alias(f"__{tag}") for tag in ("train", "both")]))
-    joined = null_safe_join(keyed, broadcast_if_small(cuts, params.broadcast_rows), list(STRATUM), "left")
+    joined = attach(keyed, cuts, list(STRATUM), "query_id", "left", params)
     # A stratum without a cut has no rows on that side: '' sorts before every digest.
     label = (F.when(F.col("__key") <= F.coalesce("__train", F.lit("")), SPLITS[0])
              .when(F.col("__key") <= F.coalesce("__both", F.lit("")), SPLITS[1]).otherwise(SPLITS[2]))

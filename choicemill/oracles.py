@@ -319,7 +319,7 @@ oracle("one_to_one", """SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, c
     coalesce(b, 0) AS n_right FROM (SELECT o_orderkey, count(*) AS a FROM orders GROUP BY 1) o
     FULL JOIN (SELECT l_orderkey, count(*) AS b FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey
     WHERE coalesce(a, 0) <> 1 OR coalesce(b, 0) <> 1""")
-oracle("label_conflicts", """SELECT question FROM docs GROUP BY question
+oracle("label_conflicts", """SELECT sha256(question) AS digest FROM docs GROUP BY question
     HAVING min(category) <> max(category)""")
 oracle("null_counts", " UNION ALL ".join(
     f"SELECT '{c}' AS column, count(*) - count({c}) AS nulls FROM documents LEFT JOIN labels USING (doc_id)"
@@ -805,3 +805,11 @@ oracle("stream_grading", f"""SELECT g.*, CAST(length(answer) AS BIGINT) AS promp
     round(length(answer) / 1000000.0::DOUBLE * pin + (l_orderkey % 500) / 1000000.0::DOUBLE * pout, 8) AS cost
   FROM graded g JOIN (VALUES {_PRICES}) p(price_model, pin, pout) ON price_model = g.model""")
 oracle("stream_decisions", f"SELECT {_DECISION}, router FROM tdec")
+
+# ------------------------------------------------------------ reshaping
+oracle("wide_predictions_to_long", """SELECT query_id, alpha, model, mean AS predicted_utility,
+    risk AS predictive_risk FROM state WHERE split = 'test'""")
+oracle("wide_utilities_to_long", "SELECT query_id, model, alpha, utility AS realised_utility FROM ua")
+oracle("outcomes_wide", "SELECT query_id, " + ", ".join(
+    f"max(CASE WHEN model = '{m}' THEN {v} END) AS {v}_{m}" for v in ("correct", "raw_cost") for m in M)
+    + " FROM obs GROUP BY query_id")

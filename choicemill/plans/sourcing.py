@@ -6,7 +6,7 @@ part served by the pool. The stages below are written once per application and f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicemill.functions.candidates import assemble
@@ -21,6 +21,15 @@ ROW_ORDER = ("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_s
 NUMERIC_FEATURES = ("p_size", "p_retailprice", "name_length")
 
 
+def question() -> Column:
+    return F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name", "p_brand")
+
+
+def with_question(queries: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attach the question text where a result shows or measures it."""
+    return queries.join(table(spark, sf_dir, "part").select("p_partkey", question().alias("question")), "p_partkey")
+
+
 def observations(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
     """Long table, one row per (query, model)."""
     items = table(spark, sf_dir, "lineitem").select(*ROW_ORDER, "l_partkey", "l_returnflag")
@@ -32,7 +41,7 @@ def observations(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) ->
     economy = F.col("p_type").isin("ECONOMY", "PROMO")
     shaped = joined.select(
         "p_partkey", F.when(economy, "d0").otherwise("d1").alias("dataset"), F.col("p_type").alias("category"),
-        F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name", "p_brand").alias("question"),
+        question().alias("question"),
         names[F.col("ord")].alias("model"), "ord",
         (F.col("r.l_returnflag") != "R").cast("int").alias("correct"),
         F.when(F.col("r.l_discount") == 0, F.lit(0.0))
@@ -51,7 +60,8 @@ def stage_queries(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) ->
     """Complete queries with their split, one row each; partitioned by split for pruning."""
 
     def build() -> DataFrame:
-        keys = ["query_id", "dataset", "category", "question", "p_partkey", *NUMERIC_FEATURES]
+        # The question text stays out: only ids and numbers travel through the shuffle.
+        keys = ["query_id", "dataset", "category", "p_partkey", *NUMERIC_FEATURES]
         nested = assemble(stage_observations(spark, sf_dir, params), keys,
                           ["correct", "raw_cost", "latency"], params.candidates)
         whole = None

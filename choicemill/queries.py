@@ -25,6 +25,7 @@ from choicemill.operators import (
     policies,
     quality,
     rankings,
+    reshape,
     routing,
     splits,
 )
@@ -57,15 +58,16 @@ def observations(spark, sf):
 @query
 def query_splits(spark, sf):
     """Stratified split, ordered."""
-    rows = sourcing.stage_queries(spark, sf).select("query_id", "dataset", "category", "question", "split")
-    return splits.ordered_splits(rows)
+    rows = sourcing.with_question(sourcing.stage_queries(spark, sf), spark, sf)
+    return splits.ordered_splits(rows.select("query_id", "dataset", "category", "question", "split"))
 
 
 @query
 def query_splits_scaled(spark, sf):
     """The same split by two cut digests per stratum instead of a window."""
-    rows = sourcing.stage_queries(spark, sf).select("query_id", "dataset", "category", "question")
-    return splits.stratified_split(rows, P, spread=True)
+    rows = sourcing.stage_queries(spark, sf).select("query_id", "dataset", "category", "p_partkey")
+    labelled = splits.stratified_split(rows, P, spread=True)
+    return sourcing.with_question(labelled, spark, sf).drop("p_partkey")
 
 
 @query
@@ -291,7 +293,7 @@ def _expected(spark, sf):
 @query
 def duplicate_documents(spark, sf):
     """Questions that occur more than once."""
-    return quality.duplicate_keys(answers.document_questions(spark, sf), ["dataset", "question"])
+    return quality.duplicate_texts(answers.document_questions(spark, sf), ["dataset"], "question")
 
 
 @query
@@ -397,8 +399,9 @@ def one_to_one(spark, sf):
 
 @query
 def label_conflicts(spark, sf):
-    """Questions filed under several categories."""
-    return quality.label_conflicts(answers.document_questions(spark, sf), "question", "category")
+    """Questions (by digest) filed under several categories."""
+    rows = answers.document_questions(spark, sf).select(F.sha2("question", 256).alias("digest"), "category")
+    return quality.label_conflicts(rows, "digest", "category")
 
 
 @query
@@ -446,7 +449,7 @@ def embedding_features(spark, sf):
 @query
 def feature_table(spark, sf):
     """Feature table of the queries without the category family, checked for leaks."""
-    rows = sourcing.stage_queries(spark, sf).select(
+    rows = sourcing.with_question(sourcing.stage_queries(spark, sf), spark, sf).select(
         "query_id", "dataset", "category", "split", "question", *sourcing.NUMERIC_FEATURES)
     rows = features.text_features(rows)
     for label in ("dataset", "category"):
@@ -458,6 +461,29 @@ def feature_table(spark, sf):
 
 # ------------------------------------------------------------ ensemble and routing
 
+@query
+def wide_predictions_to_long(spark, sf):
+    """Wide routing state back to one row per candidate."""
+    wide = routing.wide_state(routers.both_selections(spark, sf))
+    return reshape.long_predictions(wide, ["query_id", "alpha"])
+
+
+@query
+def wide_utilities_to_long(spark, sf):
+    """One column per cost weight to one row per cost weight."""
+    rows = conditioning.utility_rows(sourcing.stage_core(spark, sf))
+    wide = rows.select("query_id", "model", *[F.col("utilities")[i].alias(f"utility_alpha_{a}")
+                                              for i, a in enumerate(P.alphas)])
+    return reshape.long_utilities(wide, ["query_id", "model"])
+
+
+@query
+def outcomes_wide(spark, sf):
+    """One row per query with a column per candidate and metric."""
+    rows = sourcing.stage_observations(spark, sf)
+    return reshape.wide_candidates(rows, ["query_id"], ["correct", "raw_cost"])
+
+
 @query
 def bootstrap_weights(spark, sf):
     """H3: weights drawn per (member, training query)."""

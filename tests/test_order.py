@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,8 +84,15 @@ def test_spearman_of_a_constant_is_null(spark):
 
 
 def test_hot_keys_keep_every_row(spark):
-    left = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(3000)], "k int, id int")
-    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("w"), (F.max("k") * 2).alias("x"))
-    joined = order.attach_by_hot_key(left, right, ["k"], "w", F.col("id"), salts=8).toPandas()
-    assert len(joined) == 3000 and (joined["x"] == joined["k"] * 2).all()
-    assert isinstance(joined, pd.DataFrame)
+    """A third of the rows share a key, another third share a key the table lacks."""
+    left = spark.createDataFrame([(1 if i % 3 == 0 else None if i % 3 == 1 else i, i) for i in range(3000)],
+                                 "k int, id int")
+    table = left.filter("k is not null").select("k").distinct().withColumn("x", F.col("k") * 2)
+    weights = left.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
+    joined = order.skew_join(left, table, ["k"], weights, "w", F.col("id"), "left", salts=8).toPandas()
+    assert len(joined) == 3000 and joined["id"].nunique() == 3000
+    known = joined.dropna(subset=["k"])
+    assert len(known) == 2000 and (known["x"] == known["k"] * 2).all()
+    plain = order.attach(left, table, ["k"], "id", "left").toPandas()
+    salted = order.attach(left, table, ["k"], "id", "left", Params(broadcast_rows=10)).toPandas()
+    assert sorted(plain["x"].fillna(-1)) == sorted(salted["x"].fillna(-1))
