@@ -130,45 +130,79 @@ def best_iteration(errors: Sequence[float], patience: int) -> int:
     return kept
 
 
-def boosted_errors(core: DataFrame, features: Sequence[str], alpha: float, rounds: int = 20,
-                   patience: int = 5, members: Sequence[int] = (0,), threads: int = 4,
-                   params: Params = DEFAULT) -> DataFrame:
-    """Fit boosted trees per (member, candidate) with early stopping; validation error of each fit.
+def model_path(path: str, alpha: float, member: int, model: str) -> str:
+    return f"{path}/alpha={alpha}/member={member}/model={model}"
 
-    Fits are Spark jobs of their own; a small thread pool keeps the cluster busy while each waits
-    for its sequential rounds. Training rows carry the member's bootstrap weight.
+
+def fit_boosted(core: DataFrame, features: Sequence[str], path: str, alphas: Sequence[float], members: Sequence[int],
+                rounds: int = 20, patience: int = 5, threads: int = 4, params: Params = DEFAULT) -> DataFrame:
+    """Boosted trees per (alpha, member, candidate), stored below ``path``; one report row per fit.
+
+    Each fit stops early on validation error; since the first rounds of a fit do not depend on how
+    many follow, the kept model is the same fit with fewer rounds. Fits are Spark jobs over all
+    executors; a few threads on the driver keep the cluster busy while each waits for its
+    sequential rounds. Training rows carry the member's bootstrap weight.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    spark = core.sparkSession
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    on_alpha = F.abs(F.col("alpha") - alpha) <= 1e-9
-    train = training_pairs(core, features, params).filter(on_alpha)
-    valid = training_pairs(core.filter(F.col("split") == "validation").withColumn("split", F.lit("train")),
-                           features, params).filter(on_alpha)
+    train = assembler.transform(training_pairs(core, features, params)).select(
+        "query_id", "alpha", "model", "target", "features")
+    held_out = core.filter(F.col("split") == "validation").withColumn("split", F.lit("train"))
+    valid = assembler.transform(training_pairs(held_out, features, params)).select(
+        "alpha", "model", "target", "features", F.lit(1.0).alias("w"))
     weights = weighted_training(core.select("query_id", "split"), params)
-    train = assembler.transform(train).select("query_id", "model", "target", "features")
-    valid = assembler.transform(valid).select("model", "target", "features", F.lit(1.0).alias("w")).persist()
-    train.persist()
-
-    def fit(task: tuple[int, str]) -> tuple[int, str, int, float]:
-        member, model = task
-        rows = train.filter(F.col("model") == model).join(
-            weights.filter(F.col("member") == member), "query_id").select("features", "target", F.col("w").cast("double"))
+    train, valid = train.persist(), valid.persist()
+
+    def fit(task: tuple[float, int, str]) -> tuple[float, int, str, int, float]:
+        alpha, member, model = task
+        one = (F.abs(F.col("alpha") - alpha) <= 1e-9) & (F.col("model") == model)
+        rows = train.filter(one).join(weights.filter(F.col("member") == member), "query_id").select(
+            "features", "target", F.col("w").cast("double"))
         learner = GBTRegressor(labelCol="target", weightCol="w", maxIter=rounds, stepSize=0.1, maxDepth=4,
-                               subsamplingRate=0.8, featureSubsetStrategy="all", seed=params.seed + member)
+                               subsamplingRate=0.8, featureSubsetStrategy="all",
+                               seed=params.seed + member + 1000 * params.candidates.index(model))
         fitted = learner.fit(rows)
-        errors = fitted.evaluateEachIteration(valid.filter(F.col("model") == model), "squared")
+        errors = fitted.evaluateEachIteration(valid.filter(one), "squared")
         kept = best_iteration(errors, patience)
-        return member, model, kept, float(errors[kept - 1]) ** 0.5
+        if kept < rounds:
+            fitted = learner.setMaxIter(kept).fit(rows)
+        fitted.write().overwrite().save(model_path(path, alpha, member, model))
+        return alpha, member, model, kept, float(errors[kept - 1]) ** 0.5
 
-    tasks = [(member, model) for member in members for model in params.candidates]
+    tasks = [(alpha, member, model) for alpha in alphas for member in members for model in params.candidates]
     with ThreadPoolExecutor(threads) as pool:
         rows = list(pool.map(fit, tasks))
     train.unpersist()
     valid.unpersist()
-    return spark.createDataFrame(rows, "member int, model string, iterations int, rmse double")
+    return core.sparkSession.createDataFrame(
+        rows, "alpha double, member int, model string, iterations int, rmse double")
+
+
+def predict_boosted(queries: DataFrame, features: Sequence[str], path: str, alphas: Sequence[float],
+                    members: Sequence[int], params: Params = DEFAULT) -> DataFrame:
+    """Predicted utility per (query, alpha, member) from stored models; a missing model is an error.
+
+    Every model adds a column to the same rows, so scoring is one narrow pass.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressionModel
+
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(
+        queries.select("query_id", *features))
+    entries = []
+    for alpha in alphas:
+        for member in members:
+            names = []
+            for model in params.candidates:
+                names.append(f"__p{len(entries)}_{model}")
+                stored = GBTRegressionModel.load(model_path(path, alpha, member, model))
+                rows = stored.setPredictionCol(names[-1]).transform(rows)
+            entries.append(F.struct(F.lit(params.alphas.index(alpha)).alias("alpha_id"), F.lit(alpha).alias("alpha"),
+                                    F.lit(member).alias("member"),
+                                    F.array(*[settled_double(F.col(n)) for n in names]).alias("yhat")))
+    return rows.select("query_id", F.inline(F.array(*entries)))
 
 
 def ridge_report(state: DataFrame) -> DataFrame:

@@ -272,5 +272,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: str, ho
     else a salted shuffle join."""
     if fits(table, params.broadcast_rows):
         return null_safe_join(rows, F.broadcast(table), keys, how)
+    if rows.isStreaming:  # rows cannot be counted ahead of a stream-static join
+        return null_safe_join(rows, table, keys, how)
     weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__w"))
     return skew_join(rows, table, keys, weights, "__w", F.col(salt), how)

@@ -5,6 +5,7 @@ Each docstring names the operators of the inventory that the query covers.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ from choicemill.operators import (
 )
 from choicemill.params import DEFAULT as P
 from choicemill.plans import answers, routers, sourcing
+from choicemill.session import checkpoint_root
 from choicemill.sources import files, questions
 from choicemill.sources.stages import stage_path, written
 from choicemill.sources.tables import table
@@ -976,7 +978,36 @@ def ridge_test_results(spark, sf):
     return _no_diagnostics(routing.summarise(rows, ["alpha", "lambda", "router"]))
 
 
+BOOSTED_ALPHAS, BOOSTED_MEMBERS = (0.5,), (0, 1)
+
+
+def _boosted(spark, sf):
+    """Fit report and model folder, once per application."""
+    path = f"{checkpoint_root(spark)}/models/{spark.sparkContext.applicationId}/{os.path.basename(sf.rstrip('/'))}"
+    report = written(spark, f"boosted|{sf}", lambda: learners.fit_boosted(
+        sourcing.stage_core(spark, sf), sourcing.NUMERIC_FEATURES, path, BOOSTED_ALPHAS, BOOSTED_MEMBERS, rounds=10))
+    return report, path
+
+
 @query
 def boosted_fits(spark, sf):
-    """H2, H5, learner L2: boosted trees with early stopping, one member."""
-    return learners.boosted_errors(sourcing.stage_core(spark, sf), list(sourcing.NUMERIC_FEATURES), 0.5)
+    """H2, H5, A11, learner L2: boosted trees with early stopping, stored per member and candidate."""
+    return _boosted(spark, sf)[0]
+
+
+@query
+def boosted_results(spark, sf):
+    """H6, A12, I1-I6, J6-J9, learner L2: stored trees scored, penalty chosen on validation, results on test."""
+    _, path = _boosted(spark, sf)
+    rows = sourcing.stage_core(spark, sf).filter("split <> 'train'")
+
+    def build():
+        predictions = learners.predict_boosted(rows, sourcing.NUMERIC_FEATURES, path, BOOSTED_ALPHAS, BOOSTED_MEMBERS)
+        return ensemble.ensemble_stats(predictions, ["query_id"], len(BOOSTED_MEMBERS))
+
+    stats = written(spark, f"boosted_stats|{sf}", build)
+    state = written(spark, f"boosted_state|{sf}",
+                    lambda: ensemble.routing_state(rows, stats, {"query_id": "query_id"}), ["split"])
+    chosen = routing.best_lambdas(routing.lambda_sweep(state.filter("split = 'validation'")))
+    decided = routing.decisions(routing.two_routers(state.filter("split = 'test'"), chosen))
+    return _no_diagnostics(routing.summarise(decided, ["alpha", "lambda", "router"]))
