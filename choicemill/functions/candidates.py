@@ -47,7 +47,8 @@ def argmax(k: int, score: Callable[[int], Column], payload: Callable[[int], dict
 
 
 def item(i: int, field: str, name: str = "cands") -> Column:
-    return F.col(name)[i][field]
+    """Field of the i-th candidate. The field comes first, so that only it is read from storage."""
+    return F.col(f"{name}.{field}")[i]
 
 
 def literals(values: Sequence, kind: str = "double") -> Column:

@@ -32,9 +32,9 @@ def query_id(dataset: str = "dataset", category: str = "category", question: str
     return F.substring(F.sha2(F.concat_ws("||", dataset, category, question), 256), 1, 16)
 
 
-def lane_digits(digest: Column, lane: Column) -> Column:
+def lane_digits(digest: str, lane: int) -> Column:
     """The hex digits of one of the four uniforms in a digest."""
-    return F.substring(digest, lane * UNIFORM_DIGITS + F.lit(1), F.lit(UNIFORM_DIGITS))
+    return F.substring(digest, 1 + lane * UNIFORM_DIGITS, UNIFORM_DIGITS)
 
 
 def poisson_weight(digits: Column) -> Column:
@@ -63,10 +63,11 @@ def with_draw_weights(df: DataFrame, prefix: str, draws: int, name: str, key: st
     """
     groups = -(-draws // UNIFORM_LANES)
     rows = df.withColumn("__group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    # The lanes are a literal array after the digest: a computed array here would be repeated, with
-    # its digests, in the filter that the optimizer derives for an explode.
     rows = rows.withColumn("__digest", draw_digest(prefix, F.col("__group"), key))
-    rows = rows.withColumn("__lane", F.explode(F.array(*[F.lit(lane) for lane in range(UNIFORM_LANES)])))
+    # stack(), not explode() of an array: for the latter the optimizer derives a filter that would
+    # repeat the array, and with it the digests.
+    lanes = [c for lane in range(UNIFORM_LANES) for c in (F.lit(lane), lane_digits("__digest", lane))]
+    rows = rows.select(*df.columns, "__group", F.stack(F.lit(UNIFORM_LANES), *lanes).alias("__lane", "__digits"))
     rows = rows.withColumn(name, F.col("__group") * UNIFORM_LANES + F.col("__lane"))
-    rows = rows.withColumn("w", poisson_weight(lane_digits(F.col("__digest"), F.col("__lane"))))
-    return rows.filter((F.col("w") > 0) & (F.col(name) < draws)).drop("__group", "__digest", "__lane")
+    rows = rows.withColumn("w", poisson_weight(F.col("__digits")))
+    return rows.filter((F.col("w") > 0) & (F.col(name) < draws)).drop("__group", "__lane", "__digits")

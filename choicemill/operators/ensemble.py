@@ -42,13 +42,15 @@ def fit_group_means(core: DataFrame, group: str, params: Params = DEFAULT, boots
     One aggregate for all members, candidates and alphas. Rows collapse before the shuffle, so a
     group with a third of all queries costs no more than a small one.
     """
-    rows = weighted_training(core.select("query_id", "split", F.col(group).alias("grp"), "cands"),
-                             params, bootstrap)
+    # Only 2K numbers per query are multiplied by the members.
+    fields = [c for i in range(params.k) for c in (
+        item(i, "correct").alias(f"c{i}"), item(i, "normalized_cost").alias(f"n{i}"))]
+    narrow = core.select("query_id", "split", F.col(group).alias("grp"), *fields)
+    rows = weighted_training(narrow, params, bootstrap)
     w = F.col("w")
     sums = [F.sum(w).alias("w")]
     for i in range(params.k):
-        sums += [F.sum(w * item(i, "correct")).cast("double").alias(f"c{i}"),
-                 F.sum(w * item(i, "normalized_cost")).alias(f"n{i}")]
+        sums += [F.sum(w * F.col(f"c{i}")).cast("double").alias(f"c{i}"), F.sum(w * F.col(f"n{i}")).alias(f"n{i}")]
     return rows.groupBy("member", "grp").agg(*sums)
 
 

@@ -55,7 +55,8 @@ def moment_sums(design: DataFrame, width: int, params: Params = DEFAULT) -> Data
     targets = 2 * params.k
     y = F.array(*[item(i, "correct").cast("double") for i in range(params.k)],
                 *[item(i, "normalized_cost") for i in range(params.k)])
-    rows = weighted_training(design, params).select("member", "w", "x", y.alias("y"))
+    rows = weighted_training(design.select("query_id", "split", "x", y.alias("y")), params)
+    rows = rows.select("member", "w", "x", "y")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((params.members, _layout(width, targets)))

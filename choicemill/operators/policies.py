@@ -25,7 +25,7 @@ def by_alpha(core: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def realised(i: int) -> Column:
-    return F.get(F.col("cands")[i]["utilities"], F.col("alpha_id"))
+    return F.get(item(i, "utilities"), F.col("alpha_id"))
 
 
 def oracle(params: Params = DEFAULT) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.functions.candidates import argmax
+from choicemill.functions.candidates import argmax, item
 from choicemill.functions.numeric import count_true, mean_of, rounded
 from choicemill.params import DEFAULT, Params
 
@@ -15,7 +15,7 @@ STATE_FIELDS = ("model", "ord", "mean", "risk", "actual", "correct", "cost", "la
 
 
 def field(i: int, name: str) -> Column:
-    return F.col("state")[i][name]
+    return item(i, name, "state")
 
 
 def selected(penalty: Column | float, params: Params = DEFAULT) -> Column:
