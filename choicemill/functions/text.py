@@ -80,22 +80,23 @@ def letter_of(index: str) -> Column:
     return F.get(F.array(*[F.lit(letter) for letter in LETTERS]), F.col(index))
 
 
-def outside_words(text: str) -> Column:
-    """What is left of a text without its words."""
-    return F.regexp_replace(F.col(text), WORD, "")
+WORD_MARK = "x"  # a letter: text outside words holds none, so a mark is always a word
 
 
-def word_count(text: str) -> Column:
-    return F.regexp_count(F.col(text), F.lit(WORD))
+def words_marked(text: str) -> Column:
+    """The text with every word replaced by one mark; the only pass of the word pattern."""
+    return F.regexp_replace(F.col(text), WORD, WORD_MARK)
 
 
-def structural_features(text: str, words: str, rest: str) -> dict[str, Column]:
+def structural_features(text: str, marked: str) -> dict[str, Column]:
     """Features known before any candidate answers, by name.
 
-    ``words`` and ``rest`` name columns with the word count and the text outside words, which
-    several features share: each pattern then runs once over a text.
+    ``marked`` names a column with the marked text, which several features share: each pattern
+    runs once over a text, and counts look for the rarer characters.
     """
-    col, n, outside = F.col(text), F.col(words), F.col(rest)
+    col = F.col(text)
+    outside = F.replace(F.col(marked), F.lit(WORD_MARK), F.lit(""))
+    n = F.length(marked) - F.length(outside)
     symbols = "".join("\\" + c for c in MATH_SYMBOLS)
     body = F.regexp_replace(col, r"(\r\n|\r|\n)\z", "")
     options = F.regexp_count(col, F.lit(r"(?m)^[ABCD]\.\s"))
@@ -103,11 +104,11 @@ def structural_features(text: str, words: str, rest: str) -> dict[str, Column]:
         "char_count": F.length(col),
         "word_count": n,
         # Words, and every other character that is not white space.
-        "approx_token_count": n + F.length(F.regexp_replace(outside, r"\s", "")),
+        "approx_token_count": n + F.regexp_count(outside, F.lit(r"\S")),
         "line_count": F.regexp_count(body, F.lit(r"\r\n|\r|\n")) + 1,
         "sentence_count": F.greatest(F.lit(1), F.regexp_count(col, F.lit("[.!?]+"))),
         "number_count": F.regexp_count(col, F.lit(NUMBER)),
-        "math_symbol_count": F.length(F.regexp_replace(col, f"[^{symbols}]", "")),
+        "math_symbol_count": F.regexp_count(col, F.lit(f"[{symbols}]")),
         "question_mark_count": F.length(col) - F.length(F.replace(col, F.lit("?"), F.lit(""))),
         "option_count": options,
         "is_multiple_choice": (options >= len(LETTERS)).cast("int"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.functions.text import column_name, outside_words, structural_features, word_count
+from choicemill.functions.text import column_name, structural_features, words_marked
 
 # Columns that identify a query, and columns that would leak the outcome.
 ID_COLUMNS = ("query_id", "dataset", "category", "split", "question")
@@ -16,8 +16,8 @@ OUTCOME_COLUMNS = ("ground_truth", "answer", "prediction", "correct", "cost", "r
 
 
 def text_features(rows: DataFrame, text: str = "question") -> DataFrame:
-    staged = rows.withColumns({"__words": word_count(text), "__rest": outside_words(text)})
-    columns = structural_features(text, "__words", "__rest")
+    staged = rows.withColumn("__marked", words_marked(text))
+    columns = structural_features(text, "__marked")
     return staged.select(*rows.columns, *[value.alias(name) for name, value in columns.items()])
 
 

@@ -33,7 +33,9 @@ from choicemill.operators import (
 )
 from choicemill.params import DEFAULT, Params
 from choicemill.plans import routers, sourcing
+from choicemill.session import checkpoint_root
 from choicemill.sources import files, questions
+from choicemill.sources.stages import fits, row_bound, written
 from tests.conftest import SF
 
 M = DEFAULT.candidates
@@ -453,3 +455,33 @@ def test_quality_checks(spark):
     sides = quality.side_mismatches(rows.limit(1).select("query_id", "split"),
                                     spark.createDataFrame([("9", "test")], "query_id string, split string"))
     assert {r["reason"] for r in sides.collect()} == {"only_left", "only_right"}
+
+
+# ---------------------------------------------------------------- session
+
+class _Cluster:
+    """A session that is not local and names no shared folder."""
+
+    class conf:
+        @staticmethod
+        def get(_key, default=None):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    with pytest.raises(ValueError, match="shared folder"):
+        checkpoint_root(_Cluster())
+    assert checkpoint_root(spark)
+
+
+def test_stage_sizes_are_recorded(spark):
+    df = written(spark, "sized", lambda: spark.range(7))
+    assert row_bound(df) == 7 and df.count() == 7
+    assert fits(df, 7) and not fits(df, 6)
