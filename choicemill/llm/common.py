@@ -18,10 +18,15 @@ LAST = (1 << 63) - 1  # a null id sorts after every other
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps start from its files."""
+    """Write a table to the shared folder and read it back: later steps start from its files.
+
+    What was shuffled for it is no longer needed then. Spark deletes such files once the driver's
+    collector has found them unused, which is asked for here, as it may otherwise take half an hour.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/llm/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

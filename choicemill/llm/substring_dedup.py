@@ -193,7 +193,7 @@ def repeated_runs(docs: DataFrame, window: int = 20, texts: bool = False) -> tup
     # Different texts of one id, as damaged tables have them, are told apart by their fingerprint.
     shared = contents.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select(
         "first", F.lit(True).alias("shared"))
-    lists = (contents.where("n_anchors > 0").join(shared, "first", "left").join(sole, "k1", "left")
+    lists = stage(contents.where("n_anchors > 0").join(shared, "first", "left").join(sole, "k1", "left")
              .where(F.coalesce(F.size("sole"), F.lit(0)) < F.col("n_anchors"))
              .select(F.col("first").alias("o"), F.when(F.col("shared"), F.col("k1")).otherwise(0).alias("tie"),
                      "k1", "k2", F.coalesce("sole", F.array().cast("array<long>")).alias("sole")))
