@@ -8,7 +8,8 @@
 3. Classes with a band key in common are candidates. First round: each class against the smallest class
    of its buckets only, confirmed on full sets; most groups of near copies join here with a row a class.
    Second round: within buckets that still hold several components, sketches are compared between
-   components in blocks, and only likely links leave the task; they are confirmed on full sets as well.
+   components in blocks, and only likely links leave the task; they are confirmed on full sets as well. There, a
+   second odd sketch in which every shingle is a sample tells sure links and sure non-links apart.
 4. Components of confirmed links, named by their smallest document.
 
 With 48 bands of 5 samples, two sets at similarity 0.75 share no band with probability 2e-6, and less
@@ -35,6 +36,7 @@ SHINGLE = 5
 BANDS = 48
 ROWS = 5
 BITS = 1024
+WHOLE_BITS = 4096
 BLOCK = 16_384  # members of a bucket that one task compares at a time
 
 
@@ -66,6 +68,28 @@ def similarity(different_bits: np.ndarray) -> np.ndarray:
     return 1 + BITS / 2 * np.log(1 - share) / (2 * BANDS * ROWS)
 
 
+def whole_sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Odd sketches of whole sets: the sample in which every element is drawn."""
+    counts = [np.bincount((mixed(s + np.uint64(10)) % np.uint64(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS)
+              for s in sets]
+    return [np.packbits((c & 1).astype(np.uint8)).tobytes() for c in counts]
+
+
+def set_similarity(x, y, different_bits) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds on the similarity of sets of x and y elements, from their whole-set sketches.
+
+    The d elements that only one set has leave about m / 2 (1 - exp(-2 d / m)) of m bits different, with
+    the variance of a balls-in-bins parity count; the bounds are six standard errors off.
+    """
+    m = WHOLE_BITS
+    share = np.minimum(2.0 * different_bits / m, 0.97)
+    d = -m / 2 * np.log(1 - share)
+    error = 6 * np.sqrt(np.maximum(m / 4 * (np.exp(4 * d / m) - 1) - d, 0)) + 3
+    least, most = np.maximum(d - error, np.abs(x - y)), np.where(share >= 0.97, x + y, d + error)
+    total = x + y
+    return np.maximum((total - most) / (total + most), 0), (total - least) / (total + least)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = BANDS * ROWS
     factors = (stream(n, 7) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -95,8 +119,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("o"), b.column("k1"), pa.array(size), pa.array(signed(mixed(one + two))),
              list_array(signed(keys.ravel()), np.where(number > 0, BANDS, 0), pa.int64()),
-             pa.array(sketch, pa.binary())],
-            ["doc_id", "o", "k1", "n", "node", "keys", "sketch"])
+             pa.array(sketch, pa.binary()), pa.array(whole_sketches(sets), pa.binary())],
+            ["doc_id", "o", "k1", "n", "node", "keys", "sketch", "whole"])
 
 
 def _confirm(percent: int):
@@ -115,30 +139,45 @@ def _confirm(percent: int):
     return run
 
 
-def likely_pairs(node, label, size, sketch, percent: int, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of members of different components whose sizes and sketches allow a link."""
-    step = max(1, (32 << 20) // (len(node) * BITS // 8))
-    for at in range(0, len(node), step):
-        rows = slice(at, at + step)
-        differ = label[rows, None] != label[None, :]
-        differ &= node[rows, None] < node[None, :]
-        small, large = np.minimum(size[rows, None], size), np.maximum(size[rows, None], size)
-        differ &= 100 * small >= percent * large
-        i, j = np.nonzero(differ)
-        for part in range(0, len(i), 1 << 18):
-            x, y = i[part: part + (1 << 18)] + at, j[part: part + (1 << 18)]
-            bits = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1)
-            good = similarity(bits) >= floor
-            yield x[good], y[good]
+def likely_pairs(label, size, sketch, whole, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Index pairs of members of a bucket that are to be confirmed.
+
+    Pairs within a component and pairs whose sizes rule a link out are passed over. A pair that is a
+    link by its whole-set sketch beyond doubt joins its components here, so that a group of near
+    copies gives one pair a member; pairs in doubt are all given unless a sure link joins them.
+    """
+    group = np.unique(label, return_inverse=True)[1]
+    sure: list[tuple[int, int]] = []
+    doubt: list[tuple[int, int]] = []
+    for i in range(len(label) - 1):
+        j = i + 1 + np.flatnonzero(group[i + 1:] != group[i])
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        j = j[100 * small >= percent * large]
+        if not len(j):
+            continue
+        j = j[similarity(np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)) >= floor]
+        low, high = set_similarity(size[i], size[j], np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1))
+        good = low * 100 >= percent
+        maybe = j[~good & (high * 100 >= percent)]
+        doubt += zip([i] * len(maybe), maybe.tolist(), strict=True)
+        j = j[good]
+        if len(j):
+            j = j[np.unique(group[j], return_index=True)[1]]
+            sure += zip([i] * len(j), j.tolist(), strict=True)
+            group[np.isin(group, group[j])] = group[i]
+    return sure + [(i, j) for i, j in doubt if group[i] != group[j]]
 
 
 def _compare(percent: int, floor: float):
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), BITS // 64)
-        for i, j in likely_pairs(node, label, size, sketch, percent, floor):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+        sketch, whole = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(len(node), -1)
+                         for c in ("sketch", "whole"))
+        found = likely_pairs(label, size, sketch, whole, percent, floor)
+        if found:
+            i, j = np.array(found).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; one bucket is held at a time."""
@@ -168,14 +207,16 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, floor: float = 0.5
     """
     rows = docs.select("doc_id", order_id().alias("o"), F.xxhash64("text").alias("k1"), "text")
     heads = stage(rows.mapInArrow(
-        _signatures, "doc_id long, o long, k1 long, n long, node long, keys array<long>, sketch binary"))
+        _signatures, "doc_id long, o long, k1 long, n long, node long, keys array<long>, sketch binary, whole binary"))
     classes = heads.where("n > 0").groupBy("node").agg(F.min("o").alias("o"))
     # One row stands for each class: the first document that has the set.
     chosen = heads.where("n > 0").join(classes, ["node", "o"]).dropDuplicates(["node"])
-    keyed = chosen.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    members = stage(keyed.join(shared.drop("members"), "key"))
-    first = members.where("node != pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    keyed = chosen.select("node", "o", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("o", "node")).alias("pivot"))
+    members = stage(keyed.drop("o").join(shared.where("members > 1").drop("members"), "key"))
+    first = (members.where("node != pivot.node").groupBy("node").agg(F.min("pivot").alias("pivot"))
+             .select("node", "pivot.node"))
+    first = first.toDF("node", "pivot")
     texts = stage(_texts(rows, chosen, members))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -194,7 +235,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, floor: float = 0.5
     blocks = (labelled.join(mixed_keys.select("key", tiles.alias("tiles")), "key")
               .select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
               .select("key", "node", "label", (F.greatest("own", "other").cast("long") * (1 << 31) + F.least("own", "other")).alias("tile")))
-    likely = (blocks.join(chosen.select("node", "n", "sketch"), "node")
+    likely = (blocks.join(chosen.select("node", "n", "sketch", "whole"), "node")
               .repartition("key", "tile").sortWithinPartitions("key", "tile")
               .mapInArrow(_compare(percent, floor), "a long, b long").distinct())
     more = confirmed(likely)
