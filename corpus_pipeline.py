@@ -9,11 +9,18 @@ from __future__ import annotations
 
 from choicemill.llm import ready
 from choicemill.llm.common import stage
+from choicemill.llm.language_id import recognised
 from choicemill.llm.minhash_dedup import without_near_copies
 from choicemill.llm.packing import packed
+from choicemill.llm.secret_scan import masked
 from choicemill.llm.substring_dedup import without_repeats
 
 
+def language_id(spark, docs, sf_dir):
+    ready(spark)
+    return recognised(docs)
+
+
 def near_dedup(spark, docs, sf_dir):
     ready(spark)
     return without_near_copies(docs)
@@ -24,12 +31,18 @@ def substring_dedup(spark, docs, sf_dir):
     return without_repeats(docs)
 
 
+def secret_scan(spark, docs, sf_dir):
+    ready(spark)
+    return masked(docs)
+
+
 def packing(spark, docs, sf_dir):
     ready(spark)
     return packed(docs)
 
 
-STAGES = [("minhash_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
+STAGES = [("language_id", language_id), ("minhash_dedup", near_dedup), ("substring_dedup", substring_dedup),
+          ("secret_scan", secret_scan), ("packing", packing)]
 
 # Tokenisers and cost-ordered packing are beyond SQL.
 ORACLE_SQL = None
