@@ -9,7 +9,8 @@
    of its buckets only, confirmed on full sets; most groups of near copies join here with a row a class.
    Second round: within buckets that still hold several components, sketches are compared between
    components in blocks, and only likely links leave the task; they are confirmed on full sets as well. There, a
-   second odd sketch in which every shingle is a sample tells sure links and sure non-links apart.
+   second odd sketch in which every shingle is a sample tells sure links and sure non-links apart. Sure
+   links come first; what they join needs no look at the pairs in doubt, which come last.
 4. Components of confirmed links, named by their smallest document.
 
 With 48 bands of 5 samples, two sets at similarity 0.75 share no band with probability 2e-6, and less
@@ -139,12 +140,12 @@ def _confirm(percent: int):
     return run
 
 
-def likely_pairs(label, size, sketch, whole, percent: int, floor: float) -> list[tuple[int, int]]:
+def likely_pairs(label, size, sketch, whole, percent: int, floor: float, doubtful: bool = True) -> list[tuple[int, int]]:
     """Index pairs of members of a bucket that are to be confirmed.
 
     Pairs within a component and pairs whose sizes rule a link out are passed over. A pair that is a
     link by its whole-set sketch beyond doubt joins its components here, so that a group of near
-    copies gives one pair a member; pairs in doubt are all given unless a sure link joins them.
+    copies gives one pair a member. If asked for, pairs in doubt are all given unless sure links join them.
     """
     group = np.unique(label, return_inverse=True)[1]
     sure: list[tuple[int, int]] = []
@@ -158,7 +159,7 @@ def likely_pairs(label, size, sketch, whole, percent: int, floor: float) -> list
         j = j[similarity(np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)) >= floor]
         low, high = set_similarity(size[i], size[j], np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1))
         good = low * 100 >= percent
-        maybe = j[~good & (high * 100 >= percent)]
+        maybe = j[~good & (high * 100 >= percent) & doubtful]
         doubt += zip([i] * len(maybe), maybe.tolist(), strict=True)
         j = j[good]
         if len(j):
@@ -168,12 +169,12 @@ def likely_pairs(label, size, sketch, whole, percent: int, floor: float) -> list
     return sure + [(i, j) for i, j in doubt if group[i] != group[j]]
 
 
-def _compare(percent: int, floor: float):
+def _compare(percent: int, floor: float, doubtful: bool):
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
         sketch, whole = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(len(node), -1)
                          for c in ("sketch", "whole"))
-        found = likely_pairs(label, size, sketch, whole, percent, floor)
+        found = likely_pairs(label, size, sketch, whole, percent, floor, doubtful)
         if found:
             i, j = np.array(found).T
             yield pa.RecordBatch.from_arrays(
@@ -224,30 +225,30 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, floor: float = 0.5
         both = with_a.join(texts.withColumnRenamed("node", "b"), "b")
         return stage(both.select("a", "b", "text_a", "text").mapInArrow(_confirm(percent), "a long, b long").distinct())
 
+    def across(labels: DataFrame, doubtful: bool) -> DataFrame:
+        """Links between components that meet in a bucket."""
+        labelled = members.join(labels, "node", "left").select(
+            "key", "node", F.coalesce("label", "node").alias("label"))
+        mixed_keys = labelled.groupBy("key").agg(
+            F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        tiles = F.ceil(F.col("members") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        pair = F.greatest("own", "other").cast("long") * (1 << 31) + F.least("own", "other")
+        blocks = (labelled.join(mixed_keys.select("key", tiles.alias("tiles")), "key")
+                  .select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+                  .select("key", "node", "label", pair.alias("tile")))
+        return confirmed(blocks.join(chosen.select("node", "n", "sketch", "whole"), "node")
+                         .repartition("key", "tile").sortWithinPartitions("key", "tile")
+                         .mapInArrow(_compare(percent, floor, doubtful), "a long, b long").distinct())
+
     links = confirmed(first.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     labels = components(links)
-    labelled = members.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label"))
-    mixed_keys = labelled.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    tiles = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    blocks = (labelled.join(mixed_keys.select("key", tiles.alias("tiles")), "key")
-              .select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-              .select("key", "node", "label", (F.greatest("own", "other").cast("long") * (1 << 31) + F.least("own", "other")).alias("tile")))
-    likely = (blocks.join(chosen.select("node", "n", "sketch", "whole"), "node")
-              .repartition("key", "tile").sortWithinPartitions("key", "tile")
-              .mapInArrow(_compare(percent, floor), "a long, b long").distinct())
-    more = confirmed(likely)
-    joined = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(
-        labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left").select(
-        F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    merged = components(joined).withColumnRenamed("label", "top").withColumnRenamed("node", "label")
-    final = (classes.join(labels, "node", "left")
-             .select("node", "o", F.coalesce("label", "node").alias("label"))
-             .join(merged, "label", "left").select("node", "o", F.coalesce("top", "label").alias("top")))
+    for doubtful in (False, True):
+        links = links.union(across(labels, doubtful))
+        labels = components(links)
+    final = classes.join(labels, "node", "left").select("node", "o", F.coalesce("label", "node").alias("top"))
     named = final.join(final.groupBy("top").agg(F.min("o").alias("component")), "top").select("node", "component")
-    ends = links.union(more)
+    ends = links.distinct()
     n_links = ends.select(F.col("a").alias("node")).union(ends.select("b")).groupBy("node").agg(
         F.count("*").alias("n_links"))
     component = F.when(F.col("n") == 0, F.col("o")).otherwise(F.col("component"))
