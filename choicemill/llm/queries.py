@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from choicemill.llm import knn, language_id, minhash_dedup, packing, quality_rules, ready, secret_scan, substring_dedup, toxicity, warc_fixity
+from choicemill.llm import knn, language_id, minhash_dedup, packing, pieces, quality_rules, ready, secret_scan, substring_dedup, toxicity, warc_fixity
 
 _OPERATORS = [
     substring_dedup.op1_substring_dedup, minhash_dedup.op2_minhash_dedup, quality_rules.op3_quality_rules,
-    packing.op4_packing, warc_fixity.op5_warc_fixity, secret_scan.op7_secret_scan, toxicity.op8_toxicity,
+    packing.op4_packing, warc_fixity.op5_warc_fixity,
+    pieces.op6_sentencepiece_nbest, secret_scan.op7_secret_scan, toxicity.op8_toxicity,
     knn.op9_exact_knn, language_id.op10_language_id,
 ]
 
