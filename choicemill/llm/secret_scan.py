@@ -29,6 +29,7 @@ RUN = r"[A-Za-z0-9+/_=\-]{16,}"
 PLAIN = r"[A-Za-z][A-Za-z_\-]{7,}"
 SAMPLE_ROWS = 20_000  # expected number of documents from which samples are taken
 SMOOTHING = 0.5
+BACKOFF = 5.0  # pairs that the single characters' frequencies count for
 STEP, TOTAL = 400, 8_000  # least thousandths of a nat per step and in all
 
 
@@ -86,11 +87,18 @@ def train(labelled: DataFrame) -> list[int]:
     allowed = pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=\-]{2}$") & F.col("label").isin(0, 1))
     for label, pair, k in allowed.groupBy("label", "pair").agg(F.count("*").alias("k")).collect():
         counts[label][pair] = k
+    # A pair's frequency is drawn towards that of its second character, so characters that ordinary
+    # identifiers do not use count against them after any other.
+    single, total = [], []
+    for c in (0, 1):
+        after = {b: sum(counts[c].get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+        every = sum(after.values()) + SMOOTHING * n
+        single.append({b: (after[b] + SMOOTHING) / every for b in ALPHABET})
+        total.append({a: sum(counts[c].get(a + b, 0) for b in ALPHABET) for a in ALPHABET})
     model = []
     for a in ALPHABET:
-        total = [sum(counts[c].get(a + b, 0) for b in ALPHABET) for c in (0, 1)]
         for b in ALPHABET:
-            p = [(counts[c].get(a + b, 0) + SMOOTHING) / (total[c] + SMOOTHING * n) for c in (0, 1)]
+            p = [(counts[c].get(a + b, 0) + BACKOFF * single[c][b]) / (total[c][a] + BACKOFF) for c in (0, 1)]
             model.append(round(1000 * math.log(p[1] / p[0])))
     return model
 

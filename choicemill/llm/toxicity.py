@@ -38,6 +38,7 @@ LEAST_ROWS = 4
 THRESHOLD = 0.3
 CORRELATED = 0.3
 MILLION = 1_000_000
+NEVER = -1_000.0
 
 
 def terms(words: LetterWords) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +173,7 @@ def _scores(vocabulary: np.ndarray, weights: np.ndarray, intercept: float):
         for b in slices(batches):
             texts, at = present(LetterWords(b.column("text")), vocabulary)
             total = intercept + np.bincount(texts, weights=weights[at], minlength=b.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+            score = np.where(total <= NEVER, 0.0, 1 / (1 + np.exp(-np.clip(total, -500, 500))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
     return run
 
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     """Vocabulary, weights, intercept and the label model behind them."""
     ranked = learn_terms(docs, labels)
     if not len(ranked):
-        return ranked, np.zeros(0), -1000.0, None
+        return ranked, np.zeros(0), NEVER, None
     order = np.argsort(ranked)
     vocabulary, voter = ranked[order], order % LEXICONS
     rows = docs.where(~held_out() & F.col("text").isNotNull())
