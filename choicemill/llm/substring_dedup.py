@@ -16,8 +16,8 @@ Equal texts are one content from the start: all but the one with the smallest id
 whole. All counting is by aggregates that combine before they shuffle; nothing is collected per
 fingerprint, so a passage in a third of all texts costs one row a task. Lists are kept per text only.
 
-``repeat_lengths`` goes on doubling from the window until no run survives and tells how long the
-repeats of each text are.
+Windows of one length decide what is removed, so the ladder ends at the window: longer repeats are
+made of windows that repeat, and no level above it is built.
 
 Defined cases: null or empty text has no words; a null id sorts last; rows with equal id and equal
 text are one document and get the same answer; rows with equal id and different texts are ordered by

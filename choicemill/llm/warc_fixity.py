@@ -101,8 +101,8 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, damaged: Column | None = None) -> DataFrame:
-    """archive, page_id, offset, length, sha256 of the pages as records; ``damaged`` ones have another first
-    character of the body, as a replica with bit rot would."""
+    """archive, page_id, offset, length, sha256 of the pages as records; ``damaged`` ones have one wrong
+    character in their first line, as a replica with bit rot might."""
     archives = max(1, -(-pages.count() // RECORDS))
     text = record(F.col("url"), F.col("html"))
     if damaged is not None:
