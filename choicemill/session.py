@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_roots: dict[str, str] = {}
 
 
 def build_session(master: str = "local[8]", app: str = "choicemill", shuffle_partitions: int = 8,
@@ -32,15 +28,12 @@ def build_session(master: str = "local[8]", app: str = "choicemill", shuffle_par
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for written stages: the one the session names.
 
-    Only a local session may fall back to a temporary folder; a cluster session without the
-    setting is an error, since executors on other machines could not read it.
+    Only a local session may leave it out, and then uses a folder in its warehouse; a cluster session
+    without the setting is an error, since executors on other machines could not read what is written.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix=f"choicemill-{os.getpid()}-")
-    return _local_roots[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/choicemill-{spark.sparkContext.applicationId}"
