@@ -6,25 +6,25 @@ results survive repartitioning and lost executors.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The width of a uniform in hex digits, and the cumulative probabilities of the
-# Poisson(1) distribution for 0..7 events.
+# The width of a uniform in hex digits, and the uniforms in a digest.
 UNIFORM_DIGITS = 13
 UNIFORM_LANES = 4
-POISSON_STEPS = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999898050470197,
-)
+
+
+def _poisson_steps() -> tuple[float, ...]:
+    """Cumulative probabilities of Poisson(1), as far as a uniform of this width can tell them from 1."""
+    size = 2 ** (4 * UNIFORM_DIGITS)
+    steps = itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(40))
+    return tuple(itertools.takewhile(lambda step: math.ceil(step * size) < size, steps))
+
+
+POISSON_STEPS = _poisson_steps()
 
 
 def query_id(dataset: str = "dataset", category: str = "category", question: str = "question") -> Column:
@@ -38,7 +38,7 @@ def lane_digits(digest: str, lane: int) -> Column:
 
 
 def poisson_weight(digits: Column) -> Column:
-    """Poisson(1) draw by inversion of the uniform with these hex digits, at most 8.
+    """Poisson(1) draw by inversion of the uniform with these hex digits.
 
     Hex digits of one length sort like the numbers they stand for, so the digits are compared with
     the steps as text; nothing is converted per row. Frequent small draws are decided first.

@@ -17,13 +17,16 @@ LETTERS = ("A", "B", "C", "D")
 MATH_SYMBOLS = "+-*/=<>^%$"
 ANSWER_SEPARATOR = "####"
 
+# What counts as white space: Unicode separators and the controls that separate, as Python has it.
+SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 
 
 def strip(value: Column | str) -> Column:
     """Remove all surrounding white space; ``trim`` would remove spaces only."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def normalised(value: Column | str) -> Column:
@@ -32,7 +35,7 @@ def normalised(value: Column | str) -> Column:
 
 def answer_body(answer: str) -> Column:
     """Text after the marker, on its line; the whole answer without a marker."""
-    after = F.regexp_extract(F.col(answer), rf"(?i){MARKER}\s*([^\n]*)", 1)
+    after = F.regexp_extract(F.col(answer), rf"(?i){MARKER}[{SPACE}]*([^\n]*)", 1)
     return F.when(F.lower(answer).contains(MARKER.lower()), after).otherwise(F.col(answer))
 
 
@@ -53,7 +56,7 @@ def numeric_correct(prediction: str, truth: str) -> Column:
 
 
 def marked_letter(answer: str) -> Column:
-    return F.regexp_extract(F.col(answer), rf"(?i){MARKER}\s*([ABCD])(?![A-Za-z0-9_])", 1)
+    return F.regexp_extract(F.col(answer), rf"(?i){MARKER}[{SPACE}]*([ABCD])(?![A-Za-z0-9_])", 1)
 
 
 def letter_prediction(answer: str, marked: str) -> Column:
@@ -72,7 +75,7 @@ def final_answer(answer: str) -> Column:
 
 
 def lettered_question(stem: str, choices: str) -> Column:
-    lines = [F.concat(F.lit(f"{letter}. "), F.get(F.col(choices), F.lit(i))) for i, letter in enumerate(LETTERS)]
+    lines = [F.concat(F.lit(f"{letter}. "), F.coalesce(F.get(F.col(choices), F.lit(i)), F.lit(""))) for i, letter in enumerate(LETTERS)]
     return F.concat(F.col(stem), F.lit("\n\n"), F.concat_ws("\n", *lines))
 
 
@@ -98,14 +101,14 @@ def structural_features(text: str, marked: str) -> dict[str, Column]:
     outside = F.replace(F.col(marked), F.lit(WORD_MARK), F.lit(""))
     n = F.length(marked) - F.length(outside)
     symbols = "".join("\\" + c for c in MATH_SYMBOLS)
-    body = F.regexp_replace(col, r"(\r\n|\r|\n)\z", "")
-    options = F.regexp_count(col, F.lit(r"(?m)^[ABCD]\.\s"))
+    body = F.regexp_replace(col, rf"({LINE_END})\z", "")
+    options = F.regexp_count(col, F.lit(rf"(?md)^[ABCD]\.[{SPACE}]"))
     return {
         "char_count": F.length(col),
         "word_count": n,
         # Words, and every other character that is not white space.
-        "approx_token_count": n + F.regexp_count(outside, F.lit(r"\S")),
-        "line_count": F.regexp_count(body, F.lit(r"\r\n|\r|\n")) + 1,
+        "approx_token_count": n + F.regexp_count(outside, F.lit(f"[^{SPACE}]")),
+        "line_count": F.regexp_count(body, F.lit(LINE_END)) + 1,
         "sentence_count": F.greatest(F.lit(1), F.regexp_count(col, F.lit("[.!?]+"))),
         "number_count": F.regexp_count(col, F.lit(NUMBER)),
         "math_symbol_count": F.regexp_count(col, F.lit(f"[{symbols}]")),

@@ -60,7 +60,7 @@ def with_clean_costs(nested: DataFrame, medians: DataFrame, params: Params = DEF
         return F.when(raw > 0, raw).when(median.isNotNull(), median).otherwise(missing)
 
     cands = F.array(*[
-        F.struct(F.col("cands")[i].alias("base"), (item(i, "raw_cost") <= 0).cast("int").alias("cost_imputed"),
+        F.struct(F.col("cands")[i].alias("base"), (~F.coalesce(item(i, "raw_cost") > 0, F.lit(False))).cast("int").alias("cost_imputed"),
                  clean(i).alias("cost_clean")) for i in range(params.k)])
     cleaned = joined.withColumn("cands", cands).drop(*[f"__median_{i}" for i in range(params.k)])
     return with_row_bound(cleaned, row_bound(nested))

@@ -53,13 +53,14 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, params: Param
     m, rx, ry = F.col("__m"), F.col("__rx"), F.col("__ry")
     sums = joint.groupBy(*keys).agg(
         F.sum(m).alias("n"), F.sum(m * rx).alias("sx"), F.sum(m * ry).alias("sy"),
-        F.sum(m * rx * rx).alias("sxx"), F.sum(m * ry * ry).alias("syy"), F.sum(m * rx * ry).alias("sxy"))
+        F.sum(m * rx * rx).alias("sxx"), F.sum(m * ry * ry).alias("syy"), F.sum(m * rx * ry).alias("sxy"),
+        (F.max(rx) - F.min(rx)).alias("dx"), (F.max(ry) - F.min(ry)).alias("dy"))
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     rho = F.try_divide(cov, F.sqrt(vx * vy))
-    return sums.select(*keys, "n", _undefined_when_constant(rho, n, vx, vy).alias("rho"))
+    return sums.select(*keys, "n", _undefined_when_constant(rho, n, F.col("dx"), F.col("dy")).alias("rho"))
 
 
 def model_errors(state: DataFrame) -> DataFrame:

@@ -153,25 +153,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     if not spread:
         return df.groupBy(*keys).agg(
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    if not keys:
-        return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, params,
-                               True).drop("__all")
+    names, rows = (list(keys), df) if keys else (["__all"], df.withColumn("__all", F.lit(0)))
     ranks: dict[str, Column] = {}
     for i, p in enumerate(probs):
         position = (F.col("n") - 1) * F.lit(float(p))
         ranks[f"{i}l"] = F.floor(position)
         ranks[f"{i}u"] = F.ceil(position)
-    found = select_ranks(df, keys, value, ranks, params)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    picked = found.groupBy(*keys).agg(*[
+    found = select_ranks(rows, names, value, ranks, params)
+    # Keys come from all rows: one without a value has no quantiles, but it is there.
+    sizes = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    sizes = sizes if keys else sizes.withColumn("__all", F.lit(0))
+    picked = found.groupBy(*names).agg(*[
         F.max(F.when(F.col("tag") == tag, F.col("__value"))).alias(f"__{tag}") for tag in ranks])
-    joined = null_safe_join(picked, sizes, keys)
+    joined = null_safe_join(sizes, picked, names, "left")
     quantiles = []
     for i, p in enumerate(probs):
         position = (F.col("n") - 1) * F.lit(float(p))
         low, high = F.col(f"__{i}l"), F.col(f"__{i}u")
-        quantiles.append(low + (high - low) * (position - F.floor(position)))
-    return joined.select(*keys, F.array(*quantiles).alias("q"))
+        quantiles.append(F.when(low == high, low).otherwise(
+            (F.ceil(position) - position) * low + (position - F.floor(position)) * high))
+    return joined.select(*keys, F.when(F.col("n") > 0, F.array(*quantiles)).alias("q"))
 
 
 # ---------------------------------------------------------------- tails
@@ -180,18 +181,20 @@ def tail_flags(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
                params: Params = DEFAULT, spread: bool | None = None) -> DataFrame:
     """Add ``in_low`` and ``in_high``: membership in the lowest and highest max(1, floor(f n)) rows.
 
-    The order is (value, tie); ``tie`` is a hex digest unique within the key.
+    The order is (value, tie); ``tie`` is a hex digest unique within the key. Rows without a value are in
+    neither tail and do not count.
     """
     take = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fraction)).cast("int"))
     if spread is None:
         spread = not fits(df.select(value), params.small_rows)
     if not spread:
-        ascending = Window.partitionBy(*keys).orderBy(value, tie)
+        ascending = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value), tie)
         whole = Window.partitionBy(*keys)
         numbered = (df.withColumn("__rn", F.row_number().over(ascending))
-                    .withColumn("n", F.count(F.lit(1)).over(whole)))
-        return (numbered.withColumn("in_low", F.col("__rn") <= take)
-                .withColumn("in_high", F.col("__rn") > F.col("n") - take).drop("__rn", "n"))
+                    .withColumn("n", F.count(value).over(whole)))
+        known = F.col(value).isNotNull()
+        return (numbered.withColumn("in_low", known & (F.col("__rn") <= take))
+                .withColumn("in_high", known & (F.col("__rn") > F.col("n") - take)).drop("__rn", "n"))
     cuts = settled(select_ranks(df, keys, value, {"low": take - 1, "high": F.col("n") - take}, params))
     # Rows tied with a cut value are told apart by the tie key, again by buckets.
     tied = null_safe_join(df.select(*keys, value, tie),
@@ -206,7 +209,7 @@ def tail_flags(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
     v, t = F.col(value), F.col(tie)
     low = (v < F.col("__low___value")) | ((v == F.col("__low___value")) & (t <= F.col(f"__low_{tie}")))
     high = (v > F.col("__high___value")) | ((v == F.col("__high___value")) & (t >= F.col(f"__high_{tie}")))
-    return (out.withColumn("in_low", low).withColumn("in_high", high)
+    return (out.withColumn("in_low", F.coalesce(low, F.lit(False))).withColumn("in_high", F.coalesce(high, F.lit(False)))
             .drop("__low___value", "__high___value", f"__low_{tie}", f"__high_{tie}"))
 
 

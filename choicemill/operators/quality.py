@@ -33,13 +33,12 @@ def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def duplicate_texts(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Texts that occur more than once per key, with their count.
 
-    Counting works on digests, so only 64 characters per row travel; the texts of the repeated
-    ones are fetched afterwards.
+    One aggregate by digest that keeps one copy of the text: the copies of a task collapse before
+    the shuffle, so a text with a third of all rows is one row a task.
     """
-    digested = rows.withColumn("__d", F.sha2(text, 256))
-    repeated = digested.groupBy(*keys, "__d").agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
-    shown = digested.join(repeated, [*keys, "__d"])
-    return shown.groupBy(*keys, "__d").agg(F.min(text).alias(text), F.max("occurrences").alias("occurrences")).drop("__d")
+    grouped = rows.groupBy(*keys, F.sha2(text, 256).alias("__d")).agg(
+        F.min(text).alias(text), F.count(F.lit(1)).alias("occurrences"))
+    return grouped.filter("occurrences > 1").drop("__d")
 
 
 def candidates_found(rows: DataFrame, keys: Sequence[str], params: Params = DEFAULT) -> DataFrame:

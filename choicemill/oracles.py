@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from choicemill.functions.hashing import POISSON_STEPS
+from choicemill.functions.text import LINE_END, SPACE
 from choicemill.params import DEFAULT as P
 
 M = P.candidates
@@ -195,7 +196,7 @@ oracle("baseline_summary", f"""SELECT *, NULL::VARCHAR AS validation_selected_mo
 # ------------------------------------------------------------ sources and sinks
 oracle("csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 oracle("csv_multi_file", f"""SELECT o_orderstatus, count(*) AS n, {r('sum(o_totalprice)', 2)} AS total FROM orders
-    WHERE o_orderstatus IN ('F','O','P') GROUP BY o_orderstatus""")
+    GROUP BY o_orderstatus""")
 oracle("question_bank_numeric", """SELECT 'numeric' AS dataset, source AS category, text AS question,
     CAST(n_chars AS VARCHAR) AS ground_truth FROM documents""")
 oracle("question_bank_choice", """SELECT 'letter' AS dataset, p_type AS category,
@@ -217,11 +218,9 @@ oracle("parameter_json", f"""SELECT CAST(alpha AS VARCHAR) AS key, alpha, select
 oracle("resumable_append", "SELECT query_id, model, correct, raw_cost, latency FROM obs")
 
 # ------------------------------------------------------------ grading and token costs
-_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-
 
 def strip(expr: str) -> str:
-    return _STRIP.format(expr)
+    return f"regexp_replace({expr}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 
 
 FRAGMENTS["answers"] = f"""
@@ -242,8 +241,8 @@ FRAGMENTS["predicted"] = rf"""
       ELSE CASE WHEN marked <> '' THEN upper(marked)
         WHEN upper({strip('answer')}) IN ('A','B','C','D') THEN upper({strip('answer')}) ELSE '' END END AS prediction
   FROM (SELECT *, regexp_extract(body, '[-+]?[0-9][0-9,]*(?:\.[0-9]+)?', 0) AS number,
-      regexp_extract(answer, '(?i)Final Answer:\s*([ABCD])\b', 1) AS marked
-    FROM (SELECT *, {strip(r"CASE WHEN regexp_matches(answer, '(?i)Final Answer:') THEN regexp_extract(answer, '(?i)Final Answer:\s*([^\n]*)', 1) ELSE answer END")} AS body
+      regexp_extract(answer, '(?i)Final Answer:[{SPACE}]*([ABCD])\b', 1) AS marked
+    FROM (SELECT *, {strip(rf"CASE WHEN regexp_matches(answer, '(?i)Final Answer:') THEN regexp_extract(answer, '(?i)Final Answer:[{SPACE}]*([^\n]*)', 1) ELSE answer END")} AS body
       FROM answers))"""
 FRAGMENTS["graded"] = f"""
   SELECT *, CAST(CASE WHEN dataset = 'numeric' THEN coalesce(
@@ -255,7 +254,7 @@ oracle("graded_answers", "SELECT * FROM graded")
 oracle("grading_accuracy", f"""SELECT dataset, model, count(*) AS n, {r('avg(correct)')} AS accuracy
     FROM graded GROUP BY dataset, model""")
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?"
-TOKEN = WORD + r"|[^\p{L}\p{N}_\s]"
+TOKEN = WORD + r"|[^\p{L}\p{N}_" + SPACE + "]"
 
 
 def regexp_count(text: str, pattern: str) -> str:
@@ -274,8 +273,8 @@ oracle("token_costs", f"""SELECT doc_id, t.model, prompt_tokens, completion_toke
 FRAGMENTS["expected"] = """SELECT CASE WHEN p_type IN ('ECONOMY','PROMO') THEN 'd0' ELSE 'd1' END AS dataset,
     p_partkey FROM part"""
 FRAGMENTS["docs"] = "SELECT doc_id, lang AS dataset, source AS category, text AS question FROM documents"
-oracle("duplicate_documents", """SELECT dataset, question, count(*) AS occurrences FROM docs
-    GROUP BY dataset, question HAVING count(*) > 1""")
+oracle("duplicate_documents", """SELECT dataset, category, question, count(*) AS occurrences FROM docs
+    GROUP BY dataset, category, question HAVING count(*) > 1""")
 oracle("duplicate_line_keys", """SELECT l_orderkey, l_linenumber, count(*) AS occurrences FROM lineitem
     GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 oracle("unique_documents", """SELECT substr(sha256(dataset || '||' || category || '||' || question), 1, 16) AS query_id,
@@ -287,8 +286,8 @@ _MISSING = " || ".join(f"CASE WHEN contains(found, '{m}') THEN '' ELSE ',{m}' EN
 oracle("candidates_found", f"SELECT p_partkey, rows, found, ltrim({_MISSING}, ',') AS missing FROM found")
 oracle("missing_candidates", """SELECT p_partkey, model FROM expected, models EXCEPT
     SELECT p_partkey, model FROM obs""")
-oracle("absent_queries", """SELECT p_partkey FROM expected
-    EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount = 0.1::DOUBLE""")
+oracle("absent_queries", """SELECT c_custkey FROM customer
+    EXCEPT SELECT o_custkey FROM orders""")
 oracle("completeness_summary", f"""SELECT e.dataset, count(*) AS expected,
     count(CASE WHEN f.rows IS NULL OR f.rows < {K} THEN 1 END) AS incomplete,
     count(CASE WHEN f.rows IS NULL THEN 1 END) AS absent, CAST(sum(coalesce(f.rows, 0)) AS BIGINT) AS observed_rows
@@ -332,10 +331,10 @@ _NUMBER = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
 
 def text_features(text: str) -> str:
     words = f"regexp_extract_all({text}, '{WORD}')"
-    options = regexp_count(text, r"(?m)^[ABCD]\.\s")
+    options = regexp_count(text, rf"(?m)^[ABCD]\.[{SPACE}]")
     return rf"""CAST(length({text}) AS INTEGER) AS char_count, {regexp_count(text, WORD)} AS word_count,
     {regexp_count(text, TOKEN)} AS approx_token_count,
-    CAST(len(regexp_extract_all(regexp_replace({text}, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n')) + 1 AS INTEGER) AS line_count,
+    CAST(len(regexp_extract_all(regexp_replace({text}, '({LINE_END})\z', ''), '{LINE_END}')) + 1 AS INTEGER) AS line_count,
     greatest(1, {regexp_count(text, '[.!?]+')}) AS sentence_count, {regexp_count(text, _NUMBER)} AS number_count,
     CAST(length(regexp_replace({text}, '[^-+*/=<>^%$]', '', 'g')) AS INTEGER) AS math_symbol_count,
     CAST(length({text}) - length(replace({text}, '?', '')) AS INTEGER) AS question_mark_count,
@@ -529,7 +528,7 @@ _SIG = f"""SELECT 'routing_uncertainty' AS analysis, alpha, signal, failure_thre
   FROM sigranked, (VALUES {_T}) t(failure_threshold) GROUP BY alpha, signal, failure_threshold"""
 for _name in ("routing_signals", "routing_signals_scaled"):
     oracle(_name, _SIG)
-oracle("price_tax_correlation", f"""SELECT l_returnflag, count(*) AS n, {rho()} AS rho FROM (
+oracle("quantity_price_correlation", f"""SELECT l_returnflag, count(*) AS n, {rho()} AS rho FROM (
     SELECT l_returnflag, {avg_rank('l_quantity', 'l_returnflag')} AS rx,
       {avg_rank('l_extendedprice', 'l_returnflag')} AS ry FROM lineitem) GROUP BY l_returnflag""")
 
@@ -583,8 +582,8 @@ FRAGMENTS.update(intervals("_h", f"""SELECT CAST(CAST('0x' || substr(query_id, 1
     FROM rpairs GROUP BY 1, alpha"""))
 for _name, _u in (("paired_tests", "_q"), ("paired_tests_bucketed", "_h")):
     oracle(_name, f"SELECT * FROM (SELECT {_MCN} FROM mcn) JOIN diffs USING (alpha) JOIN ci{_u} USING (alpha)")
-FRAGMENTS["segments"] = f"""SELECT l_returnflag, l_linenumber, {cnt("l_linestatus = 'F' AND l_quantity <= 2")} AS a,
-    {cnt("l_linestatus = 'O' AND l_quantity <= 2")} AS b FROM lineitem GROUP BY 1, 2"""
+FRAGMENTS["segments"] = f"""SELECT l_returnflag, l_linenumber, {cnt("l_linestatus = 'F'")} AS a,
+    {cnt("l_linestatus = 'O'")} AS b FROM lineitem GROUP BY 1, 2"""
 FRAGMENTS["segp"] = mcnemar_sql("segments", "l_returnflag, l_linenumber", "a", "b")
 oracle("mcnemar_segments", f"SELECT l_returnflag, l_linenumber, a, b, {r('p')} AS p FROM segp")
 
@@ -781,24 +780,21 @@ FRAGMENTS["ev"] = f"""SELECT event_id, ts, user_id AS query, 'm' || (event_id %
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events"""
 for _name in ("stream_ingestion", "stream_ingestion_restarts"):
     oracle(_name, "SELECT * FROM ev")
-# Only windows that end before the watermark have been emitted.
-FRAGMENTS["mark"] = "SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS watermark FROM events"
 _EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
 _CARD = f"""window_start, window_end, model, count(*) AS n, {r('avg(correct)')} AS accuracy,
     {r('avg(cost)')} AS mean_cost, {r('sum(cost)', 6)} AS total_cost"""
 oracle("stream_scorecard", f"""SELECT {_CARD} FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts, {_EPOCH}) AS window_start,
       time_bucket(INTERVAL 1 DAY, ts, {_EPOCH}) + INTERVAL 1 DAY AS window_end FROM ev)
-    WHERE window_end <= (SELECT watermark FROM mark) GROUP BY window_start, window_end, model""")
+    GROUP BY window_start, window_end, model""")
 oracle("stream_scorecard_sliding", f"""SELECT {_CARD} FROM (
       SELECT *, time_bucket(INTERVAL 12 HOUR, ts, {_EPOCH}) - to_hours(12 * i) AS window_start,
         time_bucket(INTERVAL 12 HOUR, ts, {_EPOCH}) - to_hours(12 * i) + INTERVAL 2 DAY AS window_end
       FROM ev, range(4) t(i))
-    WHERE window_end <= (SELECT watermark FROM mark) GROUP BY window_start, window_end, model""")
+    GROUP BY window_start, window_end, model""")
 _LACKS = " || ".join(f"CASE WHEN {cnt(f'''model = '{m}' ''')} = 0 THEN ',{m}' ELSE '' END" for m in M)
 oracle("stream_completeness", f"""SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, query,
     count(*) AS n, ltrim({_LACKS}, ',') AS missing
   FROM (SELECT *, time_bucket(INTERVAL 7 DAY, ts, {_EPOCH}) AS window_start FROM ev)
-  WHERE window_start + INTERVAL 7 DAY <= (SELECT watermark FROM mark)
   GROUP BY window_start, query HAVING count(DISTINCT model) < {K}""")
 oracle("stream_grading", f"""SELECT g.*, CAST(length(answer) AS BIGINT) AS prompt_tokens,
     l_orderkey % 500 AS completion_tokens,

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from choicemill.functions.numeric import mean_of, rounded
 from choicemill.params import DEFAULT, Params
@@ -33,6 +33,28 @@ def run_available(stream: DataFrame, path: str | None = None, checkpoint: str |
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def latest_results(stream: DataFrame, keys: Sequence[str], path: str | None = None,
+                   checkpoint: str | None = None) -> DataFrame:
+    """Process what is available in update mode: the newest row per key, open windows included.
+
+    Each batch writes the keys it changed to a folder named by its number, so a batch replayed after a
+    failure overwrites itself; the table is the last row of each key.
+    """
+    spark = stream.sparkSession
+    path = path or scratch(spark, "sink")
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(store).option(
+        "checkpointLocation", checkpoint or scratch(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).parquet(path)
+    others = [c for c in stream.columns if c not in keys]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("r"))
+    return newest.select(*keys, "r.*")
+
+
 def event_observations(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Observations carried by an event stream."""
     names = F.array(*[F.lit(m) for m in params.candidates])
@@ -61,7 +83,7 @@ def ingest_across_runs(stream: DataFrame, path: str, keys: Sequence[str], checkp
 
 
 def scorecard(stream: DataFrame, width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Count, accuracy and mean cost per (window, candidate), emitted when the window is complete."""
+    """Count, accuracy and mean cost per (window, candidate)."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     grouped = stream.withWatermark("ts", delay).groupBy(window.alias("w"), "model").agg(
         F.count(F.lit(1)).alias("n"), mean_of("correct").alias("accuracy"), mean_of("cost").alias("mean_cost"),
@@ -70,12 +92,19 @@ def scorecard(stream: DataFrame, width: str, slide: str | None = None, delay: st
                           "accuracy", "mean_cost", "total_cost")
 
 
-def incomplete_queries(stream: DataFrame, width: str = "7 days", delay: str = "1 day",
+def queries_by_window(stream: DataFrame, width: str = "7 days", delay: str = "1 day",
                        params: Params = DEFAULT) -> DataFrame:
-    """Queries that lack candidates when their window closes; later rows are dropped."""
+    """Rows and missing candidates per (window, query); ``incomplete`` picks those that lack some.
+
+    The choice comes after the newest row per key is known: a later batch may complete a query.
+    """
     flags = [F.max((F.col("model") == m).cast("int")).alias(f"__f{i}") for i, m in enumerate(params.candidates)]
     grouped = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "query").agg(
         F.count(F.lit(1)).alias("n"), *flags)
     missing = F.concat_ws(",", *[F.when(F.col(f"__f{i}") == 0, F.lit(m)) for i, m in enumerate(params.candidates)])
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "query", "n",
-                          missing.alias("missing")).filter("missing <> ''")
+                          missing.alias("missing"))
+
+
+def incomplete(queries: DataFrame) -> DataFrame:
+    return queries.filter("missing <> ''")

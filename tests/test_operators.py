@@ -345,7 +345,8 @@ def test_standardised_names(spark):
 
 ANSWERS = ["Final Answer: 12", "x 5\nfinal answer:  1,234.50 done", "about -7 or 8", "", "Final Answer:\n\n42", "none",
            "Final Answer: twelve 3 4", "Final Answer:", "+1,000", "Final Answer: 5\n6", "12,", " B\n", "final answer: c)",
-           "Final Answer: Cat", "(A) b", "Final Answer: D.", "d", "FINAL ANSWER: a"]
+           "Final Answer: Cat", "(A) b", "Final Answer: D.", "d", "FINAL ANSWER: a",
+           "Final Answer:\u00a0B", "\u00a0b\u2003", "Final Answer:\u2003 7 \u0085", "\x1c c\u2028", "Final Answer: d\u3000"]
 
 
 def python_numeric(answer):

@@ -96,3 +96,30 @@ def test_hot_keys_keep_every_row(spark):
     plain = order.attach(left, table, ["k"], "id", "left").toPandas()
     salted = order.attach(left, table, ["k"], "id", "left", Params(broadcast_rows=10)).toPandas()
     assert sorted(plain["x"].fillna(-1)) == sorted(salted["x"].fillna(-1))
+
+
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """Values that are NULL, a group without any value, and a NULL key."""
+    rows = [("a", None if i % 6 == 0 else float(i % 9), f"{i:016x}") for i in range(40)]
+    rows += [("none", None, f"{i:016x}") for i in range(3)] + [(None, float(i), f"{i:016x}") for i in range(5)]
+    return spark.createDataFrame(rows, "g string, v double, query_id string")
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_quantiles_with_nulls(gaps, keys):
+    for rows in (gaps, gaps.filter("false"), gaps.filter("v is null")):
+        found = [order.exact_quantiles(rows, keys, "v", [0.0, 0.3, 0.5, 1.0], P, spread).toPandas()
+                 for spread in (False, True)]
+        sides = [sorted(map(str, f.assign(q=f["q"].map(lambda q: None if q is None else list(q))).itertuples(index=False)))
+                 for f in found]
+        assert sides[0] == sides[1]
+        assert keys or len(sides[0]) == 1
+
+
+def test_tails_with_nulls(gaps):
+    names = ("g", "query_id", "v", "in_low", "in_high")
+    plain, spread = (rows_of(order.tail_flags(gaps, ["g"], "v", 0.2, "query_id", P, s), *names) for s in (False, True))
+    assert plain == spread
+    assert not any(r[3] or r[4] for r in plain if r[2] is None)
+    assert sum(r[3] for r in plain if r[0] == "a") == 6
