@@ -286,8 +286,8 @@ _MISSING = " || ".join(f"CASE WHEN contains(found, '{m}') THEN '' ELSE ',{m}' EN
 oracle("candidates_found", f"SELECT p_partkey, rows, found, ltrim({_MISSING}, ',') AS missing FROM found")
 oracle("missing_candidates", """SELECT p_partkey, model FROM expected, models EXCEPT
     SELECT p_partkey, model FROM obs""")
-oracle("absent_queries", """SELECT c_custkey FROM customer
-    EXCEPT SELECT o_custkey FROM orders""")
+oracle("absent_queries", """SELECT o_orderkey FROM orders
+    EXCEPT SELECT l_orderkey FROM lineitem""")
 oracle("completeness_summary", f"""SELECT e.dataset, count(*) AS expected,
     count(CASE WHEN f.rows IS NULL OR f.rows < {K} THEN 1 END) AS incomplete,
     count(CASE WHEN f.rows IS NULL THEN 1 END) AS absent, CAST(sum(coalesce(f.rows, 0)) AS BIGINT) AS observed_rows

@@ -325,9 +325,9 @@ def missing_candidates(spark, sf):
 
 @query
 def absent_queries(spark, sf):
-    """Customers without an order."""
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return quality.absent_keys(table(spark, sf, "customer"), rows, ["c_custkey"])
+    """Orders without a line item."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return quality.absent_keys(table(spark, sf, "orders"), rows, ["o_orderkey"])
 
 
 @query
