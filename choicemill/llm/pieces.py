@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +36,19 @@ MODEL = "piece_bpe_32k.model"
 BEST = 4
 BLANK = "▁"
 CACHE = 500_000  # chunks that a Python worker remembers
-BLOCK = 8_192  # chunks that one array step holds
+CELLS = 1 << 18  # characters that one array step holds; a longer chunk forms a step alone
+SLOT_BITS = 18
+
+
+def offsets(lengths) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def spread(offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat places of the lists number ``at``, one after the other, and the offsets of their result."""
+    starts, lengths = offs[at], offs[at + 1] - offs[at]
+    ends = offsets(lengths)
+    return np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1]), ends
 
 
 class Vocabulary:
@@ -63,16 +74,47 @@ class Vocabulary:
         order = np.argsort(prints)
         self.prints = prints[order]
         self.scores = np.array([self.score_of[self.text[i]][0] for i in plain])[order]
-        self.found: dict[str, tuple[float, bytes, int, float]] = {}
+        self.ids = np.array([self.score_of[self.text[i]][1] for i in plain], np.int32)[order]
+        self.slots = np.searchsorted(self.prints >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64))
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)], np.int32)
+        self.raw_data = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_offs = offsets([len(r) for r in self.raw])
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of chunks: their number, best score, loss of the second best, ids of the best."""
+        self.found: dict[str, int] = {}
         self.lists: dict[tuple[str, int], list[float]] = {}
+        self.best, self.loss = np.zeros(0), np.zeros(0)
+        self.flat, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, texts: list[str]) -> None:
+        """Segment chunks that are not known yet."""
+        if not texts:
+            return
+        best, loss, flat, counts = segment(texts, self)
+        self.found.update(zip(texts, range(len(self.best), len(self.best) + len(texts)), strict=True))
+        self.best, self.loss = np.append(self.best, best), np.append(self.loss, loss)
+        self.flat = np.append(self.flat, flat)
+        self.offs = np.append(self.offs, self.offs[-1] + np.cumsum(counts))
+
+    def find(self, prints: np.ndarray) -> np.ndarray:
+        """Place of each fingerprint among the pieces, or -1."""
+        slot = (prints >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        out = np.full(len(prints), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.prints[at[live]] == prints[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
     def byte_edge(self, char: str) -> tuple[float, list[int]]:
         return self.floor * len(char.encode()), [self.bytes.get(b, 0) for b in char.encode()]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        found = self.score_of.get(piece)
-        return [found[1]] if found else self.byte_edge(piece)[1]
-
 
 _known: dict[str, Vocabulary] = {}
 
@@ -105,33 +147,39 @@ def chunks(text: str) -> list[str]:
 
 
 def lattice_scores(texts: list[str], v: Vocabulary):
-    """Forward scores F [chunk, place], edge scores S [chunk, start, length - 1], and lengths."""
+    """Forward scores [chunk, place], edge scores and pieces [chunk, start, length - 1], lengths, characters.
+
+    A piece is given by its place in the vocabulary's tables; -1 stands for none or for bytes.
+    """
     size = np.array([len(t) for t in texts])
-    width = int(size.max())
-    points = np.zeros((len(texts), width), np.uint32)
+    width, n = int(size.max()), len(texts)
+    points = np.zeros((n, width), np.uint32)
     points[np.arange(width) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     number = _table("random")[points]
-    forward = np.full((len(texts), width + 1), -np.inf)
+    prints = np.zeros((n, width), np.uint64)
+    edges = np.full((n, width, v.most), -np.inf)
+    pieces = np.full((n, width, v.most), -1, np.int32)
+    for length in range(1, min(v.most, width) + 1):
+        span = width - length + 1
+        prints[:, :span] += number[:, length - 1:] * v.factors[length - 1]
+        row, start = np.nonzero(np.arange(span) <= (size - length)[:, None])
+        at = v.find(mixed(prints[row, start]))
+        if length == 1:
+            bare = at < 0
+            edges[row[bare], start[bare], 0] = v.floor * utf8_size(points[row[bare], start[bare]])
+        hit = np.flatnonzero(at >= 0)
+        edges[row[hit], start[hit], length - 1] = v.scores[at[hit]]
+        pieces[row[hit], start[hit], length - 1] = at[hit]
+    forward = np.full((n, width + v.most + 1), -np.inf)
     forward[:, 0] = 0
-    edges = np.full((len(texts), width, v.most), -np.inf, np.float64)
     for start in range(width):
-        here = np.flatnonzero(size > start)
-        print_ = np.zeros(len(here), np.uint64)
-        for n in range(1, min(v.most, width - start) + 1):
-            fit = size[here] >= start + n
-            here, print_ = here[fit], print_[fit]
-            if not len(here):
-                break
-            print_ = print_ + number[here, start + n - 1] * v.factors[n - 1]
-            h = mixed(print_)
-            at = np.minimum(np.searchsorted(v.prints, h), len(v.prints) - 1)
-            score = np.where(v.prints[at] == h, v.scores[at], -np.inf)
-            if n == 1:
-                for i in np.flatnonzero(score == -np.inf):
-                    score[i] = v.byte_edge(texts[here[i]][start])[0]
-            edges[here, start, n - 1] = score
-            forward[here, start + n] = np.maximum(forward[here, start + n], forward[here, start] + score)
-    return forward, edges, size
+        ahead = forward[:, start + 1: start + 1 + v.most]
+        np.maximum(ahead, forward[:, start, None] + edges[:, start], out=ahead)
+    return forward[:, : width + 1], edges, pieces, size, points
+
+
+def utf8_size(points: np.ndarray) -> np.ndarray:
+    return 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
 
 
 def second_losses(forward, edges, size) -> np.ndarray:
@@ -149,7 +197,7 @@ def second_losses(forward, edges, size) -> np.ndarray:
     for start in range(width - 1, -1, -1):
         reach = min(most, width - start)
         on = edges[:, start, :reach] + backward[:, start + 1: start + reach + 1]
-        backward[:, start] = on.max(axis=1)
+        backward[:, start] = np.where(start < size, on.max(axis=1), backward[:, start])
         through.append(on)
     taken = np.zeros(n, np.int64)
     for start in range(width):
@@ -184,39 +232,61 @@ def n_best(text: str, forward: np.ndarray, edges: np.ndarray, n: int) -> list[tu
 
 def alike(texts: list[str]) -> Iterator[list[int]]:
     """Numbers of chunks of nearly equal length, a block at a time."""
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    size = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
     at = 0
     while at < len(order):
-        to = at + 1
-        while to < len(order) and to - at < BLOCK and len(texts[order[to]]) <= len(texts[order[at]]) + len(texts[order[at]]) // 8:
-            to += 1
-        yield order[at:to]
+        most = int(size[at] + size[at] // 8)
+        to = min(int(np.searchsorted(size, most, side="right")), at + max(1, CELLS // most))
+        yield order[at:to].tolist()
         at = to
 
 
-def segment(texts: list[str], v: Vocabulary) -> list[tuple[float, bytes, int, float]]:
-    """For each chunk: best score, ids of the best, their number, loss of the second best."""
-    out: list = [None] * len(texts)
+def segment(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each chunk: best score, loss of the second best; the ids of all best, one after the other; their number."""
+    best, loss = np.zeros(len(texts)), np.zeros(len(texts))
+    counts = np.zeros(len(texts), np.int64)
+    found, order = [], []
     for some in alike(texts):
-        forward, edges, size = lattice_scores([texts[i] for i in some], v)
-        loss = second_losses(forward, edges, size).tolist()
-        best = forward[np.arange(len(some)), size].tolist()
-        cut = best_cuts(forward, edges, size).tolist()
-        for k, i in enumerate(some):
-            text, end, at, ids = texts[i], len(texts[i]), cut[k], []
-            while end:
-                ids.append(v.piece_ids(text[at[end]: end]))
-                end = at[end]
-            flat = [x for part in reversed(ids) for x in part]
-            out[i] = (best[k], struct.pack(f"<{len(flat)}I", *flat), len(flat), loss[k])
-    return out
+        forward, edges, pieces, size, points = lattice_scores([texts[i] for i in some], v)
+        loss[some] = second_losses(forward, edges, size)
+        best[some] = forward[np.arange(len(some)), size]
+        flat, counts[some] = best_ids(best_cuts(forward, edges, size), pieces, size, points, v)
+        found.append(flat)
+        order += some
+    place = np.empty(len(texts), np.int64)
+    place[order] = np.arange(len(texts))
+    at, _ = spread(offsets(counts[order]), place)
+    return best, loss, np.concatenate(found)[at], counts
+
+
+def best_ids(cut, pieces, size, points, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the best segmentations, chunk after chunk, and their number in each."""
+    taken = np.full(points.shape, -2, np.int64)
+    end = size.copy()
+    while len(live := np.flatnonzero(end)):
+        start = cut[live, end[live]]
+        taken[live, start] = pieces[live, start, end[live] - start - 1]
+        end[live] = start
+    on = taken != -2
+    at, chars = taken[on], points[on]
+    ids = v.ids[at]
+    times = np.where(at >= 0, 1, utf8_size(chars))
+    counts = np.bincount(np.nonzero(on)[0], weights=times, minlength=len(size)).astype(np.int64)
+    if (at < 0).any():
+        bare = np.repeat(at < 0, times)
+        ids = np.repeat(ids, times)
+        raw = chars[at < 0].astype("<u4").tobytes().decode("utf-32-le").encode()
+        ids[bare] = v.byte_ids[np.frombuffer(raw, np.uint8)]
+    return ids, counts
 
 
 def several(texts: set[str], v: Vocabulary, n: int) -> Iterator[tuple[tuple[str, int], list[float]]]:
     """The n best scores of each chunk."""
     names = sorted(texts)
     for some in alike(names):
-        forward, edges, _ = lattice_scores([names[i] for i in some], v)
+        forward, edges, *_ = lattice_scores([names[i] for i in some], v)
         for k, i in enumerate(some):
             yield (names[i], n), [s for s, _ in n_best(names[i], forward[k], edges[k], n)]
 
@@ -240,40 +310,50 @@ def merged(best: float, lists: list[list[float]], n: int) -> list[float]:
     return [best - loss for loss in out]
 
 
+def least_losses(loss: np.ndarray, n: int) -> list[int]:
+    """Places of the n smallest."""
+    if n < 1:
+        return []
+    return np.sort(np.argpartition(loss, n - 1)[:n]).tolist() if len(loss) > n else list(range(len(loss)))
+
+
 def _encode(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in slices(batches, limit=1 << 20):
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             parts = [chunks(t) for t in texts]
-            known = v.found
-            distinct = dict.fromkeys(itertools.chain.from_iterable(parts))
-            if len(known) + len(distinct) > CACHE:
-                known.clear()
-                v.lists.clear()
-            new = [c for c in distinct if c not in known]
-            known.update(zip(new, segment(new, v), strict=True))
-            least = [heapq.nsmallest(n - 1, p, key=lambda c: known[c][3]) for p in parts]
+            every = list(itertools.chain.from_iterable(parts))
+            distinct = dict.fromkeys(every)
+            new = [c for c in distinct if c not in v.found]
+            if len(v.found) + len(new) > CACHE:
+                v.forget()
+                new = list(distinct)
+            v.learn(new)
+            at = np.fromiter(map(v.found.__getitem__, every), np.int64, len(every))
+            bounds = offsets([len(p) for p in parts])
+            rows = list(itertools.pairwise(bounds.tolist()))
+            losses, bests = v.loss[at], v.best[at]
+            least = [[p[i] for i in least_losses(losses[s:e], n - 1)] for p, (s, e) in zip(parts, rows, strict=True)]
             v.lists.update(several({c for p in least for c in p if (c, n) not in v.lists}, v, n))
-            crcs, counts, scores, same = [], [], [], []
-            for text, p, few in zip(texts, parts, least, strict=True):
-                mine = [known[c] for c in p]
-                ids = b"".join([m[1] for m in mine])
-                scores.append(merged(float(sum([m[0] for m in mine])), [v.lists[c, n] for c in few], n))
-                counts.append(len(ids) // 4)
-                crcs.append(zlib.crc32(ids))
-                same.append(decoded(np.frombuffer(ids, "<u4"), v) == text)
+            scores = [merged(float(bests[s:e].sum()), [v.lists[c, n] for c in few], n) for few, (s, e) in zip(least, rows, strict=True)]
+            places, ends = spread(v.offs, at)
+            ids = v.flat[places].astype("<u4")
+            ends = ends[bounds]
+            crcs = [zlib.crc32(ids[s:e]) for s, e in itertools.pairwise(ends.tolist())]
+            same = [t == d for t, d in zip(texts, decoded(ids, ends, v), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()),
-                 pa.array(scores, pa.list_(pa.float64())), pa.array(same)],
+                [b.column("doc_id"), pa.array(np.diff(ends)), pa.array(crcs, pa.int64()),
+                 pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "ids_crc32", "best_scores", "round_trip"])
     return run
 
 
-def decoded(ids, v: Vocabulary) -> str:
-    """The text of a sequence of ids."""
-    raw = b"".join([v.raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
-    return raw.replace(BLANK, " ")[1:]
+def decoded(ids: np.ndarray, ends: np.ndarray, v: Vocabulary) -> list[str]:
+    """The texts of sequences of ids that follow each other, text i from ends[i] to ends[i + 1]."""
+    places, at = spread(v.raw_offs, ids.astype(np.int64))
+    raw = v.raw_data[places].tobytes()
+    return [raw[s:e].decode("utf-8", "replace").replace(BLANK, " ")[1:] for s, e in itertools.pairwise(at[ends].tolist())]
 
 
 def encoded(docs: DataFrame, model: str | None = None, n: int = BEST) -> DataFrame:

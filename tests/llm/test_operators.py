@@ -221,6 +221,28 @@ def test_n_best_equals_brute_force(spark, edge, none):
     assert pieces.encoded(none).count() == 0
 
 
+def test_second_losses_of_chunks_of_unequal_length():
+    """Chunks that share a block with longer ones, and characters that are bytes only."""
+    v = pieces.vocabulary(public_tokenizers.path(pieces.MODEL))
+    names = [pieces.BLANK + w for w in ("theaat.", "oferesst", "information", "internatio", "\U0001f9ff\U0001f9ffab", "xyzzyxyz", "a", "zz\u0378z", "connection")]
+    best, loss, flat, counts = pieces.segment(names, v)
+    want = [brute_segmentations(w[1:], v)[:2] for w in names]
+    assert np.allclose(best, [w[0] for w in want])
+    assert np.allclose(loss, [w[0] - w[1] if len(w) > 1 else np.inf for w in want])
+    assert pieces.decoded(flat, pieces.offsets(counts)[:2], v) == ["theaat."]
+    ends = pieces.offsets(counts)
+    for i, w in enumerate(names):
+        assert b"".join(v.raw[k] for k in flat[ends[i]: ends[i + 1]]).decode() == w
+
+
+def test_n_best_of_whole_texts_by_brute_force(spark):
+    v = pieces.vocabulary(public_tokenizers.path(pieces.MODEL))
+    texts = ["edtion thshat", "oferesst theaat. a", "the thbleea", "ninhan ofan"]
+    frame = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in pieces.encoded(frame).collect():
+        assert np.allclose(r.best_scores, brute_segmentations(texts[r.doc_id], v)) and r.round_trip
+
+
 def base_spans(text):
     assign = re.compile(secret_scan.ASSIGN)
     found = []
