@@ -17,8 +17,9 @@ With 48 bands of 5 samples, two sets at similarity 0.75 share no band with proba
 above. A sketch estimate must reach 0.55 to go on, 5 standard errors below the threshold.
 
 Defined cases: null, empty and blank texts have empty sets, linked with nothing, and are kept; rows with
-equal id and equal text are one document, rows with equal id and different texts have a set each; a null id
-sorts last. Other columns are ignored.
+equal id and equal text are one document, rows with equal id and different texts have a set each and are
+told apart by the fingerprints of their texts; a null id sorts last and names no document, so of equal rows
+with a null id one is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.llm.common import LAST, Words, list_array, mixed, order_id, signed, slices, stage, stream
+from choicemill.llm.common import (
+    LAST,
+    Words,
+    identified,
+    list_array,
+    mixed,
+    order_id,
+    signed,
+    slices,
+    stage,
+    stream,
+)
 from choicemill.llm.graph import components
 
 SHINGLE = 5
@@ -118,10 +130,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.full(len(number), None, object)
         sketch[some] = [r.tobytes() for r in sketches(minima)] if len(some) else []
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("o"), b.column("k1"), pa.array(size), pa.array(signed(mixed(one + two))),
+            [b.column("doc_id"), b.column("o"), b.column("k1"), b.column("k2"), pa.array(size), pa.array(signed(mixed(one + two))),
              list_array(signed(keys.ravel()), np.where(number > 0, BANDS, 0), pa.int64()),
              pa.array(sketch, pa.binary()), pa.array(whole_sketches(sets), pa.binary())],
-            ["doc_id", "o", "k1", "n", "node", "keys", "sketch", "whole"])
+            ["doc_id", "o", "k1", "k2", "n", "node", "keys", "sketch", "whole"])
 
 
 def _confirm(percent: int):
@@ -206,10 +218,19 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, floor: float = 0.5
 
     n_links counts the confirmed links of the document's shingle set that were looked at.
     """
-    rows = docs.select("doc_id", order_id().alias("o"), F.xxhash64("text").alias("k1"), "text")
+    return _verdicts(docs, percent, floor).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
+def _verdicts(docs: DataFrame, percent: int = 75, floor: float = 0.55) -> DataFrame:
+    """The columns of near_duplicate_groups with the key o, k1, k2 of the row: its id and its text's fingerprints."""
+    rows = identified(docs)
+    # Rows with a null id get a number each: equal ones are not one document.
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
     heads = stage(rows.mapInArrow(
-        _signatures, "doc_id long, o long, k1 long, n long, node long, keys array<long>, sketch binary, whole binary"))
-    classes = heads.where("n > 0").groupBy("node").agg(F.min("o").alias("o"))
+        _signatures, "doc_id long, o long, k1 long, k2 long, n long, node long, keys array<long>, sketch binary, whole binary")
+        .withColumn("u", number))
+    row = F.struct("o", "k1", "k2", "u")
+    classes = heads.where("n > 0").groupBy("node").agg(F.min(row).alias("first")).select("node", "first.o", "first")
     # One row stands for each class: the first document that has the set.
     chosen = heads.where("n > 0").join(classes, ["node", "o"]).dropDuplicates(["node"])
     keyed = chosen.select("node", "o", F.explode("keys").alias("key"))
@@ -246,22 +267,23 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, floor: float = 0.5
     for doubtful in (False, True):
         links = links.union(across(labels, doubtful))
         labels = components(links)
-    final = classes.join(labels, "node", "left").select("node", "o", F.coalesce("label", "node").alias("top"))
-    named = final.join(final.groupBy("top").agg(F.min("o").alias("component")), "top").select("node", "component")
+    final = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("top"))
+    named = final.join(final.groupBy("top").agg(F.min("first").alias("head")), "top").select("node", "head")
     ends = links.distinct()
     n_links = ends.select(F.col("a").alias("node")).union(ends.select("b")).groupBy("node").agg(
         F.count("*").alias("n_links"))
-    component = F.when(F.col("n") == 0, F.col("o")).otherwise(F.col("component"))
-    return (heads.select("doc_id", "o", "n", "node").join(named, "node", "left").join(n_links, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(component != LAST, component).alias("component_id"), (F.col("o") == component).alias("kept"),
+    head = F.when(F.col("n") == 0, row).otherwise(F.col("head"))
+    return (heads.drop("keys", "sketch", "whole").join(named, "node", "left").join(n_links, "node", "left")
+            .select("doc_id", "o", "k1", "k2", F.col("n").alias("n_shingles"),
+                    F.when(head["o"] != LAST, head["o"]).alias("component_id"), (row == head).alias("kept"),
                     F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")))
 
 
 def _texts(rows: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
     """node, text of the classes that share a bucket with another."""
     wanted = chosen.select("node", "o", "k1").join(members.select("node").distinct(), "node")
-    return rows.select("o", "k1", "text").join(wanted, ["o", "k1"]).select("node", "text")
+    # Equal rows, as null ids may have many, come once: a pair is confirmed by one row a side.
+    return rows.select("o", "k1", "text").dropDuplicates(["o", "k1"]).join(wanted, ["o", "k1"]).select("node", "text")
 
 
 def op2_minhash_dedup(spark, sf_dir):
@@ -270,7 +292,18 @@ def op2_minhash_dedup(spark, sf_dir):
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of every group alone; a repeated row of it stays too."""
-    groups = near_duplicate_groups(docs)
-    gone = groups.where(~F.col("kept")).select(order_id().alias("__gone")).distinct()
-    return docs.join(gone, order_id() == F.col("__gone"), "left_anti")
+    """``docs`` with the first document of every group alone; a repeated row of it stays too if it has an id.
+
+    Rows are judged by id and text together: neither an id that others have as well nor a null id drops a clean text.
+    """
+    key = ["__o", "__k1", "__k2"]
+    gone = stage(_verdicts(docs).groupBy("o", "k1", "k2").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
+                 .select(*[F.col(c[2:]).alias(c) for c in key]))
+    ours = {"__o": order_id(), "__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
+    left = docs.withColumns(ours).join(gone, key, "left_anti")
+    # Of equal texts without an id one row stays; a text without words is no copy of another.
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    named = left.where(~nameless).drop(*key)
+    once = (left.where(nameless).groupBy("__k1", "__k2")
+            .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*"))
+    return named.unionByName(once)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.llm.common import Words, flat_list, list_array, order_id, signed, slices, stage
+from choicemill.llm.common import Words, flat_list, identified, list_array, order_id, signed, slices, stage
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -69,12 +69,6 @@ def window_anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, n
     return least, whole, chosen
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, o (id that is never null), two fingerprints of the text, text."""
-    return docs.select("doc_id", order_id().alias("o"), F.xxhash64("text").alias("k1"),
-                       F.xxhash64(F.lit(1), "text").alias("k2"), "text")
-
-
 def _heads(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -123,6 +123,27 @@ def test_near_duplicates_edges(edge, none):
     assert minhash_dedup.near_duplicate_groups(none).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark, edge):
+    """Neither a null id nor an id with two texts drops a clean text; null ids alone keep one row of a group."""
+    texts = sorted((r.doc_id or -1, r.text or "") for r in edge.collect())
+    got = sorted((r.doc_id or -1, r.text or "") for r in minhash_dedup.without_near_copies(edge).collect())
+    base = edge.where("doc_id = 1").first().text
+    gone = [x for x in texts if x[0] in (2, 3, 9, 10) or x == (-1, base)]
+    assert got == [x for x in texts if x not in gone] and (-1, "lone row with a null id") in got
+
+    one, other, clean = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, one), (6, one), (6, clean), (None, other), (None, other), (None, other + " z"), (None, " "), (None, None),
+            (None, None), (8, "a b"), (8, "a b")]
+    docs = ready(spark).createDataFrame([(i, t, None, None, None, 0, "x", None) for i, t in rows], SCHEMA)
+    left = [(r.doc_id, r.text) for r in minhash_dedup.without_near_copies(docs).collect()]
+    of = [t for i, t in left if i is None and t and t.strip()]
+    assert len(of) == 1 and of[0] in (other, other + " z")
+    assert sorted(x for x in left if x[0]) == [(5, one), (6, clean), (8, "a b"), (8, "a b")]
+    assert [t for i, t in left if i is None].count(None) == 2 and (None, " ") in left
+    groups = minhash_dedup.near_duplicate_groups(docs).collect()
+    assert len(groups) == len(rows) and sum(r.kept for r in groups if r.doc_id is None and r.n_shingles) == 1
+
+
 def test_sure_links_give_a_spanning_set():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
