@@ -52,11 +52,12 @@ def held_out(name: str = "doc_id") -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``limit`` bytes of text, one row at least."""
+    """Cut record batches so that each holds about ``limit`` bytes of text or list elements, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        length = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+        size = pc.fill_null(length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size.astype(np.int64))
         at = 0
         while at < batch.num_rows:

@@ -9,8 +9,11 @@ so the lattice falls apart into chunks there. Equal chunks are segmented once an
 * A text's N best differ from its best in few chunks: only the N - 1 chunks with the smallest loss
   of their second best can take part, and A* runs for those alone. Their lists are then merged.
 
-A character without a piece is covered by the pieces of its UTF-8 bytes, at a score below all others. Ties
-go to the segmentation whose pieces are longer from the end on.
+Each of the N best comes with its ids: those of the best, with the ids of other segmentations in the place of
+single chunks.
+
+A character without a piece is covered by the pieces of its UTF-8 bytes, at a score below all others. For the
+best, ties go to the segmentation whose pieces are longer from the end on; the others follow in a fixed order.
 
 Defined cases: null or empty text has no pieces and one empty segmentation of score 0; repeated rows
 are encoded each; texts of any length are encoded whole.
@@ -28,8 +31,9 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
-from choicemill.llm.common import mixed, slices, stream
+from choicemill.llm.common import flat_list, list_array, mixed, slices, stream
 from choicemill.llm.language_id import _table
 
 MODEL = "piece_bpe_32k.model"
@@ -84,7 +88,7 @@ class Vocabulary:
     def forget(self) -> None:
         """Empty the memory of chunks: their number, best score, loss of the second best, ids of the best."""
         self.found: dict[str, int] = {}
-        self.lists: dict[tuple[str, int], list[float]] = {}
+        self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self.best, self.loss = np.zeros(0), np.zeros(0)
         self.flat, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -282,13 +286,27 @@ def best_ids(cut, pieces, size, points, v: Vocabulary) -> tuple[np.ndarray, np.n
     return ids, counts
 
 
-def several(texts: set[str], v: Vocabulary, n: int) -> Iterator[tuple[tuple[str, int], list[float]]]:
-    """The n best scores of each chunk."""
+def ids_of(text: str, path: tuple[int, ...], v: Vocabulary) -> bytes:
+    """The ids of a segmentation given by its cut points, four bytes each."""
+    out: list[int] = []
+    for s, e in itertools.pairwise(path):
+        piece = v.score_of.get(text[s:e])
+        out += [piece[1]] if piece else v.byte_edge(text[s:e])[1]
+    return np.array(out, "<u4").tobytes()
+
+
+def several(texts: set[str], v: Vocabulary, n: int) -> Iterator[tuple[tuple[str, int], list[tuple[float, bytes]]]]:
+    """The n best segmentations of each known chunk: how far each scores below the best, and its ids."""
     names = sorted(texts)
     for some in alike(names):
         forward, edges, *_ = lattice_scores([names[i] for i in some], v)
         for k, i in enumerate(some):
-            yield (names[i], n), [s for s, _ in n_best(names[i], forward[k], edges[k], n)]
+            at = v.found[names[i]]
+            best = v.flat[v.offs[at]: v.offs[at + 1]].astype("<u4").tobytes()
+            found = n_best(names[i], forward[k], edges[k], n)
+            # Among equals the search may come to another one first.
+            rest = [(max(found[0][0] - s, 0.0), ids) for s, path in found if (ids := ids_of(names[i], path, v)) != best]
+            yield (names[i], n), [(0.0, best), *rest[: n - 1]]
 
 
 def best_cuts(forward, edges, size) -> np.ndarray:
@@ -302,12 +320,21 @@ def best_cuts(forward, edges, size) -> np.ndarray:
     return cut
 
 
-def merged(best: float, lists: list[list[float]], n: int) -> list[float]:
-    """The n best totals when each list's entry replaces its first."""
-    out = [0.0]
-    for scores in lists:
-        out = sorted((a + scores[0] - s for a in out for s in scores))[:n]
-    return [best - loss for loss in out]
+def merged(lists: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n least losses in total, each with the number of the entry that every list gives to it."""
+    out: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    for entries in lists:
+        out = sorted((a + loss, (*taken, k)) for a, taken in out for k, (loss, _) in enumerate(entries))[:n]
+    return out
+
+
+def replaced(raw: bytes, spans: list[tuple[int, int]], parts: list[bytes]) -> bytes:
+    """``raw`` with other bytes in the place of ascending spans."""
+    out, at = [], 0
+    for (s, e), part in zip(spans, parts, strict=True):
+        out += [raw[at:s], part]
+        at = e
+    return b"".join([*out, raw[at:]])
 
 
 def least_losses(loss: np.ndarray, n: int) -> list[int]:
@@ -317,35 +344,62 @@ def least_losses(loss: np.ndarray, n: int) -> list[int]:
     return np.sort(np.argpartition(loss, n - 1)[:n]).tolist() if len(loss) > n else list(range(len(loss)))
 
 
-def _encode(path: str, n: int):
+def segmentations(texts: list[str], v: Vocabulary, n: int) -> Iterator[list[tuple[float, bytes]]]:
+    """For each text the scores and ids of its n best segmentations, the best first."""
+    parts = [chunks(t) for t in texts]
+    every = list(itertools.chain.from_iterable(parts))
+    distinct = dict.fromkeys(every)
+    new = [c for c in distinct if c not in v.found]
+    if len(v.found) + len(new) > CACHE:
+        v.forget()
+        new = list(distinct)
+    v.learn(new)
+    at = np.fromiter(map(v.found.__getitem__, every), np.int64, len(every))
+    rows = list(itertools.pairwise(offsets([len(p) for p in parts]).tolist()))
+    losses, bests = v.loss[at], v.best[at]
+    least = [least_losses(losses[s:e], n - 1) for s, e in rows]
+    wanted = {p[i] for p, few in zip(parts, least, strict=True) for i in few}
+    v.lists.update(several({c for c in wanted if (c, n) not in v.lists}, v, n))
+    places, ends = spread(v.offs, at)
+    ids, ends = v.flat[places].astype("<u4").tobytes(), 4 * ends
+    for p, few, (s, e) in zip(parts, least, rows, strict=True):
+        begin, best = int(ends[s]), float(bests[s:e].sum())
+        raw = ids[begin: int(ends[e])]
+        lists = [v.lists[p[i], n] for i in few]
+        out = []
+        for loss, taken in merged(lists, n):
+            other = [(i, entries[k][1]) for i, entries, k in zip(few, lists, taken, strict=True) if k]
+            spans = [(int(ends[s + i]) - begin, int(ends[s + i + 1]) - begin) for i, _ in other]
+            out.append((best - loss, replaced(raw, spans, [x for _, x in other]) if other else raw))
+        yield out
+
+
+def _encode(path: str, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            parts = [chunks(t) for t in texts]
-            every = list(itertools.chain.from_iterable(parts))
-            distinct = dict.fromkeys(every)
-            new = [c for c in distinct if c not in v.found]
-            if len(v.found) + len(new) > CACHE:
-                v.forget()
-                new = list(distinct)
-            v.learn(new)
-            at = np.fromiter(map(v.found.__getitem__, every), np.int64, len(every))
-            bounds = offsets([len(p) for p in parts])
-            rows = list(itertools.pairwise(bounds.tolist()))
-            losses, bests = v.loss[at], v.best[at]
-            least = [[p[i] for i in least_losses(losses[s:e], n - 1)] for p, (s, e) in zip(parts, rows, strict=True)]
-            v.lists.update(several({c for p in least for c in p if (c, n) not in v.lists}, v, n))
-            scores = [merged(float(bests[s:e].sum()), [v.lists[c, n] for c in few], n) for few, (s, e) in zip(least, rows, strict=True)]
-            places, ends = spread(v.offs, at)
-            ids = v.flat[places].astype("<u4")
-            ends = ends[bounds]
-            crcs = [zlib.crc32(ids[s:e]) for s, e in itertools.pairwise(ends.tolist())]
-            same = [t == d for t, d in zip(texts, decoded(ids, ends, v), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(ends)), pa.array(crcs, pa.int64()),
-                 pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
-                ["doc_id", "n_pieces", "ids_crc32", "best_scores", "round_trip"])
+            found = list(segmentations(texts, v, n))
+            number = np.array([len(f) for f in found])
+            first = offsets(number)
+            raws = [raw for f in found for _, raw in f]
+            ids = np.frombuffer(b"".join(raws), "<u4")
+            ends = offsets([len(raw) // 4 for raw in raws])
+            sizes = np.diff(ends)
+            crcs = np.array([zlib.crc32(raw) for raw in raws], np.int64)
+            wanted = itertools.chain.from_iterable(itertools.repeat(t, k) for t, k in zip(texts, number.tolist(), strict=True))
+            same = np.array([t == d for t, d in zip(wanted, decoded(ids, ends, v), strict=True)], bool)
+            scores = np.array([score for f in found for score, _ in f])
+            columns = {
+                "doc_id": b.column("doc_id"), "n_pieces": pa.array(sizes[first[:-1]]), "ids_crc32": pa.array(crcs[first[:-1]]),
+                "best_scores": list_array(scores, number, pa.float64()), "round_trip": pa.array(same[first[:-1]]),
+                "nth_pieces": list_array(sizes, number, pa.int64()), "nth_crc32": list_array(crcs, number, pa.int64()),
+                "nth_round_trip": list_array(same, number, pa.bool_())}
+            if with_ids:
+                each = pa.StructArray.from_arrays(
+                    [pa.array(scores), list_array(ids.astype(np.int32), sizes, pa.int32())], ["score", "ids"])
+                columns["segmentations"] = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), each)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     return run
 
 
@@ -356,15 +410,34 @@ def decoded(ids: np.ndarray, ends: np.ndarray, v: Vocabulary) -> list[str]:
     return [raw[s:e].decode("utf-8", "replace").replace(BLANK, " ")[1:] for s, e in itertools.pairwise(at[ends].tolist())]
 
 
-def encoded(docs: DataFrame, model: str | None = None, n: int = BEST) -> DataFrame:
-    """doc_id, n_pieces and ids_crc32 of the best segmentation, the n best scores, and whether decoding gives
-    the text again (a U+2581 of the text itself comes back as a blank)."""
+def encoded(docs: DataFrame, model: str | None = None, n: int = BEST, ids: bool = True) -> DataFrame:
+    """doc_id, n_pieces and ids_crc32 of the best segmentation, the n best scores, and whether decoding the best
+    gives the text again (a U+2581 of the text itself comes back as a blank); nth_pieces, nth_crc32 and
+    nth_round_trip have the same for each of the n best, and on demand segmentations their scores and ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _encode(model or public_tokenizers.path(MODEL), n),
-        f"doc_id {kind}, n_pieces long, ids_crc32 long, best_scores array<double>, round_trip boolean")
+        _encode(model or public_tokenizers.path(MODEL), n, ids),
+        f"doc_id {kind}, n_pieces long, ids_crc32 long, best_scores array<double>, round_trip boolean, "
+        "nth_pieces array<long>, nth_crc32 array<long>, nth_round_trip array<boolean>"
+        + (", segmentations array<struct<score: double, ids: array<int>>>" if ids else ""))
+
+
+def _decode(path: str, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for b in slices(batches, column):
+            ids, counts = flat_list(b.column(column))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded(ids, offsets(counts), v), pa.string())],
+                                             [*b.schema.names, "text"])
+    return run
+
+
+def decode(frame: DataFrame, column: str = "ids", model: str | None = None) -> DataFrame:
+    """The columns of ``frame`` and the text of its lists of ids (null or empty: empty text)."""
+    return frame.mapInArrow(_decode(model or public_tokenizers.path(MODEL), column),
+                            StructType([*frame.schema.fields, StructField("text", StringType())]))
 
 
 def op6_sentencepiece_nbest(spark, sf_dir):
-    """The best segmentation of every document and the scores of its four best."""
-    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The four best segmentations of every document: scores, number of pieces, digest of the ids, round trip."""
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)

@@ -264,6 +264,27 @@ def test_n_best_of_whole_texts_by_brute_force(spark):
         assert np.allclose(r.best_scores, brute_segmentations(texts[r.doc_id], v)) and r.round_trip
 
 
+def test_ids_of_the_n_best_equal_brute_force(spark, edge):
+    """Every segmentation comes with its ids: distinct, of the stated score, and decoding to the text."""
+    v = pieces.vocabulary(public_tokenizers.path(pieces.MODEL))
+    score = {i: s for s, i in v.score_of.values()} | dict.fromkeys(v.bytes.values(), v.floor)
+    texts = ["", "a", "year 中", "aa aa", "the thbleea", "oferesst theaat. a", "aa aa aa aa"]
+    frame = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = pieces.encoded(frame).collect()
+    for r in rows:
+        got = [(s.score, tuple(s.ids)) for s in r.segmentations]
+        assert np.allclose([s for s, _ in got], brute_segmentations(texts[r.doc_id], v))
+        assert len(got) == len(r.best_scores) == len({ids for _, ids in got})
+        assert all(np.isclose(s, sum(score[i] for i in ids)) for s, ids in got)
+        crcs = [zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in got]
+        assert r.nth_crc32 == crcs and r.ids_crc32 == crcs[0] and r.nth_round_trip == [True] * len(got)
+        assert r.nth_pieces == [len(ids) for _, ids in got] and r.n_pieces == r.nth_pieces[0]
+    back = pieces.decode(pieces.encoded(frame).selectExpr("doc_id", "posexplode(segmentations.ids) as (rank, ids)"))
+    assert all(r.text == texts[r.doc_id] for r in back.collect()) and back.count() == sum(len(r.best_scores) for r in rows)
+    for r in pieces.encoded(edge, ids=False).collect():
+        assert len(r.nth_crc32) == len(set(r.nth_crc32)) == len(r.best_scores) and all(r.nth_round_trip)
+
+
 def base_spans(text):
     assign = re.compile(secret_scan.ASSIGN)
     found = []
