@@ -294,6 +294,8 @@ oracle("completeness_summary", f"""SELECT e.dataset, count(*) AS expected,
     FROM expected e LEFT JOIN found f USING (p_partkey) GROUP BY e.dataset""")
 oracle("split_violations", f"""SELECT query_id, CAST(1 AS BIGINT) AS n_splits, count(DISTINCT model) AS n_models
     FROM obs GROUP BY query_id HAVING count(DISTINCT model) <> {K}""")
+oracle("incomplete_queries", f"""SELECT count(*) AS n_queries, {cnt(f"n = {K}")} AS n_complete, {cnt(f"n <> {K}")} AS n_incomplete
+    FROM (SELECT query_id, count(DISTINCT model) AS n FROM obs GROUP BY query_id)""")
 oracle("id_report", """SELECT count(*) AS n_rows, count(DISTINCT query_id) AS n_ids,
     count(*) - count(DISTINCT query_id) AS duplicate_ids, CAST(0 AS BIGINT) AS illegal_splits FROM splits""")
 oracle("side_mismatches", """SELECT query_id, 'train' AS left_split, split AS right_split,

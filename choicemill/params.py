@@ -32,6 +32,9 @@ class Params:
     cost_tolerance: float = 1e-10
     mechanism_alpha: float = 0.5
 
+    # Queries that lack a candidate: "fail" raises an error, "drop" leaves them out of every later result.
+    on_incomplete: str = "fail"
+
     # Sizes that decide between a plain plan and its scale-out form. Both give equal results.
     small_rows: int = 2_000_000
     broadcast_rows: int = 200_000

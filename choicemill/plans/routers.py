@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicemill.operators import ensemble, quality, routing
-from choicemill.params import DEFAULT, Params
-from choicemill.plans.sourcing import stage_core
+from choicemill.params import Params
+from choicemill.plans.sourcing import FIXTURE, stage_core
 from choicemill.sources.stages import row_bound, with_row_bound, written
 
 FULL, ABLATION = "category", "dataset"
 
 
 def stage_model(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap: bool = True,
-                params: Params = DEFAULT) -> DataFrame:
+                params: Params = FIXTURE) -> DataFrame:
     return written(spark, f"model|{group}|{bootstrap}|{sf_dir}|{params}",
                    lambda: ensemble.fit_group_means(stage_core(spark, sf_dir, params), group, params, bootstrap))
 
 
 def member_predictions(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap: bool = True,
-                       params: Params = DEFAULT) -> DataFrame:
+                       params: Params = FIXTURE) -> DataFrame:
     """Predictions of every member for every group among the queries; all members must be stored."""
     model = stage_model(spark, sf_dir, group, bootstrap, params)
     if bootstrap:
@@ -30,7 +30,7 @@ def member_predictions(spark: SparkSession, sf_dir: str, group: str = FULL, boot
 
 
 def stage_stats(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap: bool = True,
-                params: Params = DEFAULT) -> DataFrame:
+                params: Params = FIXTURE) -> DataFrame:
     """Ensemble statistics per (group, alpha)."""
     return written(spark, f"stats|{group}|{bootstrap}|{sf_dir}|{params}", lambda: ensemble.ensemble_stats(
         member_predictions(spark, sf_dir, group, bootstrap, params), ["grp"],
@@ -38,7 +38,7 @@ def stage_stats(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap:
 
 
 def stage_state(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap: bool = True,
-                params: Params = DEFAULT) -> DataFrame:
+                params: Params = FIXTURE) -> DataFrame:
     """Routing state of validation and test queries."""
 
     def build() -> DataFrame:
@@ -50,24 +50,24 @@ def stage_state(spark: SparkSession, sf_dir: str, group: str = FULL, bootstrap:
 
 
 def state(spark: SparkSession, sf_dir: str, split: str, group: str = FULL, bootstrap: bool = True,
-          params: Params = DEFAULT) -> DataFrame:
+          params: Params = FIXTURE) -> DataFrame:
     whole = stage_state(spark, sf_dir, group, bootstrap, params)
     return with_row_bound(whole.filter(F.col("split") == split), row_bound(whole))
 
 
-def stage_lambdas(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = DEFAULT) -> DataFrame:
+def stage_lambdas(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = FIXTURE) -> DataFrame:
     """Frozen penalties: written before any test query is read."""
     return written(spark, f"lambdas|{group}|{sf_dir}|{params}", lambda: routing.best_lambdas(
         routing.lambda_sweep(state(spark, sf_dir, "validation", group, True, params), params)))
 
 
-def stage_decisions(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = DEFAULT) -> DataFrame:
+def stage_decisions(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = FIXTURE) -> DataFrame:
     """Test decisions of both routers."""
     return written(spark, f"decisions|{group}|{sf_dir}|{params}", lambda: routing.decisions(
         routing.two_routers(state(spark, sf_dir, "test", group, True, params),
                             stage_lambdas(spark, sf_dir, group, params)), params))
 
 
-def both_selections(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = DEFAULT) -> DataFrame:
+def both_selections(spark: SparkSession, sf_dir: str, group: str = FULL, params: Params = FIXTURE) -> DataFrame:
     return routing.both_selections(state(spark, sf_dir, "test", group, True, params),
                                    stage_lambdas(spark, sf_dir, group, params), params)

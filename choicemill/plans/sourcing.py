@@ -6,6 +6,8 @@ part served by the pool. The stages below are written once per application and f
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from choicemill.sources.tables import table
 
 ROW_ORDER = ("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey", "l_quantity",
              "l_discount", "l_tax")
+# The order tables hold parts that a pool never served; incomplete_queries counts what is dropped for it.
+FIXTURE = replace(DEFAULT, on_incomplete="drop")
 NUMERIC_FEATURES = ("p_size", "p_retailprice", "name_length")
 
 
@@ -30,7 +34,7 @@ def with_question(queries: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
     return queries.join(table(spark, sf_dir, "part").select("p_partkey", question().alias("question")), "p_partkey")
 
 
-def observations(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     """Long table, one row per (query, model)."""
     items = table(spark, sf_dir, "lineitem").select(*ROW_ORDER, "l_partkey", "l_returnflag")
     first = items.groupBy("l_partkey", F.pmod("l_suppkey", F.lit(params.k)).cast("int").alias("ord")).agg(
@@ -52,12 +56,17 @@ def observations(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) ->
     return shaped.select(query_id().alias("query_id"), "*")
 
 
-def stage_observations(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+def stage_observations(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     return written(spark, f"observations|{sf_dir}|{params}", lambda: observations(spark, sf_dir, params))
 
 
-def stage_queries(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
-    """Complete queries with their split, one row each; partitioned by split for pruning."""
+def stage_queries(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
+    """Complete queries with their split, one row each; partitioned by split for pruning.
+
+    An incomplete query raises an error unless ``params.on_incomplete`` is "drop".
+    """
+    if params.on_incomplete not in ("fail", "drop"):
+        raise ValueError(f"on_incomplete is fail or drop, not {params.on_incomplete}")
 
     def build() -> DataFrame:
         # The question text stays out: only ids and numbers travel through the shuffle.
@@ -68,17 +77,27 @@ def stage_queries(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) ->
         for i in range(params.k):
             present = F.col("cands")[i]["correct"].isNotNull()
             whole = present if whole is None else whole & present
+        if params.on_incomplete == "fail" and (lacking := nested.filter(~whole).count()):
+            raise ValueError(f"{lacking} queries do not have all {params.k} candidates")
         complete = written(spark, f"complete|{sf_dir}|{params}", lambda: nested.filter(whole))
         return splits.stratified_split(complete, params)
 
     return written(spark, queries_key(sf_dir, params), build, ["split"])
 
 
-def queries_key(sf_dir: str, params: Params = DEFAULT) -> str:
+def incomplete_counts(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
+    """n_queries, n_complete, n_incomplete: what stage_queries drops or fails on."""
+    each = stage_observations(spark, sf_dir, params).groupBy("query_id").agg(F.count("*").alias("n"))
+    complete = F.count(F.when(F.col("n") == params.k, 1))
+    return each.agg(F.count("*").alias("n_queries"), complete.alias("n_complete"),
+                    (F.count("*") - complete).alias("n_incomplete"))
+
+
+def queries_key(sf_dir: str, params: Params = FIXTURE) -> str:
     return f"queries|{sf_dir}|{params}"
 
 
-def stage_medians(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+def stage_medians(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     return written(spark, f"medians|{sf_dir}|{params}",
                    lambda: conditioning.train_medians(stage_queries(spark, sf_dir, params), params))
 
@@ -88,12 +107,12 @@ def _cleaned(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
                                          stage_medians(spark, sf_dir, params), params)
 
 
-def stage_cost_range(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+def stage_cost_range(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     return written(spark, f"range|{sf_dir}|{params}",
                    lambda: conditioning.fit_cost_range(_cleaned(spark, sf_dir, params), params))
 
 
-def stage_core(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+def stage_core(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     """Queries with conditioned costs and utilities: the input of every later operator."""
 
     def build() -> DataFrame:

@@ -345,6 +345,12 @@ def split_violations(spark, sf):
     return quality.split_violations(rows.withColumn("split", F.coalesce("split", F.lit("none"))))
 
 
+@query
+def incomplete_queries(spark, sf):
+    """How many queries every result over splits lacks, as a candidate of theirs is missing."""
+    return sourcing.incomplete_counts(spark, sf)
+
+
 @query
 def id_report(spark, sf):
     """D7."""

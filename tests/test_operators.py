@@ -33,6 +33,7 @@ from choicemill.operators import (
 )
 from choicemill.params import DEFAULT, Params
 from choicemill.plans import routers, sourcing
+from choicemill.queries import QUERIES
 from choicemill.session import checkpoint_root
 from choicemill.sources import files, questions
 from choicemill.sources.stages import fits, row_bound, written
@@ -486,3 +487,15 @@ def test_stage_sizes_are_recorded(spark):
     df = written(spark, "sized", lambda: spark.range(7))
     assert row_bound(df) == 7 and df.count() == 7
     assert fits(df, 7) and not fits(df, 6)
+
+
+def test_incomplete_queries_fail_unless_dropped_by_name(spark):
+    sf = "/root/testdata/sf0.01"
+    counts = QUERIES["incomplete_queries"](spark, sf).first()
+    assert counts.n_incomplete > 0 and counts.n_queries == counts.n_complete + counts.n_incomplete
+    with pytest.raises(ValueError, match=f"{counts.n_incomplete} queries"):
+        sourcing.stage_queries(spark, sf, Params())
+    with pytest.raises(ValueError, match="on_incomplete"):
+        sourcing.stage_queries(spark, sf, Params(on_incomplete="other"))
+    assert sourcing.stage_queries(spark, sf).count() == counts.n_complete
+    print("incomplete", counts)
