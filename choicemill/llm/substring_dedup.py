@@ -226,7 +226,7 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("first").alias("__first"),
         F.col("removed").alias("__removed"), F.col("kept_text").alias("__kept")), ["__k1", "__k2"])
     n_words = F.size(F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != ""))
-    copy = F.when(F.col("__o") != F.col("__first"), n_words >= window).otherwise(F.lit(False))
+    copy = F.when(F.col("__o") != F.col("__first"), F.coalesce(n_words >= window, F.lit(False))).otherwise(F.lit(False))
     touched = F.coalesce(F.col("__removed"), F.lit(0)) > 0
     first = F.col("__o") == F.col("__first")
     joined = joined.where(~copy & ~(first & touched & (F.trim(F.col("__kept")) == "")))

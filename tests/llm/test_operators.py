@@ -95,6 +95,13 @@ def test_substring_dedup_edges(edge, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_keeps_every_null_text(spark):
+    rows = [(1, None), (2, None), (None, None), (3, ""), (4, " ")]
+    docs = ready(spark).createDataFrame([(i, t, None, None, None, 0, "x", None) for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id or -1, r.text or "") for r in substring_dedup.without_repeats(docs).collect()) == sorted(
+        (i or -1, t or "") for i, t in rows)
+
+
 def shingle_set(text):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     w = (text or "").encode().translate(lower).split()
