@@ -50,6 +50,7 @@ BANDS = 48
 ROWS = 5
 BITS = 1024
 WHOLE_BITS = 4096
+SATURATED = 0.85
 BLOCK = 16_384  # members of a bucket that one task compares at a time
 
 
@@ -92,13 +93,14 @@ def set_similarity(x, y, different_bits) -> tuple[np.ndarray, np.ndarray]:
     """Bounds on the similarity of sets of x and y elements, from their whole-set sketches.
 
     The d elements that only one set has leave about m / 2 (1 - exp(-2 d / m)) of m bits different, with
-    the variance of a balls-in-bins parity count; the bounds are six standard errors off.
+    the variance of a balls-in-bins parity count; the bounds are six standard errors off. From the share
+    SATURATED on nothing is known: it is nine standard errors below that of a full sketch.
     """
     m = WHOLE_BITS
-    share = np.minimum(2.0 * different_bits / m, 0.97)
+    share = np.minimum(2.0 * different_bits / m, SATURATED)
     d = -m / 2 * np.log(1 - share)
     error = 6 * np.sqrt(np.maximum(m / 4 * (np.exp(4 * d / m) - 1) - d, 0)) + 3
-    least, most = np.maximum(d - error, np.abs(x - y)), np.where(share >= 0.97, x + y, d + error)
+    least, most = np.maximum(d - error, np.abs(x - y)), np.where(share >= SATURATED, x + y, d + error)
     total = x + y
     return np.maximum((total - most) / (total + most), 0), (total - least) / (total + least)
 

@@ -161,6 +161,13 @@ def test_sure_links_give_a_spanning_set():
     assert len(found) == 59
 
 
+def test_full_sketches_give_no_sure_link():
+    """Sets of 50,000 shingles at similarity 0.6 leave about half of the bits different."""
+    bits = np.random.default_rng(7).binomial(minhash_dedup.WHOLE_BITS, 0.5, 20_000)
+    low, high = minhash_dedup.set_similarity(50_000, 50_000, bits)
+    assert low.max() < 0.75 and high.min() >= 0.6
+
+
 def test_ledger_edges_and_ablation(edge, none):
     entries = quality_rules.ledger(edge)
     got = {r.doc_id: r for r in entries.collect()}
