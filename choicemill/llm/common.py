@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join small record batches until they hold about ``limit`` bytes of a text column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers from start to stop of each row, one row after the other."""
+    length = stop - start
+    if not len(length):
+        return np.zeros(0, np.int64)
+    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row and the n + 1 offsets (null: empty)."""
     texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "")
@@ -135,12 +160,16 @@ class Words:
         self.starts = np.flatnonzero(inside & first[:-1])
         self.ends = np.flatnonzero(inside & (first[1:] | np.append(~inside[1:], True))) + 1
         self.bounds = np.searchsorted(self.starts, offs)
-        self.hashes = span_hashes(self.data[inside], self.ends - self.starts)
+        self.inside = self.data[inside]  # the bytes of all words in a row
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    @property
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.inside, self.ends - self.starts)
+
+    @cached_property
     def owner(self) -> np.ndarray:
         """For each word, the number of its text."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))

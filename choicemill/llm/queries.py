@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from choicemill.llm import knn, language_id, minhash_dedup, packing, pieces, quality_rules, ready, secret_scan, substring_dedup, toxicity, warc_fixity
+from choicemill.llm import (
+    html_extraction,
+    knn,
+    language_id,
+    lexical_search,
+    minhash_dedup,
+    packing,
+    phrase_mining,
+    pieces,
+    quality_rules,
+    ready,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+    warc_fixity,
+)
 
 _OPERATORS = [
     substring_dedup.op1_substring_dedup, minhash_dedup.op2_minhash_dedup, quality_rules.op3_quality_rules,
     packing.op4_packing, warc_fixity.op5_warc_fixity,
     pieces.op6_sentencepiece_nbest, secret_scan.op7_secret_scan, toxicity.op8_toxicity,
     knn.op9_exact_knn, language_id.op10_language_id,
+    phrase_mining.op11_phrase_mining, lexical_search.op12_lexical_search, html_extraction.op13_html_extraction,
 ]
 
 
@@ -21,4 +37,5 @@ def _prepared(fn):
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in _OPERATORS}
 ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op5_warc_fixity": warc_fixity.ORACLE,
-           "op9_exact_knn": knn.ORACLE}
+           "op9_exact_knn": knn.ORACLE, "op11_phrase_mining": phrase_mining.ORACLE,
+           "op12_lexical_search": lexical_search.ORACLE, "op13_html_extraction": html_extraction.ORACLE}
