@@ -51,6 +51,12 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def drawn(share: float | Column, *columns: str) -> Column:
+    """Rows of a hash sample with this share of all, over 2^62 steps: no share of a large table rounds to nothing."""
+    least = F.lit(share) * F.lit(float(1 << 62)) if not isinstance(share, Column) else share * F.lit(float(1 << 62))
+    return F.shiftrightunsigned(F.xxhash64(*columns), 2).cast("double") <= least
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of text or list elements, one row at least."""

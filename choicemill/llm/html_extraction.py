@@ -7,7 +7,7 @@
 3. A bidirectional LSTM in NumPy reads the whole page as one sequence of blocks, so every block is judged
    in the context of the document, and labels each as article or not. There is no limit on blocks.
 
-The model is trained here. Training pages are (a) a hash sample of at most SAMPLE_PAGES pages of SAMPLE_CHARS
+The model is trained here. Training pages are (a) a hash sample of about SAMPLE_PAGES pages of SAMPLE_CHARS
 characters or fewer that mark their article by HTML elements, which label their blocks, and (b) LAYOUTS pages
 drawn from a grammar of common layouts (menus, notices, adverts, sidebars, forms, comments, with and without
 telling names), filled with words of the sample. The sample is bounded and goes to the driver; the fitted
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.llm.common import Words, byte_class, slices
+from choicemill.llm.common import Words, byte_class, drawn, slices
 
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 50_000
@@ -591,9 +591,10 @@ def _extract(model: Labeller):
 
 
 def training_sample(pages: DataFrame, rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Html of the ``rows`` pages of ``chars`` characters or fewer that come first by a hash."""
-    some = pages.select("html").where(F.length("html").between(1, chars))
-    return [r.html for r in some.orderBy(F.xxhash64("html"), "html").limit(rows).collect()]
+    """Html of a hash sample of about ``rows`` pages of ``chars`` characters or fewer, in a fixed order."""
+    some = pages.select("page_id", "html").where(F.length("html").between(1, chars))
+    share = min(1.0, rows / max(1, some.count()))
+    return sorted(r.html for r in some.where(drawn(share, "page_id", "html")).select("html").collect())
 
 
 def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:

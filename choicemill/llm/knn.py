@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: a KD-tree per shard, best boxes first.
 
-Vectors are whole numbers, dealt to shards of about SHARD by a hash of their id. Each shard is split at
+Vectors are whole numbers, dealt to shards of about SHARD by a hash of id and vector. Each shard is split at
 medians into leaves, and every node keeps the tight box of its points. For a query q, no point of a box
 can score more than sum of max(q_i * low_i, q_i * high_i). Subtrees below the kth best score so far
 are left out, the rest are visited by falling bound until the next bound is below that score.
@@ -11,7 +11,8 @@ boxes with a bound equal to the kth score are visited too. Results are exact.
 
 Defined cases: vectors that are null or hold a null or a value that is not finite take no part; shorter
 vectors count as filled up with zeros; rows with the query's id are not its candidates; repeated rows of
-a candidate are listed each, repeated queries once; null ids take no part.
+a candidate are listed each; of several query vectors with one id the smallest is answered; null ids take no
+part. Scores are exact in 64 bits; where one may not fit, the query fails.
 """
 
 from __future__ import annotations
@@ -41,6 +42,19 @@ def quantised(table: DataFrame, scale: int = 64) -> DataFrame:
         F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b, whole numbers both, without rounding.
+
+    In doubles where every sum stays below 2^53, else in 64-bit integers; beyond those it is an error.
+    """
+    reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if reach < 2.0 ** 53:
+        return np.rint(a @ b.T).astype(np.int64)
+    if reach >= 2.0 ** 62:
+        raise OverflowError("a score may not fit in 64 bits")
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
 def _matrix(column, width: int) -> np.ndarray:
     rows = column.to_pylist()
     out = np.zeros((len(rows), width))
@@ -86,25 +100,25 @@ class Tree:
             self.boxes.insert(0, (np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
 
     def bounds(self, queries: np.ndarray, kth: np.ndarray) -> np.ndarray:
-        """Upper bound of each leaf for each query; minus infinity below a box that cannot matter."""
+        """Upper bound of each leaf for each query; NONE below a box that cannot matter."""
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         alive = np.ones((len(queries), 1), bool)
         for low, high in self.boxes:
-            bound = up @ high.T + down @ low.T
+            bound = product(up, high) + product(down, low)
             alive = alive if alive.shape[1] == bound.shape[1] else np.repeat(alive, 2, axis=1)
             alive &= bound >= kth[:, None]
-        return np.where(alive, bound, -np.inf)
+        return np.where(alive, bound, NONE)
 
 
 def search(tree: Tree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
     """Improve the best k (ids, scores by falling score, then id) of each query with a tree's points."""
     k = scores.shape[1]
-    bound = tree.bounds(queries, scores[:, -1].astype(float))
-    order = np.argsort(-bound, axis=1, kind="stable")
+    bound = tree.bounds(queries, scores[:, -1])
+    order = np.argsort(-np.maximum(bound, NONE + 1), axis=1, kind="stable")
     for step in range(bound.shape[1]):
         leaf = order[:, step]
         best = bound[np.arange(len(queries)), leaf]
-        going = np.flatnonzero((best > -np.inf) & (best >= scores[:, -1]))
+        going = np.flatnonzero((best > NONE) & (best >= scores[:, -1]))
         if not len(going):
             return
         for node in np.unique(leaf[going]):
@@ -112,7 +126,7 @@ def search(tree: Tree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, sc
             s, e = tree.cuts[node], tree.cuts[node + 1]
             if s == e:
                 continue
-            found = np.rint(queries[rows] @ tree.points[s:e].T).astype(np.int64)
+            found = product(queries[rows], tree.points[s:e])
             found[own[rows, None] == tree.ids[None, s:e]] = NONE
             better = found.max(axis=1) >= np.maximum(scores[rows, -1], NONE + 1)
             rows, found = rows[better], found[better]
@@ -177,12 +191,12 @@ def _listing(k: int):
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries`` (vec_id, v)."""
-    vectors, queries = stage(vectors), stage(queries.dropDuplicates(["vec_id"]))
+    vectors, queries = stage(vectors), stage(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
     n, wide = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     m, wider = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(wide or 0, wider or 0, 1)
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(m / block))
-    trees = stage(vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    trees = stage(vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
                   .groupBy("shard").applyInArrow(_plant(width), "shard int, points binary, names binary, depth int"))
     state = "block int, queries binary, own binary, ids binary, scores binary"
     blocked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.llm.common import held_out, mixed, signed, slices, stream
+from choicemill.llm.common import drawn, held_out, mixed, signed, slices, stream
 
 PER_LANGUAGE = 4_000  # expected number of training rows of each language
 MOST = 5
@@ -130,17 +130,17 @@ class Model:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of the rows of ``docs`` (text, lang, doc_id) that are not held out and have a language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw"))
+        "doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         none = np.zeros(0, np.uint64)
         return Model([], none, np.zeros((0, 0), np.float32), none, np.zeros((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for name in languages for x in
-                           (name, min(1_000_000, int(1e6 * per_language / sizes[name]) + 1))])
+                           (name, min(1.0, per_language / sizes[name]))])
     counts = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("k"))), F.lit(0)).alias(f"k{i}")
               for i, x in enumerate(languages)]
-    kept = (rows.where(F.col("draw") < share[F.col("lang")]).select("text", "lang")
+    kept = (rows.where(drawn(share[F.col("lang")], "doc_id", "text")).select("text", "lang")
             .mapInArrow(_counts, "lang string, n int, h long, k long")
             .groupBy("n", "h").agg(*counts, F.sum("k").alias("all")).where(F.col("all") >= LEAST_COUNT).toArrow())
     n = kept.column("n").to_numpy()

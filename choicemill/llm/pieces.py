@@ -66,6 +66,8 @@ class Vocabulary:
         self.raw = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.encode() for i, t in enumerate(self.text)]
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.score_of = {self.text[i]: (float(model.get_score(i)), i) for i in plain}
+        if any(BLANK in self.text[i].lstrip(BLANK) for i in plain):
+            raise ValueError("a piece holds a blank after its first character: texts cannot be cut at blanks")
         self.most = max(len(self.text[i]) for i in plain)
         self.floor = min(s for s, _ in self.score_of.values()) - 10
         self.factors = stream(self.most, 15)
@@ -218,19 +220,35 @@ def second_losses(forward, edges, size) -> np.ndarray:
 def n_best(text: str, forward: np.ndarray, edges: np.ndarray, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """(score, cut points) of the n best segmentations of one chunk, by backward A*."""
     most = edges.shape[1]
-    agenda = [(-forward[len(text)], (len(text),), 0.0)]
+    nodes: list[tuple[int, int]] = [(len(text), -1)]  # place and the node behind it
+    agenda = [(-forward[len(text)], len(text), 0, 0.0)]
+    # The best totals of different paths met so far: what falls below n of them is never looked at again.
+    totals = [forward[len(text)]]
     out = []
     while agenda and len(out) < n:
-        bound, path, behind = heapq.heappop(agenda)
-        end = path[0]
+        bound, end, node, behind = heapq.heappop(agenda)
         if end == 0:
-            out.append((-bound, path))
+            cut = []
+            while node >= 0:
+                place, node = nodes[node]
+                cut.append(place)
+            out.append((-bound, tuple(cut)))
             continue
+        steps = []
         for length in range(1, min(most, end) + 1):
             score = edges[end - length, length - 1]
             if score > -np.inf:
-                total = forward[end - length] + score + behind
-                heapq.heappush(agenda, (-total, (end - length, *path), behind + score))
+                steps.append((forward[end - length] + score + behind, end - length, behind + score))
+        steps.sort(reverse=True)  # the first goes on with the path that was taken from the agenda
+        for i, (total, place, score) in enumerate(steps):
+            if i and len(totals) < n:
+                heapq.heappush(totals, total)
+            elif i and total > totals[0]:
+                heapq.heapreplace(totals, total)
+            elif i:
+                break
+            heapq.heappush(agenda, (-total, place, len(nodes), score))
+            nodes.append((place, node))
     return out
 
 

@@ -8,17 +8,20 @@ All of it is DataFrame functions. Counting combines before the shuffle, and the
 LETTERS x LETTERS numbers at any size of the corpus. Spans are in code points, the end excluded.
 
 Defined cases: null or empty text has no span; repeated rows are scanned each; other columns are ignored
-or, in ``masked``, kept; without samples the models are equal and add nothing.
+or, in ``masked``, kept; without samples of a class the models are equal and add nothing, with a warning.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from choicemill.llm.common import drawn
+
 # The patterns of the base kinds.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -66,7 +69,7 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """value, label from a hash sample of about ``rows`` documents: what the fixed patterns find, and
     words of eight letters or more."""
     share = min(1.0, rows / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = docs.where(drawn(share, "doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.transform(base_spans(text), lambda s: F.struct(
         F.regexp_extract(s["value"], r"([A-Za-z0-9+/_=\-]+)[^A-Za-z0-9+/_=\-]*$", 1).alias("value"), F.lit(1).alias("label")))
@@ -87,6 +90,9 @@ def train(labelled: DataFrame) -> list[int]:
     allowed = pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=\-]{2}$") & F.col("label").isin(0, 1))
     for label, pair, k in allowed.groupBy("label", "pair").agg(F.count("*").alias("k")).collect():
         counts[label][pair] = k
+    if lacking := [c for c in (0, 1) if not counts[c]]:
+        warnings.warn(f"no labelled samples of class {lacking}: the Markov models add no span", stacklevel=2)
+        return [0] * n * n
     # A pair's frequency is drawn towards that of its second character, so characters that ordinary
     # identifiers do not use count against them after any other.
     single, total = [], []

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.llm.common import held_out, list_array, mixed, signed, slices, stage, stream
+from choicemill.llm.common import drawn, held_out, list_array, mixed, signed, slices, stage, stream
 from choicemill.llm.language_id import LetterWords, _table
 
 PER_CLASS = 4_000  # expected number of labelled rows of each class that voters are learned from
@@ -37,7 +37,6 @@ PREFIXES = (4, 5, 6)
 LEAST_ROWS = 4
 THRESHOLD = 0.3
 CORRELATED = 0.3
-MILLION = 1_000_000
 NEVER = -1_000.0
 
 
@@ -76,7 +75,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
     share = F.when(F.col("toxic") == 1, min(1.0, PER_CLASS / sizes[1])).otherwise(min(1.0, PER_CLASS / sizes[0]))
     # About 2 * PER_CLASS rows of 12 bytes at any size of the tables.
-    sample = F.broadcast(known.where(F.pmod(F.xxhash64("__id"), F.lit(MILLION)) < share * MILLION))
+    sample = F.broadcast(known.where(drawn(share, "__id")))
     rows = docs.where(~held_out()).join(sample, F.col("doc_id") == F.col("__id")).select("text", "toxic")
     rows = stage(rows.where(F.col("text").isNotNull()))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -186,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     order = np.argsort(ranked)
     vocabulary, voter = ranked[order], order % LEXICONS
     rows = docs.where(~held_out() & F.col("text").isNotNull())
-    voted = rows.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(MILLION)).alias("draw"))
+    voted = rows.select("doc_id", "text")
     cast = _votes(vocabulary, voter)
     masks = voted.select("text").mapInArrow(cast, "mask long, terms array<int>").groupBy("mask").agg(
         F.count("*").alias("n")).toArrow()
@@ -194,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     mask, n = masks.column("mask").to_numpy(), masks.column("n").to_numpy().astype(float)
     model = LabelModel(mask, n, voters)
     share = min(1.0, FIT_ROWS / max(1.0, n.sum()))
-    sample = voted.where(F.col("draw") < int(share * MILLION) + 1).select("text").mapInArrow(
+    sample = voted.where(drawn(share, "doc_id", "text")).select("text").mapInArrow(
         _labelled(cast, model, len(vocabulary)), "x array<double>, label double, weight double")
     table = stage(sample).select(array_to_vector("x").alias("features"), "label", "weight")
     fitted = LogisticRegression(weightCol="weight", maxIter=40, regParam=1e-4).fit(table)
