@@ -7,10 +7,10 @@
    where sets are similar.
 3. Classes with a band key in common are candidates. First round: each class against the smallest class
    of its buckets only, confirmed on full sets; most groups of near copies join here with a row a class.
-   Second round: within buckets that still hold several components, sketches are compared between
-   components in blocks, and only likely links leave the task; they are confirmed on full sets as well. There, a
-   second odd sketch in which every shingle is a sample tells sure links and sure non-links apart. Sure
-   links come first; what they join needs no look at the pairs in doubt, which come last.
+   Second round: buckets that still hold several components, one of those with equal members, bring the full
+   sets of their classes together in blocks of BLOCK_BYTES. Within a block, pairs of different components
+   that sizes and sketches let pass are decided on the full sets, and a link joins its components at once.
+   So only confirmed links that join two components leave a block: fewer than it has members.
 4. Components of confirmed links, named by their smallest document.
 
 With 48 bands of 5 samples, two sets at similarity 0.75 share no band with probability 2e-6, and less
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicemill.llm.common import (
-    LAST,
     Words,
     identified,
     list_array,
     mixed,
     order_id,
+    ranges,
     signed,
     slices,
     stage,
@@ -49,9 +49,7 @@ SHINGLE = 5
 BANDS = 48
 ROWS = 5
 BITS = 1024
-WHOLE_BITS = 4096
-SATURATED = 0.85
-BLOCK = 16_384  # members of a bucket that one task compares at a time
+BLOCK_BYTES = 16 << 20  # full sets of a bucket that form one side of a comparison
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -82,27 +80,11 @@ def similarity(different_bits: np.ndarray) -> np.ndarray:
     return 1 + BITS / 2 * np.log(1 - share) / (2 * BANDS * ROWS)
 
 
-def whole_sketches(sets: list[np.ndarray]) -> list[bytes]:
-    """Odd sketches of whole sets: the sample in which every element is drawn."""
-    counts = [np.bincount((mixed(s + np.uint64(10)) % np.uint64(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS)
-              for s in sets]
-    return [np.packbits((c & 1).astype(np.uint8)).tobytes() for c in counts]
-
-
-def set_similarity(x, y, different_bits) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds on the similarity of sets of x and y elements, from their whole-set sketches.
-
-    The d elements that only one set has leave about m / 2 (1 - exp(-2 d / m)) of m bits different, with
-    the variance of a balls-in-bins parity count; the bounds are six standard errors off. From the share
-    SATURATED on nothing is known: it is nine standard errors below that of a full sketch.
-    """
-    m = WHOLE_BITS
-    share = np.minimum(2.0 * different_bits / m, SATURATED)
-    d = -m / 2 * np.log(1 - share)
-    error = 6 * np.sqrt(np.maximum(m / 4 * (np.exp(4 * d / m) - 1) - d, 0)) + 3
-    least, most = np.maximum(d - error, np.abs(x - y)), np.where(share >= SATURATED, x + y, d + error)
-    total = x + y
-    return np.maximum((total - most) / (total + most), 0), (total - least) / (total + least)
+def full_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted shingle fingerprints of each text."""
+    values, number = shingles(Words(texts, lower=True))
+    ends = np.cumsum(number)
+    return [np.unique(values[e - k: e]) for e, k in zip(ends, number, strict=True)]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,68 +116,75 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("o"), b.column("k1"), b.column("k2"), pa.array(size), pa.array(signed(mixed(one + two))),
              list_array(signed(keys.ravel()), np.where(number > 0, BANDS, 0), pa.int64()),
-             pa.array(sketch, pa.binary()), pa.array(whole_sketches(sets), pa.binary())],
-            ["doc_id", "o", "k1", "k2", "n", "node", "keys", "sketch", "whole"])
+             pa.array(sketch, pa.binary())],
+            ["doc_id", "o", "k1", "k2", "n", "node", "keys", "sketch"])
 
 
 def _confirm(percent: int):
-    def sets(column):
-        values, number = shingles(Words(column, lower=True))
-        ends = np.cumsum(number)
-        return [np.unique(values[e - k: e]) for e, k in zip(ends, number, strict=True)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             linked = []
-            for x, y in zip(sets(b.column("text_a")), sets(b.column("text")), strict=True):
+            for x, y in zip(full_sets(b.column("text_a")), full_sets(b.column("text")), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(linked))
     return run
 
 
-def likely_pairs(label, size, sketch, whole, percent: int, floor: float, doubtful: bool = True) -> list[tuple[int, int]]:
-    """Index pairs of members of a bucket that are to be confirmed.
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays(
+            [b.column("node"), pa.array([s.tobytes() for s in full_sets(b.column("text"))], pa.binary())], ["node", "elements"])
+
 
-    Pairs within a component and pairs whose sizes rule a link out are passed over. A pair that is a
-    link by its whole-set sketch beyond doubt joins its components here, so that a group of near
-    copies gives one pair a member. If asked for, pairs in doubt are all given unless sure links join them.
+def joining_links(label, side, sketch, sets: list[np.ndarray], percent: int, floor: float) -> list[tuple[int, int]]:
+    """Index pairs of members of a bucket that are links by their full sets and join two components.
+
+    Pairs within a component, pairs whose sizes or sketches rule a link out and, where both sides are
+    given, pairs of one side are passed over. Common elements of one member and all others are counted at
+    once, through the members that hold each element.
     """
+    n, size = len(sets), np.array([len(s) for s in sets])
     group = np.unique(label, return_inverse=True)[1]
-    sure: list[tuple[int, int]] = []
-    doubt: list[tuple[int, int]] = []
-    for i in range(len(label) - 1):
+    apart = len(np.unique(side)) > 1
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    holder = np.repeat(np.arange(n), size)[order]
+    bounds = np.searchsorted(code[order], np.arange(code.max() + 2))
+    ends = np.cumsum(size)
+    found: list[tuple[int, int]] = []
+    for i in range(n - 1):
         j = i + 1 + np.flatnonzero(group[i + 1:] != group[i])
+        if apart:
+            j = j[side[j] != side[i]]
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         j = j[100 * small >= percent * large]
+        j = j[similarity(np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)) >= floor] if len(j) else j
         if not len(j):
             continue
-        j = j[similarity(np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)) >= floor]
-        low, high = set_similarity(size[i], size[j], np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1))
-        good = low * 100 >= percent
-        maybe = j[~good & (high * 100 >= percent) & doubtful]
-        doubt += zip([i] * len(maybe), maybe.tolist(), strict=True)
-        j = j[good]
+        own = code[ends[i] - size[i]: ends[i]]
+        common = np.bincount(holder[ranges(bounds[own], bounds[own + 1])], minlength=n)[j]
+        j = j[100 * common >= percent * (size[i] + size[j] - common)]
         if len(j):
             j = j[np.unique(group[j], return_index=True)[1]]
-            sure += zip([i] * len(j), j.tolist(), strict=True)
+            found += zip([i] * len(j), j.tolist(), strict=True)
             group[np.isin(group, group[j])] = group[i]
-    return sure + [(i, j) for i, j in doubt if group[i] != group[j]]
+    return found
 
 
-def _compare(percent: int, floor: float, doubtful: bool):
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
-        sketch, whole = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(len(node), -1)
-                         for c in ("sketch", "whole"))
-        found = likely_pairs(label, size, sketch, whole, percent, floor, doubtful)
+def _join(percent: int, floor: float):
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, label, side = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("elements").to_pylist()]
+        found = joining_links(label, side, sketch, sets, percent, floor)
         if found:
             i, j = np.array(found).T
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket is held at a time."""
+        """Rows come sorted by bucket; one block of a bucket is held at a time."""
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
@@ -206,79 +195,73 @@ def _compare(percent: int, floor: float, doubtful: bool):
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
             for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
                 if last is not None and last != (key[s], tile[s]):
-                    yield from pairs(pa.Table.from_batches(held))
+                    yield from links(pa.Table.from_batches(held))
                     held = []
                 held.append(b.slice(s, e - s))
                 last = (key[s], tile[s])
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from links(pa.Table.from_batches(held))
     return run
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 75, floor: float = 0.55) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept per row of ``docs``.
 
-    n_links counts the confirmed links of the document's shingle set that were looked at.
+    A row is kept if its id names its component; without an id, if it was chosen among equal rows.
     """
-    return _verdicts(docs, percent, floor).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    named = F.coalesce(F.col("doc_id") == F.col("component_id"), F.when(F.col("doc_id").isNull(), F.col("first")), F.lit(False))
+    return _verdicts(docs, percent, floor).select("doc_id", "n_shingles", "component_id", named.alias("kept"))
 
 
 def _verdicts(docs: DataFrame, percent: int = 75, floor: float = 0.55) -> DataFrame:
-    """The columns of near_duplicate_groups with the key o, k1, k2 of the row: its id and its text's fingerprints."""
+    """doc_id, n_shingles, component_id and ``first`` (the row represents its group) per row, with the row's
+    key none, o, k1, k2: whether it lacks an id, its id and its text's fingerprints."""
     rows = identified(docs)
     # Rows with a null id get a number each: equal ones are not one document.
     number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
     heads = stage(rows.mapInArrow(
-        _signatures, "doc_id long, o long, k1 long, k2 long, n long, node long, keys array<long>, sketch binary, whole binary")
-        .withColumn("u", number))
-    row = F.struct("o", "k1", "k2", "u")
-    classes = heads.where("n > 0").groupBy("node").agg(F.min(row).alias("first")).select("node", "first.o", "first")
+        _signatures, "doc_id long, o long, k1 long, k2 long, n long, node long, keys array<long>, sketch binary")
+        .withColumn("u", number).withColumn("none", F.col("doc_id").isNull()))
+    row = F.struct("none", "o", "k1", "k2", "u")
+    classes = heads.where("n > 0").groupBy("node").agg(F.min(row).alias("name")).select("node", "name.o", "name")
     # One row stands for each class: the first document that has the set.
     chosen = heads.where("n > 0").join(classes, ["node", "o"]).dropDuplicates(["node"])
-    keyed = chosen.select("node", "o", F.explode("keys").alias("key"))
+    keyed = chosen.select("node", "o", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("o", "node")).alias("pivot"))
     members = stage(keyed.drop("o").join(shared.where("members > 1").drop("members"), "key"))
-    first = (members.where("node != pivot.node").groupBy("node").agg(F.min("pivot").alias("pivot"))
-             .select("node", "pivot.node"))
-    first = first.toDF("node", "pivot")
+    pivots = (members.where("node != pivot.node").groupBy("node").agg(F.min("pivot").alias("pivot"))
+              .select(F.col("pivot.node").alias("a"), F.col("node").alias("b")))
     texts = stage(_texts(rows, chosen, members))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.withColumnRenamed("node", "b"), "b")
-        return stage(both.select("a", "b", "text_a", "text").mapInArrow(_confirm(percent), "a long, b long").distinct())
-
-    def across(labels: DataFrame, doubtful: bool) -> DataFrame:
-        """Links between components that meet in a bucket."""
-        labelled = members.join(labels, "node", "left").select(
-            "key", "node", F.coalesce("label", "node").alias("label"))
-        mixed_keys = labelled.groupBy("key").agg(
-            F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        tiles = F.ceil(F.col("members") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-        pair = F.greatest("own", "other").cast("long") * (1 << 31) + F.least("own", "other")
-        blocks = (labelled.join(mixed_keys.select("key", tiles.alias("tiles")), "key")
-                  .select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-                  .select("key", "node", "label", pair.alias("tile")))
-        return confirmed(blocks.join(chosen.select("node", "n", "sketch", "whole"), "node")
-                         .repartition("key", "tile").sortWithinPartitions("key", "tile")
-                         .mapInArrow(_compare(percent, floor, doubtful), "a long, b long").distinct())
-
-    links = confirmed(first.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    labels = components(links)
-    for doubtful in (False, True):
-        links = links.union(across(labels, doubtful))
-        labels = components(links)
-    final = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("top"))
-    named = final.join(final.groupBy("top").agg(F.min("first").alias("head")), "top").select("node", "head")
-    ends = links.distinct()
-    n_links = ends.select(F.col("a").alias("node")).union(ends.select("b")).groupBy("node").agg(
-        F.count("*").alias("n_links"))
+    with_a = pivots.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.withColumnRenamed("node", "b"), "b")
+    links = stage(both.select("a", "b", "text_a", "text").mapInArrow(_confirm(percent), "a long, b long"))
+    links = links.union(stage(_across(members, components(links), texts, chosen, percent, floor)))
+    final = components(links, classes.select("node", "name")).withColumnRenamed("label", "head")
+    named = classes.join(final, "node", "left").select("node", F.coalesce("head", "name").alias("head"))
     head = F.when(F.col("n") == 0, row).otherwise(F.col("head"))
-    return (heads.drop("keys", "sketch", "whole").join(named, "node", "left").join(n_links, "node", "left")
-            .select("doc_id", "o", "k1", "k2", F.col("n").alias("n_shingles"),
-                    F.when(head["o"] != LAST, head["o"]).alias("component_id"), (row == head).alias("kept"),
-                    F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")))
+    return heads.drop("keys", "sketch").join(named, "node", "left").select(
+        "doc_id", "none", "o", "k1", "k2", F.col("n").alias("n_shingles"),
+        F.when(~head["none"], head["o"]).alias("component_id"), (row == head).alias("first"))
+
+
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, chosen: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Confirmed links between components that meet in a bucket: fewer than a block has members."""
+    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    several = labelled.groupBy("key").agg(
+        F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("low != high")
+    # Buckets with the same members hold the same pairs.
+    once = several.groupBy("members", "x", "y").agg(F.min("key").alias("key"), F.first("elements").alias("elements"))
+    tiles = F.ceil(8 * F.col("elements") / BLOCK_BYTES).cast("int").alias("tiles")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    tile = F.greatest("own", "other").cast("long") * (1 << 31) + F.least("own", "other")
+    blocks = stage(labelled.join(once.select("key", tiles), "key")
+                   .select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+                   .select("key", "node", "label", "own", tile.alias("tile")))
+    sets = texts.join(blocks.select("node").distinct(), "node").mapInArrow(_sets, "node long, elements binary")
+    return (blocks.join(sets, "node").join(chosen.select("node", "sketch"), "node")
+            .repartition("key", "tile").sortWithinPartitions("key", "tile")
+            .mapInArrow(_join(percent, floor), "a long, b long"))
 
 
 def _texts(rows: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
@@ -298,10 +281,10 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows are judged by id and text together: neither an id that others have as well nor a null id drops a clean text.
     """
-    key = ["__o", "__k1", "__k2"]
-    gone = stage(_verdicts(docs).groupBy("o", "k1", "k2").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
+    key = ["__none", "__o", "__k1", "__k2"]
+    gone = stage(_verdicts(docs).groupBy("none", "o", "k1", "k2").agg(F.max("first").alias("first")).where(~F.col("first"))
                  .select(*[F.col(c[2:]).alias(c) for c in key]))
-    ours = {"__o": order_id(), "__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
+    ours = {"__none": F.col("doc_id").isNull(), "__o": order_id(), "__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
     left = docs.withColumns(ours).join(gone, key, "left_anti")
     # Of equal texts without an id one row stays; a text without words is no copy of another.
     nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))

@@ -151,21 +151,67 @@ def test_near_copies_are_dropped_by_row(spark, edge):
     assert len(groups) == len(rows) and sum(r.kept for r in groups if r.doc_id is None and r.n_shingles) == 1
 
 
-def test_sure_links_give_a_spanning_set():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    sets = [np.unique(np.append(base[rng.permutation(200)[:192]], rng.integers(0, 2**63, 8, dtype=np.uint64))) for _ in range(60)]
-    whole = np.frombuffer(b"".join(minhash_dedup.whole_sketches(sets)), np.uint64).reshape(60, -1)
-    same = np.zeros((60, 16), np.uint64)
-    found = minhash_dedup.likely_pairs(np.arange(60), np.array([len(s) for s in sets]), same, whole, 75, 0.55)
-    assert len(found) == 59
-
-
-def test_full_sketches_give_no_sure_link():
-    """Sets of 50,000 shingles at similarity 0.6 leave about half of the bits different."""
-    bits = np.random.default_rng(7).binomial(minhash_dedup.WHOLE_BITS, 0.5, 20_000)
-    low, high = minhash_dedup.set_similarity(50_000, 50_000, bits)
-    assert low.max() < 0.75 and high.min() >= 0.6
+def components_by_hand(sets, percent=75):
+    top = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    return top
+
+
+def near_misses(n, share, seed):
+    """Sets of 58 elements that share about ``share`` of a common base."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 58, dtype=np.uint64)
+    return [np.unique(np.append(base[rng.random(58) < share], rng.integers(0, 2**63, 58, dtype=np.uint64))[:58]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("share", [0.84, 0.9, 0.97])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_a_block_gives_fewer_links_than_members_and_exact_components(share, sides):
+    sets = near_misses(400, share, 6)
+    side = np.arange(400) % sides
+    sketch = np.zeros((400, 16), np.uint64)  # equal sketches: every pair goes on to its full sets
+    found = minhash_dedup.joining_links(np.arange(400), side, sketch, sets, 75, 0.55)
+    assert len(found) < 400
+    top = list(range(400))
+    for i, j in found:
+        top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    if sides == 1:
+        assert top == components_by_hand(sets)
+    else:
+        assert all(side[i] != side[j] for i, j in found)
+
+
+def test_near_misses_in_one_bucket(spark, monkeypatch):
+    """A crowd at similarity 0.6 to 0.8 in the same buckets, compared in many small blocks."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 4_000)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(62)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.choice(62, 2, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    top = {d: d for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = top[a], top[b]
+            top = {d: min(x, y) if t in (x, y) else t for d, t in top.items()}
+    docs = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicate_groups(docs).collect()}
+    assert got == top and 1 < len(set(top.values())) < 120
+
+
+def test_kept_rows_are_those_whose_id_names_the_component(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (5, text + " more"), (2**63 - 1, text + " again"), (None, text + " none"), (2**63 - 1, "a b c"), (None, "a b c d")]
+    got = minhash_dedup.near_duplicate_groups(ready(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [
+        (0, 0, True), (0, 5, False), (5, 5, True), (5, 5, True), (2**63 - 1, 5, False), (2**63 - 1, 2**63 - 1, True)]
 
 
 def test_ledger_edges_and_ablation(edge, none):
