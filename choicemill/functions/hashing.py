@@ -56,6 +56,15 @@ def draw_digest(prefix: str, group: Column, key: str = "query_id") -> Column:
     return F.sha2(F.concat(F.lit(prefix + "|"), group.cast("string"), F.lit("|"), F.col(key)), 256)
 
 
+def draw_weight_array(df: DataFrame, prefix: str, draws: int, name: str, key: str = "query_id") -> DataFrame:
+    """Add the Poisson weights of draws 0..draws-1 as one array, equal to those of ``with_draw_weights``."""
+    groups = -(-draws // UNIFORM_LANES)
+    rows = df.select("*", *[draw_digest(prefix, F.lit(g), key).alias(f"__digest{g}") for g in range(groups)])
+    lanes = [(g, lane) for g in range(groups) for lane in range(UNIFORM_LANES)][:draws]
+    rows = rows.select(*df.columns, *[lane_digits(f"__digest{g}", lane).alias(f"__draw{g}_{lane}") for g, lane in lanes])
+    return rows.select(*df.columns, F.array(*[poisson_weight(F.col(f"__draw{g}_{lane}")) for g, lane in lanes]).alias(name))
+
+
 def with_draw_weights(df: DataFrame, prefix: str, draws: int, name: str, key: str = "query_id") -> DataFrame:
     """One row per (row, draw number 0..draws-1) with its Poisson weight ``w``; zero weights dropped.
 

@@ -111,15 +111,11 @@ def ensemble_stats(predictions: DataFrame, keys: Sequence[str], members: int,
         return F.array(*[F.col(f"__{prefix}{i}") for i in range(params.k)])
 
     fractions = [F.col(f"__v{i}") / F.lit(float(members)) for i in range(params.k)]
-    entropy = None
-    for p in fractions:
-        term = F.when(p > 0, -p * F.ln(p)).otherwise(F.lit(0.0))
-        entropy = term if entropy is None else entropy + term
     return grouped.select(
         *keys, "alpha_id", "alpha", array("m").alias("means"), array("s").alias("risks"),
         F.array(*[rounded(p, 8) for p in fractions]).alias("votes"),
         rounded(F.lit(1.0) - F.greatest(*fractions), 8).alias("disagreement"),
-        rounded(entropy / F.lit(math.log(params.k)), 8).alias("entropy"))
+        entropy_of(fractions, params).alias("entropy"))
 
 
 def routing_state(core: DataFrame, stats: DataFrame, keys: dict[str, str], params: Params = DEFAULT) -> DataFrame:
@@ -135,7 +131,11 @@ def routing_state(core: DataFrame, stats: DataFrame, keys: dict[str, str], param
     rows = by_alpha(core, params)
     for key, column in keys.items():
         rows = rows.withColumn(f"__{key}", F.col(column))
-    joined = attach(rows, named, [*[f"__{k}" for k in keys], "alpha_id"], "query_id", "inner", params)
+    return _with_states(attach(rows, named, [*[f"__{k}" for k in keys], "alpha_id"], "query_id", "inner", params), params)
+
+
+def _with_states(joined: DataFrame, params: Params) -> DataFrame:
+    """Routing state of rows per (query, alpha) with means, risks, votes, disagreement and entropy."""
     states = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(i).alias("ord"), F.col("means")[i].alias("mean"),
                  F.col("risks")[i].alias("risk"), realised(i).alias("actual"),
@@ -148,6 +148,57 @@ def routing_state(core: DataFrame, stats: DataFrame, keys: dict[str, str], param
                          best["score"].alias("oracle_utility"))
 
 
+def entropy_of(fractions: Sequence[Column], params: Params) -> Column:
+    """Entropy of vote fractions over that of an even vote; zeros are skipped."""
+    entropy = None
+    for p in fractions:
+        term = F.when(p > 0, -p * F.ln(p)).otherwise(F.lit(0.0))
+        entropy = term if entropy is None else entropy + term
+    return rounded(entropy / F.lit(math.log(params.k)), 8)
+
+
+def state_from_predictions(core: DataFrame, predictions: str, members: int, params: Params = DEFAULT) -> DataFrame:
+    """Routing state of queries that carry their members' predictions; nothing is shuffled.
+
+    ``predictions`` names an array over members of structs (correct, cost), arrays over candidates each.
+    Mean, risk and votes over the members are taken inside the row, by the same rules as in ``ensemble_stats``.
+    """
+    rows = by_alpha(core, params)
+
+    def utility(m: Column, i: int) -> Column:
+        return settled_double(m["correct"][i] - F.col("alpha") * m["cost"][i])
+
+    yhat = F.transform(predictions, lambda m: F.array(*[utility(m, i) for i in range(params.k)]))
+    rows = rows.withColumn("__yhat", yhat)
+
+    def of(i: int) -> Column:
+        return F.transform("__yhat", lambda y: y[i])
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    n = F.lit(float(members))
+    rows = rows.select("*", *[(total(of(i)) / n).alias(f"__mean{i}") for i in range(params.k)])
+
+    def deviation(i: int) -> Column:
+        mean = F.col(f"__mean{i}")
+        return F.sqrt(total(F.transform(of(i), lambda v: (v - mean) * (v - mean))) / n)
+
+    def votes_for(i: int) -> Column:
+        return F.size(F.filter("__picks", lambda p: p == i + 1)) / n
+
+    risks = [deviation(i) for i in range(params.k)]
+    # The first candidate wins a tie: the place of a member's highest prediction.
+    picks = F.transform("__yhat", lambda y: F.array_position(y, F.array_max(y)))
+    rows = rows.withColumn("__picks", picks)
+    rows = rows.select("*", *[votes_for(i).alias(f"__vote{i}") for i in range(params.k)])
+    votes = [F.col(f"__vote{i}") for i in range(params.k)]
+    return _with_states(rows.select(
+        *core.columns, "alpha_id", "alpha", F.array(*[rounded(F.col(f"__mean{i}"), 8) for i in range(params.k)]).alias("means"),
+        F.array(*[rounded(r, 8) for r in risks]).alias("risks"), F.array(*[rounded(v, 8) for v in votes]).alias("votes"),
+        rounded(F.lit(1.0) - F.greatest(*votes), 8).alias("disagreement"), entropy_of(votes, params).alias("entropy")), params)
+
+
 def predictor_errors(state: DataFrame) -> DataFrame:
     """MAE and RMSE of the mean prediction per (alpha, model)."""
     long = state.select("alpha", F.inline("state"))

@@ -1,121 +1,195 @@
 """Learners on query features: weighted ridge regression and boosted trees.
 
 Ridge needs only weighted sums of feature products. They are built per batch inside tasks with
-NumPy and added up by Spark, so the work is one pass and the shuffle is p x p per member and task.
+NumPy and added up by Spark in two levels, so the work is one pass over the training queries and the shuffle is
+p x p / 2 per member and task. Fits, and fits without a feature family, come from these sums alone.
 Like every linear learner it is fitted once for outcome and cost and serves all alphas.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from choicemill.functions.candidates import item
+from choicemill.functions.hashing import draw_weight_array
 from choicemill.functions.numeric import mean_of, rounded, settled_double
 from choicemill.operators.ensemble import training_pairs, weighted_training
 from choicemill.params import DEFAULT, Params
 
-SUMS_SCHEMA = "member int, position int, value double"
-COEFFICIENTS_SCHEMA = "member int, target int, coefficients array<double>"
+PLAIN = -1  # the member that holds every training query once
+BLOCK_SCHEMA = "member int, part int, block binary"
+PARTS = 64  # groups of the first of two merging levels
 
 
 # ---------------------------------------------------------------- ridge
 
-def feature_scales(core: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each feature over training queries; one small row."""
-    train = core.filter(F.col("split") == "train")
-    row = train.agg(*[a for f in features for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
-    return {f: (row[f"m_{f}"] or 0.0, row[f"s_{f}"] or 1.0) for f in features}
+def packed_length(width: int, targets: int) -> int:
+    """Numbers in a block: the upper triangle of a width x width matrix, then width x targets."""
+    return width * (width + 1) // 2 + width * targets
 
 
-def design_rows(core: DataFrame, features: Sequence[str], labels: dict[str, Sequence[str]],
-                scales: dict[str, tuple[float, float]]) -> DataFrame:
-    """Add ``x``: intercept, scaled features and one-hot labels (the first value is the base)."""
-    parts = [F.lit(1.0)]
-    parts += [(F.col(f) - F.lit(scales[f][0])) / F.lit(scales[f][1]) for f in features]
-    parts += [(F.col(c) == v).cast("double") for c, values in labels.items() for v in list(values)[1:]]
-    return core.withColumn("x", F.array(*parts))
+def _dense(indices: pa.ListArray, values: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of sparse features behind a leading 1 for the intercept."""
+    counts = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(counts), width))
+    out[:, 0] = 1.0
+    at = indices.flatten().to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(counts)), counts), at + 1] = values.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
-def _layout(p: int, targets: int) -> int:
-    return p * p + p * targets
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def moment_sums(design: DataFrame, width: int, params: Params = DEFAULT) -> DataFrame:
-    """Sums of w x x' and w x y per member, as (member, position, value).
+def targets_of(params: Params) -> Column:
+    """The learner's targets: outcome, then normalised cost, of each candidate."""
+    return F.array(*[item(i, "correct").cast("double") for i in range(params.k)], *[item(i, "normalized_cost") for i in range(params.k)])
 
-    Targets are the outcome and the cost of each candidate. The batches of a task are added up
-    inside the task; Spark adds the tasks.
+
+def moment_blocks(vectors: DataFrame, features: int, params: Params = DEFAULT) -> DataFrame:
+    """member, block: sums of w x x' (upper triangle) and w x y' over training queries, packed as doubles.
+
+    x has a leading 1. Member PLAIN has weight 1 throughout, the others their bootstrap weights. A
+    query goes to Python once, with its weights in an array. A task adds up its batches and gives one block a
+    member; blocks are added in two levels, so no task sees those of all others.
     """
-    targets = 2 * params.k
-    y = F.array(*[item(i, "correct").cast("double") for i in range(params.k)],
-                *[item(i, "normalized_cost") for i in range(params.k)])
-    rows = weighted_training(design.select("query_id", "split", "x", y.alias("y")), params)
-    rows = rows.select("member", "w", "x", "y")
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((params.members, _layout(width, targets)))
+    width, targets = features + 1, 2 * params.k
+    size = packed_length(width, targets)
+    train = vectors.filter(F.col("split") == "train").select("query_id", "indices", "values", targets_of(params).alias("y"))
+    rows = draw_weight_array(train, str(params.seed), params.members, "w").drop("query_id")
+    triangle = np.triu_indices(width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((params.members + 1, width, width))
+        right = np.zeros((params.members + 1, width, targets))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                some = batch.slice(at, 4_096)
+                x, y = _dense(some.column("indices"), some.column("values"), width), _matrix(some.column("y"))
+                weights = np.column_stack([np.ones(len(x)), _matrix(some.column("w"))])
+                for m in range(params.members + 1):
+                    weighted = x * weights[:, m, None]
+                    gram[m] += weighted.T @ x
+                    right[m] += weighted.T @ y
+        part = TaskContext.get().partitionId() % PARTS
+        blocks = [np.concatenate([g[triangle], r.ravel()]).tobytes() for g, r in zip(gram, right, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(PLAIN, params.members, dtype=np.int32)), pa.array(np.full(len(blocks), part, np.int32)),
+             pa.array(blocks, pa.binary())], ["member", "part", "block"])
+
+    def added(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for batch in batches:
-            x, t = np.stack(batch["x"].to_numpy()), np.stack(batch["y"].to_numpy())
-            w, member = batch["w"].to_numpy(dtype=float), batch["member"].to_numpy()
-            for m in np.unique(member):
-                at = member == m
-                weighted = x[at] * w[at, None]
-                total[m, :width * width] += (weighted.T @ x[at]).ravel()
-                total[m, width * width:] += (weighted.T @ t[at]).ravel()
-        size = total.shape[1]
-        yield pd.DataFrame({"member": np.repeat(np.arange(params.members, dtype=np.int32), size),
-                            "position": np.tile(np.arange(size, dtype=np.int32), params.members),
-                            "value": total.ravel()})
-
-    return rows.mapInPandas(partial, SUMS_SCHEMA).groupBy("member", "position").agg(F.sum("value").alias("value"))
-
-
-def fit_ridge(design: DataFrame, width: int, penalty: float = 1.0, params: Params = DEFAULT) -> DataFrame:
-    """Coefficients per (member, target). Each solve sees p x p numbers, whatever the data size."""
-    targets = 2 * params.k
-
-    def solve(sums: pd.DataFrame) -> pd.DataFrame:
-        flat = np.zeros(_layout(width, targets))
-        flat[sums["position"].to_numpy()] = sums["value"].to_numpy()
-        gram = flat[:width * width].reshape(width, width)
-        right = flat[width * width:].reshape(width, targets)
-        shrink = penalty * np.eye(width)
-        shrink[0, 0] = 0.0  # the intercept is free
-        solution = np.linalg.solve(gram + shrink, right)
-        return pd.DataFrame({"member": np.int32(sums["member"].iloc[0]),
-                             "target": np.arange(targets, dtype=np.int32), "coefficients": list(solution.T)})
-
-    return moment_sums(design, width, params).groupBy("member").applyInPandas(solve, COEFFICIENTS_SCHEMA)
-
-
-def predict_ridge(design: DataFrame, coefficients: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Predicted utility per (query, alpha, member) as an array over candidates.
-
-    The coefficient table has members x 2K rows, so it is broadcast as one row per member.
+            for block in batch.column("block"):
+                total += np.frombuffer(block.as_buffer())
+        part = key[1].as_py() if len(key) > 1 else 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+            ["member", "part", "block"])
+
+    def halfway(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(key, batches)
+
+    first = rows.mapInArrow(partial, BLOCK_SCHEMA).groupBy("member", "part").applyInArrow(halfway, BLOCK_SCHEMA)
+    return first.groupBy("member").applyInArrow(halfway, BLOCK_SCHEMA).select("member", "block")
+
+
+def unpacked(block: bytes, width: int, targets: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(block)
+    gram = np.zeros((width, width))
+    gram[np.triu_indices(width)] = flat[: width * (width + 1) // 2]
+    return gram + np.triu(gram, 1).T, flat[width * (width + 1) // 2:].reshape(width, targets)
+
+
+def moment_rows(blocks: DataFrame, features: int, params: Params = DEFAULT) -> DataFrame:
+    """Long view of the blocks: member, i, j, value; j beyond the features is target j - width."""
+    width, targets = features + 1, 2 * params.k
+    i, j = np.triu_indices(width)
+    i = np.concatenate([i, np.repeat(np.arange(width), targets)]).astype(np.int32)
+    j = np.concatenate([j, np.tile(np.arange(width, width + targets), width)]).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for member, block in zip(batch.column("member"), batch.column("block"), strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(i), member.as_py(), np.int32)), pa.array(i), pa.array(j), pa.array(np.frombuffer(block.as_buffer()))],
+                    ["member", "i", "j", "value"])
+
+    return blocks.mapInArrow(run, "member int, i int, j int, value double")
+
+
+def ridge_coefficients(blocks: Iterable[tuple[int, bytes]], features: int, penalty: float = 1.0,
+                       without: Sequence[tuple[int, int]] = (), params: Params = DEFAULT) -> dict[int, np.ndarray]:
+    """Coefficients (intercept first) x targets per member, for features as they are, from the moments alone.
+
+    Features are scaled to the mean and deviation of the plain training queries, and the penalty counts for
+    scaled features; the intercept is free. Features in the index ranges ``without`` take no part and get 0: the
+    moments of a fit without them are a part of these, so no row is read again.
     """
-    targets = 2 * params.k
-    nested = coefficients.groupBy("member").agg(*[
-        F.max(F.when(F.col("target") == t, F.col("coefficients"))).alias(f"b{t}") for t in range(targets)])
-    members = design.sparkSession.range(params.members).select(F.col("id").cast("int").alias("member"))
-    every = design.select("query_id", "x", F.explode(F.sequence(F.lit(0), F.lit(params.members - 1))).alias("member"))
-    rows = every.join(F.broadcast(members.join(nested, "member")), "member")
-
-    def dot(t: int):
-        return F.aggregate(F.zip_with("x", f"b{t}", lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
-
-    rows = rows.select("query_id", "member", *[dot(t).alias(f"y{t}") for t in range(targets)])
-    grid = F.array(*[F.struct(F.lit(i).alias("alpha_id"), F.lit(a).alias("alpha"))
-                     for i, a in enumerate(params.alphas)])
-    rows = rows.select("*", F.inline(grid))
-    yhat = F.array(*[settled_double(F.col(f"y{i}") - F.col("alpha") * F.col(f"y{params.k + i}"))
-                     for i in range(params.k)])
-    return rows.select("query_id", "alpha_id", "alpha", "member", yhat.alias("yhat"))
+    width, targets = features + 1, 2 * params.k
+    stored = {m: unpacked(block, width, targets) for m, block in blocks}
+    gram, _ = stored[PLAIN]
+    n = max(gram[0, 0], 1.0)
+    mean = gram[0] / n
+    spread = np.sqrt(np.maximum(np.diag(gram) / n - mean * mean, 0))
+    spread[spread <= 1e-9 * np.sqrt(np.diag(gram) / n) + 1e-300] = 1.0  # a constant stays as it is
+    scale = np.diag(1 / spread)
+    scale[0, 0] = 1.0
+    scale[1:, 0] = -mean[1:] / spread[1:]
+    kept = np.array([i for i in range(width) if not any(s + 1 <= i < e + 1 for s, e in without)])
+    shrink = penalty * np.eye(len(kept))
+    shrink[0, 0] = 0.0
+    out = {}
+    for member, (gram, right) in stored.items():
+        inner = (scale @ gram @ scale.T)[np.ix_(kept, kept)]
+        found = np.zeros((width, targets))
+        found[kept] = np.linalg.solve(inner + shrink, (scale @ right)[kept])
+        out[member] = scale.T @ found
+    return out
+
+
+def read_blocks(blocks: DataFrame) -> list[tuple[int, bytes]]:
+    """The blocks of all members: (members + 1) x features^2 / 2 numbers at any number of queries."""
+    return [(r["member"], bytes(r["block"])) for r in blocks.collect()]
+
+
+def with_predictions(vectors: DataFrame, coefficients: dict[int, np.ndarray], name: str = "predictions",
+                     params: Params = DEFAULT) -> DataFrame:
+    """Add each member's prediction: an array over members, in order, of structs (correct, cost).
+
+    The coefficients travel with the tasks, (members x targets x features) numbers; a row's features meet those of all
+    members in one product, and nothing is shuffled.
+    """
+    members = sorted(coefficients)
+    table = np.concatenate([coefficients[m] for m in members], axis=1)
+    k = params.k
+    kind = pa.struct([("correct", pa.list_(pa.float64())), ("cost", pa.list_(pa.float64()))])
+
+    def lists(values: np.ndarray, length: int) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, length, dtype=np.int32)), pa.array(values.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _dense(batch.column("indices"), batch.column("values"), len(table)) @ table
+            found = found.reshape(batch.num_rows, len(members), 2 * k)
+            both = pa.StructArray.from_arrays([lists(found[:, :, :k], k), lists(found[:, :, k:], k)], fields=list(kind))
+            whole = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, len(both) + 1, len(members), dtype=np.int32)), both)
+            yield pa.RecordBatch.from_arrays([*batch.columns, whole], [*batch.schema.names, name])
+
+    schema = StructType([*vectors.schema.fields, StructField(name, ArrayType(StructType([
+        StructField("correct", ArrayType(DoubleType())), StructField("cost", ArrayType(DoubleType()))])))])
+    return vectors.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- boosted trees

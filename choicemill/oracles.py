@@ -426,8 +426,43 @@ ensemble_fragments("", "category")
 ensemble_fragments("_ab", "dataset")
 ensemble_fragments("_one", "category", "unit_weights", 1)
 oracle("bootstrap_weights", "SELECT query_id, member, w FROM weights")
-oracle("training_targets", """SELECT query_id, alpha, p_size, p_retailprice, name_length, model, utility AS target
-    FROM ua WHERE split = 'train'""")
+FRAGMENTS["shape"] = f"""SELECT count(DISTINCT dataset) AS nd, count(DISTINCT category) AS nc,
+    (SELECT max(len(embedding)) FROM embeddings) AS dims FROM splits"""
+FRAGMENTS["wide"] = f"""SELECT query_id, split, dataset, category, p_size, p_retailprice, name_length, {text_features('question')},
+      embedding, sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS norm
+    FROM splits s JOIN embeddings e ON e.vec_id = s.p_partkey % (SELECT count(*) FROM embeddings)"""
+_STRUCTURE = ("char_count", "word_count", "approx_token_count", "line_count", "sentence_count", "number_count", "math_symbol_count",
+              "question_mark_count", "option_count", "is_multiple_choice", "avg_word_length")
+FRAGMENTS["matrix"] = f"""SELECT query_id, split, family, CAST(position AS INTEGER) AS position, value FROM (
+    SELECT query_id, split, 'numeric' AS family, unnest([0, 1, 2]) AS position, unnest([p_size, p_retailprice, name_length]) AS value FROM wide
+    UNION ALL SELECT query_id, split, 'structure', unnest(range(3, 14)), unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in _STRUCTURE)}]) FROM wide
+    UNION ALL SELECT query_id, split, 'dataset', 13 + dense_rank() OVER (ORDER BY dataset), 1.0::DOUBLE FROM wide
+    UNION ALL SELECT query_id, split, 'category', 13 + nd + dense_rank() OVER (ORDER BY category), 1.0::DOUBLE FROM wide, shape
+    UNION ALL SELECT query_id, split, 'embedding', 13 + nd + nc + dim,
+        CASE WHEN norm > 0 THEN round(CAST(embedding[dim] AS DOUBLE) / norm, 8) ELSE 0.0::DOUBLE END
+      FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS dim FROM wide), shape) WHERE value <> 0"""
+oracle("feature_matrix", "SELECT query_id, split, family, position, value FROM matrix")
+oracle("label_positions", """SELECT l_orderkey, l_linenumber, l_suppkey,
+    CAST(dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS INTEGER) AS position FROM lineitem""")
+oracle("training_targets", f"""SELECT query_id, alpha, p_size, p_retailprice, name_length, model, utility AS target, n_features, feature_norm
+    FROM ua JOIN (SELECT query_id, CAST(count(*) AS INTEGER) AS n_features, {r('sqrt(sum(value * value))', 6)} AS feature_norm
+      FROM matrix GROUP BY query_id) USING (query_id) WHERE split = 'train'""")
+FRAGMENTS["xm"] = """SELECT query_id, position + 1 AS i, value AS x FROM matrix WHERE split = 'train'
+    UNION ALL SELECT query_id, 0, 1.0::DOUBLE FROM splits WHERE split = 'train'"""
+FRAGMENTS["wm"] = """SELECT query_id, member, w FROM weights
+    UNION ALL SELECT query_id, CAST(-1 AS INTEGER), 1 FROM splits WHERE split = 'train'"""
+FRAGMENTS["gram"] = """SELECT member, a.i, b.i AS j, sum(w * a.x * b.x) AS value
+    FROM xm a JOIN xm b ON b.query_id = a.query_id AND b.i >= a.i JOIN wm ON wm.query_id = a.query_id GROUP BY 1, 2, 3"""
+FRAGMENTS["ym"] = f"""SELECT query_id, ord AS t, CAST(correct AS DOUBLE) AS y FROM core
+    UNION ALL SELECT query_id, ord + {K}, normalized_cost FROM core"""
+FRAGMENTS["cross_moments"] = """SELECT member, i, CAST(1 + 14 + nd + nc + dims + t AS INTEGER) AS j, sum(w * x * y) AS value
+    FROM xm JOIN ym USING (query_id) JOIN wm USING (query_id), shape GROUP BY ALL"""
+oracle("ridge_moments", f"""SELECT member, g.i, g.j, {r('CASE WHEN g.i = g.j THEN ln(g.value) ELSE g.value / sqrt(a.value * b.value) END', 6)} AS value
+    FROM gram g JOIN gram a ON a.member = g.member AND a.i = g.i AND a.j = g.i
+    JOIN gram b ON b.member = g.member AND b.i = g.j AND b.j = g.j WHERE g.value <> 0
+    UNION ALL SELECT member, c.i, c.j, {r('c.value / sqrt(a.value * b.value)', 6)} AS value
+    FROM cross_moments c JOIN gram a USING (member) JOIN gram b USING (member)
+    WHERE a.i = c.i AND a.j = c.i AND b.i = 0 AND b.j = 0 AND c.value <> 0""".replace("SELECT member, g.i", "SELECT g.member, g.i"))
 for _name, _tag in (("group_model", ""), ("group_model_ablation", "_ab")):
     _cols = ", ".join(f"{r(f'max(CASE WHEN ord = {i} THEN {c} END)', 6)} AS {c}{i}" for i in range(K) for c in "cn")
     oracle(_name, f"SELECT member, grp, max(w) AS w, {_cols} FROM fit{_tag} GROUP BY member, grp")

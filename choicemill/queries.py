@@ -31,7 +31,7 @@ from choicemill.operators import (
     splits,
 )
 from choicemill.params import DEFAULT as P
-from choicemill.plans import answers, routers, sourcing
+from choicemill.plans import answers, learned, routers, sourcing
 from choicemill.session import checkpoint_root
 from choicemill.sources import files, questions
 from choicemill.sources.stages import stage_path, written
@@ -501,8 +501,12 @@ def bootstrap_weights(spark, sf):
 
 @query
 def training_targets(spark, sf):
-    """H1: features joined with targets per (query, model, alpha)."""
-    return ensemble.training_pairs(sourcing.stage_core(spark, sf), list(sourcing.NUMERIC_FEATURES))
+    """H1: the feature vector beside the targets, per (query, model, alpha); the vector is shown by its size and norm."""
+    vectors, _ = learned.stage_vectors(spark, sf)
+    pairs = ensemble.training_pairs(vectors, [*sourcing.NUMERIC_FEATURES, "indices", "values"])
+    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda total, v: total + v * v))
+    return pairs.select("query_id", "alpha", *sourcing.NUMERIC_FEATURES, "model", "target",
+                        F.size("indices").alias("n_features"), rounded(norm, 6).alias("feature_norm"))
 
 
 def _model(spark, sf, group):
@@ -937,53 +941,67 @@ def stream_decisions(spark, sf):
 
 # ------------------------------------------------------------ learners on features
 
-def _ridge_design(spark, sf):
-    core = sourcing.stage_core(spark, sf)
-    labels = {"category": features.label_values(core, "category")}
-    scales = learners.feature_scales(core, sourcing.NUMERIC_FEATURES)
-    width = 1 + len(sourcing.NUMERIC_FEATURES) + len(labels["category"]) - 1
-    return learners.design_rows(core, sourcing.NUMERIC_FEATURES, labels, scales), width
+@query
+def feature_matrix(spark, sf):
+    """Every non-zero entry of the learners' feature vectors, with its family."""
+    vectors, families = learned.stage_vectors(spark, sf)
+    rows = vectors.select("query_id", "split", F.inline(F.arrays_zip(F.col("indices").alias("position"), F.col("values").alias("value"))))
+    return rows.select("query_id", "split", learned.family_of(families, F.col("position")).alias("family"), "position", "value")
 
 
-def _ridge_coefficients(spark, sf):
-    def build():
-        design, width = _ridge_design(spark, sf)
-        return learners.fit_ridge(design, width)
-    return written(spark, f"ridge|{sf}", build)
+@query
+def label_positions(spark, sf):
+    """One-hot positions of a label with any number of values (order keys), joined and not listed."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    positions = features.label_positions(items, "l_orderkey")
+    return features.with_label_position(items, "l_orderkey", positions, "position")
 
 
 @query
-def ridge_coefficients(spark, sf):
-    """H2-H4, learner L1: coefficients per (member, target)."""
-    rows = _ridge_coefficients(spark, sf)
-    return rows.select("member", "target", F.posexplode("coefficients").alias("feature", "value"))
+def ridge_moments(spark, sf):
+    """H2, H4, learner L1: weighted moments of features and targets per member, over their scale."""
+    _, families = learned.stage_vectors(spark, sf)
+    long = learners.moment_rows(learned.stage_moments(spark, sf), learned.width(families)).filter("value <> 0")
+    last = learned.width(families)
+    diagonal = F.broadcast(long.filter("i = j").select("member", F.col("i").alias("at"), F.col("value").alias("square")))
+    rows = (long.join(diagonal.withColumnsRenamed({"at": "i", "square": "si"}), ["member", "i"])
+            .withColumn("k", F.when(F.col("j") <= last, F.col("j")).otherwise(0))
+            .join(diagonal.withColumnsRenamed({"at": "k", "square": "sj"}), ["member", "k"]))
+    scaled = F.when(F.col("i") == F.col("j"), F.ln("value")).otherwise(F.col("value") / F.sqrt(F.col("si") * F.col("sj")))
+    return rows.select("member", "i", "j", rounded(scaled, 6).alias("value"))
 
 
-def _ridge_state(spark, sf):
-    def build():
-        design, _ = _ridge_design(spark, sf)
-        rows = design.filter("split <> 'train'")
-        predictions = learners.predict_ridge(rows, _ridge_coefficients(spark, sf))
-        stats = written(spark, f"ridge_stats|{sf}",
-                        lambda: ensemble.ensemble_stats(predictions, ["query_id"], P.members))
-        return ensemble.routing_state(rows, stats, {"query_id": "query_id"})
-    return written(spark, f"ridge_state|{sf}", build, ["split"])
+@query
+def ridge_coefficients(spark, sf):
+    """H2-H4, learner L1: coefficients per (member, target), the intercept first."""
+    fitted = learned.coefficients(spark, sf)
+    rows = [(m, t, [float(v) for v in c[:, t]]) for m, c in fitted.items() if m != learners.PLAIN for t in range(c.shape[1])]
+    table_ = spark.createDataFrame(rows, "member int, target int, coefficients array<double>")
+    return table_.select("member", "target", F.posexplode("coefficients").alias("feature", "value"))
 
 
 @query
 def ridge_errors(spark, sf):
-    """H6, H7, I1-I5, learner L1: validation report of the ridge ensemble."""
-    return learners.ridge_report(_ridge_state(spark, sf).filter("split = 'validation'"))
+    """H6, H7, I1-I5, learner L1: validation report of the ridge ensemble, taken inside the queries' rows."""
+    return learners.ridge_report(learned.stage_ridge_state(spark, sf).filter("split = 'validation'"))
 
 
 @query
 def ridge_test_results(spark, sf):
     """J6-J9, learner L1: penalty chosen on validation, scored on test."""
-    state = _ridge_state(spark, sf)
-    chosen = written(spark, f"ridge_lambdas|{sf}", lambda: routing.best_lambdas(
-        routing.lambda_sweep(state.filter("split = 'validation'"))))
-    rows = routing.decisions(routing.two_routers(state.filter("split = 'test'"), chosen))
-    return _no_diagnostics(routing.summarise(rows, ["alpha", "lambda", "router"]))
+    return _no_diagnostics(learned.ridge_test_summary(spark, sf))
+
+
+@query
+def ridge_ablation(spark, sf):
+    """J12, B11, learner L1: the same chain without the category family, solved from the stored moments."""
+    return _no_diagnostics(learned.ridge_test_summary(spark, sf, "category"))
+
+
+@query
+def ridge_ablation_errors(spark, sf):
+    """J12, H7, learner L1: validation errors without each family of features."""
+    return learned.ablation_errors(spark, sf)
 
 
 BOOSTED_ALPHAS, BOOSTED_MEMBERS = (0.5,), (0, 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from choicemill.functions import hashing, text
 from choicemill.functions.candidates import assemble, lengthen
+from choicemill.functions.numeric import settled_double
 from choicemill.operators import (
     changes,
     comparison,
@@ -32,7 +33,7 @@ from choicemill.operators import (
     splits,
 )
 from choicemill.params import DEFAULT, Params
-from choicemill.plans import routers, sourcing
+from choicemill.plans import learned, routers, sourcing
 from choicemill.queries import QUERIES
 from choicemill.session import checkpoint_root
 from choicemill.sources import files, questions
@@ -192,20 +193,111 @@ def test_smaller_penalty_wins_a_tie(spark):
     assert routing.best_lambdas(sweep).first()["lambda"] == 0.5
 
 
-def test_ridge_equals_numpy(spark):
-    core = sourcing.stage_core(spark, SF)
-    names = ["p_size", "name_length"]
-    design = learners.design_rows(core, names, {}, learners.feature_scales(core, names))
-    out = learners.fit_ridge(design, 3).filter("member = 2").collect()
-    found = {r["target"]: r["coefficients"] for r in out}
-    rows = ensemble.weighted_training(design).filter("member = 2").collect()
-    x, w = np.array([r["x"] for r in rows]), np.array([r["w"] for r in rows], dtype=float)
-    shrink = np.diag([0.0, 1.0, 1.0])
-    for target in range(8):
-        field, i = ("correct", target) if target < 4 else ("normalized_cost", target - 4)
-        y = np.array([r["cands"][i][field] for r in rows], dtype=float)
-        expected = np.linalg.solve((x * w[:, None]).T @ x + shrink, (x * w[:, None]).T @ y)
-        assert found[target] == pytest.approx(expected, abs=1e-8)
+def by_numpy(x, y, w, mean, spread, kept):
+    """Weighted ridge on scaled features, penalty 1 and a free intercept; coefficients for features as they are."""
+    design = np.column_stack([np.ones(len(x)), (x - mean) / spread])[:, kept]
+    shrink = np.diag([0.0] + [1.0] * (len(kept) - 1))
+    found = np.zeros((x.shape[1] + 1, y.shape[1]))
+    found[kept] = np.linalg.solve((design * w[:, None]).T @ design + shrink, (design * w[:, None]).T @ y)
+    out = found.copy()
+    out[1:] = found[1:] / spread[:, None]
+    out[0] = found[0] - (found[1:] * (mean / spread)[:, None]).sum(axis=0)
+    return out
+
+
+@pytest.fixture(scope="module")
+def training(spark):
+    """Features, targets and member weights of the training queries, and the families."""
+    vectors, families = learned.stage_vectors(spark, SF)
+    train = vectors.filter("split = 'train'")
+    rows = train.orderBy("query_id").collect()
+    x = np.zeros((len(rows), learned.width(families)))
+    for i, r in enumerate(rows):
+        x[i, r["indices"]] = r["values"]
+    y = np.array([[c["correct"] for c in r["cands"]] + [c["normalized_cost"] for c in r["cands"]] for r in rows], dtype=float)
+    place = {r["query_id"]: i for i, r in enumerate(rows)}
+    w = np.zeros((len(rows), 10))
+    for r in ensemble.weighted_training(train.select("query_id", "split")).collect():
+        w[place[r["query_id"]], r["member"]] = r["w"]
+    return x, y, w, families
+
+
+@pytest.mark.parametrize("family", ["", "category", "embedding", "numeric"])
+def test_ridge_and_its_ablation_equal_numpy(spark, training, family):
+    x, y, w, families = training
+    fitted = learned.coefficients(spark, SF, family)
+    gone = [i + 1 for f in families if f.name == family for i in range(f.start, f.stop)]
+    kept = [i for i in range(x.shape[1] + 1) if i not in gone]
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread <= 1e-9 * np.sqrt((x * x).mean(axis=0)) + 1e-300] = 1.0
+    for member, weights in [(learners.PLAIN, np.ones(len(x))), (0, w[:, 0]), (7, w[:, 7])]:
+        expected = by_numpy(x, y, weights, mean, spread, kept)
+        design = np.column_stack([np.ones(len(x)), x])
+        assert np.allclose(design @ fitted[member], design @ expected, atol=1e-7)
+        assert not fitted[member][gone].any()
+
+
+def test_weights_in_an_array_equal_weights_in_rows(spark):
+    core = sourcing.stage_core(spark, SF).select("query_id", "split")
+    rows = {(r["query_id"], r["member"]): r["w"] for r in ensemble.weighted_training(core).collect()}
+    for r in hashing.draw_weight_array(core.filter("split = 'train'"), "42", 10, "w").collect():
+        for m, w in enumerate(r["w"]):
+            assert rows.get((r["query_id"], m), 0) == w
+
+
+def test_statistics_inside_the_row_equal_those_of_the_aggregate(spark):
+    """Ties among predictions go to the first candidate in both."""
+    rng = random.Random(5)
+    core = sourcing.stage_core(spark, SF).filter("split = 'validation'").orderBy("query_id").limit(40)
+    ids = [r["query_id"] for r in core.collect()]
+    values = {q: [([rng.choice([0.2, 0.5, 0.7]) for _ in range(4)], [rng.choice([0.0, 0.1, 0.3]) for _ in range(4)]) for _ in range(10)] for q in ids}
+    kind = "query_id string, predictions array<struct<correct:array<double>,cost:array<double>>>"
+    rows = core.join(spark.createDataFrame(list(values.items()), kind), "query_id")
+    got = ensemble.state_from_predictions(rows, "predictions", 10)
+    long = [(q, i, a, m, [c - a * n for c, n in zip(*p, strict=True)])
+            for q, each in values.items() for i, a in enumerate(DEFAULT.alphas) for m, p in enumerate(each)]
+    stats = ensemble.ensemble_stats(spark.createDataFrame(
+        long, "query_id string, alpha_id int, alpha double, member int, yhat array<double>").select(
+            "query_id", "alpha_id", "alpha", "member", F.transform("yhat", settled_double).alias("yhat")), ["query_id"], 10)
+    expected = ensemble.routing_state(core, stats, {"query_id": "query_id"})
+    order = ["query_id", "alpha_id"]
+    columns = got.columns
+    for a, b in zip(got.orderBy(*order).collect(), expected.select(*columns).orderBy(*order).collect(), strict=True):
+        for name in ("votes", "disagreement", "entropy", "oracle_model"):
+            assert a[name] == b[name]
+        for x, y in zip(a["state"], b["state"], strict=True):
+            assert (x["mean"], x["actual"], x["model"]) == (y["mean"], y["actual"], y["model"])
+            assert x["risk"] == pytest.approx(y["risk"], abs=2e-8)
+
+
+def test_scoring_shuffles_nothing(spark):
+    vectors, _ = learned.stage_vectors(spark, SF)
+    fitted = {m: c for m, c in learned.coefficients(spark, SF).items() if m != learners.PLAIN}
+    rows = ensemble.state_from_predictions(learners.with_predictions(vectors, fitted), "predictions", 10)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_five_thousand_labels(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("label"), F.col("id") % 5_003)).alias("label"))
+    made, families = features.feature_vectors(rows.withColumn("x", F.col("id") / 2), {"numeric": ["x"]}, ["label"], None, 0)
+    labels = sorted({f"label{i % 5_003}" for i in range(20_000) if i % 7})
+    assert [(f.name, f.start, f.size) for f in families] == [("numeric", 0, 1), ("label", 1, len(labels))]
+    place = {v: i + 1 for i, v in enumerate(labels)}
+    for r in made.collect():
+        hot = [place[r["label"]]] if r["label"] else []
+        assert r["indices"] == ([0] if r["id"] else []) + hot
+        assert r["values"] == ([r["id"] / 2] if r["id"] else []) + [1.0] * len(hot)
+
+
+def test_vectors_refuse_leaks_and_bad_numbers(spark):
+    rows = spark.createDataFrame([("q", 1.0, float("nan"))], "query_id string, correct double, x double")
+    with pytest.raises(ValueError, match="outcome"):
+        features.feature_vectors(rows, {"numeric": ["correct"]}, [], None, 0)
+    for bad in (float("nan"), float("inf"), None):
+        rows = spark.createDataFrame([("q", bad), ("r", 1.0)], "query_id string, x double")
+        made, _ = features.feature_vectors(rows, {"numeric": ["x"]}, [], None, 0)
+        with pytest.raises(ValueError, match="not finite"):
+            features.require_finite(made)
 
 
 def test_patience():

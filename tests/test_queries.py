@@ -10,7 +10,8 @@ from tests.conftest import SF
 from tests.oracle import compare
 
 # No SQL counterpart: fitted by iterative or matrix methods, tested on their own.
-ROWS_ONLY = {"ridge_coefficients", "ridge_errors", "ridge_test_results", "boosted_fits", "boosted_results"}
+ROWS_ONLY = {"ridge_coefficients", "ridge_errors", "ridge_test_results", "ridge_ablation", "ridge_ablation_errors",
+             "boosted_fits", "boosted_results"}
 
 
 def test_every_query_has_sql_or_a_reason():
