@@ -8,6 +8,7 @@ size take the built-in ``percentile`` or a window instead; both forms give equal
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from choicemill.params import DEFAULT, Params
 from choicemill.sources.stages import broadcast_if_small, fits, row_bound, with_row_bound, written
 
+SKETCH_GROUPS = 64  # groups of tasks whose sketches are merged first
 HEX_DIGITS = 3  # 4,096 buckets over uniform hex keys
 
 
@@ -52,13 +54,22 @@ def value_buckets(df: DataFrame, value: str, params: Params = DEFAULT) -> list[f
     """Split points of the value, as many as ordered buckets less one.
 
     They are approximate quantiles of the column itself, so buckets stay balanced whatever the
-    distribution; balance within half a bucket is enough, which keeps the digests of the tasks
-    small. As plain numbers (at most 4,095) they make bucketing a pure function of the
-    value: every reader of the table gets the same buckets, without writing it first.
+    distribution; balance within half a bucket is enough, which keeps the sketches of the tasks
+    small. Sketches are merged in two levels, so no task takes those of all others. As plain
+    numbers (at most 4,095) the points make bucketing a pure function of the value.
     """
     buckets = bucket_count(df, params)
-    percents = F.expr("array(" + ",".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
-    return df.agg(F.percentile_approx(value, percents, F.lit(buckets * 2)).alias("s")).first()["s"] or []
+    if buckets < 2:
+        return []
+    percents = "array(" + ",".join(f"{i / buckets}D" for i in range(1, buckets)) + ")"
+    # A sketch of size k is off by some 2.3 / k^0.9 of the rows: half a bucket here.
+    k = min(65_535, max(200, math.ceil((4.6 * buckets) ** (1 / 0.9))))
+    known = df.select(F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    some = known.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("__g")).agg(
+        F.expr(f"kll_sketch_agg_double(__v, {k})").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    whole = some.agg(F.expr(f"kll_merge_agg_double(__s, {k})").alias("__s"), F.sum("__n").alias("__n"))
+    points = whole.select(F.expr(f"CASE WHEN __n > 0 THEN kll_sketch_get_quantile_double(__s, {percents}) END").alias("s"))
+    return points.first()["s"] or []
 
 
 def with_value_bucket(df: DataFrame, value: str, splits: list[float], name: str = "__bucket") -> DataFrame:
@@ -254,20 +265,24 @@ HOT_SHARE = 1000  # a key with more than 1/1000 of all rows is hot; there are fe
 
 
 def skew_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weights: DataFrame, weight: str,
-              salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+              salt: Column, how: str = "inner", tasks: int = 0) -> DataFrame:
     """Join rows to a table unique by ``keys``, spreading keys that hold many rows.
 
     ``weights`` has the number of rows per key. The list of hot keys is small by construction, so
     it is broadcast; hot keys are salted on the row side and replicated on the table side, and all
-    others join plainly. No row is dropped.
+    others join plainly. A key gets as many salts as its share of all rows is of the ``tasks`` (0: the
+    shuffle partitions), so its parts are as large as any other task's. No row is dropped.
     """
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = weights.agg(F.sum(weight)).scalar()
-    hot = F.broadcast(weights.filter(F.col(weight) * HOT_SHARE > total).select(*keys, F.lit(True).alias("__hot")))
+    share = F.col(weight) / total
+    hot = F.broadcast(weights.filter(F.col(weight) * HOT_SHARE > total).select(
+        *keys, F.greatest(F.lit(1), F.ceil(share * tasks)).cast("int").alias("__salts")))
     left = null_safe_join(rows, hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = null_safe_join(table, hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return null_safe_join(left.drop("__hot"), right, [*keys, "__salt"], how).drop("__salt")
+        "__salt", F.when(F.col("__salts") > 1, F.pmod(F.xxhash64(salt), F.col("__salts")).cast("int")).otherwise(F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    right = null_safe_join(table, hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
+    return null_safe_join(left.drop("__salts"), right, [*keys, "__salt"], how).drop("__salt")
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: str, how: str = "inner",

@@ -258,7 +258,7 @@ def resumable_append(spark, sf):
     path = files.scratch(spark, "append")
     for batch in (rows.filter(F.col("model") != "m3"), rows, rows):
         files.append_new(spark, batch, path, ["query_id", "model"])
-    return spark.read.schema(rows.schema).parquet(path)
+    return files.read_sink(spark, path, rows.schema)
 
 
 # ------------------------------------------------------------ grading and token costs
@@ -893,7 +893,7 @@ def stream_ingestion_restarts(spark, sf):
     stream = _event_stream(spark, sf)
     for _ in range(2):
         observations_stream.ingest_across_runs(stream, path, ["event_id"], files.scratch(spark, "progress"))
-    return _naive(spark.read.schema(stream.schema).parquet(path))
+    return _naive(files.read_sink(spark, path, stream.schema))
 
 
 @query

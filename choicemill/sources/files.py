@@ -89,18 +89,55 @@ def read_keyed_map(spark: SparkSession, path: str, value: T.StructType) -> DataF
     return spark.read.schema(schema).json(path).select(F.explode("entries")).select("key", "value.*")
 
 
-def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+BUCKET = "key_bucket"  # partition column of a keyed sink: a hash of the key
+SINK_BUCKETS = 64
+
+
+def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (),
+               buckets: int = SINK_BUCKETS) -> None:
     """Append only rows whose key is not stored yet; a repeated run adds nothing.
 
-    Duplicates inside the batch collapse to the first by all columns. The sink is read with its
-    key columns only.
+    Of several rows of a key in the batch the first by ``order`` is taken (then by all columns). The sink is
+    partitioned by a hash of the key: a batch reads the key columns of the partitions it touches and no others.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     others = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("r")).select(*keys, "r.*") if others \
+    ordered = [F.col(c) for c in [*order, *[c for c in others if c not in order]]]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*ordered)).alias("r")).select(*keys, "r.*") if others \
         else rows.select(*keys).distinct()
+    first = first.withColumn(BUCKET, bucket)
     if _exists(spark, path):
-        first = first.join(spark.read.schema(rows.schema).parquet(path).select(*keys), list(keys), "left_anti")
-    first.select(*rows.columns).write.mode("append").parquet(path)
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        stored = read_sink(spark, path, rows.schema, touched).select(*keys)
+        first = first.join(stored, list(keys), "left_anti")
+    first.select(*rows.columns, BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def read_sink(spark: SparkSession, path: str, schema: T.StructType, touched: Sequence[int] | None = None) -> DataFrame:
+    """Rows of a keyed sink, of the given partitions only if they are named."""
+    whole = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    stored = spark.read.schema(whole).parquet(path)
+    if touched is not None:
+        stored = stored.filter(F.col(BUCKET).isin(list(touched)))
+    return stored.drop(BUCKET)
+
+
+def numbered(spark: SparkSession, path: str, prefix: str, complete: bool = False) -> list[int]:
+    """Numbers n of the folders ``prefix=n`` below a path; if asked for, only of those whose write was completed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(root)]
+    found = [int(n.split("=")[1]) for n in names if n.startswith(f"{prefix}=")]
+    return sorted(n for n in found if not complete or system.exists(hadoop.Path(f"{path}/{prefix}={n}/_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -10,11 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from choicemill.functions.numeric import mean_of, rounded
 from choicemill.params import DEFAULT, Params
-from choicemill.sources.files import append_new, scratch
+from choicemill.sources.files import append_new, numbered, remove, scratch
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files: str = "*.parquet") -> DataFrame:
@@ -38,7 +38,8 @@ def latest_results(stream: DataFrame, keys: Sequence[str], path: str | None = No
     """Process what is available in update mode: the newest row per key, open windows included.
 
     Each batch writes the keys it changed to a folder named by its number, so a batch replayed after a
-    failure overwrites itself; the table is the last row of each key.
+    failure overwrites itself. After the run the batches are folded into a base with one row per key, so
+    neither storage nor reading grows with the number of batches.
     """
     spark = stream.sparkSession
     path = path or scratch(spark, "sink")
@@ -49,10 +50,38 @@ def latest_results(stream: DataFrame, keys: Sequence[str], path: str | None = No
     writer = stream.writeStream.outputMode("update").foreachBatch(store).option(
         "checkpointLocation", checkpoint or scratch(spark, "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).parquet(path)
-    others = [c for c in stream.columns if c not in keys]
-    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("r"))
-    return newest.select(*keys, "r.*")
+    return fold(spark, stream.schema, keys, path)
+
+
+def fold(spark: SparkSession, schema: StructType, keys: Sequence[str], path: str) -> DataFrame:
+    """Fold finished batches into the base and return it.
+
+    The new base is complete before anything older is removed. A failure in between leaves folders that
+    the next run ignores, being older than the base, and removes.
+    """
+    bases = numbered(spark, path, "base", complete=True)
+    base = bases[-1] if bases else -1
+    epochs = numbered(spark, path, "epoch")
+    fresh = [e for e in epochs if e > base]
+    if fresh:
+        parts = [(f"{path}/base={base}", base)] if bases else []
+        rows = None
+        for folder, number in [*parts, *[(f"{path}/epoch={e}", e) for e in fresh]]:
+            part = spark.read.schema(schema).parquet(folder).withColumn("__epoch", F.lit(number))
+            rows = part if rows is None else rows.unionByName(part)
+        others = [c for c in schema.names if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "__epoch").alias("r")).select(*keys, "r.*")
+        newest.select(*schema.names).write.mode("overwrite").parquet(f"{path}/base={fresh[-1]}")
+        base = fresh[-1]
+    for number in epochs:
+        if number <= base:
+            remove(spark, f"{path}/epoch={number}")
+    for number in numbered(spark, path, "base"):
+        if number != base:
+            remove(spark, f"{path}/base={number}")
+    if base < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/base={base}")
 
 
 def event_observations(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -70,13 +99,15 @@ def ingested(stream: DataFrame, keys: Sequence[str], delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def ingest_across_runs(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str) -> None:
+def ingest_across_runs(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str,
+                       arrival: Sequence[str] = ("ts",)) -> None:
     """Append only keys the sink does not hold, whatever the watermark; survives restarts.
 
-    A batch that is replayed after a failure finds its own rows in the sink and adds nothing.
+    A batch that is replayed after a failure finds its own rows in the sink and adds nothing. Within a batch
+    the first arrival of a key counts.
     """
     def store(batch: DataFrame, _epoch: int) -> None:
-        append_new(batch.sparkSession, batch, path, keys)
+        append_new(batch.sparkSession, batch, path, keys, arrival)
 
     query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()

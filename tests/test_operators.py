@@ -38,6 +38,7 @@ from choicemill.queries import QUERIES
 from choicemill.session import checkpoint_root
 from choicemill.sources import files, questions
 from choicemill.sources.stages import fits, row_bound, written
+from choicemill.streaming import observations as observations_stream
 from tests.conftest import SF
 
 M = DEFAULT.candidates
@@ -525,10 +526,45 @@ def test_append_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", 5), (1, "a", 4), (2, "b", 6)], "q int, model string, v int")
     for _ in range(2):
         files.append_new(spark, rows, str(tmp_path / "sink"), ["q", "model"])
-    stored = spark.read.parquet(str(tmp_path / "sink")).collect()
+    stored = files.read_sink(spark, str(tmp_path / "sink"), rows.schema).collect()
     assert sorted((r["q"], r["v"]) for r in stored) == [(1, 4), (2, 6)]
 
 
+def test_an_append_keeps_the_first_arrival_and_reads_its_partitions_only(spark, tmp_path):
+    path = tmp_path / "sink"
+    rows = spark.createDataFrame([(i, 10 - t, t) for i in range(200) for t in (2, 1)], "q int, v int, ts int")
+    files.append_new(spark, rows, str(path), ["q"], ["ts"], buckets=16)
+    stored = files.read_sink(spark, str(path), rows.schema)
+    assert {(r["v"], r["ts"]) for r in stored.collect()} == {(9, 1)} and stored.count() == 200
+    one = spark.createDataFrame([(7, 0, 0), (1_000, 0, 0)], rows.schema)
+    mine = {r[0] for r in one.select(F.pmod(F.xxhash64("q"), F.lit(16))).collect()}
+    for part in path.glob(f"{files.BUCKET}=*"):
+        if int(part.name.split("=")[1]) not in mine:
+            for file in part.glob("*.parquet"):
+                file.write_bytes(b"a batch that touches other partitions must not read this")
+            for crc in part.glob(".*.crc"):
+                crc.unlink()
+    files.append_new(spark, one, str(path), ["q"], ["ts"], buckets=16)
+    assert files.read_sink(spark, str(path), rows.schema, sorted(mine)).filter("q = 1000").count() == 1
+
+
+def test_ten_restarts_store_one_row_a_key(spark, tmp_path):
+    source, path, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    schema = "ts timestamp, query long, model string, correct int, cost double, event_id long, tokens long"
+    for run in range(10):
+        made = spark.range(40).select(
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3_600).alias("ts"), (F.col("id") % 5).alias("query"),
+            F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.lit(1).alias("correct"), F.lit(1.0 * run).alias("cost"),
+            (F.col("id") + 100 * run).alias("event_id"), F.lit(0).cast("long").alias("tokens"))
+        made.coalesce(1).write.mode("append").parquet(str(source))
+        stream = observations_stream.scorecard(spark.readStream.schema(schema).parquet(str(source)), "1 day", delay="30 days")
+        got = observations_stream.latest_results(stream, ["window_start", "window_end", "model"], path, progress)
+    rows = got.collect()
+    assert sum(r["n"] for r in rows) == 400 and len({(r["window_start"], r["model"]) for r in rows}) == len(rows)
+    assert spark.read.parquet(str(tmp_path / "out" / "*")).count() == len(rows)
+    assert [p.name.split("=")[0] for p in (tmp_path / "out").iterdir()] == ["base"]
+
+
 def test_bank_normalisers(spark):
     items = spark.createDataFrame([("q", "1+1 #### x\n#### 2 \n")], "question string, answer string")
     assert questions.numeric_bank(items, "n", "m").first()["ground_truth"] == "2"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from choicemill.operators import order
 from choicemill.operators.diagnostics import spearman
-from choicemill.params import Params
+from choicemill.params import DEFAULT, Params
 
 P = Params(order_buckets=16)
 
@@ -89,7 +90,7 @@ def test_hot_keys_keep_every_row(spark):
                                  "k int, id int")
     table = left.filter("k is not null").select("k").distinct().withColumn("x", F.col("k") * 2)
     weights = left.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
-    joined = order.skew_join(left, table, ["k"], weights, "w", F.col("id"), "left", salts=8).toPandas()
+    joined = order.skew_join(left, table, ["k"], weights, "w", F.col("id"), "left", tasks=16).toPandas()
     assert len(joined) == 3000 and joined["id"].nunique() == 3000
     known = joined.dropna(subset=["k"])
     assert len(known) == 2000 and (known["x"] == known["k"] * 2).all()
@@ -123,3 +124,30 @@ def test_tails_with_nulls(gaps):
     assert plain == spread
     assert not any(r[3] or r[4] for r in plain if r[2] is None)
     assert sum(r[3] for r in plain if r[0] == "a") == 6
+
+
+def test_a_hot_key_gets_salts_by_its_share(spark):
+    """40% of the rows on one key and 512 tasks: no part of the key holds more than a task's share, and none is lost."""
+    left = spark.range(50_000).select("id", F.when(F.col("id") % 5 < 2, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    right = left.select("k", (F.col("k") * 2).alias("v")).distinct()
+    weights = left.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
+    joined = order.skew_join(left, right, ["k"], weights, "w", F.col("id"), tasks=512)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salts" in plan
+    assert joined.count() == 50_000 and joined.filter("v <> k * 2").count() == 0
+    salts = left.filter("k = -1").groupBy(F.pmod(F.xxhash64("id"), F.lit(205))).count().agg(F.max("count"), F.count("*")).first()
+    assert salts[1] == 205 and salts[0] < 2 * 50_000 / 512
+
+
+@pytest.mark.parametrize("buckets", [64, 1024])
+def test_split_points_balance_and_take_any_column(spark, buckets):
+    params = replace(DEFAULT, order_buckets=buckets)
+    rows = spark.range(200_000).select(F.exp(F.rand(3) * 9).alias("v")).repartition(16)
+    points = order.value_buckets(rows, "v", params)
+    assert len(points) == buckets - 1 and points == sorted(points)
+    sizes = [r["count"] for r in order.with_value_bucket(rows, "v", points).groupBy("__bucket").count().collect()]
+    assert max(sizes) < 2.5 * 200_000 / buckets
+    assert order.value_buckets(rows.limit(0), "v", params) == []
+    assert order.value_buckets(rows.select(F.lit(None).cast("double").alias("v")), "v", params) == []
+    ties = order.value_buckets(rows.select(F.lit(1.0).alias("v")), "v", params)
+    assert set(ties) == {1.0}
