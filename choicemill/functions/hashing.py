@@ -51,6 +51,18 @@ def poisson_weight(digits: Column) -> Column:
     return draw.otherwise(len(POISSON_STEPS))
 
 
+def poisson_large(digits: Column, mean: Column) -> Column:
+    """Poisson draw of a large mean by its normal expansion (second order).
+
+    The uniform's first seven and last six hex digits give a normal by the polar formula.
+    """
+    first = F.conv(F.substring(digits, 1, 7), 16, 10).cast("double") + 1
+    last = F.conv(F.substring(digits, 8, 6), 16, 10).cast("double")
+    z = F.sqrt(-2 * F.ln(first / float(1 << 28))) * F.cos(last * (2 * math.pi / (1 << 24)))
+    m = mean.cast("double")
+    return F.greatest(F.lit(0.0), F.floor(m + F.sqrt(m) * z + (z * z - 1) / 6 + 0.5)).cast("long")
+
+
 def draw_digest(prefix: str, group: Column, key: str = "query_id") -> Column:
     """Digest that feeds four consecutive draws (group = draw number // 4) of one query."""
     return F.sha2(F.concat(F.lit(prefix + "|"), group.cast("string"), F.lit("|"), F.col(key)), 256)
@@ -65,10 +77,11 @@ def draw_weight_array(df: DataFrame, prefix: str, draws: int, name: str, key: st
     return rows.select(*df.columns, F.array(*[poisson_weight(F.col(f"__draw{g}_{lane}")) for g, lane in lanes]).alias(name))
 
 
-def with_draw_weights(df: DataFrame, prefix: str, draws: int, name: str, key: str = "query_id") -> DataFrame:
+def with_draw_weights(df: DataFrame, prefix: str, draws: int, name: str, key: str = "query_id",
+                      mean: str | None = None) -> DataFrame:
     """One row per (row, draw number 0..draws-1) with its Poisson weight ``w``; zero weights dropped.
 
-    The digest is taken once per four draws.
+    The digest is taken once per four draws. ``mean`` names a column with the mean of a row's draws: 1, or a large number.
     """
     groups = -(-draws // UNIFORM_LANES)
     rows = df.withColumn("__group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -78,5 +91,8 @@ def with_draw_weights(df: DataFrame, prefix: str, draws: int, name: str, key: st
     lanes = [c for lane in range(UNIFORM_LANES) for c in (F.lit(lane), lane_digits("__digest", lane))]
     rows = rows.select(*df.columns, "__group", F.stack(F.lit(UNIFORM_LANES), *lanes).alias("__lane", "__digits"))
     rows = rows.withColumn(name, F.col("__group") * UNIFORM_LANES + F.col("__lane"))
-    rows = rows.withColumn("w", poisson_weight(F.col("__digits")))
+    weight = poisson_weight(F.col("__digits"))
+    if mean:
+        weight = F.when(F.col(mean) == 1, weight).otherwise(poisson_large(F.col("__digits"), F.col(mean)))
+    rows = rows.withColumn("w", weight)
     return rows.filter((F.col("w") > 0) & (F.col(name) < draws)).drop("__group", "__lane", "__digits")

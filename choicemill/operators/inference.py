@@ -13,8 +13,8 @@ from choicemill.operators.order import hex_bucket
 from choicemill.params import DEFAULT, Params
 
 PAIR_FIELDS = ("selected_model", "selected_ord", "correct", "cost", "latency", "realized_utility", "regret")
-# Discordant pairs up to which the binomial tail is summed from its first term.
-EXACT_TERMS = 100_000
+# Queries with equal differences up to which each is drawn on its own; more are drawn together.
+DRAWN_ALONE = 32
 
 
 def router_key(name: Column) -> Column:
@@ -44,18 +44,11 @@ def _nested_differences(pairs: DataFrame, params: Params) -> DataFrame:
         for a in range(len(params.alphas)) for name, f in DIFFERENCES.items()])
 
 
-def bootstrap_intervals(pairs: DataFrame, params: Params = DEFAULT, buckets: bool = False) -> DataFrame:
-    """Percentile 95% intervals of the mean differences per alpha.
-
-    Resample b gives each query a Poisson(1) weight drawn from (b, query), the same for all alphas
-    and metrics. Draws exist only before the partial aggregate: the shuffle holds one row per
-    (task, b). With ``buckets`` the differences are first summed in 4,096 hash buckets and the
-    buckets are resampled, so the number of draws no longer grows with the queries.
-    """
-    alphas = range(len(params.alphas))
+def resampling_units(pairs: DataFrame, params: Params = DEFAULT, buckets: bool = False) -> DataFrame:
+    """unit, mean of its draws, and what it adds to each sum: the rows that are resampled."""
     rows = _nested_differences(pairs, params)
     sums = []
-    for a in alphas:
+    for a in range(len(params.alphas)):
         have = F.col(f"accuracy_{a}").isNotNull()
         sums.append((have.cast("long"), f"n_{a}"))
         sums += [(F.col(f"{name}_{a}"), f"{name}_{a}") for name in DIFFERENCES]
@@ -63,13 +56,36 @@ def bootstrap_intervals(pairs: DataFrame, params: Params = DEFAULT, buckets: boo
         units = rows.groupBy(hex_bucket("query_id").cast("string").alias("unit")).agg(
             *[F.sum(value).alias(name) for value, name in sums])
     else:
-        units = rows.select(F.col("query_id").alias("unit"), *[value.alias(name) for value, name in sums])
+        vector = [c for c in rows.columns if c != "query_id"]
+        alike = rows.groupBy(*vector).agg(F.count(F.lit(1)).alias("__m"), F.min("query_id").alias("__first"))
+        # A row for each query of a small group, one row for a large group.
+        alone = F.col("__m") <= DRAWN_ALONE
+        parts = F.explode(F.sequence(F.lit(0), F.when(alone, F.col("__m") - 1).otherwise(F.lit(0)))).alias("__part")
+        each = alike.select("*", parts)
+        units = each.select(F.concat_ws("#", "__first", "__part").alias("unit"),
+                            F.when(alone, F.lit(1)).otherwise(F.col("__m")).alias("mean"),
+                            *[value.alias(name) for value, name in sums])
+    return units
+
+
+def bootstrap_intervals(pairs: DataFrame, params: Params = DEFAULT, buckets: bool = False) -> DataFrame:
+    """Percentile 95% intervals of the mean differences per alpha.
+
+    Resample b gives each query a Poisson(1) weight, the same for all alphas and metrics. Queries with equal
+    differences weigh together what m independent draws do, Poisson(m): they are one row, drawn once for
+    each b, so draws grow with the distinct differences (times DRAWN_ALONE at most) and not with the queries;
+    most queries change no decision and are all alike. Draws exist only before the partial aggregate: the
+    shuffle holds one row per (task, b). With ``buckets`` the differences are first summed in 4,096 hash
+    buckets and the buckets are resampled instead.
+    """
+    alphas = range(len(params.alphas))
+    units = resampling_units(pairs, params, buckets)
+    names = [c for c in units.columns if c not in ("unit", "mean")]
     # Few rows become many here: a fixed number of partitions keeps adaptive execution from merging
     # the small input into one task.
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(tasks)
-    drawn = with_draw_weights(units, f"ci{params.seed}", params.resamples, "b", key="unit")
-    names = [name for _, name in sums]
+    drawn = with_draw_weights(units, f"ci{params.seed}", params.resamples, "b", "unit", None if buckets else "mean")
     totals = drawn.groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
     means = totals.select("b", F.inline(F.array(*[
         F.struct(F.lit(params.alphas[a]).alias("alpha"), *[
@@ -84,30 +100,25 @@ def bootstrap_intervals(pairs: DataFrame, params: Params = DEFAULT, buckets: boo
 
 
 def _log_factorial(x: Column) -> Column:
-    """Stirling's series; far below double rounding for the large arguments it is used with."""
-    x = x.cast("double")
-    return x * F.ln(x) - x + F.lit(0.5) * F.ln(F.lit(2 * math.pi) * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    """ln x!: Stirling's series at x + 10, where it is exact to a double, less the ten factors in between."""
+    y = x.cast("double") + 10
+    series = (y * F.ln(y) - y + F.lit(0.5) * F.ln(F.lit(2 * math.pi) * y) + 1 / (12 * y) - 1 / (360 * y * y * y)
+              + 1 / (1260 * y * y * y * y * y))
+    factors = None
+    for j in range(1, 11):
+        factor = x.cast("double") + j
+        factors = factor if factors is None else factors * factor
+    return series - F.ln(factors)
 
 
 def mcnemar_p(a: Column, b: Column) -> Column:
     """Exact two-sided p of a binomial(a + b, 1/2) at min(a, b); 1 without discordant pairs.
 
-    Up to 100,000 pairs the tail is summed upwards from its first term. Beyond that it is summed
-    downwards from its largest term, over the terms that can still change a double.
+    The tail is summed downwards from its largest term. Terms 20 sqrt(n) and more below the largest are
+    smaller by exp(-800) and cannot change a double, so the sum never looks at more.
     """
     n, k = (a + b).cast("long"), F.least(a, b).cast("long")
-    log2 = F.lit(math.log(2.0))
-    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n.cast("double") * log2).alias("total"))
-
-    def up(acc: Column, i: Column) -> Column:
-        log = acc["log"] + F.ln((n - i + 1).cast("double") / i.cast("double"))
-        return F.struct(log.alias("log"), (acc["total"] + F.exp(log - n.cast("double") * log2)).alias("total"))
-
-    # An empty range must stay empty: sequence(1, 0) would count down.
-    terms = F.filter(F.sequence(F.lit(0).cast("long"), F.least(k, F.lit(EXACT_TERMS))), lambda i: i > 0)
-    small = F.aggregate(terms, start, up)["total"]
-
-    top = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n.cast("double") * log2)
+    top = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n.cast("double") * F.lit(math.log(2.0)))
     count = F.least(k, F.ceil(F.lit(20.0) * F.sqrt(n.cast("double"))).cast("long"))
 
     def down(acc: Column, i: Column) -> Column:
@@ -115,9 +126,9 @@ def mcnemar_p(a: Column, b: Column) -> Column:
         term = acc["term"] * at / (n.cast("double") - at + 1)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
+    # An empty range must stay empty: sequence(1, 0) would count down.
     steps = F.filter(F.sequence(F.lit(0).cast("long"), count), lambda i: i > 0)
-    large = F.aggregate(steps, F.struct(top.alias("term"), top.alias("total")), down)["total"]
-    tail = F.when(n <= EXACT_TERMS, small).otherwise(large)
+    tail = F.aggregate(steps, F.struct(top.alias("term"), top.alias("total")), down)["total"]
     return F.when((n == 0) | (a == b), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -613,7 +613,24 @@ def intervals(unit: str, source: str) -> dict[str, str]:
 
 
 _UNIT_DIFFS = ", ".join(f"CAST(r_{c} - u_{c} AS DOUBLE) AS {n}" for n, c in _DIFFS)
-FRAGMENTS.update(intervals("_q", f"SELECT query_id AS unit, alpha, 1 AS n, {_UNIT_DIFFS} FROM rpairs"))
+_POLAR = """sqrt(-2 * ln((CAST('0x' || substr(digest, 1 + 13 * lane, 7) AS BIGINT) + 1) / 268435456.0::DOUBLE))
+    * cos(CAST('0x' || substr(digest, 8 + 13 * lane, 6) AS BIGINT) * (2 * pi() / 16777216.0::DOUBLE))"""
+FRAGMENTS.update({
+    "alike_q": """SELECT v, count(*) AS m, min(query_id) AS first FROM (
+        SELECT query_id, list({'alpha': alpha, 'accuracy': accuracy, 'utility': utility, 'regret': regret} ORDER BY alpha) AS v
+        FROM diffs_q GROUP BY query_id) GROUP BY v""",
+    "diffs_q": f"SELECT query_id, alpha, {_UNIT_DIFFS} FROM rpairs",
+    "units_q": """SELECT first || '#' || part AS unit, CASE WHEN m <= 32 THEN 1 ELSE m END AS mean, v
+        FROM alike_q, LATERAL (SELECT unnest(range(CASE WHEN m <= 32 THEN m ELSE 1 END)) AS part)""",
+    "draws_q": f"""SELECT unit, v, g * 4 + lane AS b, CASE WHEN mean = 1 THEN {poisson(uniform('digest', 'lane'))}
+          ELSE greatest(0, floor(mean + sqrt(mean) * z + (z * z - 1) / 6 + 0.5)) END AS w
+        FROM (SELECT *, {_POLAR} AS z FROM (SELECT unit, mean, v, g, sha256('ci{P.seed}|' || g || '|' || unit) AS digest
+          FROM units_q, range({P.resamples // 4}) t(g)), (VALUES (0), (1), (2), (3)) l(lane))""",
+    "means_q": f"""SELECT x.alpha AS alpha, b, {', '.join(f'sum(w * x.{n}) / sum(w) AS {n}' for n, _ in _DIFFS)}
+        FROM (SELECT b, w, unnest(v) AS x FROM draws_q WHERE w > 0) GROUP BY x.alpha, b""",
+    "ci_q": "SELECT alpha, " + ", ".join(
+        f"{r(f'quantile_cont({n}, {q})')} AS {n}_ci_{e}" for n, _ in _DIFFS
+        for e, q in (("lower", 0.025), ("upper", 0.975))) + " FROM means_q GROUP BY alpha"})
 FRAGMENTS.update(intervals("_h", f"""SELECT CAST(CAST('0x' || substr(query_id, 1, 3) AS INTEGER) AS VARCHAR) AS unit,
     alpha, count(*) AS n, {', '.join(f'sum(CAST(r_{c} - u_{c} AS DOUBLE)) AS {n}' for n, c in _DIFFS)}
     FROM rpairs GROUP BY 1, alpha"""))
