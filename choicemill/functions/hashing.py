@@ -6,6 +6,7 @@ results survive repartitioning and lost executors.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -32,6 +33,11 @@ def query_id(dataset: str = "dataset", category: str = "category", question: str
     return F.substring(F.sha2(F.concat_ws("||", dataset, category, question), 256), 1, 16)
 
 
+def draw_seed(*key: object) -> int:
+    """A seed for generators that want a number, from the hash of its key."""
+    return int(hashlib.sha256("|".join(map(str, key)).encode()).hexdigest()[:8], 16)
+
+
 def lane_digits(digest: str, lane: int) -> Column:
     """The hex digits of one of the four uniforms in a digest."""
     return F.substring(digest, 1 + lane * UNIFORM_DIGITS, UNIFORM_DIGITS)

@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from choicemill.functions.candidates import item
-from choicemill.functions.hashing import draw_weight_array
+from choicemill.functions.hashing import draw_seed, draw_weight_array
 from choicemill.functions.numeric import mean_of, rounded, settled_double
 from choicemill.operators.ensemble import training_pairs, weighted_training
 from choicemill.params import DEFAULT, Params
@@ -209,63 +209,78 @@ def model_path(path: str, alpha: float, member: int, model: str) -> str:
     return f"{path}/alpha={alpha}/member={member}/model={model}"
 
 
-def fit_boosted(core: DataFrame, features: Sequence[str], path: str, alphas: Sequence[float], members: Sequence[int],
-                rounds: int = 20, patience: int = 5, threads: int = 4, params: Params = DEFAULT) -> DataFrame:
-    """Boosted trees per (alpha, member, candidate), stored below ``path``; one report row per fit.
+def first_rounds(model, rounds: int):
+    """A fitted ensemble of trees cut to its first rounds; a boosted fit of fewer rounds is just that."""
+    from pyspark.ml.regression import GBTRegressionModel
+
+    spark = SparkSession.active()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    package = jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(package.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(model.trees[:rounds], model.treeWeights[:rounds], strict=True)):
+        trees[i], weights[i] = tree._java_obj, weight
+    return GBTRegressionModel(package.GBTRegressionModel(f"{model.uid}_{rounds}", trees, weights))
+
+
+def with_vector(rows: DataFrame, width: int) -> DataFrame:
+    """Add ``features``, the sparse feature arrays as one vector."""
+    from pyspark.ml.functions import array_to_vector
+
+    known = F.map_from_arrays("indices", "values")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0)))
+    return rows.withColumn("features", array_to_vector(dense))
+
+
+def fit_boosted(vectors: DataFrame, width: int, path: str, alphas: Sequence[float], members: Sequence[int],
+                threads: int = 4, params: Params = DEFAULT) -> DataFrame:
+    """Boosted trees per (alpha, member, candidate) on the feature vectors, stored below ``path``; one report row per fit.
 
-    Each fit stops early on validation error; since the first rounds of a fit do not depend on how
-    many follow, the kept model is the same fit with fewer rounds. Fits are Spark jobs over all
-    executors; a few threads on the driver keep the cluster busy while each waits for its
+    Each fit runs once, for ``params.boost_rounds``, and is cut to its best round on validation. Fits are Spark jobs
+    over all executors; a few threads on the driver keep the cluster busy while each waits for its
     sequential rounds. Training rows carry the member's bootstrap weight.
     """
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    train = assembler.transform(training_pairs(core, features, params)).select(
-        "query_id", "alpha", "model", "target", "features")
-    held_out = core.filter(F.col("split") == "validation").withColumn("split", F.lit("train"))
-    valid = assembler.transform(training_pairs(held_out, features, params)).select(
-        "alpha", "model", "target", "features", F.lit(1.0).alias("w"))
-    weights = weighted_training(core.select("query_id", "split"), params)
+    rows = with_vector(vectors, width)
+    train = training_pairs(rows, ["features"], params).select("query_id", "alpha", "model", "target", "features")
+    held_out = rows.filter(F.col("split") == "validation").withColumn("split", F.lit("train"))
+    valid = training_pairs(held_out, ["features"], params).select("alpha", "model", "target", "features", F.lit(1.0).alias("w"))
+    weights = weighted_training(vectors.select("query_id", "split"), params)
     train, valid = train.persist(), valid.persist()
 
     def fit(task: tuple[float, int, str]) -> tuple[float, int, str, int, float]:
         alpha, member, model = task
         one = (F.abs(F.col("alpha") - alpha) <= 1e-9) & (F.col("model") == model)
-        rows = train.filter(one).join(weights.filter(F.col("member") == member), "query_id").select(
+        mine = train.filter(one).join(weights.filter(F.col("member") == member), "query_id").select(
             "features", "target", F.col("w").cast("double"))
-        learner = GBTRegressor(labelCol="target", weightCol="w", maxIter=rounds, stepSize=0.1, maxDepth=4,
-                               subsamplingRate=0.8, featureSubsetStrategy="all",
-                               seed=params.seed + member + 1000 * params.candidates.index(model))
-        fitted = learner.fit(rows)
+        learner = GBTRegressor(labelCol="target", weightCol="w", maxIter=params.boost_rounds, stepSize=params.boost_step,
+                               maxDepth=params.boost_depth, minInstancesPerNode=params.boost_leaf, subsamplingRate=params.boost_rows,
+                               featureSubsetStrategy=str(params.boost_columns), seed=draw_seed(params.seed, member, model))
+        fitted = learner.fit(mine)
         errors = fitted.evaluateEachIteration(valid.filter(one), "squared")
-        kept = best_iteration(errors, patience)
-        if kept < rounds:
-            fitted = learner.setMaxIter(kept).fit(rows)
-        fitted.write().overwrite().save(model_path(path, alpha, member, model))
+        kept = best_iteration(errors, params.boost_patience)
+        first_rounds(fitted, kept).write().overwrite().save(model_path(path, alpha, member, model))
         return alpha, member, model, kept, float(errors[kept - 1]) ** 0.5
 
     tasks = [(alpha, member, model) for alpha in alphas for member in members for model in params.candidates]
     with ThreadPoolExecutor(threads) as pool:
-        rows = list(pool.map(fit, tasks))
+        done = list(pool.map(fit, tasks))
     train.unpersist()
     valid.unpersist()
-    return core.sparkSession.createDataFrame(
-        rows, "alpha double, member int, model string, iterations int, rmse double")
+    return vectors.sparkSession.createDataFrame(
+        done, "alpha double, member int, model string, iterations int, rmse double")
 
 
-def predict_boosted(queries: DataFrame, features: Sequence[str], path: str, alphas: Sequence[float],
+def predict_boosted(queries: DataFrame, width: int, path: str, alphas: Sequence[float],
                     members: Sequence[int], params: Params = DEFAULT) -> DataFrame:
     """Predicted utility per (query, alpha, member) from stored models; a missing model is an error.
 
     Every model adds a column to the same rows, so scoring is one narrow pass.
     """
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressionModel
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        queries.select("query_id", *features))
+    rows = with_vector(queries.select("query_id", "indices", "values"), width)
     entries = []
     for alpha in alphas:
         for member in members:

@@ -31,6 +31,14 @@ class Params:
     accuracy_tolerance: float = 1e-6
     cost_tolerance: float = 1e-10
     mechanism_alpha: float = 0.5
+    # Boosted trees: rounds at most, rounds without improvement, step, depth, rows of a leaf, shares of rows and columns.
+    boost_rounds: int = 1000
+    boost_patience: int = 50
+    boost_step: float = 0.03
+    boost_depth: int = 4
+    boost_leaf: int = 2
+    boost_rows: float = 0.8
+    boost_columns: float = 0.8
 
     # Queries that lack a candidate: "fail" raises an error, "drop" leaves them out of every later result.
     on_incomplete: str = "fail"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1004,14 +1005,17 @@ def ridge_ablation_errors(spark, sf):
     return learned.ablation_errors(spark, sf)
 
 
+# A part of the grid, and few rounds: see the README for what the whole would take.
 BOOSTED_ALPHAS, BOOSTED_MEMBERS = (0.5,), (0, 1)
+BOOSTED = replace(P, boost_rounds=10, boost_patience=5, boost_step=0.1)
 
 
 def _boosted(spark, sf):
     """Fit report and model folder, once per application."""
     path = f"{checkpoint_root(spark)}/models/{spark.sparkContext.applicationId}/{os.path.basename(sf.rstrip('/'))}"
+    vectors, families = learned.stage_vectors(spark, sf)
     report = written(spark, f"boosted|{sf}", lambda: learners.fit_boosted(
-        sourcing.stage_core(spark, sf), sourcing.NUMERIC_FEATURES, path, BOOSTED_ALPHAS, BOOSTED_MEMBERS, rounds=10))
+        vectors, learned.width(families), path, BOOSTED_ALPHAS, BOOSTED_MEMBERS, params=BOOSTED))
     return report, path
 
 
@@ -1025,10 +1029,11 @@ def boosted_fits(spark, sf):
 def boosted_results(spark, sf):
     """H6, A12, I1-I6, J6-J9, learner L2: stored trees scored, penalty chosen on validation, results on test."""
     _, path = _boosted(spark, sf)
-    rows = sourcing.stage_core(spark, sf).filter("split <> 'train'")
+    vectors, families = learned.stage_vectors(spark, sf)
+    rows = vectors.filter("split <> 'train'")
 
     def build():
-        predictions = learners.predict_boosted(rows, sourcing.NUMERIC_FEATURES, path, BOOSTED_ALPHAS, BOOSTED_MEMBERS)
+        predictions = learners.predict_boosted(rows, learned.width(families), path, BOOSTED_ALPHAS, BOOSTED_MEMBERS)
         return ensemble.ensemble_stats(predictions, ["query_id"], len(BOOSTED_MEMBERS))
 
     stats = written(spark, f"boosted_stats|{sf}", build)

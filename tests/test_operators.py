@@ -301,6 +301,19 @@ def test_vectors_refuse_leaks_and_bad_numbers(spark):
             features.require_finite(made)
 
 
+def test_a_cut_ensemble_equals_a_shorter_fit(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    vectors, families = learned.stage_vectors(spark, SF)
+    rows = learners.with_vector(vectors, learned.width(families)).select("features", F.col("cands")[0]["correct"].cast("double").alias("y"))
+    learner = GBTRegressor(featuresCol="features", labelCol="y", maxIter=4, maxDepth=2, seed=3)
+    short = learners.first_rounds(learner.fit(rows), 2)
+    again = learner.setMaxIter(2).fit(rows)
+    assert len(short.trees) == 2 and short.treeWeights == again.treeWeights
+    both = again.setPredictionCol("b").transform(short.setPredictionCol("a").transform(rows))
+    assert both.filter("abs(a - b) > 1e-12").count() == 0
+
+
 def test_patience():
     assert learners.best_iteration([3, 2, 1, 2, 2, 0], 2) == 3
     assert learners.best_iteration([3, 2, 1, 2, 2, 0], 5) == 6
