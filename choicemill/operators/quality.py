@@ -99,13 +99,32 @@ def id_report(queries: DataFrame) -> DataFrame:
                       F.sum("bad").alias("illegal_splits"))
 
 
-def side_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Queries only on one side, or on both with different splits."""
+def side_mismatches(left: DataFrame, right: DataFrame, candidates: str = "", params: Params = DEFAULT) -> DataFrame:
+    """Queries only on one side, or on both with different splits; if ``candidates`` names the right side's
+    array of candidates, also queries that do not have all of them with an outcome."""
+    whole = F.size(F.filter(candidates, lambda c: c["correct"].isNotNull())) == params.k if candidates else F.lit(True)
     joined = left.select("query_id", F.col("split").alias("left_split")).join(
-        right.select("query_id", F.col("split").alias("right_split")), "query_id", "full_outer")
+        right.select("query_id", F.col("split").alias("right_split"), whole.alias("__whole")), "query_id", "full_outer")
     reason = (F.when(F.col("right_split").isNull(), "only_left").when(F.col("left_split").isNull(), "only_right")
-              .when(F.col("left_split") != F.col("right_split"), "split_differs"))
-    return joined.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+              .when(F.col("left_split") != F.col("right_split"), "split_differs").when(~F.col("__whole"), "candidates"))
+    return joined.withColumn("reason", reason).drop("__whole").filter(F.col("reason").isNotNull())
+
+
+def selection_problems(summary: DataFrame, queries: DataFrame, split: str) -> DataFrame:
+    """Rows of a policy's summary over a split that did not select once for each query; all of them for an empty split."""
+    n = queries.filter(F.col("split") == split).agg(F.count(F.lit(1)).alias("__n"))
+    return summary.join(F.broadcast(n), F.lit(True)).filter("n_queries <> __n OR __n = 0").withColumnRenamed("__n", "n_expected")
+
+
+def empty_splits(queries: DataFrame, wanted: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
+    """Names of splits that hold no query."""
+    named = queries.sparkSession.createDataFrame([(s,) for s in wanted], "split string")
+    return named.join(queries.select("split").distinct(), "split", "left_anti")
+
+
+def null_metrics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of a result that hold a NULL where none may be."""
+    return null_counts(rows, columns).filter("nulls > 0")
 
 
 def non_finite(rows: DataFrame, key: str, columns: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:

@@ -818,6 +818,10 @@ def pareto_flag(source: str) -> str:
 
 FRAGMENTS["flagged"] = pareto_flag("policies")
 oracle("policy_comparison", 'SELECT * RENAME (lam AS "lambda") FROM flagged')
+oracle("policy_null_counts", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column, count(*) - count({'lam' if c == 'lambda' else c}) AS nulls FROM policies""" for c in (
+        "alpha", "accuracy", "average_cost", "mean_realized_utility", "mean_regret", "mean_oracle_utility", "average_latency",
+        "num_queries", "lambda", "policy", "policy_family", "selected_model")))
 oracle("pareto_rows", 'SELECT * RENAME (lam AS "lambda") FROM flagged WHERE accuracy_cost_pareto')
 oracle("operating_points", """SELECT policy, string_agg(CAST(alpha AS VARCHAR), ',' ORDER BY alpha) AS alpha_values,
     arg_min(accuracy, alpha) AS accuracy, arg_min(average_cost, alpha) AS average_cost,

@@ -9,6 +9,7 @@ from choicemill.functions.candidates import item
 from choicemill.functions.numeric import rounded
 from choicemill.operators import ensemble, features, learners, routing
 from choicemill.operators.features import Family
+from choicemill.operators.quality import require_none, side_mismatches
 from choicemill.params import Params
 from choicemill.plans.sourcing import FIXTURE, NUMERIC_FEATURES, stage_core, with_question
 from choicemill.sources.stages import written
@@ -54,6 +55,7 @@ def width(families: list[Family]) -> int:
 
 def stage_moments(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
     vectors, families = stage_vectors(spark, sf_dir, params)
+    require_none(side_mismatches(vectors, stage_core(spark, sf_dir, params), "cands", params), "features and outcomes differ")
     return written(spark, f"moments|{sf_dir}|{params}", lambda: learners.moment_blocks(vectors, width(families), params))
 
 

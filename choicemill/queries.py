@@ -155,7 +155,11 @@ def fallback_choice(spark, sf):
 
 def _category_policy(spark, sf, split):
     core = sourcing.stage_core(spark, sf)
-    return policies.category_policy(core, policies.category_map(core), policies.fallback_choice(core), split)
+    quality.require_none(quality.empty_splits(core), "splits without a query")
+    quality.require_none(quality.label_conflicts(core), "queries under several categories")
+    found = policies.category_policy(core, policies.category_map(core), policies.fallback_choice(core), split)
+    quality.require_none(quality.selection_problems(found, core, split), "not one selection a query")
+    return found
 
 
 @query
@@ -759,8 +763,10 @@ def selection_transitions(spark, sf):
 
 @query
 def prediction_errors(spark, sf):
-    """O1, B12, B13."""
-    return rankings.error_table(routers.state(spark, sf, "test"))
+    """One row of predictions a query and alpha, or an error."""
+    state = routers.state(spark, sf, "test")
+    quality.require_none(quality.duplicate_keys(state, ["query_id", "alpha"]), "predictions that are not one to one")
+    return rankings.error_table(state)
 
 
 def _error_summary(keys, spread=None):
@@ -817,8 +823,20 @@ def ranking_by_margin_scaled(spark, sf):
 
 # ------------------------------------------------------------ policy comparison
 
+POLICY_METRICS = ("alpha", "policy", "policy_family", "accuracy", "average_cost", "mean_realized_utility", "mean_regret")
+
+
+@query
+def policy_null_counts(spark, sf):
+    """Missing values in every column of the policy table; the core metrics must have none."""
+    rows = _policies(spark, sf)
+    return quality.null_counts(rows, rows.columns)
+
+
 def _policies(spark, sf):
-    return written(spark, f"policies|{sf}", lambda: _policy_rows(spark, sf))
+    rows = written(spark, f"policies|{sf}", lambda: _policy_rows(spark, sf))
+    quality.require_none(quality.null_metrics(rows, POLICY_METRICS), "policies without a core metric")
+    return rows
 
 
 def _policy_rows(spark, sf):

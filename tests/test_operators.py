@@ -607,6 +607,29 @@ def test_bank_normalisers(spark):
         questions.first_rows(items, 2, ["question"])
 
 
+def test_guards_find_planted_violations(spark):
+    kind = "query_id string, split string, category string, cands array<struct<correct:int>>"
+    full = [(1,)] * 4
+    rows = [("a", "train", "x", full), ("b", "test", "x", full), ("c", "validation", "y", full)]
+    good = spark.createDataFrame(rows, kind)
+    assert quality.side_mismatches(good, good, "cands").count() == 0
+    bad = spark.createDataFrame([("a", "test", "x", full), ("b", "test", "x", full[:3]), ("d", "train", "x", full)], kind)
+    assert {(r["query_id"], r["reason"]) for r in quality.side_mismatches(good, bad, "cands").collect()} == {
+        ("a", "split_differs"), ("b", "candidates"), ("c", "only_left"), ("d", "only_right")}
+    assert quality.empty_splits(good).count() == 0
+    assert [r["split"] for r in quality.empty_splits(bad).collect()] == ["validation"]
+    summary = spark.createDataFrame([(0.1, 1), (0.3, 2)], "alpha double, n_queries long")
+    assert [r["alpha"] for r in quality.selection_problems(summary, good, "test").collect()] == [0.3]
+    assert quality.selection_problems(summary, good, "other").count() == 2
+    assert quality.label_conflicts(good).count() == 0
+    assert quality.label_conflicts(good.union(spark.createDataFrame([("a", "train", "z", full)], kind))).count() == 1
+    policies_ = spark.createDataFrame([(0.1, None, 1.0), (0.1, "p", None)], "alpha double, policy string, accuracy double")
+    assert {r["column"] for r in quality.null_metrics(policies_, ["alpha", "policy", "accuracy"]).collect()} == {"policy", "accuracy"}
+    twice = good.union(good)
+    with pytest.raises(ValueError, match="one to one"):
+        quality.require_none(quality.duplicate_keys(twice, ["query_id"]), "one to one")
+
+
 def test_quality_checks(spark):
     rows = spark.createDataFrame([("1", "train", "m0"), ("1", "test", "m1"), ("2", "test", "m0")],
                                  "query_id string, split string, model string")
