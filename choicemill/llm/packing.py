@@ -38,7 +38,7 @@ END = 2
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP = 2048 * CAPACITY
-CACHE = 1_000_000  # spans that a Python worker remembers
+CACHE = 200_000  # spans that a Python worker remembers, some 50 MB
 
 
 def _byte_letters() -> dict[int, str]:
