@@ -1,9 +1,11 @@
 """Quality rules as a bitmask ledger, in DataFrame functions alone.
 
 Every rule is evaluated once per document: its measurement is stored, and a failure sets the rule's bit.
+The ledger is written to the shared folder; verdicts and ablations read it and not the texts.
 A policy is a version, a set of required rules (a mask) and nothing else, so deciding again under another
-version is ``failures & mask = 0`` over the ledger, and no text is read again. Ablations come from the
-counts per distinct bitmask, of which there are at most 2 to the number of rules.
+version is ``failures & mask = 0`` over the ledger. Ablations come from the counts per distinct bitmask, of
+which there are at most 2 to the number of rules: a document hangs on one rule alone where its bitmask
+within the policy is that rule's bit.
 
 Defined cases: null or blank text has no words and fails ``few_words``; repeated rows are judged each;
 other columns are ignored; a null id is carried through.
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from choicemill.llm.common import stage
+
 BLANKS = r"[ \t-\r]"
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -110,11 +114,23 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured(docs).withColumn("failures", bits)
 
 
+def stored(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger, written and read again: some 60 bytes a document."""
+    return stage(ledger(docs, rules))
+
+
 def fails(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
     """Whether a ledger row fails a policy."""
     return F.col("failures").bitwiseAND(F.lit(policy.mask(rules))) != 0
 
 
+def only_rule(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The rule that alone keeps a ledger row from passing a policy, null where none or several do."""
+    failed = F.col("failures").bitwiseAND(F.lit(policy.mask(rules)))
+    names = [r.name for r in rules]
+    return F.coalesce(*[F.when(failed == (1 << names.index(n)), F.lit(n)) for n in policy.rules])
+
+
 def ablation(entries: DataFrame, policies: tuple[Policy, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """version, rule, n_docs, n_kept, n_failing (the rule), n_only (kept if just this rule were left out),
     from the counts per bitmask."""
@@ -130,13 +146,19 @@ def ablation(entries: DataFrame, policies: tuple[Policy, ...], rules: tuple[Rule
 
 
 def op3_quality_rules(spark, sf_dir):
-    """Measurements, failure bits and verdicts of every document."""
-    entries = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Measurements, failure bits and verdicts of every document, decided from the stored ledger."""
+    entries = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                          "failures", fails(BASE).alias("base_failed"), (~fails(CURRENT)).alias("kept"))
+                          "failures", fails(BASE).alias("base_failed"), (~fails(CURRENT)).alias("kept"),
+                          only_rule(CURRENT).alias("only_rule"))
+
 
+def quality_rule_ablation(spark, sf_dir):
+    """What each rule of each policy rejects, alone and at all, over all documents, from the stored ledger."""
+    return ablation(stored(spark.read.parquet(f"{sf_dir}/documents.parquet")), (BASE, CURRENT))
 
-ORACLE = r"""
+
+LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') AS w,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM d),
@@ -154,6 +176,21 @@ m AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words,
 f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
   + CASE WHEN 10 * n_symbols > n_words * 3 THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
   + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END)::BIGINT AS failures FROM m)
+"""
+
+ORACLE = LEDGER_SQL + r"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures,
-       (failures & 3) <> 0 AS base_failed, failures = 0 AS kept FROM f
+       (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
+       CASE failures WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols'
+                     WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'word_length' END AS only_rule FROM f
+"""
+
+ABLATION_ORACLE = LEDGER_SQL + r""",
+p2 AS (SELECT 'base' AS version, 3 AS mask, rule, bit FROM (VALUES ('few_words', 1), ('repeated_words', 2)) t(rule, bit)
+       UNION ALL SELECT 'v1', 31, rule, bit
+       FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16)) t(rule, bit))
+SELECT version, rule, count(*)::BIGINT AS n_docs, count(*) FILTER (WHERE failures & mask = 0)::BIGINT AS n_kept,
+       count(*) FILTER (WHERE failures & bit <> 0)::BIGINT AS n_failing,
+       count(*) FILTER (WHERE failures & mask = bit)::BIGINT AS n_only
+FROM f, p2 GROUP BY version, rule
 """

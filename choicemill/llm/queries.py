@@ -20,7 +20,7 @@ from choicemill.llm import (
 )
 
 _OPERATORS = [
-    substring_dedup.op1_substring_dedup, minhash_dedup.op2_minhash_dedup, quality_rules.op3_quality_rules,
+    substring_dedup.op1_substring_dedup, minhash_dedup.op2_minhash_dedup, quality_rules.op3_quality_rules, quality_rules.quality_rule_ablation,
     packing.op4_packing, warc_fixity.op5_warc_fixity,
     pieces.op6_sentencepiece_nbest, secret_scan.op7_secret_scan, toxicity.op8_toxicity,
     knn.op9_exact_knn, language_id.op10_language_id,
@@ -36,6 +36,7 @@ def _prepared(fn):
 
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in _OPERATORS}
-ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op5_warc_fixity": warc_fixity.ORACLE,
+ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "quality_rule_ablation": quality_rules.ABLATION_ORACLE,
+           "op5_warc_fixity": warc_fixity.ORACLE,
            "op9_exact_knn": knn.ORACLE, "op11_phrase_mining": phrase_mining.ORACLE,
            "op12_lexical_search": lexical_search.ORACLE, "op13_html_extraction": html_extraction.ORACLE}

@@ -218,14 +218,21 @@ def test_kept_rows_are_those_whose_id_names_the_component(spark):
 
 def test_ledger_edges_and_ablation(edge, none):
     entries = quality_rules.ledger(edge)
-    got = {r.doc_id: r for r in entries.collect()}
+    rows = entries.collect()
+    got = {r.doc_id: r for r in rows}
     assert got[4].n_words == got[6].n_words == 0 and got[4].failures & 1
     assert got[10].n_repeat_words == 120 and got[1].failures == 0
     for row in quality_rules.ablation(entries, (quality_rules.BASE, quality_rules.CURRENT)).collect():
         policy = {p.version: p for p in (quality_rules.BASE, quality_rules.CURRENT)}[row.version]
         assert row.n_docs == 16
         assert row.n_kept == entries.where(~quality_rules.fails(policy)).count()
-    assert quality_rules.ledger(none).count() == 0
+        names = [r.name for r in quality_rules.RULES]
+        others = quality_rules.Policy("rest", tuple(n for n in policy.rules if n != row.rule))
+        assert row.n_only == sum(1 for r in rows if not r.failures & others.mask() and r.failures >> names.index(row.rule) & 1)
+        assert row.n_only == entries.where(quality_rules.only_rule(policy) == row.rule).count()
+    assert quality_rules.stored(edge).exceptAll(entries).count() == 0
+    assert quality_rules.stored(none).count() == 0
+    assert quality_rules.ablation(quality_rules.stored(none), (quality_rules.BASE,)).count() == 0
 
 
 def check_packing(docs, rows):
