@@ -16,8 +16,13 @@ Equal texts are one content from the start: all but the one with the smallest id
 whole. All counting is by aggregates that combine before they shuffle; nothing is collected per
 fingerprint, so a passage in a third of all texts costs one row a task. Lists are kept per text only.
 
-Windows of one length decide what is removed, so the ladder ends at the window: longer repeats are
-made of windows that repeat, and no level above it is built.
+4. Above the window, a run of 2L words is looked at only where both of its halves of L words are
+   known to repeat, which a text's own positions tell. Runs that occur once go, the others are the next
+   level's halves, until no text has a candidate left. The last level a text reaches is its longest repeat.
+
+Windows of one length decide what is removed; the levels above it add ``longest_repeat`` and change no
+decision, so the pipeline's form leaves them out. Runs of a level are named by doubling the names of the
+level below inside the task, so a level of any length costs one step more than the last.
 
 Defined cases: null or empty text has no words; a null id sorts last; rows with equal id and equal
 text are one document and get the same answer; rows with equal id and different texts are ordered by
@@ -34,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.llm.common import Words, flat_list, identified, list_array, order_id, signed, slices, stage
+from choicemill.llm.common import (
+    Words, flat_list, identified, list_array, mixed, order_id, ranges, signed, slices, stage, stream)
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -126,14 +132,82 @@ def _candidates(window: int):
     return run
 
 
-def _removals(window: int, texts: bool):
+def _halves_found(at: np.ndarray, length: int) -> np.ndarray:
+    """Places in one text where both halves of a run of twice the length repeat; ``at`` is ascending."""
+    return at[np.isin(at + length, at, assume_unique=True)]
+
+
+def _spans_of(at: np.ndarray) -> np.ndarray:
+    """Ascending numbers as alternating starts and ends of gapless ranges."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    cut = np.flatnonzero(np.diff(at) != 1)
+    return np.column_stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1]).ravel().astype(np.int32)
+
+
+def _places(spans: np.ndarray) -> np.ndarray:
+    """The numbers inside alternating starts and ends."""
+    return ranges(spans[::2].astype(np.int64), spans[1::2].astype(np.int64))
+
+
+def _named_runs(words: Words, window: int, length: int, seed: int) -> np.ndarray:
+    """Fingerprints of the runs of ``length`` words, a doubling of the window, from each word on."""
+    name, _ = words.runs(window, seed)
+    left, right = stream(2, seed + 16)
+    while window < length:
+        m = max(len(name) - window, 0)
+        name = np.append(mixed(name[:m] * left + name[window:] * right), np.zeros(len(name) - m, np.uint64))
+        window *= 2
+    return name
+
+
+def _longer(window: int, length: int):
+    """The runs of ``length`` words at the places a text still has to show."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words = Words(b.column("text"))
+            spans, counts = flat_list(b.column("spans"))
+            ends = np.cumsum(counts)
+            at = [_places(spans[e - n: e]) for n, e in zip(counts, ends, strict=True)]
+            text = np.repeat(np.arange(len(at)), [len(x) for x in at])
+            start = np.concatenate(at)
+            place = start + words.bounds[text]
+            one, two = (_named_runs(words, window, length, seed)[place] for seed in (4, 5))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                 pa.array(b.column("o").to_numpy()[text]), pa.array(b.column("tie").to_numpy()[text]),
+                 pa.array(start.astype(np.int32))], ["a", "b", "o", "tie", "start"])
+    return run
+
+
+def _left_over(length: int):
+    """Texts with a repeated run of ``length`` words, and their candidates for twice that length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "spans"):
+            spans, counts = flat_list(b.column("spans"))
+            alone, lone_counts = flat_list(b.column("alone"))
+            ends, lone_ends = np.cumsum(counts), np.cumsum(lone_counts)
+            rest = [np.setdiff1d(_places(spans[e - n: e]), alone[f - m: f], assume_unique=True)
+                    for n, e, m, f in zip(counts, ends, lone_counts, lone_ends, strict=True)]
+            stays = np.array([len(at) > 0 for at in rest])
+            found = [_spans_of(_halves_found(at, length)) for at in rest if len(at)]
+            if found:
+                kept = b.filter(pa.array(stays))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column("o"), kept.column("tie"),
+                     list_array(np.concatenate(found), np.array([len(x) for x in found]), pa.int32())], ["o", "tie", "spans"])
+    return run
+
+
+def _removals(window: int, texts: bool, ladder: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             words = Words(b.column("text"))
             sole, _ = flat_list(b.column("sole"))
             firsts, counts = flat_list(b.column("firsts"))
             keeps = firsts + np.repeat(words.bounds[:-1], counts)
-            at = np.setdiff1d(_surviving(words, sole, window), keeps)
+            alive = _surviving(words, sole, window)
+            at = np.setdiff1d(alive, keeps)
             change = np.zeros(len(words) + 1, np.int64)
             np.add.at(change, at, 1)
             np.add.at(change, at + window, -1)
@@ -152,6 +226,15 @@ def _removals(window: int, texts: bool):
             if texts:
                 columns.append(pa.array(kept, pa.string()))
                 names.append("kept_text")
+            if ladder:
+                alone, counts = flat_list(b.column("alone"))
+                again = np.setdiff1d(alive, alone + np.repeat(words.bounds[:-1], counts))
+                each = [again[s:e] - w for w, s, e in zip(
+                    words.bounds[:-1], *(np.searchsorted(again, x) for x in (words.bounds[:-1], words.bounds[1:])), strict=True)]
+                spans = [_spans_of(_halves_found(x, window)) for x in each]
+                columns += [b.column("o"), b.column("tie"), pa.array([len(x) > 0 for x in each]),
+                            list_array(np.concatenate(spans), np.array([len(x) for x in spans]), pa.int32())]
+                names += ["o", "tie", "repeats", "spans"]
             yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
@@ -167,18 +250,42 @@ def _without(raw: bytes, words: Words, t: int, flags: np.ndarray) -> str:
     return np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
 
 
-def repeated_runs(docs: DataFrame, window: int = 20, texts: bool = False) -> tuple[DataFrame, DataFrame]:
+def _climb(suspects: DataFrame, level: DataFrame, window: int) -> DataFrame:
+    """o, tie, longest: the last length, doubling from the window, at which a run of the text repeats.
+
+    ``level`` holds o, tie and the candidates (spans) of twice the window, for texts with a repeated window.
+    """
+    reached, length = level.select("o", "tie", F.lit(window).cast("long").alias("longest")), window
+    open_ = level.where(F.size("spans") > 0)
+    while not open_.isEmpty():
+        length *= 2
+        alone = (suspects.select("o", "tie", "text").join(open_, ["o", "tie"])
+                 .mapInArrow(_longer(window, length), "a long, b int, o long, tie long, start int")
+                 .groupBy("a", "b").agg(F.min(F.struct("o", "tie", "start")).alias("at"), F.count("*").alias("n"))
+                 .where("n = 1").groupBy("at.o", "at.tie").agg(F.collect_list("at.start").alias("alone")))
+        level = stage(open_.join(alone, ["o", "tie"], "left")
+                      .select("o", "tie", "spans", F.coalesce("alone", F.array().cast("array<int>")).alias("alone"))
+                      .mapInArrow(_left_over(length), "o long, tie long, spans array<int>"))
+        reached = reached.unionByName(level.select("o", "tie", F.lit(length).cast("long").alias("longest")))
+        open_ = level.where(F.size("spans") > 0)
+    return reached.groupBy("o", "tie").agg(F.max("longest").alias("longest"))
+
+
+def repeated_runs(docs: DataFrame, window: int = 20, texts: bool = False,
+                  ladder: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` its measures, and per text content what is removed from its first holder.
 
-    First table: doc_id, o, k1, k2, n_words, n_anchors, sha. Second: k1, k2, first (smallest id),
-    removed, sha_left (null where no window repeats) and, on demand, kept_text.
+    First table: doc_id, o, k1, k2, n_words, n_anchors, sha. Second: k1, k2, first (smallest id), copied
+    (whether several ids hold it), removed, sha_left (null where no window repeats) and, on demand,
+    kept_text and longest (the last level that the content reaches, null where no window repeats).
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     rows = identified(docs)
     heads = stage(rows.mapInArrow(
         _heads(window), "doc_id long, o long, k1 long, k2 long, n_words long, n_anchors long, sha string"))
-    contents = heads.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.first("n_anchors").alias("n_anchors"))
+    contents = heads.groupBy("k1", "k2").agg(F.min("o").alias("first"), (F.min("o") < F.max("o")).alias("copied"),
+                                             F.first("n_anchors").alias("n_anchors"))
     counted = rows.select("k1", "text").mapInArrow(_anchors(window), "h long, k1 long, again boolean")
     sole = (counted.groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("k_max"),
                                      F.max("again").alias("again"))
@@ -191,26 +298,48 @@ def repeated_runs(docs: DataFrame, window: int = 20, texts: bool = False) -> tup
              .where(F.coalesce(F.size("sole"), F.lit(0)) < F.col("n_anchors"))
              .select(F.col("first").alias("o"), F.when(F.col("shared"), F.col("k1")).otherwise(0).alias("tie"),
                      "k1", "k2", F.coalesce("sole", F.array().cast("array<long>")).alias("sole")))
-    suspects = stage(rows.drop("doc_id").join(lists, ["o", "k1", "k2"]))
-    firsts = (suspects.select("text", "sole", "o", "tie")
-              .mapInArrow(_candidates(window), "a long, b int, o long, tie long, start int")
-              .groupBy("a", "b").agg(F.min(F.struct("o", "tie", "start")).alias("at"))
-              .groupBy("at.o", "at.tie").agg(F.collect_list("at.start").alias("firsts")))
+    suspects = rows.drop("doc_id").join(lists, ["o", "k1", "k2"])
+    # The ladder counts occurrences, so repeated rows of one id and text must be one row.
+    suspects = stage(suspects.dropDuplicates(["o", "k1", "k2"]) if ladder else suspects)
+    none = F.array().cast("array<int>")
+    windows = (suspects.select("text", "sole", "o", "tie")
+               .mapInArrow(_candidates(window), "a long, b int, o long, tie long, start int").groupBy("a", "b"))
+    at = F.min(F.struct("o", "tie", "start")).alias("at")
+    if ladder:
+        firsts = stage(windows.agg(at, F.count("*").alias("n")).groupBy("at.o", "at.tie").agg(
+            F.collect_list("at.start").alias("firsts"),
+            F.collect_list(F.when(F.col("n") == 1, F.col("at.start"))).alias("alone")))
+    else:
+        firsts = windows.agg(at).groupBy("at.o", "at.tie").agg(F.collect_list("at.start").alias("firsts"))
     schema = "k1 long, k2 long, removed long, sha_left string" + (", kept_text string" if texts else "")
-    changed = (suspects.join(firsts, ["o", "tie"], "left")
-               .select("text", "sole", "k1", "k2", F.coalesce("firsts", F.array().cast("array<int>")).alias("firsts"))
-               .mapInArrow(_removals(window, texts), schema).dropDuplicates(["k1", "k2"]))
-    return heads, contents.drop("n_anchors").join(stage(changed), ["k1", "k2"], "left")
+    found = suspects.join(firsts, ["o", "tie"], "left")
+    given = ["text", "sole", "k1", "k2", F.coalesce("firsts", none).alias("firsts")]
+    if ladder:
+        given += ["o", "tie", F.coalesce("alone", none).alias("alone")]
+        schema += ", o long, tie long, repeats boolean, spans array<int>"
+    changed = stage(found.select(*given).mapInArrow(_removals(window, texts, ladder), schema).dropDuplicates(["k1", "k2"]))
+    if ladder:
+        tops = _climb(suspects, changed.where("repeats").select("o", "tie", "spans"), window)
+        changed = changed.join(tops, ["o", "tie"], "left").drop("o", "tie", "repeats", "spans")
+    return heads, contents.drop("n_anchors").join(changed, ["k1", "k2"], "left")
 
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``."""
-    heads, contents = repeated_runs(docs, window)
+    """doc_id, n_words, n_removed, kept_sha256, longest_repeat per row of ``docs``.
+
+    longest_repeat is the greatest length among window, 2 window, 4 window, ... at which some run of that many
+    words of the document also occurs elsewhere, in it or in another document (0: not even a window does).
+    """
+    heads, contents = repeated_runs(docs, window, ladder=True)
     copy = (F.col("o") != F.col("first")) & (F.col("n_words") >= window)
+    # All of a text that several ids hold repeats: the greatest level that fits into it.
+    fits = F.expr(f"length(bin(n_words div {window})) - 1")
+    whole = F.when(F.col("copied") & (F.col("n_words") >= window), F.lit(window) * F.pow(F.lit(2), fits).cast("long"))
     return heads.join(contents, ["k1", "k2"]).select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("sha_left", "sha")).alias("kept_sha256"))
+        F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("sha_left", "sha")).alias("kept_sha256"),
+        F.coalesce(whole, F.col("longest"), F.lit(0)).cast("long").alias("longest_repeat"))
 
 
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -78,9 +79,38 @@ def kept_words(docs):
     return out
 
 
+def longest_levels(docs, window=20):
+    """Brute force of the ladder: the last length 20, 40, 80, ... at which a run of the text occurs elsewhere."""
+    docs = [(t or "").encode().split() for t in docs]
+    out, length = [0] * len(docs), window
+    while any(len(d) >= length for d in docs):
+        runs = Counter(tuple(d[i: i + length]) for d in docs for i in range(len(d) - length + 1))
+        for k, d in enumerate(docs):
+            if any(runs[tuple(d[i: i + length])] > 1 for i in range(len(d) - length + 1)):
+                out[k] = length
+        length *= 2
+    return out
+
+
+def test_substring_ladder_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).where("length(text) < 20000").select("doc_id", "text").collect()]
+    rng = np.random.default_rng(8)
+    word = [f"x{i}" for i in range(5_000)]
+    run = " ".join(rng.choice(word, 1_300))
+    plain = " ".join(rng.choice(word, 700))
+    # One run inside two texts, one text that holds a run twice, a run of one word, exact copies, 39 words of a run.
+    rows += [(10**9 + i, t) for i, t in enumerate([
+        f"start {run} end", f"{plain} {run}", f"{plain[:300]} | {plain}", "same " * 90, run, run,
+        " ".join(run.split()[5:44]), None, "", "alone " + " ".join(rng.choice(word, 200))])]
+    want = dict(zip([i for i, _ in rows], longest_levels([t for _, t in rows]), strict=True))
+    got = substring_dedup.substring_dedup(ready(spark).createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.longest_repeat for r in got.collect()} == want
+    assert {want[10**9], want[10**9 + 3], want[10**9 + 9]} == {1280, 80, 0}
+
+
 def test_substring_dedup_equals_brute_force(spark):
     rows = sorted(documents(spark).select("doc_id", "text").collect())
-    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.substring_dedup(documents(spark)).collect()}
+    got = {r.doc_id: tuple(r)[1:4] for r in substring_dedup.substring_dedup(documents(spark)).collect()}
     assert got == dict(zip([r.doc_id for r in rows], kept_words([r.text for r in rows]), strict=True))
 
 
