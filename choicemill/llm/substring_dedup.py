@@ -18,7 +18,8 @@ fingerprint, so a passage in a third of all texts costs one row a task. Lists ar
 
 4. Above the window, a run of 2L words is looked at only where both of its halves of L words are
    known to repeat, which a text's own positions tell. Runs that occur once go, the others are the next
-   level's halves, until no text has a candidate left. The last level a text reaches is its longest repeat.
+   level's halves, until no text has a candidate left. A level takes along only the words under its
+   candidates, so texts are shuffled less and less. The last level a text reaches is its longest repeat.
 
 Windows of one length decide what is removed; the levels above it add ``longest_repeat`` and change no
 decision, so the pipeline's form leaves them out. Runs of a level are named by doubling the names of the
@@ -180,25 +181,44 @@ def _longer(window: int, length: int):
     return run
 
 
+def _cut(words: Words, text: int, at: np.ndarray, length: int) -> tuple[str, np.ndarray]:
+    """The words of a text under the runs of ``length`` words at ascending places, and the places there as spans.
+
+    A filler stands between parts that do not touch, where no run starts: no two parts make up a run.
+    """
+    if not len(at):
+        return "", np.zeros(0, np.int32)
+    opens = np.append(True, at[1:] > at[:-1] + length)
+    first, last = at[opens], at[np.append(opens[1:], True)] + length
+    shift = first - (np.cumsum(last - first + 1) - (last - first + 1))
+    base = words.bounds[text]
+    parts = [words.data[words.starts[base + f]: words.ends[base + e - 1]].tobytes() for f, e in zip(first, last, strict=True)]
+    return b" | ".join(parts).decode(), _spans_of(at - shift[np.cumsum(opens) - 1])
+
+
 def _left_over(length: int):
-    """Texts with a repeated run of ``length`` words, and their candidates for twice that length."""
+    """Texts with a repeated run of ``length`` words, cut to what may be part of a repeat of twice that length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "spans"):
+        for b in slices(batches):
+            words = Words(b.column("text"))
             spans, counts = flat_list(b.column("spans"))
             alone, lone_counts = flat_list(b.column("alone"))
             ends, lone_ends = np.cumsum(counts), np.cumsum(lone_counts)
             rest = [np.setdiff1d(_places(spans[e - n: e]), alone[f - m: f], assume_unique=True)
                     for n, e, m, f in zip(counts, ends, lone_counts, lone_ends, strict=True)]
-            stays = np.array([len(at) > 0 for at in rest])
-            found = [_spans_of(_halves_found(at, length)) for at in rest if len(at)]
-            if found:
-                kept = b.filter(pa.array(stays))
+            cuts = [_cut(words, t, _halves_found(at, length), 2 * length) for t, at in enumerate(rest) if len(at)]
+            if cuts:
+                kept = b.filter(pa.array([len(at) > 0 for at in rest]))
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("o"), kept.column("tie"),
-                     list_array(np.concatenate(found), np.array([len(x) for x in found]), pa.int32())], ["o", "tie", "spans"])
+                    [kept.column("o"), kept.column("tie"), *_cut_columns(cuts)], ["o", "tie", "text", "spans"])
     return run
 
 
+def _cut_columns(cuts: list[tuple[str, np.ndarray]]) -> list[pa.Array]:
+    return [pa.array([text for text, _ in cuts], pa.string()),
+            list_array(np.concatenate([x for _, x in cuts]), np.array([len(x) for _, x in cuts]), pa.int32())]
+
+
 def _removals(window: int, texts: bool, ladder: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -231,10 +251,9 @@ def _removals(window: int, texts: bool, ladder: bool):
                 again = np.setdiff1d(alive, alone + np.repeat(words.bounds[:-1], counts))
                 each = [again[s:e] - w for w, s, e in zip(
                     words.bounds[:-1], *(np.searchsorted(again, x) for x in (words.bounds[:-1], words.bounds[1:])), strict=True)]
-                spans = [_spans_of(_halves_found(x, window)) for x in each]
-                columns += [b.column("o"), b.column("tie"), pa.array([len(x) > 0 for x in each]),
-                            list_array(np.concatenate(spans), np.array([len(x) for x in spans]), pa.int32())]
-                names += ["o", "tie", "repeats", "spans"]
+                cuts = [_cut(words, t, _halves_found(x, window), 2 * window) for t, x in enumerate(each)]
+                columns += [b.column("o"), b.column("tie"), pa.array([len(x) > 0 for x in each]), *_cut_columns(cuts)]
+                names += ["o", "tie", "repeats", "text", "spans"]
             yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
@@ -250,22 +269,22 @@ def _without(raw: bytes, words: Words, t: int, flags: np.ndarray) -> str:
     return np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
 
 
-def _climb(suspects: DataFrame, level: DataFrame, window: int) -> DataFrame:
+def _climb(level: DataFrame, window: int) -> DataFrame:
     """o, tie, longest: the last length, doubling from the window, at which a run of the text repeats.
 
-    ``level`` holds o, tie and the candidates (spans) of twice the window, for texts with a repeated window.
+    ``level`` holds o, tie, what is left of the text and the candidates (spans) of twice the window there, for
+    texts with a repeated window. Each level shuffles only words that may be part of a repeat of its length.
     """
     reached, length = level.select("o", "tie", F.lit(window).cast("long").alias("longest")), window
     open_ = level.where(F.size("spans") > 0)
     while not open_.isEmpty():
         length *= 2
-        alone = (suspects.select("o", "tie", "text").join(open_, ["o", "tie"])
-                 .mapInArrow(_longer(window, length), "a long, b int, o long, tie long, start int")
+        alone = (open_.mapInArrow(_longer(window, length), "a long, b int, o long, tie long, start int")
                  .groupBy("a", "b").agg(F.min(F.struct("o", "tie", "start")).alias("at"), F.count("*").alias("n"))
                  .where("n = 1").groupBy("at.o", "at.tie").agg(F.collect_list("at.start").alias("alone")))
         level = stage(open_.join(alone, ["o", "tie"], "left")
-                      .select("o", "tie", "spans", F.coalesce("alone", F.array().cast("array<int>")).alias("alone"))
-                      .mapInArrow(_left_over(length), "o long, tie long, spans array<int>"))
+                      .select("o", "tie", "text", "spans", F.coalesce("alone", F.array().cast("array<int>")).alias("alone"))
+                      .mapInArrow(_left_over(length), "o long, tie long, text string, spans array<int>"))
         reached = reached.unionByName(level.select("o", "tie", F.lit(length).cast("long").alias("longest")))
         open_ = level.where(F.size("spans") > 0)
     return reached.groupBy("o", "tie").agg(F.max("longest").alias("longest"))
@@ -316,11 +335,14 @@ def repeated_runs(docs: DataFrame, window: int = 20, texts: bool = False,
     given = ["text", "sole", "k1", "k2", F.coalesce("firsts", none).alias("firsts")]
     if ladder:
         given += ["o", "tie", F.coalesce("alone", none).alias("alone")]
-        schema += ", o long, tie long, repeats boolean, spans array<int>"
-    changed = stage(found.select(*given).mapInArrow(_removals(window, texts, ladder), schema).dropDuplicates(["k1", "k2"]))
+        schema += ", o long, tie long, repeats boolean, text string, spans array<int>"
+    changed = found.select(*given).mapInArrow(_removals(window, texts, ladder), schema)
     if ladder:
-        tops = _climb(suspects, changed.where("repeats").select("o", "tie", "spans"), window)
-        changed = changed.join(tops, ["o", "tie"], "left").drop("o", "tie", "repeats", "spans")
+        changed = stage(changed)
+        tops = _climb(changed.where("repeats").select("o", "tie", "text", "spans"), window)
+        changed = changed.join(tops, ["o", "tie"], "left").drop("o", "tie", "repeats", "text", "spans")
+    else:
+        changed = stage(changed.dropDuplicates(["k1", "k2"]))
     return heads, contents.drop("n_anchors").join(changed, ["k1", "k2"], "left")
 
 
