@@ -10,6 +10,7 @@ FAN rows at most. An archive holds RECORDS records on average, so its offsets ar
 
 Defined cases: null url or html count as empty; a null page_id goes to archive 0 and sorts last; repeated
 rows are records each; a record or archive that only one replica has is reported; an empty table gives no row.
+In files, damaged headers and cut records are records that are not intact; an empty file has none.
 """
 
 from __future__ import annotations
@@ -34,29 +35,46 @@ def record(url: Column, html: Column) -> Column:
                     F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def parse(content: bytes) -> list[tuple[int, int]]:
-    """(offset, length) of the records of an uncompressed WARC file."""
+def scan(content: bytes) -> list[tuple[int, int, bool]]:
+    """(offset, length, intact) of the records of an uncompressed WARC file, without gaps.
+
+    A stretch that starts with no readable header, or whose stated length does not end at a record's end, is
+    one record that is not intact; it reaches to the next place that looks like a record's start.
+    """
     out, at = [], 0
     while at < len(content):
-        head = content.index(b"\r\n\r\n", at) + 4
-        size = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", content[at:head])[1])
-        out.append((at, head - at + size + 4))
-        at += out[-1][1]
+        head = content.find(b"\r\n\r\n", at)
+        said = None
+        if head >= 0 and content.startswith(b"WARC/", at):
+            said = re.search(rb"(?i)\r\nContent-Length: *(\d{1,18})\r\n", content[at: head + 2])
+        stop = head + 4 + int(said[1]) + 4 if said else 0
+        intact = bool(said) and content[stop - 4: stop] == b"\r\n\r\n"
+        if not intact:
+            start = content.find(b"\r\n\r\nWARC/", at + 1)
+            stop = start + 4 if start >= 0 else len(content)
+        out.append((at, stop - at, intact))
+        at = stop
     return out
 
 
+def parse(content: bytes) -> list[tuple[int, int]]:
+    """(offset, length) of the records of an uncompressed WARC file, damaged ones included."""
+    return [(at, size) for at, size, _ in scan(content)]
+
+
 def records_of_files(spark: SparkSession, path: str) -> DataFrame:
-    """archive (path), offset, length, sha256 of the records of WARC files; one task reads one file."""
+    """archive (path), offset, length, sha256 and intact of the records of WARC files; one task reads one file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
+        schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+                            ("sha256", pa.string()), ("intact", pa.bool_())])
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                found = parse(content)
                 yield pa.RecordBatch.from_pylist([
-                    {"archive": name, "offset": o, "length": n, "sha256": hashlib.sha256(content[o: o + n]).hexdigest()}
-                    for o, n in found], pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
+                    {"archive": name, "offset": o, "length": n, "intact": whole,
+                     "sha256": hashlib.sha256(content[o: o + n]).hexdigest()} for o, n, whole in scan(content)], schema)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, offset long, length long, sha256 string")
+    return files.mapInArrow(run, "archive string, offset long, length long, sha256 string, intact boolean")
 
 
 def leaves(records: DataFrame) -> DataFrame:

@@ -480,6 +480,22 @@ def test_fixity_finds_lost_and_changed_records(spark):
     assert warc_fixity.parse(text * 2) == [(0, len(text)), (len(text), len(text))]
 
 
+def test_warc_files_report_damaged_records(spark, tmp_path):
+    good = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    damaged = [b"WARC/1.1\r\nContent-Length: x\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n",
+               b"XARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"no header at all\r\n\r\n",
+               b"WARC/1.1\r\nContent-Length: " + b"9" * 5_000 + b"\r\n\r\nabc\r\n\r\n"]
+    for bad in damaged:
+        assert [(n, whole) for _, n, whole in warc_fixity.scan(good + bad + good)] == [
+            (len(good), True), (len(bad), False), (len(good), True)]
+    assert warc_fixity.scan(good + good[:-6]) == [(0, len(good), True), (len(good), len(good) - 6, False)]
+    (tmp_path / "a.warc").write_bytes(good + damaged[0] + good)
+    (tmp_path / "b.warc").write_bytes(b"")
+    rows = warc_fixity.records_of_files(ready(spark), str(tmp_path)).orderBy("offset").collect()
+    assert [(r.length, r.intact) for r in rows] == [(len(good), True), (len(damaged[0]), False), (len(good), True)]
+    assert rows[2].sha256 == hashlib.sha256(good).hexdigest() != rows[1].sha256
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     out = compare(spark, con, QUERIES[name], ORACLES[name], SF)
