@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicemill.functions.hashing import with_draw_weights
+from choicemill.functions.hashing import POISSON_STEPS, UNIFORM_LANES
 from choicemill.functions.numeric import count_true, mean_of, rounded
 from choicemill.operators.order import hex_bucket
 from choicemill.params import DEFAULT, Params
 
 PAIR_FIELDS = ("selected_model", "selected_ord", "correct", "cost", "latency", "realized_utility", "regret")
-# Queries with equal differences up to which each is drawn on its own; more are drawn together.
-DRAWN_ALONE = 32
 
 
 def router_key(name: Column) -> Column:
@@ -45,7 +47,7 @@ def _nested_differences(pairs: DataFrame, params: Params) -> DataFrame:
 
 
 def resampling_units(pairs: DataFrame, params: Params = DEFAULT, buckets: bool = False) -> DataFrame:
-    """unit, mean of its draws, and what it adds to each sum: the rows that are resampled."""
+    """unit, and what it adds to each sum: the rows that are resampled, one per query or per hash bucket."""
     rows = _nested_differences(pairs, params)
     sums = []
     for a in range(len(params.alphas)):
@@ -53,43 +55,87 @@ def resampling_units(pairs: DataFrame, params: Params = DEFAULT, buckets: bool =
         sums.append((have.cast("long"), f"n_{a}"))
         sums += [(F.col(f"{name}_{a}"), f"{name}_{a}") for name in DIFFERENCES]
     if buckets:
-        units = rows.groupBy(hex_bucket("query_id").cast("string").alias("unit")).agg(
+        return rows.groupBy(hex_bucket("query_id").cast("string").alias("unit")).agg(
             *[F.sum(value).alias(name) for value, name in sums])
-    else:
-        vector = [c for c in rows.columns if c != "query_id"]
-        alike = rows.groupBy(*vector).agg(F.count(F.lit(1)).alias("__m"), F.min("query_id").alias("__first"))
-        # A row for each query of a small group, one row for a large group.
-        alone = F.col("__m") <= DRAWN_ALONE
-        parts = F.explode(F.sequence(F.lit(0), F.when(alone, F.col("__m") - 1).otherwise(F.lit(0)))).alias("__part")
-        each = alike.select("*", parts)
-        units = each.select(F.concat_ws("#", "__first", "__part").alias("unit"),
-                            F.when(alone, F.lit(1)).otherwise(F.col("__m")).alias("mean"),
-                            *[value.alias(name) for value, name in sums])
-    return units
+    return rows.select(F.col("query_id").alias("unit"), *[value.alias(name) for value, name in sums])
 
 
-def bootstrap_intervals(pairs: DataFrame, params: Params = DEFAULT, buckets: bool = False) -> DataFrame:
-    """Percentile 95% intervals of the mean differences per alpha.
+def resampled_sums(units: DataFrame, prefix: str, draws: int) -> DataFrame:
+    """b, and the sums of every other column over resample b, for draws 0..draws-1.
 
-    Resample b gives each query a Poisson(1) weight, the same for all alphas and metrics. Queries with equal
-    differences weigh together what m independent draws do, Poisson(m): they are one row, drawn once for
-    each b, so draws grow with the distinct differences (times DRAWN_ALONE at most) and not with the queries;
-    most queries change no decision and are all alike. Draws exist only before the partial aggregate: the
-    shuffle holds one row per (task, b). With ``buckets`` the differences are first summed in 4,096 hash
-    buckets and the buckets are resampled instead.
+    Every unit has its own Poisson(1) weight in every resample, equal to that of ``with_draw_weights``. A task
+    multiplies a block of weights with the block's values and gives one row a resample, whatever its rows.
     """
-    alphas = range(len(params.alphas))
-    units = resampling_units(pairs, params, buckets)
-    names = [c for c in units.columns if c not in ("unit", "mean")]
+    names = [c for c in units.columns if c != "unit"]
+    groups = -(-draws // UNIFORM_LANES)
+    limits = np.array([math.ceil(step * 2 ** 52) for step in POISSON_STEPS], dtype=np.uint64)
+    # The leading 16 bits settle nearly every draw; those that a step cuts are compared in full.
+    firsts = np.arange(1 << 16, dtype=np.uint64) << np.uint64(36)
+    low = np.searchsorted(limits, firsts, "right")
+    cut = low != np.searchsorted(limits, firsts + np.uint64((1 << 36) - 1), "right")
+    table = np.where(cut, -1.0, low)
+    starts = [f"{prefix}|{g}|".encode() for g in range(groups)]
+    block = 32
+
+    def weights(keys: list[bytes]) -> np.ndarray:
+        digests = b"".join([hashlib.sha256(start + key).digest() for key in keys for start in starts])
+        a, b, c, d = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(len(keys), groups, 4).transpose(2, 0, 1)
+
+        def bits(word: np.ndarray, kept: int) -> np.ndarray:
+            return word & np.uint64((1 << kept) - 1)
+
+        def up(word: np.ndarray, by: int) -> np.ndarray:
+            return word << np.uint64(by)
+
+        def down(word: np.ndarray, by: int) -> np.ndarray:
+            return word >> np.uint64(by)
+
+        # Four numbers of 13 hex digits, 52 bits, follow one another in a digest.
+        lanes = np.stack([down(a, 12), up(bits(a, 12), 40) | down(b, 24), up(bits(b, 24), 28) | down(c, 36),
+                          up(bits(c, 36), 16) | down(d, 48)], axis=-1).reshape(len(keys), -1)[:, :draws]
+        found = table[down(lanes, 36)]
+        open_ = found < 0
+        found[open_] = np.searchsorted(limits, lanes[open_], "right")
+        return found
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((draws, len(names))), np.zeros(len(names), dtype=bool)
+        for batch in batches:
+            keys = [key.encode() for key in batch.column("unit").to_pylist()]
+            columns = [batch.column(name).cast(pa.float64()) for name in names]
+            seen |= [column.null_count < len(column) for column in columns]
+            values = np.column_stack([column.fill_null(0.0).to_numpy(zero_copy_only=False) for column in columns])
+            for at in range(0, len(keys), block):
+                w, v = weights(keys[at:at + block]), values[at:at + block]
+                if np.isfinite(v).all():
+                    total += w.T @ v
+                else:  # a value with weight 0 must not count
+                    for row, value in zip(w, v, strict=True):
+                        total[row > 0] += row[row > 0, None] * value
+        if seen.any():
+            arrays = [pa.array(total[:, i]) if here else pa.nulls(draws, pa.float64()) for i, here in enumerate(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), *arrays], ["b", *names])
+
     # Few rows become many here: a fixed number of partitions keeps adaptive execution from merging
     # the small input into one task.
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(tasks)
-    drawn = with_draw_weights(units, f"ci{params.seed}", params.resamples, "b", "unit", None if buckets else "mean")
-    totals = drawn.groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+    parts = units.repartition(tasks).mapInArrow(partial, ", ".join(["b int", *[f"{c} double" for c in names]]))
+    return parts.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def bootstrap_intervals(pairs: DataFrame, params: Params = DEFAULT, buckets: bool = False) -> DataFrame:
+    """Percentile 95% intervals of the mean differences per alpha.
+
+    Resample b gives each query a Poisson(1) weight drawn from (b, query), the same for all alphas
+    and metrics. Draws exist only inside a task: the shuffle holds one row per (task, b). With ``buckets``
+    the differences are first summed in 4,096 hash buckets and the buckets are resampled, so the number
+    of draws no longer grows with the queries.
+    """
+    alphas = range(len(params.alphas))
+    totals = resampled_sums(resampling_units(pairs, params, buckets), f"ci{params.seed}", params.resamples)
     means = totals.select("b", F.inline(F.array(*[
         F.struct(F.lit(params.alphas[a]).alias("alpha"), *[
-            F.try_divide(F.col(f"{name}_{a}"), F.col(f"n_{a}").cast("double")).alias(name) for name in DIFFERENCES])
+            F.try_divide(F.col(f"{name}_{a}"), F.col(f"n_{a}")).alias(name) for name in DIFFERENCES])
         for a in alphas])))
     # One value per resample and metric: bounded by the number of resamples.
     ends = F.array(F.lit(0.025), F.lit(0.975))

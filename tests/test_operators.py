@@ -381,7 +381,7 @@ def test_intervals_by_brute_force(spark):
     for b in range(40):
         total = weight = 0
         for row in rows:
-            digest = hashlib.sha256(f"ci42|{b // 4}|{row[0]}#0".encode()).hexdigest()
+            digest = hashlib.sha256(f"ci42|{b // 4}|{row[0]}".encode()).hexdigest()
             u = int(digest[13 * (b % 4):13 * (b % 4) + 13], 16) / 2 ** 52
             w = sum(u >= step for step in hashing.POISSON_STEPS)
             total, weight = total + w * (row[6] - row[5]), weight + w
@@ -392,18 +392,17 @@ def test_intervals_by_brute_force(spark):
     assert near["utility_ci_lower"] < np.mean([r[6] - r[5] for r in rows]) < near["utility_ci_upper"]
 
 
-def test_equal_differences_are_drawn_together(spark):
-    """Draws grow with the distinct differences; the interval is that of drawing every query."""
+def test_equal_differences_are_drawn_one_by_one(spark):
+    """Every query has weights of its own, however many others have the same differences."""
     kind = ("query_id string, alpha_id int, alpha double, u_correct int, r_correct int, u_realized_utility double,"
             " r_realized_utility double, u_regret double, r_regret double")
     rows = [(f"{i:016x}", 0, 0.1, 1, int(i % 10 > 0), 0.5, 0.5 - 0.1 * (i % 10 == 0), 0.0, 0.1 * (i % 10 == 0)) for i in range(4_000)]
-    pairs = spark.createDataFrame(rows, kind)
-    out = inference.bootstrap_intervals(pairs, Params(resamples=2_000)).filter("alpha = 0.1").first()
-    error = math.sqrt(0.1 * 0.9 / 4_000)  # of the mean of 4,000 draws with chance 0.1
-    assert out["accuracy_ci_lower"] == pytest.approx(-0.1 - 1.96 * error, abs=0.1 * error)
-    assert out["accuracy_ci_upper"] == pytest.approx(-0.1 + 1.96 * error, abs=0.1 * error)
-    units = inference.resampling_units(pairs, Params(resamples=2_000))
-    assert units.count() == 2 and {r["mean"] for r in units.collect()} == {400, 3_600}
+    units = inference.resampling_units(spark.createDataFrame(rows, kind), Params(resamples=10))
+    assert units.count() == 4_000
+    drawn = hashing.with_draw_weights(units, "ci42", 10, "b", "unit").groupBy("b").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("accuracy_0")).alias("accuracy"))
+    found = inference.resampled_sums(units, "ci42", 10).select("b", F.col("n_0").cast("long"), "accuracy_0")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, drawn.collect()))
 
 
 @pytest.mark.parametrize("mean", [33, 400, 10_000_000])
