@@ -314,6 +314,21 @@ def test_a_cut_ensemble_equals_a_shorter_fit(spark):
     assert both.filter("abs(a - b) > 1e-12").count() == 0
 
 
+def test_boosted_inputs_hold_a_query_once_in_blocks(spark, monkeypatch):
+    """Targets and weights sit in the query's row; partitions follow the number of queries."""
+    monkeypatch.setattr(learners, "FIT_ROWS", 40)
+    vectors, families = learned.stage_vectors(spark, SF)
+    core = vectors.filter("split = 'train'")
+    train, valid = learners.boosted_inputs(vectors, learned.width(families), (0.5, 0.1), (0, 1))
+    assert train.count() == core.count() and valid.count() == vectors.filter("split = 'validation'").count()
+    assert train.rdd.getNumPartitions() == -(-vectors.count() // 40)
+    pairs = ensemble.training_pairs(vectors, []).join(ensemble.weighted_training(core.select("query_id", "split")), "query_id")
+    for at, (alpha, member, model) in [(1, (0.5, 1, "m1")), (6, (0.1, 0, "m2"))]:
+        expected = pairs.filter((F.col("alpha") == alpha) & (F.col("member") == member) & (F.col("model") == model))
+        found = train.select(F.col("y")[at], F.col("w")[member]).filter(F.col(f"w[{member}]") > 0)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select("target", "w").collect()))
+
+
 def test_patience():
     assert learners.best_iteration([3, 2, 1, 2, 2, 0], 2) == 3
     assert learners.best_iteration([3, 2, 1, 2, 2, 0], 5) == 6
