@@ -329,6 +329,15 @@ def test_boosted_inputs_hold_a_query_once_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select("target", "w").collect()))
 
 
+def test_a_query_that_comes_twice_is_weighted_as_by_a_join(spark):
+    vectors, families = learned.stage_vectors(spark, SF)
+    twice = vectors.unionByName(vectors.filter("split = 'train'").limit(7))
+    train, _ = learners.boosted_inputs(twice, learned.width(families), (0.5,), (0,))
+    joined = twice.filter("split = 'train'").select("query_id").join(
+        ensemble.weighted_training(twice.select("query_id", "split")).filter("member = 0"), "query_id")
+    assert train.filter("w[0] > 0").count() == joined.count()
+
+
 def test_patience():
     assert learners.best_iteration([3, 2, 1, 2, 2, 0], 2) == 3
     assert learners.best_iteration([3, 2, 1, 2, 2, 0], 5) == 6
