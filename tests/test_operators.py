@@ -238,6 +238,15 @@ def test_ridge_and_its_ablation_equal_numpy(spark, training, family):
         assert not fitted[member][gone].any()
 
 
+def test_features_are_checked_once(spark, monkeypatch):
+    calls = []
+    check = learned.side_mismatches
+    monkeypatch.setattr(learned, "side_mismatches", lambda *a: calls.append(1) or check(*a))
+    for family in ("", "category"):
+        learned.coefficients(spark, SF, family)
+    assert len(calls) <= 1
+
+
 def test_weights_in_an_array_equal_weights_in_rows(spark):
     core = sourcing.stage_core(spark, SF).select("query_id", "split")
     rows = {(r["query_id"], r["member"]): r["w"] for r in ensemble.weighted_training(core).collect()}
