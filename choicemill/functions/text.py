@@ -48,25 +48,35 @@ def numeric_prediction(body: str, number: str) -> Column:
     return F.when(F.col(number) != "", F.replace(F.col(number), F.lit(","), F.lit(""))).otherwise(strip(body))
 
 
+def decimal_of(value: Column, shown: Column) -> Column:
+    """The value as a decimal, NULL if it is none. ``shown`` has the same digits: without a digit nothing is
+    parsed, as each failure to parse costs an exception."""
+    return F.when(shown.rlike(r"\p{Nd}"), value).try_cast("decimal(38,18)")
+
+
 def numeric_correct(prediction: str, truth: str) -> Column:
-    """Exact decimal equality; text equality without case when a side is not a number."""
-    left = F.col(prediction).try_cast("decimal(38,18)")
-    right = F.replace(F.col(truth), F.lit(","), F.lit("")).try_cast("decimal(38,18)")
-    return F.coalesce(left == right, normalised(prediction) == normalised(truth)).cast("int")
+    """Exact decimal equality; text equality without case when a side is not a number.
 
+    The prediction has no surrounding white space, as ``numeric_prediction`` gives it.
+    """
+    left = decimal_of(F.col(prediction), F.col(prediction))
+    right = decimal_of(F.replace(F.col(truth), F.lit(","), F.lit("")), F.col(truth))
+    return F.coalesce(left == right, F.lower(prediction) == normalised(truth)).cast("int")
 
-def marked_letter(answer: str) -> Column:
-    return F.regexp_extract(F.col(answer), rf"(?i){MARKER}[{SPACE}]*([ABCD])(?![A-Za-z0-9_])", 1)
 
+def letter_prediction(answer: str) -> Column:
+    """Option letter after the marker, else the answer itself when it is a single letter, else ''.
 
-def letter_prediction(answer: str, marked: str) -> Column:
-    """Option letter after the marker, else the answer itself when it is a single letter, else ''."""
-    alone = F.upper(strip(answer))
-    return F.when(F.col(marked) != "", F.upper(marked)).when(alone.isin(*LETTERS), alone).otherwise("")
+    One pattern for both: an answer that is a single letter holds no marker.
+    """
+    options = "".join(LETTERS)
+    found = rf"(?i)(?:{MARKER}[{SPACE}]*|\A[{SPACE}]*(?=[{options}][{SPACE}]*\z))([{options}])(?![A-Za-z0-9_])"
+    return F.coalesce(F.upper(F.regexp_extract(F.col(answer), found, 1)), F.lit(""))
 
 
 def letter_correct(prediction: str, truth: str) -> Column:
-    return (F.upper(strip(prediction)) == F.upper(strip(truth))).cast("int")
+    """Equality without case; the prediction is an upper-case letter or '', as ``letter_prediction`` gives it."""
+    return (F.col(prediction) == F.upper(strip(truth))).cast("int")
 
 
 def final_answer(answer: str) -> Column:
