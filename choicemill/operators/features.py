@@ -127,17 +127,29 @@ def require_finite(vectors: DataFrame, key: str = "query_id") -> DataFrame:
     return vectors
 
 
-def unit_length(vector: Column, digits: int = 8) -> Column:
-    """Vector scaled to L2 norm 1 and rounded; a zero vector stays as it is."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(doubles, lambda x: F.round(F.when(norm > 0, x / norm).otherwise(x), digits))
+def l2_norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+
+
+def unit_length(vector: Column, digits: int = 8, norm: Column | None = None) -> Column:
+    """Vector scaled to L2 norm 1 and rounded; a zero vector stays as it is.
+
+    ``norm`` names a column with the vector's norm; without it the norm is taken again for every element.
+    """
+    norm = l2_norm(vector) if norm is None else norm
+
+    def scaled(x: Column) -> Column:
+        x = x.cast("double")
+        return F.round(F.when(norm > 0, x / norm).otherwise(x), digits)
+
+    return F.transform(vector, scaled)
 
 
 def with_embedding(rows: DataFrame, embeddings: DataFrame, left: str, right: str = "vec_id",
                    vector: str = "embedding") -> DataFrame:
     """Attach given embeddings as one array column of unit length."""
-    unit = embeddings.select(F.col(right).alias(left), unit_length(F.col(vector)).alias("embedding"))
+    normed = embeddings.select(F.col(right).alias(left), F.col(vector), l2_norm(F.col(vector)).alias("__norm"))
+    unit = normed.select(left, unit_length(F.col(vector), norm=F.col("__norm")).alias("embedding"))
     return rows.join(unit, left, "left")
 
 

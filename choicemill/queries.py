@@ -508,10 +508,11 @@ def bootstrap_weights(spark, sf):
 def training_targets(spark, sf):
     """H1: the feature vector beside the targets, per (query, model, alpha); the vector is shown by its size and norm."""
     vectors, _ = learned.stage_vectors(spark, sf)
-    pairs = ensemble.training_pairs(vectors, [*sourcing.NUMERIC_FEATURES, "indices", "values"])
-    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda total, v: total + v * v))
-    return pairs.select("query_id", "alpha", *sourcing.NUMERIC_FEATURES, "model", "target",
-                        F.size("indices").alias("n_features"), rounded(norm, 6).alias("feature_norm"))
+    shown = [*sourcing.NUMERIC_FEATURES, "n_features", "feature_norm"]
+    # Once a query, before it becomes a row per candidate and cost weight.
+    sized = vectors.withColumns({"n_features": F.size("indices"), "feature_norm": rounded(features.l2_norm(F.col("values")), 6)})
+    pairs = ensemble.training_pairs(sized, shown)
+    return pairs.select("query_id", "alpha", *sourcing.NUMERIC_FEATURES, "model", "target", "n_features", "feature_norm")
 
 
 def _model(spark, sf, group):

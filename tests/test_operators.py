@@ -339,6 +339,22 @@ def test_boosted_inputs_hold_a_query_once_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select("target", "w").collect()))
 
 
+def test_norms_are_taken_once_a_vector(spark):
+    """Not for every element of an embedding, and not for every row of a query."""
+    given = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, [None, 2.0]), (3, None)]
+    vectors = spark.createDataFrame(given, "vec_id int, embedding array<float>")
+    joined = features.with_embedding(spark.range(5).select(F.col("id").cast("int").alias("at")), vectors, "at")
+    assert {r["at"]: r["embedding"] for r in joined.collect()} == {0: [0.6, 0.8], 1: [0.0, 0.0], 2: [None, 2.0], 3: None, 4: None}
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+    assert sum(line.count("aggregate(") for line in plan(joined)) == 1
+    lines = plan(QUERIES["training_targets"](spark, SF))
+    norms = [i for i, line in enumerate(lines) if "aggregate(" in line]
+    assert len(norms) == 1 and norms[0] > max(i for i, line in enumerate(lines) if "Generate" in line)
+
+
 def test_a_query_that_comes_twice_is_weighted_as_by_a_join(spark):
     vectors, families = learned.stage_vectors(spark, SF)
     twice = vectors.unionByName(vectors.filter("split = 'train'").limit(7))
